@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from asofspark.llm.stats import text_counts
-from asofspark.llm.storage import stored
 
 #: Labelled rows that a model is fitted on at most (about; chosen by a hash of doc_id).
 MAX_LABELLED = 20_000
@@ -45,7 +44,10 @@ def features() -> dict[str, Column]:
     }
 
 
-FEATURES = list(features())
+FEATURES = [
+    "log_words", "mean_word", "symbols", "dup_lines", "repeat_words", "words_a_line", "upper", "high",
+    "digits", "punct", "short", "long", "distinct", "same_next",
+]
 
 
 def _splits(x: np.ndarray) -> list[np.ndarray]:
@@ -160,16 +162,32 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % 3 == 1
 
 
-def fit_quality(x: DataFrame, labels: DataFrame, label: str = "quality") -> RuleModel:
-    """Fits on about MAX_LABELLED rows of features ``x`` that carry a label and are not held out."""
+def featured(docs: DataFrame, text: str, keep: tuple[str, ...]) -> DataFrame:
+    """``keep`` columns and FEATURES of every row."""
+    return text_counts(docs, text, keep).select(*keep, *[v.alias(k) for k, v in features().items()])
+
+
+def fit_quality(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "quality") -> RuleModel:
+    """Fits on about MAX_LABELLED documents that carry a label and are not held out.
+
+    The chosen ids, whose number that parameter bounds, are broadcast; so only the sample's
+    statistics are computed and sent to the driver.
+    """
     known = labels.where(F.col(label).isin(0, 1) & ~held_out(F.col("doc_id"))).select("doc_id", F.col(label).cast("double").alias("_y"))
     share = min(1.0, MAX_LABELLED / max(1, known.count()))
     bucket = F.pmod(F.xxhash64(F.lit("fit"), "doc_id"), F.lit(1_000_000))
-    sample = x.join(known.where(bucket < int(share * 1_000_000)), "doc_id").select("doc_id", "_y", *FEATURES)
+    chosen = known.where(bucket < int(share * 1_000_000))
+    sample = featured(docs.select("doc_id", docs[text].alias("text")).join(F.broadcast(chosen), "doc_id"), "text", ("doc_id", "_y"))
     rows = sample.orderBy("doc_id", "_y", *FEATURES).limit(2 * MAX_LABELLED).toPandas()
     return RuleModel.fit(rows[FEATURES].to_numpy(dtype=float), rows["_y"].to_numpy(dtype=float))
 
 
+def scored(docs: DataFrame, model: RuleModel, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``keep`` columns, score and predicted of every row."""
+    rows = featured(docs, text, keep).select(*keep, model.score().alias("score"))
+    return rows.withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0))
+
+
 def quality_scores(docs: DataFrame, labels: DataFrame, text: str = "text") -> DataFrame:
     """One row per document: doc_id, held_out, score (0 to 1), predicted.
 
@@ -177,7 +195,5 @@ def quality_scores(docs: DataFrame, labels: DataFrame, text: str = "text") -> Da
     a score too; labels of unknown documents, other than 0 and 1, or null are ignored;
     repeated rows give repeated results; extra columns are ignored.
     """
-    x = stored(text_counts(docs, text).select("doc_id", *[v.alias(k) for k, v in features().items()]))
-    model = fit_quality(x, labels)
-    scored = x.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), model.score().alias("score"))
-    return scored.withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0))
+    model = fit_quality(docs, labels, text)
+    return scored(docs, model, text).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from asofspark.llm import grid
 
@@ -82,7 +83,7 @@ def count_texts(column: pa.Array) -> dict[str, np.ndarray]:
 
 def text_counts(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns and COUNTS (long) of every row; a null text counts as empty, no row is lost."""
-    rows = docs.select(*[docs[c] for c in keep], docs[text].alias("_text"))
+    rows = docs.select(*keep, F.col(text).alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in grid.slices(batches, "_text"):
