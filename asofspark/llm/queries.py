@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from asofspark.llm.decontaminate import contaminated
+from asofspark.llm.language_id import language_id
+from asofspark.llm.mixing import mixed
 from asofspark.llm.pii import pii_spans
 from asofspark.llm.quality_classifier import quality_scores
 from asofspark.llm.quality_rules import quality_rules
@@ -36,10 +38,18 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(_table(spark, sf_dir, "documents"))
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixed(_table(spark, sf_dir, "documents"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(_table(spark, sf_dir, "documents"))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii_spans(_table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda s: s["base"])
@@ -54,7 +64,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_quality_classifier": op4_quality_classifier,
         "op5_token_counts": op5_token_counts,
         "op6_simhash": op6_simhash,
+        "op7_mixing": op7_mixing,
         "op8_decontamination": op8_decontamination,
+        "op9_language_id": op9_language_id,
         "op10_pii": op10_pii,
     }
 
