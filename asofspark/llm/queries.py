@@ -15,6 +15,8 @@ from asofspark.llm.quality_classifier import quality_scores
 from asofspark.llm.quality_rules import quality_rules
 from asofspark.llm.simhash import simhash_groups
 from asofspark.llm.token_counts import token_counts
+from asofspark.llm.url_rules import ORACLE_SQL as URL_RULES_SQL
+from asofspark.llm.url_rules import judge_urls, rule_table
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +27,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_table(spark, sf_dir, "documents"))
 
 
+def op3_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(_table(spark, sf_dir, "pages"), rule_table(spark))
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
     return scored.withColumn("predicted", F.col("predicted").cast("int"))
@@ -61,6 +67,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1_quality_rules,
+        "op3_url_rules": op3_url_rules,
         "op4_quality_classifier": op4_quality_classifier,
         "op5_token_counts": op5_token_counts,
         "op6_simhash": op6_simhash,
@@ -72,4 +79,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_url_rules": URL_RULES_SQL}
