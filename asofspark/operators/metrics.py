@@ -2,24 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 YEAR = 252
-_RUN = Window.partitionBy("run_id").orderBy("dt")
+
+def _run() -> WindowSpec:
+    return Window.partitionBy("run_id").orderBy("dt")
 
 
 def with_returns(curves: DataFrame) -> DataFrame:
     """Adds ret (NULL on a run's first row), peak and drawdown."""
-    peak = F.max("equity").over(_RUN)
-    return curves.withColumns({"ret": F.col("equity") / F.lag("equity").over(_RUN) - 1, "peak": peak, "drawdown": F.col("equity") / peak - 1})
+    peak = F.max("equity").over(_run())
+    return curves.withColumns({"ret": F.col("equity") / F.lag("equity").over(_run()) - 1, "peak": peak, "drawdown": F.col("equity") / peak - 1})
 
 
 def underwater_days(curves: DataFrame) -> DataFrame:
     """run_id, max_dd_days: calendar days from the peak before a dip to its recovery, or to the end."""
     x = with_returns(curves).withColumn("_under", F.col("drawdown") < 0)
-    before = _RUN.rowsBetween(Window.unboundedPreceding, -1)
-    x = x.withColumns({"_peak_dt": F.last(F.when(~F.col("_under"), F.col("dt")), ignorenulls=True).over(before), "_was": F.lag("_under").over(_RUN)})
+    before = _run().rowsBetween(Window.unboundedPreceding, -1)
+    x = x.withColumns({"_peak_dt": F.last(F.when(~F.col("_under"), F.col("dt")), ignorenulls=True).over(before), "_was": F.lag("_under").over(_run())})
     days = F.max(F.when(F.col("_under") | F.col("_was"), F.datediff("dt", "_peak_dt")))
     return x.groupBy("run_id").agg(F.coalesce(days, F.lit(0)).alias("max_dd_days"))
 
@@ -80,4 +82,4 @@ def distribution(values: DataFrame, by: str, value: str) -> DataFrame:
 def rebased(curves: DataFrame, start: str, end: str, base: float = 10_000.0) -> DataFrame:
     """Curves within [start, end], starting at ``base``."""
     inside = curves.where(F.col("dt").between(F.lit(start).cast("date"), F.lit(end).cast("date")))
-    return inside.withColumn("equity", F.col("equity") / F.first("equity").over(_RUN) * base)
+    return inside.withColumn("equity", F.col("equity") / F.first("equity").over(_run()) * base)

@@ -10,13 +10,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-BY_SYMBOL = Window.partitionBy("symbol").orderBy("idx")
 
+def by_symbol() -> WindowSpec:
+    return Window.partitionBy("symbol").orderBy("idx")
 
-def rolling(agg, value: str | Column, n: int, by: WindowSpec = BY_SYMBOL) -> Column:
+
+def rolling(agg, value: str | Column, n: int, by: WindowSpec | None = None) -> Column:
     """``agg`` of the last n rows, where all n have a value."""
     value = F.col(value) if isinstance(value, str) else value
-    w = by.rowsBetween(1 - n, 0)
+    w = (by or by_symbol()).rowsBetween(1 - n, 0)
     return F.when(F.count(value).over(w) == n, agg(value).over(w))
 
 
@@ -59,7 +61,7 @@ def cycle_bar(every: int, offset: int, warmup: int) -> Column:
 
 def momentum(skip: int, look: int, px: str = "px") -> Column:
     """Price ``skip`` rows ago over the price ``look`` rows before that, less 1."""
-    return F.try_divide(F.lag(px, skip).over(BY_SYMBOL), F.lag(px, skip + look).over(BY_SYMBOL)) - 1
+    return F.try_divide(F.lag(px, skip).over(by_symbol()), F.lag(px, skip + look).over(by_symbol())) - 1
 
 
 def tsmom_sign(look: int) -> Column:
@@ -90,7 +92,7 @@ def rolling_vol(n: int = 63, year: int = 252) -> Column:
 def yang_zhang(panel: DataFrame, n: int = 63, year: int = 252) -> DataFrame:
     """Adds yz_vol: overnight variance, open-to-close variance and the Rogers-Satchell mean, annualized."""
     k = 0.34 / (1.34 + (n + 1) / (n - 1))
-    before = F.lag("close").over(BY_SYMBOL)
+    before = F.lag("close").over(by_symbol())
     x = panel.withColumns({"_o": F.log(F.col("open") / before), "_c": F.log(F.col("close") / F.col("open"))})
     rs = F.log(F.col("high") / F.col("close")) * F.log(F.col("high") / F.col("open")) + F.log(F.col("low") / F.col("close")) * F.log(F.col("low") / F.col("open"))
     var = rolling(F.var_samp, "_o", n) + k * rolling(F.var_samp, "_c", n) + (1 - k) * rolling(F.avg, rs, n)
@@ -123,23 +125,23 @@ def market_regime(panel: DataFrame, ma: int, compare: str = ">", lag: int = 0) -
     mean = rolling(F.avg, "px", ma)
     met = {">": F.col("px") > mean, ">=": F.col("px") >= mean, "<": F.col("px") < mean}[compare]
     x = panel.withColumn("_on", F.coalesce(~met if compare == "<" else met, F.lit(True)))
-    return x.withColumn("risk_on", F.coalesce(F.lag("_on", lag).over(BY_SYMBOL), F.lit(True)) if lag else F.col("_on")).drop("_on")
+    return x.withColumn("risk_on", F.coalesce(F.lag("_on", lag).over(by_symbol()), F.lit(True)) if lag else F.col("_on")).drop("_on")
 
 
 def vol_managed(panel: DataFrame, target: float, n: int = 126, cap: float = 2.0) -> DataFrame:
     """Adds leverage (target over realized, capped, one row late) and the compounded growth under it."""
     level = F.try_divide(F.lit(target), rolling_vol(n))
     x = panel.withColumn("_lev", F.when(level > cap, cap).otherwise(level))
-    x = x.withColumn("leverage", F.coalesce(F.lag("_lev").over(BY_SYMBOL), F.lit(0.0))).drop("_lev")
-    growth = F.exp(F.sum(F.log(1 + F.col("leverage") * F.coalesce("ret", F.lit(0.0)))).over(BY_SYMBOL))
+    x = x.withColumn("leverage", F.coalesce(F.lag("_lev").over(by_symbol()), F.lit(0.0))).drop("_lev")
+    growth = F.exp(F.sum(F.log(1 + F.col("leverage") * F.coalesce("ret", F.lit(0.0)))).over(by_symbol()))
     return x.withColumn("growth", growth)
 
 
 def rotation_returns(panel: DataFrame, ma: int, leverage: float, bps: float, rf: float = 0.0, year: int = 252) -> DataFrame:
     """Adds hold and rot_ret: the levered return while the price was above its mean the row before, else the bill's, less costs."""
     x = panel.withColumn("_up", F.when(F.col("px") > rolling(F.avg, "px", ma), 1.0).otherwise(0.0))
-    x = x.withColumn("hold", F.coalesce(F.lag("_up").over(BY_SYMBOL), F.lit(0.0)))
-    moved = F.abs(F.col("hold") - F.coalesce(F.lag("hold").over(BY_SYMBOL), F.lit(0.0)))
+    x = x.withColumn("hold", F.coalesce(F.lag("_up").over(by_symbol()), F.lit(0.0)))
+    moved = F.abs(F.col("hold") - F.coalesce(F.lag("hold").over(by_symbol()), F.lit(0.0)))
     levered = leverage * F.coalesce("ret", F.lit(0.0)) - (leverage - 1) * rf / year
     return x.withColumn("rot_ret", F.when(F.col("hold") == 1.0, levered).otherwise(rf / year) - moved * bps / 1e4 * leverage).drop("_up")
 
@@ -161,26 +163,26 @@ def breadth_gate(panel: DataFrame, canaries: Sequence[str], months: Sequence[int
 
 def rsrs_gate(panel: DataFrame, n: int = 18, look: int = 600, every: int = 21, edge: float = 0.7) -> DataFrame:
     """Adds beta (slope of high on low), its z-score and the gate: 1 above the edge, 0 below minus it, else held."""
-    w = BY_SYMBOL.rowsBetween(1 - n, 0)
+    w = by_symbol().rowsBetween(1 - n, 0)
     x = panel.withColumn("beta", F.when(F.count(F.col("high")).over(w) == n, F.regr_slope("high", "low").over(w)))
     x = x.withColumn("z", F.try_divide(F.col("beta") - rolling(F.avg, "beta", look), rolling(F.stddev_samp, "beta", look)))
     at = F.col("idx") % every == 0
     set_at = F.when(at & (F.col("z") > edge), 1.0).when(at & (F.col("z") < -edge), 0.0)
-    return x.withColumn("gate", F.last(set_at, ignorenulls=True).over(BY_SYMBOL))
+    return x.withColumn("gate", F.last(set_at, ignorenulls=True).over(by_symbol()))
 
 
 def dynamic_leverage(panel: DataFrame, n: int = 63, warm: int = 252, every: int = 21, most: float = 2.3) -> DataFrame:
     """Adds leverage: most x (median volatility so far / volatility), within [1, most], set at cycle rows and held."""
     x = panel.withColumn("_vol", rolling_vol(n))
-    median = F.when(F.count("_vol").over(BY_SYMBOL) >= warm, F.percentile("_vol", F.lit(0.5)).over(BY_SYMBOL))
+    median = F.when(F.count("_vol").over(by_symbol()) >= warm, F.percentile("_vol", F.lit(0.5)).over(by_symbol()))
     level = F.greatest(F.lit(1.0), F.least(F.lit(most), most * F.try_divide(median, F.col("_vol"))))
     set_at = F.when((F.col("idx") % every == 0) & median.isNotNull(), level)
-    return x.withColumn("_set", set_at).withColumn("leverage", F.last("_set", ignorenulls=True).over(BY_SYMBOL)).drop("_vol", "_set")
+    return x.withColumn("_set", set_at).withColumn("leverage", F.last("_set", ignorenulls=True).over(by_symbol())).drop("_vol", "_set")
 
 
 def unsmoothed(panel: DataFrame) -> DataFrame:
     """Adds phi (lag-1 autocorrelation by symbol) and the unsmoothed return (r - phi r_before) / (1 - phi)."""
-    x = panel.withColumn("_before", F.lag("ret").over(BY_SYMBOL))
+    x = panel.withColumn("_before", F.lag("ret").over(by_symbol()))
     phi = x.groupBy("symbol").agg(F.corr("ret", "_before").alias("phi"))
     return x.join(phi, "symbol").withColumn("unsmoothed", F.try_divide(F.col("ret") - F.col("phi") * F.col("_before"), 1 - F.col("phi"))).drop("_before")
 
@@ -204,5 +206,5 @@ def rolling_beta(panel: DataFrame, market: str, n: int = 63) -> DataFrame:
     """Adds beta of each symbol's returns on the market symbol's over the last n rows."""
     m = panel.where(F.col("symbol") == market).select("idx", F.col("ret").alias("_m"))
     x = panel.join(m, "idx").withColumn("_both", F.when(F.col("_m").isNotNull(), F.col("ret")))
-    w = BY_SYMBOL.rowsBetween(1 - n, 0)
+    w = by_symbol().rowsBetween(1 - n, 0)
     return x.withColumn("beta", F.when(F.count("_both").over(w) == n, F.regr_slope("_both", "_m").over(w))).drop("_m", "_both")

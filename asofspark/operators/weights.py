@@ -165,7 +165,7 @@ def pair_positions(spread: DataFrame, entry: float, leave: float, stop: float, b
         p, v = acc["p"], row["z"]
         opened = F.when(F.abs(v) > entry, F.when(v > 0, -1).otherwise(1)).otherwise(0)
         closed = F.when((F.abs(v) < leave) | (F.abs(v) > stop), 0).otherwise(p)
-        now = F.when(v.isNull(), p).when(p == 0, F.when(F.abs(v) > stop, 0).otherwise(opened)).otherwise(closed)
+        now = F.when(v.isNull(), p).when(p == 0, opened).otherwise(closed)
         return F.struct(now.alias("p"), F.concat(acc["rows"], F.array(F.struct(row["idx"].cast("bigint").alias("idx"), row["z"].alias("z"), now.alias("position")))).alias("rows"))
 
     return spread.groupBy(*by).agg(F.aggregate(z, start, step, lambda a: a["rows"]).alias("_r")).select(*by, F.explode("_r").alias("_x")).select(*by, "_x.*")
