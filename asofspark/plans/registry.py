@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from asofspark.plans import fundamentals, timeseries
+from asofspark.plans import fundamentals, portfolio, timeseries
 
-_MODULES = [fundamentals, timeseries]
+_MODULES = [fundamentals, timeseries, portfolio]
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 SQL = {name: sql for m in _MODULES for name, sql in m.SQL.items()}
