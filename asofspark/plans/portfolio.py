@@ -87,6 +87,11 @@ pv AS (SELECT one.run_id, one.mark, sqrt(sum(one.w * two.w * cov * CASE WHEN a =
 vt AS (SELECT iv.run_id, iv.mark, symbol, w * CASE WHEN pvol > 0 THEN least(0.3 / pvol, 1.0) ELSE 1.0 END AS w FROM iv LEFT JOIN pv USING (run_id, mark))"""
 
 
+def _log(df: DataFrame, column: str) -> DataFrame:
+    """Growth over hundreds of synthetic rows is compared on a logarithmic scale."""
+    return df.withColumn(column, F.log10(column))
+
+
 def q_summary(spark, d):
     return rounded(_long(me.summary(curves(spark, d), 0.02), "max_dd_days").select("run_id", *_MCOLS, "max_dd_days"), 5)
 
@@ -119,11 +124,11 @@ def q_rebased(spark, d):
 
 
 def q_score_locks(spark, d):
-    return rounded(_long(sc.score_locks(locks(spark, d), prices(spark, d), 10.0), "k").select("book", "lock_date", "until", "k", "seg_ret", "turnover", "value", "cum_cost"), 5)
+    return rounded(_log(_long(sc.score_locks(locks(spark, d), prices(spark, d), 10.0), "k"), "value").select("book", "lock_date", "until", "k", "seg_ret", "turnover", "value", "cum_cost"), 5)
 
 
 def q_daily_curve(spark, d):
-    return rounded(sc.daily_curve(locks(spark, d), prices(spark, d)), 4)
+    return rounded(_log(sc.daily_curve(locks(spark, d), prices(spark, d)), "equity"), 5)
 
 
 def q_mark(spark, d):
@@ -138,20 +143,20 @@ def q_sectors(spark, d):
 def q_shadow(spark, d):
     s = sc.score_locks(locks(spark, d), prices(spark, d), 10.0)
     r = dt.rates(spark, d).withColumnRenamed("dt", "lock_date")
-    return rounded(_long(sc.shadow_levered(s.join(r, "lock_date", "left"), 1.5, 0.004), "k").select("k", "lock_date", "levered"), 5)
+    return rounded(_log(_long(sc.shadow_levered(s.join(r, "lock_date", "left"), 1.5, 0.004), "k"), "levered").select("k", "lock_date", "levered"), 5)
 
 
 def signals(spark, d):
     p = panel(spark, d)
-    return p.where("open is not null").withColumn("signal", ts.sma_cross(5, 20)).select(F.col("symbol").alias("run_id"), F.col("idx").cast("long").alias("idx"), "dt", "open", "close", "signal")
+    return p.withColumn("signal", ts.sma_cross(5, 20)).where("open is not null").select(F.col("symbol").alias("run_id"), F.col("idx").cast("long").alias("idx"), "dt", "open", "close", "signal")
 
 
 def q_signal_free(spark, d):
-    return rounded(sc.signal_curve_free(signals(spark, d)).select("run_id", "dt", "equity"), 3)
+    return rounded(_log(sc.signal_curve_free(signals(spark, d)).select("run_id", "dt", "equity"), "equity"), 5)
 
 
 def q_signal_cost(spark, d):
-    return rounded(sc.signal_curve(signals(spark, d), 5.0, 0.02).select("run_id", "dt", "equity"), 3)
+    return rounded(_log(sc.signal_curve(signals(spark, d), 5.0, 0.02).select("run_id", "dt", "equity"), "equity"), 5)
 
 
 def q_stops(spark, d):
@@ -226,11 +231,11 @@ def q_posture(spark, d):
 
 
 def q_two_leg(spark, d):
-    return rounded(sc.two_leg_mix(legs(spark, d), 0.6, 10.0), 3)
+    return rounded(_log(sc.two_leg_mix(legs(spark, d), 0.6, 10.0), "equity"), 5)
 
 
 def q_constant(spark, d):
-    return rounded(sc.constant_mix(legs(spark, d)), 3)
+    return rounded(_log(sc.constant_mix(legs(spark, d)), "equity"), 5)
 
 
 def q_lever(spark, d):
@@ -296,15 +301,15 @@ m AS (SELECT run_id, name, {_M} FROM cu GROUP BY 1, 2) SELECT run_id, name, {_r(
     "M13_distribution": f"{CRET}, m AS (SELECT right(run_id, 1) AS grp, run_id, min(dd) AS v FROM cr GROUP BY 1, 2) SELECT grp, round(quantile_cont(v, 0.5), 5) + 0.0 AS median, round(min(v), 5) + 0.0 AS least, round(max(v), 5) + 0.0 AS most, round(max(v) - min(v), 5) + 0.0 AS spread FROM m GROUP BY 1",
     "T22_drawdown": f"{CRET} SELECT run_id, dt, round(dd, 6) + 0.0 AS drawdown FROM cr",
     "Q15_rebased": f"{CURVES} SELECT run_id, dt, round(equity / first_value(equity) OVER (PARTITION BY run_id ORDER BY dt) * 10000, 4) + 0.0 AS equity FROM curves WHERE dt BETWEEN DATE '1997-01-01' AND DATE '1998-12-31'",
-    "P1_score_locks": f"{LOCKS} SELECT 'mom' AS book, lock_date, until, k, {_r(['seg_ret', 'turnover', 'value', 'cum_cost'], 5)} FROM scored",
+    "P1_score_locks": f"{LOCKS} SELECT 'mom' AS book, lock_date, until, k, {_r(['seg_ret', 'turnover', 'cum_cost'], 5)}, round(log10(value), 5) + 0.0 AS value FROM scored",
     "P2_daily_curve": f"""{LOCKS}, ins AS (SELECT s.k, p.dt, sum(l.w * p.px / l.price) + 1 - any_value(sw) AS f FROM locks l JOIN segs s USING (lock_date) JOIN (SELECT lock_date, sum(w) AS sw FROM locks GROUP BY 1) USING (lock_date) JOIN prices p ON p.symbol = l.symbol AND p.dt > s.lock_date AND p.dt <= s.until GROUP BY 1, 2),
-e AS (SELECT k, arg_max(f, dt) AS g FROM ins GROUP BY 1), b AS (SELECT k, coalesce(exp(sum(ln(g)) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), 1) AS b FROM e) SELECT 'mom' AS book, dt, round(10000 * b * f, 4) + 0.0 AS equity FROM ins JOIN b USING (k)""",
+e AS (SELECT k, arg_max(f, dt) AS g FROM ins GROUP BY 1), b AS (SELECT k, coalesce(exp(sum(ln(g)) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), 1) AS b FROM e) SELECT 'mom' AS book, dt, round(log10(10000 * b * f), 5) + 0.0 AS equity FROM ins JOIN b USING (k)""",
     "P3_mark_positions": f"{LOCKS}, n AS (SELECT symbol, arg_max(px, dt) AS now FROM prices GROUP BY 1) SELECT book, symbol, CAST(w AS DOUBLE) AS w, round(price, 4) + 0.0 AS entry, round(now, 4) + 0.0 AS now, round(100 * (now / price - 1), 4) + 0.0 AS ret_pct, round(w * 10000 * (now / price - 1), 4) + 0.0 AS pnl FROM locks LEFT JOIN n USING (symbol) WHERE lock_date = (SELECT max(lock_date) FROM locks)",
     "P4_sector_weights": f"{LOCKS}, x AS (SELECT book, CASE WHEN symbol = 'Brand#9' THEN 'Other' ELSE right(symbol, 1) END AS sector, sum(w) AS w FROM locks WHERE lock_date = (SELECT max(lock_date) FROM locks) GROUP BY 1, 2) SELECT book, sector, round(100 * w / sum(w) OVER (PARTITION BY book), 4) + 0.0 AS pct FROM x",
-    "P6_shadow_levered": f"{LOCKS}, {dt.RATES_SQL} SELECT k, lock_date, round(exp(sum(ln(1 + 1.5 * seg_ret - 0.5 * (coalesce(rf, 0) + 0.004) * (until - lock_date) / 365.25)) OVER (ORDER BY k)), 5) + 0.0 AS levered FROM scored LEFT JOIN rates ON rates.dt = lock_date",
+    "P6_shadow_levered": f"{LOCKS}, {dt.RATES_SQL} SELECT k, lock_date, round(sum(log10(1 + 1.5 * seg_ret - 0.5 * (coalesce(rf, 0) + 0.004) * (until - lock_date) / 365.25)) OVER (ORDER BY k), 5) + 0.0 AS levered FROM scored LEFT JOIN rates ON rates.dt = lock_date",
     "P7_signal_curve_free": f"""{PANEL}, s AS (SELECT symbol AS run_id, idx, dt, open, close, CASE WHEN ({roll('avg', 'px', 5)}) > ({roll('avg', 'px', 20)}) THEN 1.0 ELSE 0.0 END AS signal FROM panel), t AS (SELECT * FROM s WHERE open IS NOT NULL),
 x AS (SELECT *, coalesce(lag(signal) OVER w, 0) AS wt, lead(open) OVER w AS o1 FROM t WINDOW w AS (PARTITION BY run_id ORDER BY idx)),
-y AS (SELECT *, coalesce(exp(sum(ln(1 + wt * (o1 / open - 1))) OVER (PARTITION BY run_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), 1) AS g FROM x) SELECT run_id, dt, round(10000 * g * (1 + wt * (close / open - 1)), 3) + 0.0 AS equity FROM y""",
+y AS (SELECT *, coalesce(exp(sum(ln(1 + wt * (o1 / open - 1))) OVER (PARTITION BY run_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), 1) AS g FROM x) SELECT run_id, dt, round(log10(10000 * g * (1 + wt * (close / open - 1))), 5) + 0.0 AS equity FROM y""",
     "P9_stop_exits": f"{LOCKS}, n AS (SELECT lock_date, lead(lock_date) OVER (ORDER BY lock_date) AS until FROM (SELECT DISTINCT lock_date FROM locks)) SELECT book AS run_id, l.symbol, l.lock_date AS start, min(p.dt) AS exit_dt FROM locks l JOIN n USING (lock_date) JOIN prices p ON p.symbol = l.symbol AND p.dt >= l.lock_date AND p.dt < n.until WHERE p.px <= l.price * 0.8 GROUP BY 1, 2, 3",
     "W4_trend_weights": f"{TREND} SELECT run_id, mark, symbol, {r6('w')} AS w FROM vt",
     "W6_dual_momentum": f"{TREND}, t AS (SELECT *, row_number() OVER (PARTITION BY run_id, mark ORDER BY strength DESC, symbol) AS p FROM sig WHERE strength > 0), u AS (SELECT *, strength / vol AS w0 FROM t WHERE p <= 3) SELECT run_id, mark, symbol, round(w0 / sum(abs(w0)) OVER (PARTITION BY run_id, mark), 6) + 0.0 AS w FROM u",
@@ -323,8 +328,8 @@ SELECT symbol, {_r(['target', 'shares', 'cost'], 2)} FROM (SELECT * FROM o UNION
     "P10_two_leg_mix": f"""{LEGS}, x AS (SELECT *, date_trunc('month', dt) AS mo, exp(sum(ln(1 + ra)) OVER (PARTITION BY date_trunc('month', dt) ORDER BY dt)) AS a, exp(sum(ln(1 + rb)) OVER (PARTITION BY date_trunc('month', dt) ORDER BY dt)) AS b FROM legs),
 e AS (SELECT mo, arg_max(a, dt) AS ea, arg_max(b, dt) AS eb FROM x GROUP BY 1), f AS (SELECT *, 0.6 * ea + 0.4 * eb AS tot, lag(0.6 * ea / (0.6 * ea + 0.4 * eb)) OVER (ORDER BY mo) AS drift FROM e),
 g AS (SELECT *, CASE WHEN drift IS NULL THEN 1.0 ELSE 2 * abs(0.6 - drift) END AS turn FROM f), h AS (SELECT *, coalesce(exp(sum(ln(tot * (1 - turn * 0.001))) OVER (ORDER BY mo ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), 1) AS st FROM g)
-SELECT dt, round(10000 * st * (1 - turn * 0.001) * (0.6 * a + 0.4 * b), 3) + 0.0 AS equity FROM x JOIN h USING (mo)""",
-    "P12_constant_mix": f"{LEGS}, v AS (SELECT (1 / stddev_samp(ra)) / (1 / stddev_samp(ra) + 1 / stddev_samp(rb)) AS w FROM legs) SELECT dt, round(10000 * exp(sum(ln(1 + w * ra + (1 - w) * rb)) OVER (ORDER BY dt)), 3) + 0.0 AS equity FROM legs, v",
+SELECT dt, round(log10(10000 * st * (1 - turn * 0.001) * (0.6 * a + 0.4 * b)), 5) + 0.0 AS equity FROM x JOIN h USING (mo)""",
+    "P12_constant_mix": f"{LEGS}, v AS (SELECT (1 / stddev_samp(ra)) / (1 / stddev_samp(ra) + 1 / stddev_samp(rb)) AS w FROM legs) SELECT dt, round(4 + sum(log10(1 + w * ra + (1 - w) * rb)) OVER (ORDER BY dt), 5) + 0.0 AS equity FROM legs, v",
     "P13_lever_to_vol": f"{LEGS}, v AS (SELECT stddev_samp(ra) / stddev_samp(rb) AS l, avg(rb) AS m FROM legs) SELECT {r6('l')} AS leverage, round(l * m - (l - 1) * 0.024 / 252, 6) + 0.0 AS mean_levered FROM v",
     "P14_tranche": f"{CURVES} SELECT dt, round(avg(equity), 3) + 0.0 AS equity FROM curves GROUP BY 1 HAVING count(*) = (SELECT count(DISTINCT run_id) FROM curves)",
     "P15_equal_capital": f"{CURVES} SELECT dt, round(10000 * avg(e), 3) + 0.0 AS equity FROM (SELECT dt, equity / first_value(equity) OVER (PARTITION BY run_id ORDER BY dt) AS e FROM curves) GROUP BY 1",
