@@ -91,20 +91,14 @@ def signal_curve(signals: DataFrame, cost_bps: float, cash: float = 0.0, initial
         pdf = pdf.sort_values("idx")
         o, c, sig = (pdf[k].to_numpy(dtype=float) for k in ("open", "close", "signal"))
         fee, grow = cost_bps / 1e4, 1 + cash / 252
-        out, equity, weight = [], initial, 0.0  # equity at the open, weight after yesterday's fill
+        out, money, units = [], initial, 0.0
         for i in range(len(pdf)):
+            money *= grow
             if i:
-                stock = equity * weight * o[i] / o[i - 1]
-                money = (equity * (1 - weight) - fee * turn * equity) * grow
-                equity = stock + money
-                now = stock / equity
-                new = sig[i - 1]
-            else:
-                now, new = 0.0, 0.0
-            turn = abs(new - now)
-            weight = new
-            money = (equity * (1 - weight) - fee * turn * equity)
-            out.append(equity * weight * c[i] / o[i] + money * (grow if i == 0 else 1.0))
+                want = (money + units * o[i]) * sig[i - 1] / o[i]
+                money -= (want - units) * o[i] + abs(want - units) * o[i] * fee
+                units = want
+            out.append(money + units * c[i])
         return pdf[["run_id", "idx", "dt"]].assign(equity=out)
 
     return signals.groupBy("run_id").applyInPandas(fold, "run_id string, idx long, dt date, equity double")
