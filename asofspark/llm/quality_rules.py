@@ -6,7 +6,7 @@ group's statistic vectors that lies most closely together.  A text whose Mahalan
 distance from it is too large is rejected.
 
 The estimate is a deterministic FAST-MCD: it starts from coordinate-wise medians and
-median deviations, and repeats concentration steps.  A step is two grouped aggregates
+quartile ranges, and repeats concentration steps.  A step is two grouped aggregates
 over all rows (the quantile of the distances, then the moments of the rows below it),
 so any group, however large, is reduced by partial aggregation and never gathered.
 """
@@ -18,7 +18,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from asofspark.llm.stats import text_counts
@@ -29,6 +29,8 @@ MAX_REPEAT_PERCENT = 30
 #: Share of a group's rows that an estimate is made of.
 CORE = 0.75
 STEPS = 3
+#: Keys that a group's rows are dealt over, and bins of distances for each factor e.
+SALTS, BINS_A_UNIT = 32, 64
 #: Groups with fewer rows are estimated together with the other small ones of their language, then with those of all.
 MIN_ROWS = 200
 #: Spread that a coordinate has at least (coordinates that are 0 for nearly all texts have no spread of their own).
@@ -74,7 +76,7 @@ def _grouped(x: DataFrame, lang: str, source: str) -> DataFrame:
     names = own.join(rest, "_l", "left").select(
         "_l", "_s", F.coalesce("_g", F.when(F.col("_ln") >= MIN_ROWS, F.to_json(F.struct("_l"))), F.lit("{}")).alias("grp")
     )
-    return x.withColumns({"_l": tag(lang), "_s": tag(source)}).join(names, ["_l", "_s"], "left").drop("_l", "_s")
+    return _dealt_join(x.withColumns({"_l": tag(lang), "_s": tag(source)}), names, ["_l", "_s"]).drop("_l", "_s")
 
 
 def _inverses(moments: DataFrame, floor: float) -> DataFrame:
@@ -104,30 +106,43 @@ def _distance() -> Column:
 
 
 def _moments(x: DataFrame) -> DataFrame:
+    """Sums of each group, first within its salts."""
     sums = [F.sum(z).alias(f"s{i}") for i, z in enumerate(NAMES)]
     squares = [F.sum(F.col(NAMES[i]) * F.col(NAMES[j])).alias(f"q{i}_{j}") for i, j in _PAIRS]
-    return x.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), *sums, *squares)
+    parts = x.groupBy("grp", "salt").agg(F.count(F.lit(1)).alias("n"), *sums, *squares)
+    return parts.groupBy("grp").agg(*[F.sum(c).alias(c) for c in parts.columns[2:]])
+
+
+def _dealt_join(x: DataFrame, small: DataFrame, keys: list[str]) -> DataFrame:
+    """Left join of rows to their group's row; a group is dealt over SALTS keys, as one may hold most of the rows."""
+    return x.join(small.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [*keys, "salt"], "left")
+
+
+def _with_params(x: DataFrame, params: DataFrame) -> DataFrame:
+    return _dealt_join(x, params, ["grp"])
 
 
 def _start(x: DataFrame) -> DataFrame:
-    """Medians and median absolute deviations as a diagonal first estimate."""
-    mid = x.groupBy("grp").agg(*[F.percentile_approx(z, 0.5, 1000).alias(f"m{i}") for i, z in enumerate(NAMES)])
-    off = x.join(mid, "grp").groupBy("grp").agg(
-        *[F.percentile_approx(F.abs(F.col(z) - F.col(f"m{i}")), 0.5, 1000).alias(f"d{i}") for i, z in enumerate(NAMES)]
-    )
-    spread = [F.pow(F.col(f"d{i}") * 1.4826, 2) + FLOOR**2 for i in range(P)]
-    return mid.join(off, "grp").select(
-        "grp", *[f"m{i}" for i in range(P)], *[(1.0 / spread[i] if i == j else F.lit(0.0)).alias(f"v{i}_{j}") for i, j in _PAIRS]
-    )
+    """Medians and quartile ranges as a diagonal first estimate."""
+    mid = x.groupBy("grp").agg(*[F.percentile_approx(z, [0.25, 0.5, 0.75], 1000).alias(f"t{i}") for i, z in enumerate(NAMES)])
+    spread = [F.pow((F.col(f"t{i}")[2] - F.col(f"t{i}")[0]) / 1.349, 2) + FLOOR**2 for i in range(P)]
+    return mid.select("grp", *[F.col(f"t{i}")[1].alias(f"m{i}") for i in range(P)], *[(1.0 / spread[i] if i == j else F.lit(0.0)).alias(f"v{i}_{j}") for i, j in _PAIRS])
+
+
+def _edges(near: DataFrame) -> DataFrame:
+    """Squared distance below which CORE of a group lies, from counts in bins of equal ratio (a fixed number of them)."""
+    bins = near.select("grp", F.floor(F.log(F.greatest(F.least("d2", F.lit(1e9)), F.lit(1e-6))) * BINS_A_UNIT).alias("bin")).groupBy("grp", "bin").agg(F.count(F.lit(1)).alias("n"))
+    w = Window.partitionBy("grp")
+    passed = bins.withColumns({"upto": F.sum("n").over(w.orderBy("bin")), "all": F.sum("n").over(w)}).where(F.col("upto") >= CORE * F.col("all"))
+    return passed.groupBy("grp").agg(F.exp((F.min("bin") + 1) / BINS_A_UNIT).alias("edge"))
 
 
 def estimates(x: DataFrame, steps: int = STEPS) -> DataFrame:
     """Robust mean and inverse covariance (m*, v*) of each ``grp`` of the vectors z*."""
     params = stored(_start(x))
     for _ in range(steps):
-        near = x.join(params, "grp").withColumn("d2", _distance())
-        edge = near.groupBy("grp").agg(F.percentile_approx("d2", CORE, 1000).alias("edge"))
-        inside = x.join(params.join(edge, "grp"), "grp").where(_distance() <= F.col("edge"))
+        edge = stored(_edges(_with_params(x, params).withColumn("d2", _distance())))
+        inside = _with_params(x, params.join(edge, "grp")).where(_distance() <= F.col("edge"))
         params = stored(_inverses(_moments(inside), FLOOR))
     return params
 
@@ -142,11 +157,12 @@ def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang", sourc
     """
     counts = text_counts(docs, text, keep=("doc_id", lang, source))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    x = stored(counts.withColumn("base_failed", failed).withColumns(dict(zip(NAMES, vectors(), strict=True))))
-    x = stored(_grouped(x, lang, source).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "grp", *NAMES))
-    params = estimates(x.where("not base_failed").select("grp", *NAMES))
+    salt = F.pmod(F.xxhash64("doc_id", "n_words", "word_chars", "n_chars"), F.lit(SALTS)).cast("int")
+    x = stored(counts.withColumns({"base_failed": failed, "salt": salt}).withColumns(dict(zip(NAMES, vectors(), strict=True))))
+    x = stored(_grouped(x, lang, source).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "grp", "salt", *NAMES))
+    params = estimates(x.where("not base_failed").select("grp", "salt", *NAMES))
     distance = F.when(~F.col("base_failed"), _distance())
-    judged = x.join(params, "grp", "left").withColumn("distance", distance)
+    judged = _with_params(x, params).withColumn("distance", distance)
     return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         F.round("distance", 6).alias("distance"),
