@@ -18,7 +18,8 @@ def bars(spark: SparkSession, sf_dir: str, symbol: str = "p_brand", unit: str =
     """symbol, dt, open, high, low, close, volume from the unit prices of order lines."""
     lines = table(spark, sf_dir, "lineitem").select("l_partkey", "l_shipdate", "l_orderkey", "l_linenumber", "l_quantity", (F.col("l_extendedprice") / F.col("l_quantity")).alias("px"))
     parts = table(spark, sf_dir, "part").select("p_partkey", F.col(symbol).alias("symbol"))
-    order = F.struct("l_shipdate", "l_orderkey", "l_linenumber")
+    # (day, order, line) as one number, so that the aggregate keeps to fixed-width buffers: lines have 3 bits, orders 40.
+    order = F.expr("unix_date(cast(l_shipdate as date)) * 8796093022208 + l_orderkey * 8 + l_linenumber")
     return (
         lines.join(parts, F.col("l_partkey") == F.col("p_partkey"))
         .groupBy("symbol", F.date_trunc(unit, "l_shipdate").cast("date").alias("dt"))
