@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from asofspark.plans import checks, fundamentals, portfolio, research, timeseries
+from asofspark.plans import books, checks, fundamentals, portfolio, research, timeseries
 
-_MODULES = [fundamentals, timeseries, portfolio, research, checks]
+_MODULES = [fundamentals, timeseries, portfolio, research, checks, books]
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 SQL = {name: sql for m in _MODULES for name, sql in m.SQL.items()}
