@@ -34,7 +34,7 @@ def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_levered(spark, d):
     x = panel(spark, d).where("ret is not null").join(dt.rates(spark, d), "dt")
     r, rf = F.col("ret"), F.col("rf")
-    return rounded(x.select("symbol", "dt", bk.letf_return(r, rf, 3.0).alias("letf"), bk.levered_return(r, rf, 1.5, 0.004).alias("levered"), bk.stacked_return(r, 0.5 * r, rf, 0.6, 0.004).alias("stacked"), bk.trade_cost(F.col("volume"), F.col("px"), 7.77).alias("cost")))
+    return rounded(x.select("symbol", "dt", bk.letf_return(r, rf, 3.0).alias("letf"), bk.levered_return(r, rf, 1.5, 0.004).alias("levered"), bk.stacked_return(r, 0.5 * r, rf, 0.6, 0.004).alias("stacked"), bk.trade_cost(F.col("volume"), F.col("ret"), 10.0).alias("cost")))
 
 
 def q_market_cap(spark, d):
@@ -138,7 +138,7 @@ QUERIES = {
 }
 _G = f"{GRID}, gy AS (SELECT split_part(run_id, '|', 1) AS symbol, split_part(run_id, '|', 2) AS run_id, idx, x FROM gx)"
 SQL = {
-    "F14_F16_levered": f"{PANEL}, {dt.RATES_SQL} SELECT symbol, dt, round(3.0 * ret - 2.0 * (rf + 0.004) / 252 - 0.0095 / 252, 6) + 0.0 AS letf, round(1.5 * ret - 0.5 * (rf + 0.004) / 252, 6) + 0.0 AS levered, round(ret + 0.6 * (0.5 * ret) - 0.6 * (rf + 0.004) / 252, 6) + 0.0 AS stacked, round(volume * px * 7.77 / 1e4, 6) + 0.0 AS cost FROM rets JOIN rates USING (dt) WHERE ret IS NOT NULL",
+    "F14_F16_levered": f"{PANEL}, {dt.RATES_SQL} SELECT symbol, dt, round(3.0 * ret - 2.0 * (rf + 0.004) / 252 - 0.0095 / 252, 6) + 0.0 AS letf, round(1.5 * ret - 0.5 * (rf + 0.004) / 252, 6) + 0.0 AS levered, round(ret + 0.6 * (0.5 * ret) - 0.6 * (rf + 0.004) / 252, 6) + 0.0 AS stacked, round(abs(volume) * ret * 10 / 1e4, 6) + 0.0 AS cost FROM rets JOIN rates USING (dt) WHERE ret IS NOT NULL",
     "A10_market_cap": f"WITH {dt.statements_sql()}, {dt.ASOFS_SQL}, {dt.PRICES_ASOF_SQL}, p AS (SELECT ticker, arg_max(price, as_of) AS c FROM prices_asof GROUP BY 1), s AS (SELECT ticker, arg_max(shares, report_date) AS n FROM statements GROUP BY 1) SELECT ticker, round(c * n, 2) + 0.0 AS market_cap FROM p JOIN s USING (ticker)",
     "A15_entry_prices": f"{LOCKS}, l AS (SELECT lock_date + 3 AS lock_date, symbol, price FROM locks), f AS (SELECT l.lock_date, l.symbol, l.price, arg_min(px, dt) AS p FROM l LEFT JOIN prices p ON p.symbol = l.symbol AND p.symbol <> 'Brand#20' AND dt >= l.lock_date GROUP BY 1, 2, 3) SELECT lock_date, symbol, round(coalesce(p, price), 8) + 0.0 AS entry FROM f",
     "W5_carry_weights": f"""{PANEL}, {dt.DIVIDENDS_SQL}, d AS (SELECT symbol, dt, lag(dt) OVER (PARTITION BY symbol ORDER BY dt) AS before FROM bars),
