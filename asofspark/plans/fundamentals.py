@@ -95,11 +95,11 @@ shorts AS (SELECT *, (leg_value IS NOT NULL)::INT + (leg_z IS NOT NULL)::INT + (
 
 def q_statements_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranked = pit.statements_asof(dt.statements(spark, sf_dir), dt.asofs(spark))
-    return rounded(ranked.select("ticker", "as_of", "age", "report_date", "publish_date", "revenue", "total_assets"), 2)
+    return rounded(ranked.select("ticker", "as_of", F.col("age").cast("long").alias("age"), "report_date", "publish_date", "revenue", "total_assets"), 2)
 
 
 def q_statements_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(pit.statements_latest(dt.statements(spark, sf_dir)).select("ticker", "age", "report_date", "revenue"), 2)
+    return rounded(pit.statements_latest(dt.statements(spark, sf_dir)).select("ticker", F.col("age").cast("long").alias("age"), "report_date", "revenue"), 2)
 
 
 def q_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
