@@ -25,10 +25,12 @@ from asofspark.llm import grid
 from asofspark.llm.storage import stored
 
 DEPTH = 5
-#: Blocks that rows which come from no file are dealt into, by a hash of the row.
-LOOSE_BLOCKS = 64
+#: Rows of a block where they come from no file; there a row's block is a hash of it.
+BLOCK_ROWS = 4096
 #: Grams that are weighted at once (groups are kept whole).
 CHUNK = 20_000
+#: Keys that a task gathers before it merges equal ones.
+MERGE_KEYS = 1_000_000
 SMOOTH = 0.1
 _END_WORD = np.uint64(2**64 - 1)
 _WORD_BIT = np.uint64(1 << 63)
@@ -43,7 +45,7 @@ def held_out(doc_id: Column) -> Column:
 def _blocked(docs: DataFrame, text: str) -> DataFrame:
     """doc_id, held_out, _text and the block of each row.  A block is the file split that the row
     is read in, or a hash of the row where there is no file: either is a function of the row alone."""
-    loose = F.pmod(F.xxhash64("doc_id", F.col(text)), F.lit(LOOSE_BLOCKS))
+    loose = F.pmod(F.xxhash64("doc_id", F.col(text)), F.lit(docs.count() // BLOCK_ROWS + 1))
     split = F.pmod(F.xxhash64(F.input_file_name(), F.input_file_block_start()), F.lit(2**31 - 1))
     block = F.when(F.input_file_name() == "", loose).otherwise(split)
     return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col(text).alias("_text"), block.cast("int").alias("block"))
@@ -128,7 +130,7 @@ def _asked(rows: DataFrame) -> DataFrame:
                 for keys, off in (gram_keys(t), word_keys(t)):
                     parts.append(_distinct(keys, np.repeat(learned, np.diff(off))))
                     held += len(parts[-1][0])
-                if held > 3_000_000:
+                if held > MERGE_KEYS:
                     parts = [merged()]
                     held = len(parts[0][0]) // 2
         if parts:
