@@ -116,7 +116,7 @@ def q_daily_wide(spark, d):
 
 def q_offsets(spark, d):
     """All 26 offsets of the trend sleeve in one job: volatility of each run's rebalance growth, and their spread."""
-    p = panel(spark, d).where(F.col("symbol") <= "Brand#15")
+    p = panel(spark, d)
     x = ts.trend_strength(p, (13, 26, 52)).withColumn("vol", ts.rolling_vol(26, 52))
     runs = spark.range(26).select(F.concat(F.lit("o"), F.col("id")).alias("run_id"), F.col("id").alias("offset"))
     s = x.join(F.broadcast(runs), (F.col("idx") % 26 == F.col("offset")) & (F.col("idx") >= 104)).select("run_id", F.col("idx").cast("long").alias("mark"), "symbol", "strength", "vol")

@@ -42,9 +42,12 @@ def legs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one("Brand#1", "ra").join(one("Brand#2", "rb"), "dt")
 
 
-def trend(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Signals (run_id, mark, symbol, strength, vol) at cycle rows of two offsets, and the covariances there."""
-    p = panel(spark, sf_dir).where(F.col("symbol") <= "Brand#15")
+def trend(spark: SparkSession, sf_dir: str, whole: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Signals (run_id, mark, symbol, strength, vol) at cycle rows of two offsets, and the covariances there.
+
+    Of the ``whole`` panel, else of the seven symbols that the SQL takes.
+    """
+    p = panel(spark, sf_dir).where(F.lit(whole) | (F.col("symbol") <= "Brand#15"))
     x = ts.trend_strength(p, LOOKS).withColumn("vol", ts.rolling_vol(26, 52))
     runs = spark.createDataFrame([("o0", 0), ("o7", 7)], "run_id string, offset int")
     at = x.join(F.broadcast(runs), (F.col("idx") % 26 == F.col("offset")) & (F.col("idx") >= 104))
@@ -177,7 +180,7 @@ def q_dual_momentum(spark, d):
 
 
 def q_hrp(spark, d):
-    _, cov = trend(spark, d)
+    _, cov = trend(spark, d, whole=True)
     return rounded(_long(wt.hrp_weights(cov.select("mark", "a", "b", "cov")), "mark"))
 
 
@@ -262,7 +265,7 @@ def q_gap(spark, d):
 
 
 def q_schedule(spark, d):
-    sig, cov = trend(spark, d)
+    sig, cov = trend(spark, d, whole=True)
     w = wt.vol_target(wt.inverse_vol_weights(sig), cov, 0.3).select("run_id", F.col("mark").cast("long").alias("mark"), "symbol", "w")
     return sc.schedule_curve(w, panel(spark, d).select("symbol", F.col("idx").cast("long").alias("idx"), "px"), 10.0)
 

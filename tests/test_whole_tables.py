@@ -5,7 +5,8 @@ import random
 
 import pytest
 
-from asofspark.plans import checks
+from asofspark.operators import scoring
+from asofspark.plans import books, checks, portfolio
 
 
 @pytest.fixture(scope="module")
@@ -47,3 +48,33 @@ def test_lots_of_every_account(spark, orders):
         assert sum(r["gain"] for r in got if r["kind"] == "realized" and (r["account"], r["ticker"]) == key) == pytest.approx(want, abs=0.01)
     report = checks.q_lots_report(spark, path).collect()
     assert {(r["account"], r["ticker"], r["bought"]) for r in report} == {x[:3] for x in open_lots}
+
+
+SYMBOLS = [f"Brand#{k}" for k in range(11, 18)]
+
+
+@pytest.fixture(scope="module")
+def prices(spark, tmp_path_factory):
+    """Weekly prices of seven symbols, two of them beyond Brand#15."""
+    path, rng = str(tmp_path_factory.mktemp("prices")), random.Random(6)
+    px, lines = dict.fromkeys(range(7), 100.0), []
+    for week in range(140):
+        for k in range(7):
+            px[k] *= 1 + rng.uniform(-0.05, 0.06)
+            lines.append((week, k + 1, k, 1.0, px[k], datetime.datetime(1995, 1, 2) + datetime.timedelta(days=7 * week)))
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_quantity double, l_extendedprice double, l_shipdate timestamp").write.parquet(f"{path}/lineitem.parquet")
+    spark.createDataFrame(list(enumerate(SYMBOLS)), "p_partkey long, p_brand string").write.parquet(f"{path}/part.parquet")
+    return path
+
+
+def test_weights_of_every_symbol(spark, prices, monkeypatch):
+    rows = portfolio.q_hrp(spark, prices).collect()
+    marks = {r["mark"] for r in rows}
+    assert marks and {(r["mark"], r["symbol"]) for r in rows} == {(m, s) for m in marks for s in SYMBOLS}
+    assert all(abs(sum(r["w"] for r in rows if r["mark"] == m) - 1) < 1e-4 for m in marks)
+    taken = []
+    curve = scoring.schedule_curve
+    monkeypatch.setattr(scoring, "schedule_curve", lambda w, *rest: taken.append(w) or curve(w, *rest))
+    for query in (portfolio.q_schedule_curve, portfolio.q_turnover, books.q_offsets):
+        assert query(spark, prices).count() > 0
+        assert {r["symbol"] for r in taken[-1].collect()} == set(SYMBOLS)
