@@ -76,7 +76,7 @@ def gram_keys(t: grid.Texts) -> tuple[np.ndarray, np.ndarray]:
 def word_keys(t: grid.Texts) -> tuple[np.ndarray, np.ndarray]:
     """Key of each word, and of the end after a text's words; and their offsets."""
     starts, ends, off = t.words()
-    hashes = t.hash_spans(t.prefix(), starts, ends) | _WORD_BIT
+    hashes = t.hash_spans(starts, ends) | _WORD_BIT
     whole = off + np.arange(t.n + 1)
     out = np.full(whole[-1], _END_WORD, dtype=np.uint64)
     inside = np.ones(whole[-1], dtype=bool)

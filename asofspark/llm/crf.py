@@ -106,7 +106,7 @@ def _cue_table() -> tuple[np.ndarray, np.ndarray]:
     import pyarrow as pa
 
     t = grid.Texts(pa.array([w for w, _ in words]))
-    keys = t.hash_spans(t.prefix(), t.off[:-1], t.off[1:])
+    keys = t.hash_spans(t.off[:-1], t.off[1:])
     order = np.argsort(keys)
     return keys[order], np.array([k for _, k in words])[order]
 
@@ -121,7 +121,7 @@ def shape_codes(t: grid.Texts, starts: np.ndarray, ends: np.ndarray, cues: tuple
     keys, kinds = cues
     cue = np.zeros(len(starts), dtype=np.int64)
     at = np.flatnonzero(size <= 10)
-    h = t.hash_spans(t.prefix(), starts[at], ends[at])
+    h = t.hash_spans(starts[at], ends[at])
     place = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
     met = keys[place] == h
     cue[at[met]] = kinds[place[met]]

@@ -52,7 +52,7 @@ def shingle_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all WIDTH-word shingles, and their offsets per text; shorter texts have none."""
     t = grid.Texts(column, fold=True)
     starts, ends, off = t.spans(WORD[t.buf])
-    return grid.windows(t.hash_spans(t.prefix(), starts, ends), off, WIDTH)
+    return grid.windows(t.hash_spans(starts, ends), off, WIDTH)
 
 
 def shingles(text: str | None) -> set[bytes]:

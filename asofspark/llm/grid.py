@@ -57,24 +57,29 @@ def _byte_codes() -> np.ndarray:
 
 
 @lru_cache(maxsize=2)
-def _powers_of(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, dtype=np.uint64)
+def _powers(base: int) -> np.ndarray:
+    """Powers of the base for the bytes of one slice; longer spans are hashed slice by slice."""
+    out = np.full(SLICE_BYTES + 1, base, dtype=np.uint64)
     out[0] = 1
     return np.multiply.accumulate(out)
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    return _powers_of(base, max(SLICE_BYTES * 2, 1 << (n - 1).bit_length()))[:n]
+_INVERSE = pow(_BASE, -1, 1 << 64)
 
 
-_INVERSE = pow(_BASE, -1, 1 << 64)
+def offsets(column: pa.Array) -> np.ndarray:
+    """Offsets of a string array's values in its data; strings with 32-bit and with 64-bit offsets are read."""
+    if not len(column):
+        return np.zeros(1, np.int64)
+    wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
+    return np.frombuffer(column.buffers()[1], dtype=np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1]
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
     """Cuts record batches so that each piece holds about SLICE_BYTES of ``column``."""
     for batch in batches:
         col = batch.column(batch.schema.get_field_index(column))
-        off = np.frombuffer(col.buffers()[1], dtype=np.int32)[col.offset : col.offset + len(col) + 1] if len(col) else np.zeros(1, np.int32)
+        off = offsets(col)
         at = 0
         while at < len(col):
             to = int(np.searchsorted(off, off[at] + SLICE_BYTES, "right")) - 1
@@ -91,16 +96,20 @@ class Texts:
         if column.null_count:
             column = column.fill_null("")
         if n:
-            _, offsets, data = column.buffers()
-            off = np.frombuffer(offsets, dtype=np.int32)[column.offset : column.offset + n + 1].astype(np.int64)
+            data = column.buffers()[2]
+            off = offsets(column).astype(np.int64)
             buf = np.frombuffer(data, dtype=np.uint8)[off[0] : off[-1]] if data is not None else np.zeros(0, np.uint8)
         else:
             off, buf = np.zeros(1, np.int64), np.zeros(0, np.uint8)
         self.n, self.off, self.buf = n, off - off[0], FOLD[buf] if fold else buf
 
     def sums(self, mask: np.ndarray) -> np.ndarray:
-        """Sum of a per-byte mask over each text."""
-        return span_sums(mask, self.off)
+        """Number of marked bytes of each text, without a long array of running totals."""
+        out = np.zeros(self.n, dtype=np.int64)
+        full = np.flatnonzero(np.diff(self.off))
+        if len(full):
+            out[full] = np.add.reduceat(mask.view(np.uint8), self.off[full], dtype=np.int64)
+        return out
 
     def spans(self, member: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Maximal runs of marked bytes inside texts: starts, ends, and the runs' offsets per text."""
@@ -124,17 +133,35 @@ class Texts:
         """Spans of ``[^\\x20\\x09-\\x0D]+``."""
         return self.spans(~SPACE[self.buf])
 
-    def prefix(self) -> np.ndarray:
-        """Prefix sums from which hash_spans takes the hash of any span."""
-        out = np.zeros(len(self.buf) + 1, dtype=np.uint64)
-        np.cumsum(_byte_codes()[self.buf] * _powers(_BASE, max(1, len(self.buf)))[: len(self.buf)], out=out[1:])
-        return out
-
-    @staticmethod
-    def hash_spans(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """64-bit hash of each span's bytes, the same wherever the span stands."""
-        back = _powers(_INVERSE, len(prefix))
-        return mixed((prefix[ends] - prefix[starts]) * back[starts] + (ends - starts).astype(np.uint64) * _ODD)
+    def hash_spans(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """64-bit hash of the bytes of each of the ordered, disjoint spans, the same wherever a span stands.
+
+        Running sums are kept for SLICE_BYTES at a time, so a very long text needs no more of them.
+        """
+        out = np.zeros(len(starts), dtype=np.uint64)
+        codes, powers, back = _byte_codes(), _powers(_BASE), _powers(_INVERSE)
+        total = np.zeros(SLICE_BYTES + 1, dtype=np.uint64)
+        i = 0
+        while i < len(starts):
+            begin = int(starts[i])
+            j = int(np.searchsorted(ends, begin + SLICE_BYTES, "right"))
+            if j <= i:  # one span longer than a slice
+                out[i] = self._long_hash(begin, int(ends[i]))
+                i += 1
+                continue
+            part = codes[self.buf[begin : ends[j - 1]]]
+            part *= powers[: len(part)]
+            np.cumsum(part, out=total[1 : len(part) + 1])
+            out[i:j] = (total[ends[i:j] - begin] - total[starts[i:j] - begin]) * back[starts[i:j] - begin]
+            i = j
+        return mixed(out + (ends - starts).astype(np.uint64) * _ODD)
+
+    def _long_hash(self, begin: int, end: int) -> int:
+        total = 0
+        for a in range(begin, end, SLICE_BYTES):
+            part = _byte_codes()[self.buf[a : min(a + SLICE_BYTES, end)]]
+            total += int((part * _powers(_BASE)[: len(part)]).sum()) * pow(_BASE, a - begin, 1 << 64)
+        return total & ((1 << 64) - 1)
 
 
 def span_sums(values: np.ndarray, off: np.ndarray) -> np.ndarray:

@@ -22,34 +22,55 @@ COUNTS = [
 _SYMBOL = grid.byte_set(SYMBOLS)
 _PUNCT = grid.byte_set(range(33, 48), range(58, 65), range(91, 97), range(123, 127)) & ~_SYMBOL
 _HIGH = grid.byte_set(range(192, 256))
-_DOC_BITS = np.uint64(52)
+_DOC_BITS, _LOW_BITS = np.uint64(52), np.uint64((1 << 52) - 1)
 
 
 def _repeated(keys: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Marks keys that a text holds more than once; and the number of distinct keys of each text."""
-    tagged = (keys >> np.uint64(12)) | (grid.owners(off).astype(np.uint64) << _DOC_BITS)
+    """Marks keys that a text holds more than once; and the number of distinct keys of each text.
+
+    Sorting 52 bits of a key beside its text's index is fast.  It is done with the upper and
+    with the lower bits; if any text's numbers of distinct keys differ, two keys have met
+    by chance and the whole 64 bits are sorted.
+    """
+    texts = grid.owners(off).astype(np.uint64) << _DOC_BITS
+    tagged, n = (keys >> np.uint64(12)) | texts, len(off) - 1
+
+    def distinct_of(ordered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        new = np.ones(len(ordered), dtype=bool)
+        new[1:] = ordered[1:] != ordered[:-1]
+        return new, np.bincount((ordered[new] >> _DOC_BITS).astype(np.int64), minlength=n)
+
     ordered = np.sort(tagged)
-    new = np.ones(len(ordered), dtype=bool)
-    new[1:] = ordered[1:] != ordered[:-1]
-    distinct = np.bincount((ordered[new] >> _DOC_BITS).astype(np.int64), minlength=len(off) - 1)
-    twice = np.unique_values(ordered[1:][~new[1:]]) if len(ordered) else ordered
-    twice = np.sort(twice)
+    new, distinct = distinct_of(ordered)
+    if (distinct != distinct_of(np.sort((keys & _LOW_BITS) | texts))[1]).any():
+        return _repeated_whole(keys, off)
     marked = np.zeros(len(keys), dtype=bool)
+    twice = ordered[1:][~new[1:]]
     if len(twice):
-        texts = np.zeros(len(off) - 1, dtype=bool)
-        texts[(twice >> _DOC_BITS).astype(np.int64)] = True
-        at = np.flatnonzero(np.repeat(texts, np.diff(off)))
+        held = np.zeros(n, dtype=bool)
+        held[(twice >> _DOC_BITS).astype(np.int64)] = True
+        at = np.flatnonzero(np.repeat(held, np.diff(off)))
         place = np.minimum(np.searchsorted(twice, tagged[at]), len(twice) - 1)
         marked[at] = twice[place] == tagged[at]
     return marked, distinct
 
 
+def _repeated_whole(keys: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    owner = grid.owners(off)
+    order = np.lexsort((keys, owner))
+    same = (keys[order][1:] == keys[order][:-1]) & (owner[order][1:] == owner[order][:-1])
+    marked = np.zeros(len(keys), dtype=bool)
+    marked[order[1:][same]] = marked[order[:-1][same]] = True
+    new = np.ones(len(keys), dtype=bool)
+    new[1:] = ~same
+    return marked, np.bincount(owner[order][new], minlength=len(off) - 1)
+
+
 def count_texts(column: pa.Array) -> dict[str, np.ndarray]:
     """COUNTS of each text of an Arrow string array."""
     t = grid.Texts(column)
     starts, ends, off = t.words()
-    prefix = t.prefix()
-    hashes = t.hash_spans(prefix, starts, ends)
+    hashes = t.hash_spans(starts, ends)
     lead = grid.LEAD[t.buf]
     out = {"n_words": np.diff(off), "n_chars": t.sums(lead), "word_chars": t.sums(lead & ~grid.SPACE[t.buf])}
     for name, table in (("n_symbols", _SYMBOL), ("n_upper", grid.UPPER), ("n_lower", grid.LOWER), ("n_high", _HIGH), ("n_digits", grid.DIGIT), ("n_punct", _PUNCT)):
@@ -58,7 +79,7 @@ def count_texts(column: pa.Array) -> dict[str, np.ndarray]:
     lines, line_ends, line_off = t.spans(t.buf != 10)
     worded = np.searchsorted(starts, lines) < np.searchsorted(starts, line_ends)
     kept = np.concatenate([[0], np.cumsum(worded)])[line_off]
-    _, distinct = _repeated(t.hash_spans(prefix, lines[worded], line_ends[worded]), kept)
+    _, distinct = _repeated(t.hash_spans(lines[worded], line_ends[worded]), kept)
     out["n_lines"] = np.diff(kept)
     out["n_dup_lines"] = out["n_lines"] - distinct
 

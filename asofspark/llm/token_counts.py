@@ -26,8 +26,6 @@ VOCABULARY = "byte_bpe_50k.json"
 LIMIT = 512
 #: Pre-tokens in a task's table at most; a full table is begun anew, which costs time only.
 TABLE_ROWS = 1_000_000
-_DOC = np.uint64(52)
-_KEY = np.uint64((1 << 52) - 1)
 
 
 def _byte_letters() -> dict[int, int]:
@@ -41,7 +39,7 @@ _LETTERS = _byte_letters()
 
 
 class PieceTable:
-    """Numbers of pieces of the pre-tokens met so far, by 52-bit hash."""
+    """Numbers of pieces of the pre-tokens met so far, by 64-bit hash and length."""
 
     def __init__(self, vocabulary: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -61,12 +59,12 @@ class PieceTable:
         self.clear()
 
     def clear(self) -> None:
-        self.keys, self.pieces = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.keys, self.sizes, self.pieces = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def join(self, keys: np.ndarray, spelled) -> np.ndarray:
-        """Pieces of each of the sorted distinct keys; ``spelled(i)`` gives the pre-token of keys[i]."""
+    def join(self, keys: np.ndarray, sizes: np.ndarray, spelled) -> np.ndarray:
+        """Pieces of each of the sorted distinct keys; ``spelled(i)`` gives the pre-token of keys[i], sizes[i] its bytes."""
         place = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
-        known = self.keys[place] == keys if len(self.keys) else np.zeros(len(keys), bool)
+        known = (self.keys[place] == keys) & (self.sizes[place] == sizes) if len(self.keys) else np.zeros(len(keys), bool)
         out = np.zeros(len(keys), np.int64)
         out[known] = self.pieces[place[known]]
         new = np.flatnonzero(~known)
@@ -75,7 +73,7 @@ class PieceTable:
         if len(self.keys) + len(new) > TABLE_ROWS:
             self.clear()
         at = np.searchsorted(self.keys, keys[new])
-        self.keys, self.pieces = np.insert(self.keys, at, keys[new]), np.insert(self.pieces, at, out[new])
+        self.keys, self.sizes, self.pieces = np.insert(self.keys, at, keys[new]), np.insert(self.sizes, at, sizes[new]), np.insert(self.pieces, at, out[new])
         return out
 
 
@@ -83,19 +81,20 @@ def count_tokens(column: pa.Array, table: PieceTable) -> tuple[np.ndarray, np.nd
     """UTF-8 bytes and tokens of each text."""
     t = grid.Texts(column)
     starts, ends, off = pretoken_spans(t, table.special)
-    keys = t.hash_spans(t.prefix(), starts, ends) >> np.uint64(12)
-    tagged = np.sort(keys | (grid.owners(off).astype(np.uint64) << _DOC))
-    first = np.flatnonzero(np.concatenate([[True], tagged[1:] != tagged[:-1]])) if len(tagged) else np.zeros(0, np.int64)
-    times = np.diff(np.append(first, len(tagged)))
-    pairs = tagged[first]
+    keys = t.hash_spans(starts, ends)
     order = np.argsort(keys, kind="stable")
-    ordered = keys[order]
-    new = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(keys) else np.zeros(0, np.int64)
-    distinct, at = ordered[new], order[new]
+    ordered, size = keys[order], (ends - starts)[order]
+    new = np.ones(len(keys), dtype=bool)
+    new[1:] = (ordered[1:] != ordered[:-1]) | (size[1:] != size[:-1])
+    at = order[new]
     data, start, end = t.buf.tobytes(), starts[at].tolist(), ends[at].tolist()
-    pieces = table.join(distinct, lambda i: data[start[i] : end[i]])
-    found = pieces[np.searchsorted(distinct, pairs & _KEY)]
-    total = np.bincount((pairs >> _DOC).astype(np.int64), times * found, t.n)[: t.n]
+    pieces = table.join(keys[at], ends[at] - starts[at], lambda i: data[start[i] : end[i]])
+    which = np.empty(len(keys), dtype=np.int64)
+    which[order] = np.cumsum(new) - 1
+    # The frequency of each distinct pre-token of a text, times its pieces.
+    pairs, times = np.unique(grid.owners(off) * max(1, len(at)) + which, return_counts=True)
+    owner, place = np.divmod(pairs, max(1, len(at)))
+    total = np.bincount(owner, times * pieces[place], t.n)[: t.n] if len(at) else np.zeros(t.n)
     return np.diff(t.off), total.astype(np.int64)
 
 

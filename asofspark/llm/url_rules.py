@@ -12,7 +12,7 @@ from __future__ import annotations
 from bisect import bisect_right
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,9 +25,9 @@ RULES = [
     ("org", "/es/", "block"),
 ]
 DEFAULT = "allow"
-#: Keys that range limits are taken from, and the URLs that a range should have (both only steer the balance).
-SAMPLE, RANGE_ROWS = 20_000, 5_000
-MAX_RANGES, MAX_PARTS = 512, 256
+#: Keys that range limits are taken from, ranges at most, and the URLs that a task should have (all only steer the balance:
+#: a range with more URLs gets more tasks, without an upper bound).
+SAMPLE, MAX_RANGES, TASK_ROWS = 20_000, 512, 100_000
 
 
 def lowered(c: Column) -> Column:
@@ -48,13 +48,13 @@ def host_key(host: Column) -> Column:
     return F.when(host == "", F.lit("")).otherwise(F.concat(F.concat_ws(".", F.reverse(F.split(host, r"\.", -1))), F.lit(".")))
 
 
-def _limits(keys: DataFrame, rows: int) -> tuple[list[str], list[int]]:
+def _limits(keys: DataFrame, rows: int, tasks: int) -> tuple[list[str], list[int]]:
     """Keys that split the URLs into ranges, and the parts that each range is dealt into.
 
     Both come from a sample chosen by a hash; any values give right results.  Limits lie
     between different keys, so a range with one very frequent key gets more parts.
     """
-    n = min(MAX_RANGES, rows // RANGE_ROWS + 1)
+    n = min(MAX_RANGES, tasks)
     if n < 2:
         return [], [1]
     share = min(1.0, SAMPLE / rows)
@@ -64,7 +64,7 @@ def _limits(keys: DataFrame, rows: int) -> tuple[list[str], list[int]]:
     held = [0] * (len(limits) + 1)
     for key in some:
         held[bisect_right(limits, key)] += 1
-    return limits, [min(MAX_PARTS, max(1, round(h * n / max(1, len(some))))) for h in held]
+    return limits, [max(1, round(h * tasks / max(1, len(some)))) for h in held]
 
 
 def _range_of(key: Column, limits: list[str]) -> Column:
@@ -79,13 +79,16 @@ def _range_of(key: Column, limits: list[str]) -> Column:
     return search(0, len(limits))
 
 
-def sweep(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Events of a range in order of (range, key, rules first): adds the rule and verdict to each URL."""
+def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Events of a range in order of (bucket, key, rules first): adds the rule and verdict to each URL.
+
+    The columns of URLs pass through as they are, so an id keeps its type and value.
+    """
     stack: list[tuple[str, str, dict[str, tuple[str, str]], list[int]]] = []  # start key, host, {path: (rule, verdict)}, path lengths
     current = None
-    for part in rows:
-        out = []
-        for bucket, key, is_url, page, host, path, verdict in zip(*(part[c] for c in ("bucket", "key", "is_url", "page_id", "host", "path", "verdict")), strict=True):
+    for batch in batches:
+        found: list[tuple[str, str] | None] = []
+        for bucket, key, is_url, host, path, verdict in zip(*(batch.column(c).to_pylist() for c in ("bucket", "key", "is_url", "host", "path", "verdict")), strict=True):
             if bucket != current:
                 stack, current = [], bucket
             while stack and not key.startswith(stack[-1][0]):
@@ -108,8 +111,11 @@ def sweep(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     if n <= len(path) and (met := known.get(path[:n])):
                         best = met
                         break
-            out.append((page, host, path, best[0] if best else None, best[1] if best else DEFAULT))
-        yield pd.DataFrame(out, columns=["page_id", "host", "path", "rule", "verdict"])
+            found.append(best)
+        urls = batch.filter(batch.column("is_url"))
+        kind = urls.schema.field("path").type
+        rule, verdict = pa.array([f and f[0] for f in found], kind), pa.array([f[1] if f else DEFAULT for f in found], kind)
+        yield pa.RecordBatch.from_arrays([urls.column("page_id"), urls.column("host"), urls.column("path"), rule, verdict], names=["page_id", "host", "path", "rule", "verdict"])
 
 
 def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url") -> DataFrame:
@@ -119,13 +125,18 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url") -> DataFram
     with the rule's; the one whose host and path are longest together wins, then the longer
     host.  Equal rules with different verdicts count as the lesser verdict (allow).  Rules
     of a null or empty host, or a null path, fit nothing.  A null URL, or one without
-    ``://``, has an empty host and path and the default verdict.  Extra columns are ignored.
+    ``://``, has an empty host and path and the default verdict.  A URL of any length is
+    judged whole.  Repeated rows give repeated results, a null page_id stays null, and ids of
+    any type come back unchanged.  An empty table gives an empty result; extra columns are ignored.
     """
     read = pages.select("page_id", F.col(url).alias("_url"))
     host, path = host_and_path(F.col("_url"))
     urls = read.select("page_id", F.coalesce(host, F.lit("")).alias("host"), F.coalesce(path, F.lit("")).alias("path"))
     urls = urls.withColumn("key", F.concat(host_key(F.col("host")), F.col("path")))
-    limits, parts = _limits(urls, urls.count())
+    rows = urls.count()
+    spark = pages.sparkSession
+    cores = min(spark.sparkContext.defaultParallelism, rows // 1_000)  # small tables still use all cores
+    limits, parts = _limits(urls, rows, max(1, cores, -(-rows // TASK_ROWS)))
     begin = [sum(parts[:k]) for k in range(len(parts) + 1)]
     begins = lambda r: F.element_at(F.array(*[F.lit(b) for b in begin]), r + 1)
     usable = rules.where("host <> '' and path is not null").select(lowered(F.col("host")).alias("host"), "path", "verdict").withColumn("key", host_key(F.col("host")))
@@ -134,11 +145,12 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url") -> DataFram
     last = _range_of(F.concat(F.expr("substring(key, 1, length(key) - 1)"), F.lit("/")), limits)
     spread = usable.select(F.explode(F.sequence(begins(first), begins(last + 1) - 1)).alias("bucket"), "key", F.lit(False).alias("is_url"), F.lit(None).cast(pages.schema["page_id"].dataType).alias("page_id"), "host", "path", "verdict")
     own = _range_of(F.col("key"), limits)
-    part = F.pmod(F.xxhash64("page_id"), (begins(own + 1) - begins(own)).cast("long")).cast("int")
+    part = F.pmod(F.xxhash64("page_id", "path"), (begins(own + 1) - begins(own)).cast("long")).cast("int")
     events = urls.select((begins(own) + part).alias("bucket"), "key", F.lit(True).alias("is_url"), "page_id", "host", "path", F.lit("").alias("verdict")).unionByName(spread)
     kind = pages.schema["page_id"].dataType.simpleString()
-    ordered = events.repartition(begin[-1], "bucket").sortWithinPartitions("bucket", "key", "is_url")
-    return ordered.mapInPandas(sweep, f"page_id {kind}, host string, path string, rule string, verdict string")
+    # A bucket is a partition of its own: none shares its task with another or is left without rows by a hash.
+    ordered = events.repartitionById(begin[-1], F.col("bucket")).sortWithinPartitions("bucket", "key", "is_url")
+    return ordered.mapInArrow(sweep, f"page_id {kind}, host string, path string, rule string, verdict string")
 
 
 def rule_table(spark, rules: list[tuple[str, str, str]] = RULES) -> DataFrame:

@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from asofspark.llm import context_tree, crf, decontaminate, grid, language_id, mixing, pii, pretokens, quality_classifier, simhash, stats, token_counts, url_rules
+from asofspark.llm import context_tree, crf, decontaminate, grid, language_id, mixing, near_copies, pii, pretokens, quality_classifier, simhash, stats, token_counts, url_rules
 from asofspark.llm.components import connected_components
 from asofspark.llm.quality_rules import quality_rules
 
@@ -71,6 +71,43 @@ def test_counts_of_texts():
         assert tuple(int(got[c][k]) for c in stats.COUNTS[:5]) == plain_counts(s)
 
 
+def test_repeated_keys_with_chance_collisions():
+    rng = np.random.default_rng(1)
+    keys = rng.integers(0, 6, 400, dtype=np.uint64)  # the upper 52 bits of all are equal
+    off = np.array([0, 0, 150, 151, 400])
+    marked, distinct = stats._repeated(keys, off)
+    for k in range(4):
+        part = keys[off[k] : off[k + 1]].tolist()
+        assert distinct[k] == len(set(part)) and list(marked[off[k] : off[k + 1]]) == [part.count(x) > 1 for x in part]
+
+
+def test_long_texts_hash_as_short_ones(monkeypatch):
+    words = ["ab", "x" * 700, "", "é" * 90, "ab"]
+    text = " ".join(words)
+    whole = grid.Texts(pa.array([text], pa.large_string()))
+    want = whole.hash_spans(*whole.words()[:2])
+    monkeypatch.setattr(grid, "SLICE_BYTES", 64)
+    grid._powers.cache_clear()
+    cut = grid.Texts(pa.array(["", text, None]))
+    assert list(cut.hash_spans(*cut.words()[:2])) == list(want) and want[0] == want[-1]
+    monkeypatch.undo()
+    grid._powers.cache_clear()
+
+
+def test_large_strings_from_spark(spark, docs):
+    """Arrow strings with 64-bit offsets give the same results."""
+    jobs = [token_counts.token_counts, pii.pii_spans, simhash.simhash_groups, language_id.language_id, context_tree.context_tree_scores, quality_rules, lambda d: near_copies.near_copy_groups(d), lambda d: pii.scrubbed(d, columns=("doc_id",))]
+    plain = [by_id(job(docs)) for job in jobs]
+    one = spark.createDataFrame([(1, PASSAGE)], "item_id long, text string")
+    found = by_id(decontaminate.contaminated(docs, one))
+    spark.conf.set("spark.sql.execution.arrow.useLargeVarTypes", "true")
+    try:
+        assert [by_id(job(docs)) for job in jobs] == plain and by_id(decontaminate.contaminated(docs, one)) == found
+        assert url_rules.judge_urls(spark.createDataFrame([(1, "http://a.b/x")], "page_id long, url string"), url_rules.rule_table(spark)).count() == 1
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.useLargeVarTypes", "false")
+
+
 def test_op1_rules_and_outliers(spark, docs, none):
     out = quality_rules(docs)
     want = sorted(((r[0], *plain_counts(r[1])) for r in edge_rows()), key=repr)
@@ -154,7 +191,7 @@ def test_op3_longest_rule_wins(spark, monkeypatch):
     rules = list({(h, p): (h, p, rng.choice(["allow", "block"])) for h, p in ((host(), rng.choice([path(), ""])) for _ in range(60))}.values())
     urls = [None, "nourl", "", "x://", "://a.b/x"] + [rng.choice(["http://" + host().upper() + path() + rng.choice(["", "?q", "#f"]), "x://" + host()]) for _ in range(1500)] + ["http://a.b/x"] * 400
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumn("host", F.lit("clash")).withColumn("key", F.lit(1))
-    monkeypatch.setattr(url_rules, "RANGE_ROWS", 100)
+    monkeypatch.setattr(url_rules, "TASK_ROWS", 100)
     got = {r["page_id"]: tuple(r)[1:] for r in url_rules.judge_urls(pages, url_rules.rule_table(spark, rules)).collect()}
     assert len(got) == len(urls)
     for k, u in enumerate(urls):
@@ -165,6 +202,9 @@ def test_op3_longest_rule_wins(spark, monkeypatch):
             h, p = lower(h), re.match(r"[^?#]*", rest[len(h) :])[0]
         fits = [(len(a + b), len(a), a + b, v) for a, b, v in rules if (h == a or h.endswith("." + a)) and p.startswith(b)]
         assert got[k] == (h, p, *(max(fits)[2:] if fits else (None, "allow")))
+    large = [(2**53 + 1, "http://a.b/x"), (-(2**62) - 1, None), (None, "x://e/y"), (2**53 + 1, "http://a.b/x")]
+    back = url_rules.judge_urls(spark.createDataFrame(large, "page_id long, url string"), url_rules.rule_table(spark, rules)).collect()
+    assert sorted((r["page_id"] for r in back), key=repr) == sorted((i for i, _ in large), key=repr)
     empty = pages.limit(0)
     assert url_rules.judge_urls(empty, url_rules.rule_table(spark, rules)).count() == 0
     assert {r["verdict"] for r in url_rules.judge_urls(pages, url_rules.rule_table(spark, [("", "/", "block"), (None, "/", "block"), ("a", None, "block")])).collect()} == {"allow"}
