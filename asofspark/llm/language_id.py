@@ -32,9 +32,17 @@ FAMILIES = {
 _FAMILY = {code: name for name, codes in FAMILIES.items() for code in codes}
 UNKNOWN = "und"
 
+
+def family_of(code: str) -> str:
+    """Family of a code, by its part before a region or script (``pt-BR`` as ``pt``)."""
+    plain = code.replace("_", "-").split("-")[0].lower()
+    return _FAMILY.get(plain, f"={plain}")
+
+
 #: Training texts a language, and of all languages together, at most (about; chosen by a hash of doc_id).
 PER_LANGUAGE, IN_ALL = 400, 4000
-MAX_LANGUAGES = 500
+#: Languages at most (an error beyond it): every two families, and every two languages of a family, have a machine.
+MAX_LANGUAGES = 200
 BITS_2, BITS_3 = 11, 12
 DIMENSIONS = 256 + (1 << BITS_2) + (1 << BITS_3)
 COST, EPOCHS, SLOPE = 10.0, 30, 3.0
@@ -98,10 +106,10 @@ class LanguageModel:
     def fit(cls, x: np.ndarray, langs: np.ndarray) -> LanguageModel:
         families: dict[str, list[str]] = {}
         for code in sorted(set(langs)):
-            families.setdefault(_FAMILY.get(code, f"={code}"), []).append(code)
+            families.setdefault(family_of(code), []).append(code)
         scale = 1 / (np.sqrt(x.mean(axis=0)) + 0.02) if len(x) else np.ones(DIMENSIONS)
         x = x * scale
-        family = np.array([_FAMILY.get(c, f"={c}") for c in langs])
+        family = np.array([family_of(c) for c in langs])
         jobs = [(a, b, family) for a, b in combinations(sorted(families), 2)]
         jobs += [(a, b, langs) for codes in families.values() for a, b in combinations(codes, 2)]
         weights, offsets = np.zeros((DIMENSIONS, len(jobs)), dtype=np.float32), np.zeros(len(jobs))
@@ -168,23 +176,28 @@ def held_out(doc_id: Column) -> Column:
 
 
 def fit_languages(docs: DataFrame, text: str = "text", lang: str = "lang") -> LanguageModel:
-    """Fits on about PER_LANGUAGE texts a language, IN_ALL at most, of rows with a language that aren't held out."""
-    known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", F.col(text).alias("_text"), F.col(lang).cast("string").alias("_lang"))
-    counts = {r["_lang"]: r["count"] for r in known.groupBy("_lang").count().orderBy(F.desc("count"), "_lang").limit(MAX_LANGUAGES).collect()}
-    most = min(PER_LANGUAGE, IN_ALL // max(1, len(counts)))
-    bucket = F.pmod(F.xxhash64(F.lit("lang"), "doc_id"), F.lit(1_000_000))
+    """Fits on about PER_LANGUAGE texts a language, IN_ALL at most, of rows with a language that aren't held out.
+
+    Texts are chosen by a hash of the text, copies once, so that their number has no other
+    bound to meet.  More than MAX_LANGUAGES different languages raise ValueError.
+    """
+    known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & ~held_out(F.col("doc_id"))).select(F.col(text).alias("_text"), F.col(lang).cast("string").alias("_lang"), F.xxhash64(F.lit("lang"), F.col(text)).alias("_h"))
+    found = known.groupBy("_lang").agg(F.approx_count_distinct("_h", 0.02).alias("n")).orderBy("_lang").limit(MAX_LANGUAGES + 1).collect()
+    if len(found) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    most = min(PER_LANGUAGE, IN_ALL // max(1, len(found)))
     chosen = F.lit(False)
-    for code, n in counts.items():
-        chosen = chosen | ((F.col("_lang") == code) & (bucket < int(min(1.0, most / n) * 1_000_000)))
+    for r in found:
+        chosen = chosen | ((F.col("_lang") == r["_lang"]) & (F.pmod("_h", F.lit(1_000_000)) < int(min(1.0, most / max(1, r["n"])) * 1_000_000)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in grid.slices(batches, "_text"):
-            texts = piece.column(1)
+            texts = piece.column(0)
             rows = [v.tobytes() for v in frequencies(texts)]
-            yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(2), pa.array(rows, pa.binary())], names=["doc_id", "_lang", "x"]).filter(pa.array(lettered(texts)))
+            yield pa.RecordBatch.from_arrays([piece.column(1), piece.column(2), pa.array(rows, pa.binary())], names=["_lang", "_h", "x"]).filter(pa.array(lettered(texts)))
 
-    kind = known.schema["doc_id"].dataType.simpleString()
-    sample = known.where(chosen).mapInArrow(run, f"doc_id {kind}, _lang string, x binary").orderBy("doc_id", "_lang", "x").limit(2 * IN_ALL).toPandas()
+    once = known.where(chosen).dropDuplicates(["_lang", "_h"])
+    sample = once.mapInArrow(run, "_lang string, _h long, x binary").toPandas().sort_values(["_lang", "_h"])
     x = np.stack([np.frombuffer(b, dtype=np.float32) for b in sample["x"]]) if len(sample) else np.zeros((0, DIMENSIONS), np.float32)
     return LanguageModel.fit(x, sample["_lang"].to_numpy(dtype=object).astype(str))
 
@@ -193,7 +206,10 @@ def language_id(docs: DataFrame, text: str = "text", lang: str = "lang") -> Data
     """One row per document: doc_id, held_out, lang_pred, score (0 to 1).
 
     A null text, or one without a letter, is ``und`` with score 0; so is every text if no
-    language can be learned.  Repeated rows give repeated results; extra columns are ignored.
+    language can be learned.  Of names with equal votes and equal confidence, the first in
+    code-point order wins.  Texts of any length are read whole.  Repeated rows give repeated
+    results; a null doc_id stays null; an empty table gives an empty result; extra columns
+    are ignored.  More than MAX_LANGUAGES languages raise ValueError.
     """
     model = fit_languages(docs, text, lang)
 

@@ -173,14 +173,17 @@ def fit_quality(docs: DataFrame, labels: DataFrame, text: str = "text", label: s
     """Fits on about MAX_LABELLED documents that carry a label and are not held out.
 
     The chosen ids, whose number that parameter bounds, are broadcast; so only the sample's
-    statistics are computed and sent to the driver.
+    statistics are computed and sent to the driver, once for each id.  Labels that repeat an
+    id count by their majority (1 if even).
     """
-    known = labels.where(F.col(label).isin(0, 1) & ~held_out(F.col("doc_id"))).select("doc_id", F.col(label).cast("double").alias("_y"))
+    usable = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    known = usable.groupBy("doc_id").agg((F.avg(label) >= 0.5).cast("double").alias("_y"))
     share = min(1.0, MAX_LABELLED / max(1, known.count()))
     bucket = F.pmod(F.xxhash64(F.lit("fit"), "doc_id"), F.lit(1_000_000))
     chosen = known.where(bucket < int(share * 1_000_000))
     sample = featured(docs.select("doc_id", docs[text].alias("text")).join(F.broadcast(chosen), "doc_id"), "text", ("doc_id", "_y"))
-    rows = sample.orderBy("doc_id", "_y", *FEATURES).limit(2 * MAX_LABELLED).toPandas()
+    one = sample.groupBy("doc_id").agg(F.min(F.struct("_y", *FEATURES)).alias("_row"))  # so many rows as ids, however often one stands
+    rows = one.select("doc_id", "_row.*").toPandas().sort_values("doc_id")
     return RuleModel.fit(rows[FEATURES].to_numpy(dtype=float), rows["_y"].to_numpy(dtype=float))
 
 
@@ -195,7 +198,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, text: str = "text") -> Da
 
     Only statistics of the whole text enter a score.  A null text counts as empty and gets
     a score too; labels of unknown documents, other than 0 and 1, or null are ignored;
-    repeated rows give repeated results; extra columns are ignored.
+    texts of any length are read whole, repeated rows give repeated results, a null doc_id
+    is scored and never learned from, an empty table gives an empty result; extra columns are ignored.
     """
     model = fit_quality(docs, labels, text)
     return scored(docs, model, text).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")

@@ -224,6 +224,32 @@ def test_op4_learns_rules(spark, docs, none):
     assert quality_classifier.quality_scores(none, labels).count() == 0
 
 
+def test_op4_fit_against_plain_versions(spark):
+    """The lasso's optimum by plain steps, the first split by trying all."""
+    rng = np.random.default_rng(2)
+    x = rng.random((300, len(quality_classifier.FEATURES)))
+    y = ((x[:, 1] > 0.6) | (rng.random(300) < 0.1)).astype(float)
+    rules = quality_classifier.grow_rules(x, y)
+    cuts = quality_classifier._splits(x)
+    g, h = y - 0.5, np.full(300, 0.25)
+    gain = lambda s: g[s].sum() ** 2 / (h[s].sum() + 1) + g[~s].sum() ** 2 / (h[~s].sum() + 1)
+    tried = {(f, float(c)): gain(x[:, f] <= c) for f in range(x.shape[1]) for c in cuts[f] if 8 <= (x[:, f] <= c).sum() <= 292}
+    f, c = max(tried, key=tried.get)
+    assert rules[:2] == [((f, False, c),), ((f, True, c),)]
+    a = quality_classifier.apply_rules(rules[:30], x)
+    loss = lambda b, w: (np.logaddexp(0, b + a @ w) - y * (b + a @ w)).mean() + quality_classifier.LASSO * np.abs(w).sum()
+    b, w = quality_classifier.lasso_logistic(a, y)
+    b0, w0 = 0.0, np.zeros(30)
+    for _ in range(30_000):  # plain proximal steps
+        r = 1 / (1 + np.exp(-(b0 + a @ w0))) - y
+        b0, w0 = b0 - 0.2 * r.mean(), w0 - 0.2 * (a.T @ r) / 300
+        w0 = np.sign(w0) * np.maximum(np.abs(w0) - 0.2 * quality_classifier.LASSO, 0)
+    assert loss(b, w) <= loss(b0, w0) * 1.002 and (w == 0).sum() > 5
+    docs = spark.createDataFrame([(1, "a b c"), (1, "d e f")] * 40 + [(None, "x")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (1, 1), (None, 1)], "doc_id long, quality int")
+    assert quality_classifier.fit_quality(docs, labels).intercept == pytest.approx(math.log((1 + 1) / (0 + 1)))
+
+
 def test_op4_expression_equals_rules(spark):
     x = np.random.default_rng(0).random((500, len(quality_classifier.FEATURES)))
     y = ((x[:, 0] > 0.4) & (x[:, 3] < 0.7)).astype(float)
@@ -329,13 +355,15 @@ def test_op8_finds_contained_items(spark, docs, none):
     rng = random.Random(8)
     words = ["".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(300)]
     text = lambda n: [rng.choice(words) for _ in range(n)]
-    items = [(k, " ".join(text(rng.randint(5, 80)))) for k in range(40)] + [(90, None), (91, "too short"), (92, "")]
+    items = [(k, " ".join(text(rng.randint(5, 80)))) for k in range(40)] + [(90, None), (91, " ".join(text(2)).title() + "!"), (92, ""), (94, "never there"), (95, words[7])]
+    stock = " ".join(text(30))  # a phrase that many items share
+    items += [(200 + k, stock + " " + " ".join(text(6))) for k in range(30)] + [(300, stock)]
     items.append((93, items[0][1]))
     rows = []
     for k in range(150):
         body = text(rng.randint(0, 2000))
         if k % 2:
-            item = items[rng.randrange(40)][1].split()
+            item = (items[rng.randrange(40)][1] if k % 3 else items[-1 - rng.randrange(20)][1] or '').split() or ['x']
             for _ in range(rng.choice([0, 0, 1, 3])):
                 item[rng.randrange(len(item))] = "edited"
             at = rng.randint(0, len(body))
@@ -345,9 +373,12 @@ def test_op8_finds_contained_items(spark, docs, none):
     bench = spark.createDataFrame(items, "item_id long, text string")
     want = set()
     for i, body in rows:
-        held = decontaminate.shingles(body)
+        whole = (body or "").lower().replace(",", "").split()
         for j, item in items:
-            asked = decontaminate.shingles(item)
+            own = re.findall("[a-z]+", (item or "").lower())
+            width = min(5, len(own))
+            cut = lambda w: {tuple(w[i : i + width]) for i in range(len(w) - width + 1)} if width else set()  # noqa: B023, E731
+            held, asked = cut(whole), cut(own)
             if asked and 5 * len(asked & held) >= 4 * len(asked):
                 want.add((i, j, len(asked), len(asked & held)))
     got = [tuple(r)[:4] for r in decontaminate.contaminated(table, bench).collect()]
@@ -367,6 +398,9 @@ def test_op9_separates_languages(spark, docs, none):
     got = language_id.language_id(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
     held = [r for r in got if r["held_out"]]
     assert len(held) > 100 and np.mean([r["lang_pred"] == rows[r["doc_id"]][2] for r in held]) > 0.97
+    with pytest.raises(ValueError):
+        language_id.fit_languages(spark.range(500).select(F.col("id").alias("doc_id"), F.lit("text").alias("text"), F.concat(F.lit("l"), "id").alias("lang")))
+    assert language_id.family_of("pt-BR") == language_id.family_of("es_MX") == "romance"
     edge = language_id.language_id(docs).collect()
     assert len(edge) == docs.count() and all(0 <= r["score"] <= 1 for r in edge)
     assert {r["lang_pred"] for r in edge if r["doc_id"] in (1, 2, 3, 10)} == {"und"}
@@ -375,6 +409,44 @@ def test_op9_separates_languages(spark, docs, none):
     assert {r["lang_pred"] for r in language_id.language_id(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_op9_machines_against_plain_versions():
+    """Margins by sums over bytes, the solver by its optimum, the votes by loops."""
+    rng = np.random.default_rng(4)
+    texts = ["".join(rng.choice(list("abcdé "), size=rng.integers(1, 80))) for _ in range(60)]
+    langs = np.array([["en", "de", "es", "fr", "xx"][k % 5] for k in range(60)])
+    column = pa.array(texts)
+    x = language_id.frequencies(column)
+    for row, text in zip(x, texts, strict=True):
+        b = text.encode()
+        assert row[:256] == pytest.approx(np.bincount(list(b), minlength=256) / len(b), abs=1e-6)
+    y = np.where(rng.random(60) < 0.3, 1.0, -1.0)
+    w, offset = language_id.support_vector_machine(x.astype(float), y)
+    share = np.where(y > 0, (y < 0).mean(), (y > 0).mean()) * 2
+    loss = lambda w, b: 0.5 * (w @ w + b * b) + language_id.COST * (share * np.maximum(0, 1 - y * (x @ w + b)) ** 2).sum()
+    best, full, b = np.zeros(x.shape[1]), 0.0, 0.0
+    for _ in range(20_000):  # plain gradient steps
+        r = np.maximum(0, 1 - y * (x @ best + b)) * share * y
+        best, b = best - 2e-3 * (best - 2 * language_id.COST * r @ x), b - 2e-3 * (b - 2 * language_id.COST * r.sum())
+    full = loss(best, b)
+    assert loss(w, offset) <= full * 1.01
+    model = language_id.LanguageModel.fit(x, langs)
+    dense = x @ model.weights + model.offsets
+    assert np.allclose(model.margins(column), dense, atol=1e-3)
+    names, _ = model.predict(column)
+    for k, name in enumerate(names):
+        def winner(group):
+            votes, sure = Counter({g: 0 for g in group}), Counter()
+            for i, a in enumerate(group):
+                for c in group[i + 1 :]:
+                    m = dense[k, model.pairs[a, c]]
+                    votes[a if m >= 0 else c] += 1
+                    p = 1 / (1 + math.exp(-language_id.SLOPE * m))
+                    sure[a] += p
+                    sure[c] += 1 - p
+            return max(group, key=lambda g: (votes[g], sure[g]))
+        assert name == winner(model.families[winner(sorted(model.families))])
+
+
 EMAIL, IP = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD, PHONE = re.compile(r"[0-9]([\x20-]?[0-9])+"), re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
