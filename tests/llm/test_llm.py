@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -345,10 +346,98 @@ def test_op7_meets_targets(spark, docs, none):
 
 def test_op7_quotas_and_flow():
     assert mixing.quotas([("a", 10), ("b", 10), ("c", 100)]) == {"a": 30.0, "b": 30.0, "c": 60.0}
-    flow = mixing.min_cost_flow([(("a",), 100), (("a", "b"), 50), (("b",), 10)], {"a": 120.0, "b": 90.0})
-    assert sum(f.get("a", 0) for f in flow) == 120 and sum(f.get("b", 0) for f in flow) == 90
-    assert flow[2]["b"] <= 30 and sum(flow[1].values()) <= 150
-    assert flow[0]["a"] == 100  # the first copy of everything is used before any second one
+    flow = mixing.min_cost_flow([(100, {"a": 100}), (50, {"a": 50, "b": 50}), (10, {"b": 10})], {"a": 120.0, "b": 90.0})
+    assert sum(f.get("a", 0) for f in flow) == pytest.approx(120) and sum(f.get("b", 0) for f in flow) == pytest.approx(90)
+    assert flow[2]["b"] <= 30 and sum(flow[1].values()) <= 300
+    assert flow[0]["a"] >= 100  # the first copy of everything is used before any second one
+
+
+def plain_flow_cost(patterns, quota, epochs):
+    """Cheapest cost by augmenting one word at a time along a cheapest path (Bellman and Ford)."""
+    names = list(quota)
+    ends = ["start", *range(len(patterns)), *names, "end"]
+    arcs = []  # from, to, capacity, cost
+    for p, (words, copies) in enumerate(patterns):
+        for cost, n in enumerate(mixing._layers(words, epochs * sum(copies.values()))):
+            arcs.append(["start", p, round(n), cost])
+        arcs += [[p, s, epochs * n, 0] for s, n in copies.items()]
+    arcs += [[s, "end", round(q), 0] for s, q in quota.items()]
+    arcs += [[b, a, 0, -c] for a, b, _, c in arcs]
+    half, total = len(arcs) // 2, 0
+    while True:
+        best, via = {e: math.inf for e in ends}, {}
+        best["start"] = 0
+        for _ in ends:
+            for k, (a, b, n, c) in enumerate(arcs):
+                if n and best[a] + c < best[b]:
+                    best[b], via[b] = best[a] + c, k
+        if best["end"] == math.inf:
+            return total
+        at = "end"
+        while at != "start":
+            k = via[at]
+            arcs[k][2] -= 1
+            arcs[(k + half) % (2 * half)][2] += 1
+            at = arcs[k][0]
+        total += best["end"]
+
+
+def test_op7_flow_is_cheapest():
+    rng = random.Random(12)
+    for _ in range(25):
+        names = "abcd"[: rng.randint(1, 4)]
+        patterns = []
+        for _ in range(rng.randint(1, 6)):
+            held = {s: rng.randint(1, 6) for s in rng.sample(names, rng.randint(1, len(names)))}
+            patterns.append((rng.randint(1, min(held.values())) if len(held) > 1 else sum(held.values()), held))
+        size = {s: sum(c.get(s, 0) for _, c in patterns) for s in names}
+        quota = {s: rng.randint(0, 3 * n) for s, n in size.items()}
+        flow = mixing.min_cost_flow(patterns, quota, 3)
+        cost = 0.0
+        for (words, copies), f in zip(patterns, flow, strict=True):
+            assert all(-1e-6 <= v <= 3 * copies[s] + 1e-6 for s, v in f.items())
+            left = sum(f.values())
+            for c, n in enumerate(mixing._layers(words, 3 * sum(copies.values()))):
+                cost += c * min(left, n)
+                left -= min(left, n)
+        for s in names:
+            assert sum(f.get(s, 0) for f in flow) == pytest.approx(quota[s], abs=1e-4)
+        assert cost == pytest.approx(plain_flow_cost(patterns, quota, 3), abs=1e-3)
+
+
+def test_op7_flow_is_fast():
+    rng = random.Random(13)
+    names = [f"s{k}" for k in range(40)]
+    patterns = [(100, {s: 100 for s in rng.sample(names, rng.randint(1, 4))}) for _ in range(20_000)]
+    size = {s: sum(c.get(s, 0) for _, c in patterns) for s in names}
+    quota = mixing.quotas(list(size.items()))
+    began = time.time()
+    flow = mixing.min_cost_flow(patterns, quota)
+    assert time.time() - began < 60
+    for s in names:
+        assert sum(f.get(s, 0) for f in flow) == pytest.approx(quota[s], rel=1e-6)
+
+
+def test_op7_sources_share_texts(spark, monkeypatch):
+    """What both sources hold is left to the one that needs it; every source still meets its target."""
+    rng = random.Random(14)
+    both = [" ".join(f"b{k}x{j}" for j in range(rng.randint(5, 40))) for k in range(300)]
+    rows = [(k, t, s) for k, (t, s) in enumerate([(t, s) for t in both for s in "ab"])]
+    rows += [(1000 + k, " ".join(f"a{k}x{j}" for j in range(rng.randint(5, 40))), "a") for k in range(600)]
+    rows += [(2000, None, "a"), (2001, "", None), (None, both[0], "b")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("_tag", F.lit("clash"))
+    for patterns, cells in ((20_000, 50_000), (0, 0)):  # with all patterns, and with each source by itself and tables that aren't broadcast
+        monkeypatch.setattr(mixing, "MAX_PATTERNS", patterns)
+        monkeypatch.setattr(mixing, "SMALL_TABLE", cells)
+        got = mixing.mixed_rows(table, keep=("doc_id", "text", "source")).collect()
+        assert len(got) == len(rows)
+        for s in "ab":
+            mine = [r for r in got if r["source"] == s]
+            assert sum(r["taken"] for r in mine) == pytest.approx(mine[0]["target"], rel=0.01)
+            assert all(r["taken"] <= 3 * r["size"] for r in mine)
+        own = sum(r["epochs"] * r["size"] for r in got if r["source"] == "a" and r["text"] and r["text"].startswith("a")) / sum(r["size"] for r in got if r["source"] == "a" and r["text"] and r["text"].startswith("a"))
+        common = sum(r["epochs"] * r["size"] for r in got if r["source"] == "a" and r["text"] and r["text"].startswith("b")) / sum(r["size"] for r in got if r["source"] == "a" and r["text"] and r["text"].startswith("b"))
+        assert (own > common + 0.1) == bool(patterns)
 
 
 def test_op8_finds_contained_items(spark, docs, none):
