@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from asofspark.llm import context_tree, crf, decontaminate, grid, language_id, mixing, near_copies, pii, pretokens, quality_classifier, simhash, stats, token_counts, url_rules
 from asofspark.llm.components import connected_components
+from asofspark.llm import quality_rules as quality_rules_module
 from asofspark.llm.quality_rules import quality_rules
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, n_words string, key string, hits int"
@@ -128,6 +129,60 @@ def test_op1_rejects_junk_and_keeps_prose(spark):
     assert sum(kept[k] for k in range(400)) >= 396 and not any(kept[1000 + k] for k in range(20))
 
 
+def test_op1_is_the_mcd(spark, monkeypatch):
+    """Against FAST-MCD from many random subsets, in numpy, on groups of several sizes with planted outliers."""
+    rng = np.random.default_rng(6)
+    mix = rng.normal(size=(7, 7)) * 0.3
+    groups = {"=a": 900, "=b": 260}
+    data, rows = {}, []
+    for s, n in groups.items():
+        x = rng.normal(size=(n, 7)) @ mix + 2 + ord(s[1]) % 2
+        x[: n // 12] += rng.choice([-1, 1], size=(n // 12, 7)) * 6  # outliers
+        data[s] = x
+        rows += [("=en", s, k % 32, *map(float, v)) for k, v in enumerate(x)]
+    table = spark.createDataFrame(rows, "_l string, _s string, salt int, " + ", ".join(f"{z} double" for z in quality_rules_module.NAMES))
+    for small in (20_000, 0):
+        monkeypatch.setattr(quality_rules_module, "SMALL_TABLE", small)
+        got = {r["grp"]: r for r in quality_rules_module.estimates(table, 1e-9)[0].collect()}  # the groups' own estimates alone
+        for s, x in data.items():
+            h, best = int(0.75 * len(x)), (np.inf, None)
+            for _ in range(100):
+                core = x[rng.choice(len(x), 8, replace=False)]
+                for _ in range(20):
+                    d = x - core.mean(axis=0)
+                    core = x[np.argsort(np.einsum("ki,ij,kj->k", d, np.linalg.pinv(np.cov(core.T, bias=True)), d))[:h]]
+                det = np.linalg.slogdet(np.cov(core.T, bias=True))[1]
+                best = min(best, (det, core.mean(axis=0), np.cov(core.T, bias=True)), key=lambda v: v[0])
+            d = x - best[1]
+            ratio = np.median(np.einsum("ki,ij,kj->k", d, np.linalg.inv(best[2]), d)) / 6.346  # median of chi-squared with 7 degrees
+            inner = x[np.einsum("ki,ij,kj->k", d, np.linalg.inv(best[2] * ratio), d) <= quality_rules_module.WITHIN]
+            want = np.cov(inner.T, bias=True) * quality_rules_module.CONSISTENT_WITHIN
+            r = got[f'["=en","{s}"]']
+            mean = np.array([r[f"m{i}"] for i in range(7)])
+            inv = np.zeros((7, 7))
+            for i, j in quality_rules_module._PAIRS:
+                inv[i, j] = inv[j, i] = r[f"v{i}_{j}"]
+            assert np.abs(mean - inner.mean(axis=0)).max() < 0.05
+            assert abs(-np.linalg.slogdet(inv)[1] - np.linalg.slogdet(want + np.eye(7) * quality_rules_module.FLOOR**2)[1]) < 0.35
+            d2 = np.einsum("ki,ij,kj->k", x - mean, inv, x - mean)
+            assert (d2[: len(x) // 12] > 40).all() and (d2[len(x) // 12 :] < 40).all()
+
+
+def test_op1_every_group_has_its_estimate(spark):
+    """Small groups lean on their language, and their own rows count."""
+    rng = np.random.default_rng(8)
+    rows = [("=en", f"=s{k % 40}", k % 32, *map(float, rng.normal(size=7) * 0.1 + (k % 40) / 40)) for k in range(400)] + [("=xx", "=lone", 0, *[9.0] * 7), ("null", "null", 1, *[0.5] * 7)]
+    table = spark.createDataFrame(rows, "_l string, _s string, salt int, " + ", ".join(f"{z} double" for z in quality_rules_module.NAMES))
+    got = {r["grp"]: r for r in quality_rules_module.estimates(table)[0].collect()}
+    assert len(got) == 42
+    low, high = got['["=en","=s0"]'], got['["=en","=s39"]']
+    assert 0.1 < low["m0"] < 0.5 < high["m0"] < 0.9
+    # Quartiles by bins against plain ones.
+    q = {r["grp"]: r for r in quality_rules_module._quartiles(table).collect()}["[]"]
+    values = np.array([r[3:] for r in rows])
+    assert np.allclose([q[f"a{i}_{k}"] for i in range(7) for k in range(3)], np.quantile(values, [0.25, 0.5, 0.75], axis=0).T.ravel(), atol=0.02)
+
+
 def test_op2_is_the_context_tree(spark, docs, none):
     depth = context_tree.DEPTH
     rows = edge_rows()
