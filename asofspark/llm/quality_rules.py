@@ -20,7 +20,6 @@ large, is reduced by partial aggregation and never gathered.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -112,25 +111,22 @@ def _quartiles(x: DataFrame) -> DataFrame:
     upto = bins.withColumns({"upto": F.sum("k").over(w.orderBy("bin")), "n": F.sum("k").over(w)})
     at = [(F.min(F.when(F.col("upto") >= q * F.col("n"), F.struct("bin", ((F.col("bin") + 1 - (F.col("upto") - q * F.col("n")) / F.col("k")) / BINS_A_STEP).alias("v")))))["v"].alias(f"a{k}") for k, q in enumerate((0.25, 0.5, 0.75))]
     rows = upto.groupBy("grp", "i").agg(F.max("n").alias("n"), *at)
-    return rows.groupBy("grp").agg(F.max("n").alias("n"), *[F.max(F.when(F.col("i") == i, F.col(f"a{k}"))).alias(f"a{i}_{k}") for i in range(P) for k in range(3)])
+    return rows.groupBy("grp").agg(F.max("n").alias("n"), *[F.expr(f"max(CASE WHEN i = {i} THEN a{k} END) AS a{i}_{k}") for i in range(P) for k in range(3)])
 
 
 def _scatter(x: DataFrame, quartiles: DataFrame, small: bool) -> DataFrame:
     """grp, n, quartiles, and sums of products of tanh (h*) and of spatial signs (g*) of the standardized coordinates."""
-    u = [(F.col(z) - F.col(f"a{i}_1")) / F.sqrt(F.pow((F.col(f"a{i}_2") - F.col(f"a{i}_0")) / 1.349, 2) + FLOOR**2) for i, z in enumerate(NAMES)]
-    rows = x.select(F.explode(_levels()).alias("grp"), "salt", *NAMES)
-    rows = _with(rows, quartiles, small).select("grp", "salt", *[c.alias(f"u{i}") for i, c in enumerate(u)])
-    rows = rows.withColumn("norm", F.sqrt(reduce(lambda a, b: a + b, [F.col(f"u{i}") * F.col(f"u{i}") for i in range(P)]) + 1e-12))
-    rows = rows.select("grp", "salt", "norm", *[f"u{i}" for i in range(P)], *[F.tanh(f"u{i}").alias(f"w{i}") for i in range(P)])
-    tanh = [F.sum(F.col(f"w{i}") * F.col(f"w{j}")).alias(f"h{i}_{j}") for i, j in _PAIRS]
-    sign = [F.sum(F.col(f"u{i}") * F.col(f"u{j}") / (F.col("norm") * F.col("norm"))).alias(f"g{i}_{j}") for i, j in _PAIRS]
-    return quartiles.join(_summed(rows, ["grp"], [*tanh, *sign]), "grp")
+    rows = _with(x.select(F.explode(_levels()).alias("grp"), "salt", *NAMES), quartiles, small)
+    rows = rows.selectExpr("grp", "salt", *[f"({z} - a{i}_1) / sqrt(pow((a{i}_2 - a{i}_0) / 1.349, 2) + {FLOOR**2}) AS u{i}" for i, z in enumerate(NAMES)])
+    rows = rows.selectExpr("*", " + ".join(f"u{i} * u{i}" for i in range(P)) + " + 1e-12 AS norm", *[f"tanh(u{i}) AS w{i}" for i in range(P)])
+    sums = [f"sum(w{i} * w{j}) AS h{i}_{j}" for i, j in _PAIRS] + [f"sum(u{i} * u{j} / norm) AS g{i}_{j}" for i, j in _PAIRS]
+    return quartiles.join(_summed(rows, ["grp"], [*map(F.expr, sums)]), "grp")
 
 
 def _summed(rows: DataFrame, by: list[str], sums: list[Column]) -> DataFrame:
     """Sums of each group, first within its salts."""
     parts = rows.groupBy(*by, "salt").agg(*sums)
-    return parts.groupBy(*by).agg(*[F.sum(c).alias(c) for c in parts.columns[len(by) + 1 :]])
+    return parts.groupBy(*by).agg(*[F.expr(f"sum({c}) AS {c}") for c in parts.columns[len(by) + 1 :]])
 
 
 def _with(rows: DataFrame, params: DataFrame, small: bool) -> DataFrame:
@@ -188,9 +184,8 @@ def _starts(scatter: DataFrame, steady: float) -> DataFrame:
 
 
 def _distance() -> Column:
-    d = [F.col(z) - F.col(f"m{i}") for i, z in enumerate(NAMES)]
-    terms = [(1.0 if i == j else 2.0) * F.col(f"v{i}_{j}") * d[i] * d[j] for i, j in _PAIRS]
-    return reduce(lambda a, b: a + b, terms)
+    """Squared Mahalanobis distance, written as SQL: so many terms take long to build one by one."""
+    return F.expr(" + ".join(f"{1 if i == j else 2} * v{i}_{j} * (z{i} - m{i}) * (z{j} - m{j})" for i, j in _PAIRS))
 
 
 def _edges(near: DataFrame) -> DataFrame:
@@ -221,9 +216,8 @@ def _refined(moments: DataFrame, params: DataFrame, ratio: float, steady: float)
 
 
 def _moments(inside: DataFrame) -> DataFrame:
-    sums = [F.sum(z).alias(f"s{i}") for i, z in enumerate(NAMES)]
-    squares = [F.sum(F.col(NAMES[i]) * F.col(NAMES[j])).alias(f"q{i}_{j}") for i, j in _PAIRS]
-    return _summed(inside, ["grp", "start"], [F.count(F.lit(1)).alias("k"), *sums, *squares])
+    sums = [f"sum({z}) AS s{i}" for i, z in enumerate(NAMES)] + [f"sum({NAMES[i]} * {NAMES[j]}) AS q{i}_{j}" for i, j in _PAIRS]
+    return _summed(inside, ["grp", "start"], [F.count(F.lit(1)).alias("k"), *map(F.expr, sums)])
 
 
 def estimates(x: DataFrame, steady: float = STEADY) -> tuple[DataFrame, bool]:
