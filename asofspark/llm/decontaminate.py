@@ -33,9 +33,9 @@ WIDTH = 5
 SHARE = (4, 5)
 #: Sketch hashes above what a containing document may lack: the hits that a candidate needs at least (if it has so many).
 HITS = 4
-#: Bits of the filter for each sketch hash, and the logarithms of its least and largest size (16 MB; beyond it, the filter
-#: only lets more documents through to the exact join).
-BITS_A_HASH, FILTER_BITS = 16, (16, 27)
+#: Bits of the filter for each sketch hash (a long document asks for many shingles, so that a chance hit must be rare), and the
+#: logarithms of its least and largest size (16 MB; beyond it, the filter only lets more documents through to the exact join).
+BITS_A_HASH, FILTER_BITS = 2048, (22, 27)
 
 #: ASCII letters and digits, and every byte of a non-ASCII character.
 WORD = grid.LOWER | grid.UPPER | grid.DIGIT | grid.byte_set(range(128, 256))
