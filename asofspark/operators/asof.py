@@ -11,9 +11,13 @@ from pyspark.sql import functions as F
 def statements_asof(statements: DataFrame, asofs: DataFrame, keep: int = 2) -> DataFrame:
     """The ``keep`` latest statements of each ticker published by each date; ``age`` 1 is the latest.
 
-    ``asofs`` is a short list of dates, joined by range; rows are then ranked by report date.
+    A statement is among them from its own publication to that of the ``keep``-th newer one, so each
+    meets only the dates of that interval: the join gives ``keep`` rows a ticker and date, however many were published before.
     """
-    known = statements.join(F.broadcast(asofs), F.col("publish_date") <= F.col("as_of"))
+    newer = Window.partitionBy("ticker").orderBy("report_date").rowsBetween(1, Window.unboundedFollowing)
+    left = F.get(F.array_sort(F.collect_list("publish_date").over(newer)), F.lit(keep - 1))
+    spans = statements.where("publish_date is not null").withColumn("_left", left)
+    known = spans.join(asofs, (F.col("publish_date") <= F.col("as_of")) & (F.col("_left").isNull() | (F.col("as_of") < F.col("_left")))).drop("_left")
     age = F.row_number().over(Window.partitionBy("ticker", "as_of").orderBy(F.desc("report_date")))
     return known.withColumn("age", age).where(F.col("age") <= keep)
 
@@ -85,11 +89,55 @@ def post_forward(events: DataFrame, bars: DataFrame) -> DataFrame:
     return met.groupBy("symbol", "dt").agg(F.sum("amount").alias("amount"))
 
 
-def asof_fill(calendar: DataFrame, values: DataFrame, value: str, default: float | None = 0.0) -> DataFrame:
-    """Last value known at or before each calendar row; ``default`` before the first one."""
-    both = calendar.select("dt", F.lit(True).alias("_row"), F.lit(None).cast("double").alias(value)).unionByName(values.select("dt", F.lit(False).alias("_row"), value))
-    held = F.last(value, ignorenulls=True).over(Window.orderBy("dt", "_row"))
-    return both.withColumn(value, F.coalesce(held, F.lit(default))).where("_row").select("dt", value)
+def asof_fill(calendar: DataFrame, values: DataFrame, value: str, default: float | None = 0.0, by: tuple[str, ...] = ()) -> DataFrame:
+    """Last value known at or before each calendar row; ``default`` before the first one.  Series are told apart by the columns ``by``."""
+    both = calendar.select(*by, "dt", F.lit(True).alias("_row"), F.lit(None).cast("double").alias(value)).unionByName(values.select(*by, "dt", F.lit(False).alias("_row"), value))
+    held = F.last(value, ignorenulls=True).over(Window.partitionBy(*by).orderBy("dt", "_row"))
+    return both.withColumn(value, F.coalesce(held, F.lit(default))).where("_row").select(*by, "dt", value)
+
+
+def canonical_from_filings(flat: DataFrame, prices: DataFrame, sectors: DataFrame) -> DataFrame:
+    """Derived fields of extract_asof() rows (cik, as_of, fields and _prior), with prices (cik, as_of, price) and sectors (cik, sector).
+
+    Filings give taxes, interest and investment as positive numbers.  Without operating income
+    it is pretax income plus interest.
+    """
+    x = flat.join(prices, ["cik", "as_of"], "left").join(sectors, "cik", "left")
+    paid = F.try_divide(F.col("tax_expense"), F.col("pretax"))
+    ebit = F.coalesce("operating_income", F.col("pretax") + F.coalesce("interest", F.lit(0.0)))
+    return x.withColumns(
+        {
+            "ebit": ebit, "ebitda": ebit + F.col("depreciation"), "total_debt": debt(), "total_debt_prior": debt("_prior"),
+            "tax_rate": F.when(paid < 0, 0.0).when(paid > 0.6, 0.6).otherwise(paid), "free_cash_flow": F.col("cfo") - F.col("capex"), "market_cap": F.col("price") * F.col("shares"),
+        }
+    ).withColumn("enterprise_value", enterprise_value()).withColumn("source", F.lit("filings"))
+
+
+def canonical_from_labels(values: DataFrame, info: DataFrame) -> DataFrame:
+    """One row per ticker and period of read_labelled() values (ticker, period, field, val); cash, debt and shares fall back to ``info`` (ticker, cash, total_debt, shares)."""
+    pick = lambda f: F.max(F.when(F.col("field") == f, F.col("val"))).alias(f)
+    fields = ["revenue", "gross_profit", "ebit", "net_income", "total_assets", "cash", "total_debt", "shares", "cfo", "capex"]
+    x = values.groupBy("ticker", "period").agg(*[pick(f) for f in fields])
+    own = {c: F.coalesce(F.col(c), F.col(f"_{c}")) for c in ("cash", "total_debt", "shares")}
+    known = info.select("ticker", *[F.col(c).alias(f"_{c}") for c in own])
+    return x.join(known, "ticker", "left").withColumns(own).withColumn("free_cash_flow", F.col("cfo") + F.col("capex")).drop(*[f"_{c}" for c in own]).withColumn("source", F.lit("labels"))
+
+
+SOURCES = ("filings", "statements", "labels")
+
+
+def route_source(source: str, **tables) -> DataFrame:
+    """Canonical rows of the one source that a run uses; ``tables`` has a function for each name.  An unknown name raises ValueError.
+
+    The rows carry their source, and a row of another one raises an error when it is computed, so two sources are never mixed.
+    """
+    if source not in SOURCES or source not in tables:
+        raise ValueError(f"unknown source {source!r}; known: {', '.join(sorted(tables))}")
+    rows = tables[source]()
+    if "source" not in rows.columns:
+        return rows.withColumn("source", F.lit(source))
+    same = F.when(F.col("source") == source, F.col("source")).otherwise(F.raise_error(F.lit(f"a row isn't of source {source}")).cast("string"))
+    return rows.withColumn("source", same)
 
 
 def pit_violations(selected: DataFrame) -> DataFrame:

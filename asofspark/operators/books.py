@@ -34,10 +34,16 @@ def market_cap_latest(prices: DataFrame, shares: DataFrame) -> DataFrame:
 
 
 def entry_prices(picks: DataFrame, prices: DataFrame) -> DataFrame:
-    """Price on the first panel date on or after each pick's date, else its stored price if that is positive."""
-    met = picks.join(prices.withColumnRenamed("symbol", "_s"), (F.col("symbol") == F.col("_s")) & (F.col("dt") >= F.col("lock_date")), "left")
-    first = met.groupBy("lock_date", "symbol", "price").agg(F.min_by("px", "dt").alias("_p"))
-    return first.select("lock_date", "symbol", F.coalesce("_p", F.when(F.col("price") > 0, F.col("price"))).alias("entry"))
+    """Price on the first panel date on or after each pick's date, else its stored price if that is positive.
+
+    Picks and prices of a symbol are one ordered stream; each pick looks forward to the next price.
+    """
+    none = F.lit(None).cast("double")
+    both = prices.where("px is not null").select("symbol", "dt", F.lit(1).alias("_k"), "px", none.alias("price"))
+    both = both.unionByName(picks.select("symbol", F.col("lock_date").alias("dt"), F.lit(0).alias("_k"), none.alias("px"), "price"))
+    ahead = Window.partitionBy("symbol").orderBy("dt", "_k").rowsBetween(0, Window.unboundedFollowing)
+    x = both.withColumn("_p", F.first("px", ignorenulls=True).over(ahead)).where("_k = 0")
+    return x.select(F.col("dt").alias("lock_date"), "symbol", F.coalesce("_p", F.when(F.col("price") > 0, F.col("price"))).alias("entry"))
 
 
 def carry_weights(yields: DataFrame, by: str = "mark") -> DataFrame:
@@ -46,12 +52,16 @@ def carry_weights(yields: DataFrame, by: str = "mark") -> DataFrame:
     return raw.select(by, "symbol", (F.col("w") / F.sum("w").over(Window.partitionBy(by))).alias("w"))
 
 
-def momentum_schedule(panel: DataFrame, market: str, skip: int, look: int, ma: int, n: int, every: int) -> DataFrame:
-    """mark, symbol, w: the n best momentum names at equal weight on cycle rows; one row with a NULL symbol if the market is below its mean."""
+def momentum_schedule(panel: DataFrame, market: str, skip: int, look: int, ma: int, n: int, every: int, least: int = 10) -> DataFrame:
+    """mark, symbol, w: the n best momentum names at equal weight on cycle rows; one row with a NULL symbol if the market is below its mean.
+
+    Only names with a close on the row itself can be bought; a row with fewer than ``least`` such names has no basket.
+    """
     regime = ts.market_regime(panel.where(F.col("symbol") == market), ma).select(F.col("idx").alias("mark"), "risk_on")
-    x = panel.withColumn("mom", ts.momentum(skip, look)).where((F.col("idx") % every == 0) & (F.col("idx") >= skip + look) & F.col("mom").isNotNull())
+    x = panel.withColumn("mom", ts.momentum(skip, look)).where((F.col("idx") % every == 0) & (F.col("idx") >= skip + look) & F.col("mom").isNotNull() & F.col("close").isNotNull())
     w = Window.partitionBy("mark")
-    x = x.withColumnRenamed("idx", "mark").withColumn("_p", F.row_number().over(w.orderBy(F.desc("mom"), "symbol"))).where(F.col("_p") <= n).join(regime, "mark")
+    x = x.withColumnRenamed("idx", "mark").withColumn("_n", F.count(F.lit(1)).over(w)).where(F.col("_n") >= least)
+    x = x.withColumn("_p", F.row_number().over(w.orderBy(F.desc("mom"), "symbol"))).where(F.col("_p") <= n).join(regime, "mark")
     on = x.where("risk_on").select("mark", "symbol", (1.0 / F.count(F.lit(1)).over(w)).alias("w"))
     off = x.where("not risk_on").select("mark").distinct().select("mark", F.lit(None).cast("string").alias("symbol"), F.lit(0.0).alias("w"))
     return on.unionByName(off)
@@ -64,14 +74,22 @@ def basket_since_lock(locks: DataFrame, prices: DataFrame) -> DataFrame:
     return x.groupBy("book", "lock_date").agg(F.sum(F.col("w") * F.col("_r")).alias("since_lock"))
 
 
-def rebalance_orders(current: DataFrame, target: DataFrame, prices: DataFrame, capital: float, band: float, cash: str, least: float = 1.0) -> DataFrame:
-    """symbol, side, shares, dollars of the trades that leave their bands; what is left goes to the cash name."""
+def rebalance_orders(current: DataFrame, target: DataFrame, prices: DataFrame, capital: float, band: float, cash: str, least: float = 1.0, substitutes: DataFrame | None = None) -> DataFrame:
+    """symbol, side (BUY, SELL, SKIP), shares, dollars: trades that leave their bands, names that stay inside, and what is left in the cash name.
+
+    ``substitutes`` (symbol, instead) names what is traded for a target that can't be bought.
+    """
     from asofspark.operators.weights import band_trades
 
-    x = band_trades(current, target, band).where("trade <> 0").select("symbol", (F.col("trade") * capital).alias("dollars"))
+    if substitutes is not None:
+        target = target.join(substitutes, "symbol", "left").select(F.coalesce("instead", "symbol").alias("symbol"), "w").groupBy("symbol").agg(F.sum("w").alias("w"))
+    moves = band_trades(current, target, band)
+    x = moves.where("trade <> 0").select("symbol", (F.col("trade") * capital).alias("dollars"))
     left = x.agg((-F.sum("dollars")).alias("dollars")).where(F.abs("dollars") > least).select(F.lit(cash).alias("symbol"), "dollars")
     x = x.unionByName(left).groupBy("symbol").agg(F.sum("dollars").alias("dollars")).join(prices, "symbol", "left")
-    return x.select("symbol", F.when(F.col("dollars") > 0, "BUY").otherwise("SELL").alias("side"), F.round(F.abs("dollars") / F.col("price"), 4).alias("shares"), F.abs("dollars").alias("dollars"))
+    x = x.select("symbol", F.when(F.col("dollars") > 0, "BUY").otherwise("SELL").alias("side"), F.round(F.abs("dollars") / F.col("price"), 4).alias("shares"), F.abs("dollars").alias("dollars"))
+    inside = moves.where("trade = 0 and new <> cur").select("symbol", F.lit("SKIP").alias("side"), F.lit(0.0).alias("shares"), F.abs((F.col("new") - F.col("cur")) * capital).alias("dollars"))
+    return x.unionByName(inside)
 
 
 def split_search(grid: DataFrame, split: int) -> DataFrame:
@@ -110,14 +128,14 @@ def breadth(ranks: DataFrame, ns: list[int], fwd: str = "fwd") -> DataFrame:
     return out
 
 
-def switched_mix(legs: DataFrame, w: float) -> DataFrame:
-    """dt, equity, switches: w in leg a while ``on`` was true the row before, else in leg c; the rest in leg b; daily weights."""
-    o = Window.orderBy("dt")
+def switched_mix(legs: DataFrame, w: float, by: tuple[str, ...] = ()) -> DataFrame:
+    """``by``, dt, equity, switches: w in leg a while ``on`` was true the row before, else in leg c; the rest in leg b; daily weights."""
+    o = Window.partitionBy(*by).orderBy("dt")
     x = legs.withColumn("_on", F.coalesce(F.lag("on").over(o), F.lit(True)))
     r = w * F.when(F.col("_on"), F.col("ra")).otherwise(F.col("rc")) + (1 - w) * F.col("rb")
     moved = F.coalesce((F.col("_on") != F.lag("_on").over(o)).cast("int"), F.lit(0))
     x = x.withColumns({"_r": r, "_m": moved})
-    return x.select("dt", (10_000.0 * F.product(1 + F.col("_r")).over(o)).alias("equity"), F.sum("_m").over(o).cast("long").alias("switches"))
+    return x.select(*by, "dt", (10_000.0 * F.product(1 + F.col("_r")).over(o)).alias("equity"), F.sum("_m").over(o).cast("long").alias("switches"))
 
 
 def normalize_canonical(rows: DataFrame, scalars: list[str], lists: list[str]) -> DataFrame:

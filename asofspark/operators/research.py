@@ -138,48 +138,64 @@ def moments(returns: DataFrame, key: str = "run_id", year: int = 252) -> DataFra
     return x.groupBy(key).agg(F.first("n").alias("n"), F.first(F.col("m") / F.col("s")).alias("sharpe"), F.avg(F.pow("z", 3)).alias("skew"), F.avg(F.pow("z", 4)).alias("kurtosis"))
 
 
-_phi = np.vectorize(lambda x: 0.5 * math.erfc(-x / math.sqrt(2)) if x == x else float("nan"))
-
-
 def normal_cdf(x: Column) -> Column:
-    """Normal distribution function; Spark has no erf, so a vectorized function over a few rows."""
+    """Normal distribution function as a column expression.
+
+    Hart's rational approximation of the tail (published coefficients, relative error about 1e-15), as Spark has no error function.
+    """
+    top = [220.206867912376, 221.213596169931, 112.079291497871, 33.912866078383, 6.37396220353165, 0.700383064443688, 3.52624965998911e-2]
+    low = [440.413735824752, 793.826512519948, 637.333633378831, 296.564248779674, 86.7807322029461, 16.064177579207, 1.75566716318264, 8.83883476483184e-2]
+    y = F.least(F.abs(x), F.lit(37.0))
 
-    @F.pandas_udf("double")
-    def cdf(v: pd.Series) -> pd.Series:
-        return pd.Series(_phi(v.to_numpy(dtype=float))) if len(v) else v
+    def poly(terms: list[float]) -> Column:
+        out = F.lit(terms[-1])
+        for t in terms[-2::-1]:
+            out = out * y + t
+        return out
 
-    return cdf(x)
+    near = F.exp(-y * y / 2) * poly(top) / poly(low)
+    far = F.exp(-y * y / 2) / ((y + 1 / (y + 2 / (y + 3 / (y + 4 / (y + 0.65))))) * 2.506628274631)
+    tail = F.when(y < 7.07106781186547, near).otherwise(far)
+    return F.when(x > 0, 1 - tail).when(x <= 0, tail)
 
 
-def psr(stats: DataFrame, benchmark: float = 0.0) -> DataFrame:
+def psr(stats: DataFrame, benchmark: float | Column = 0.0) -> DataFrame:
     """Adds psr: the probability that the true Sharpe is above the benchmark, given skew and kurtosis."""
     sr = F.col("sharpe")
-    z = (sr - benchmark) * F.sqrt(F.col("n") - 1) / F.sqrt(1 - F.col("skew") * sr + (F.col("kurtosis") - 1) / 4 * sr * sr)
-    return stats.withColumn("psr", normal_cdf(z))
+    inside = F.greatest(1 - F.col("skew") * sr + (F.col("kurtosis") - 1) / 4 * sr * sr, F.lit(1e-12))
+    return stats.withColumn("_z", (sr - benchmark) * F.sqrt(F.col("n") - 1) / F.sqrt(inside)).withColumn("psr", normal_cdf(F.col("_z"))).drop("_z")
+
+
+def inverse_normal(p: Column) -> Column:
+    """Quantile of the normal distribution: Acklam's published approximation."""
+    a = [-39.69683028665376, 220.9460984245205, -275.9285104469687, 138.357751867269, -30.66479806614716, 2.506628277459239]
+    b = [-54.47609879822406, 161.5858368580409, -155.6989798598866, 66.80131188771972, -13.28068155288572, 1.0]
+    c = [-0.007784894002430293, -0.3223964580411365, -2.400758277161838, -2.549732539343734, 4.374664141464968, 2.938163982698783]
+    d = [0.007784695709041462, 0.3224671290700398, 2.445134137142996, 3.754408661907416, 1.0]
 
+    def poly(terms: list[float], x: Column) -> Column:
+        out = F.lit(terms[0])
+        for t in terms[1:]:
+            out = out * x + t
+        return out
 
-def inverse_normal(p: float) -> float:
-    """Quantile of the normal distribution by bisection."""
-    low, high = -12.0, 12.0
-    for _ in range(200):
-        mid = (low + high) / 2
-        low, high = (mid, high) if 0.5 * math.erfc(-mid / math.sqrt(2)) < p else (low, mid)
-    return (low + high) / 2
+    tail = lambda q: poly(c, F.sqrt(-2 * F.log(q))) / poly(d, F.sqrt(-2 * F.log(q)))
+    r = (p - 0.5) * (p - 0.5)
+    return F.when(p < 0.02425, tail(p)).when(p > 1 - 0.02425, -tail(1 - p)).otherwise((p - 0.5) * poly(a, r) / poly(b, r))
 
 
-def expected_max_sharpe(variance: float, n: int) -> float:
-    """Largest Sharpe that luck brings among n trials with this variance of Sharpes; 0 for one trial."""
-    if n <= 1:
-        return 0.0
-    gamma = 0.5772156649015329
-    return math.sqrt(variance) * ((1 - gamma) * inverse_normal(1 - 1 / n) + gamma * inverse_normal(1 - 1 / (n * math.e)))
+def expected_max_sharpe(variance: Column, n: Column) -> Column:
+    """Largest Sharpe that luck brings among n trials with this variance of Sharpes; NULL for fewer than two."""
+    gamma, e = 0.5772156649015329, 2.718281828459045
+    return F.when(n > 1, F.sqrt(variance) * ((1 - gamma) * inverse_normal(1 - 1 / n) + gamma * inverse_normal(1 - 1 / (n * e))))
 
 
 def deflated_sharpe(stats: DataFrame, trials: DataFrame, year: int = 252) -> DataFrame:
-    """psr() against the luck hurdle of a ledger of annual trial Sharpes (one number each)."""
-    v, n = trials.agg(F.var_samp("sharpe_annual"), F.count(F.lit(1))).first()
-    hurdle = expected_max_sharpe(float(v or 0.0), int(n)) / math.sqrt(year)
-    return psr(stats, hurdle).withColumnRenamed("psr", "dsr").withColumn("hurdle", F.lit(hurdle))
+    """psr() against the luck hurdle of a ledger of annual trial Sharpes (one number each); fewer than two trials raise an error when computed."""
+    ledger = trials.agg(F.var_samp("sharpe_annual").alias("_v"), F.count(F.lit(1)).alias("_n"))
+    hurdle = F.when(F.col("_n") < 2, F.raise_error(F.lit("fewer than two trials")).cast("double")).otherwise(expected_max_sharpe(F.col("_v"), F.col("_n")) / F.sqrt(F.lit(float(year))))
+    known = stats.join(F.broadcast(ledger.select(hurdle.alias("hurdle"))))  # one row
+    return psr(known, F.col("hurdle")).withColumnRenamed("psr", "dsr")
 
 
 def bootstrap_starts(spark, n: int, block: int, n_boot: int, seed: int) -> DataFrame:
@@ -197,11 +213,9 @@ def block_bootstrap_diff(pair: DataFrame, block: int, n_boot: int, seed: int = 0
     The streams have one row a period, so they are small; resamples are n_boot times as many
     rows, joined on idx and reduced by partial sums.
     """
-    n = pair.count()
-    if n < 5 * block:
-        raise ValueError("fewer than five blocks of rows")
+    size = pair.agg(F.when(F.count(F.lit(1)) < 5 * block, F.raise_error(F.lit("fewer than five blocks of rows")).cast("long")).otherwise(F.count(F.lit(1))).alias("n"))
     sharpe = lambda c: F.avg(c) / F.stddev_samp(c) * year**0.5
-    rows = bootstrap_starts(pair.sparkSession, n, block, n_boot, seed).join(pair, "idx")
+    rows = bootstrap_rows(size, block, n_boot, seed).join(pair, "idx")
     boots = rows.groupBy("boot").agg((sharpe("ra") - sharpe("rb")).alias("d"))
     observed = pair.agg((sharpe("ra") - sharpe("rb")).alias("observed"))
     stats = boots.agg(F.percentile("d", F.lit(0.025)).alias("low"), F.percentile("d", F.lit(0.975)).alias("high"), F.avg((F.col("d") <= 0).cast("double")).alias("p"))
@@ -236,16 +250,57 @@ def proxy_validation(pair: DataFrame) -> DataFrame:
     return x.agg(F.corr("ra", "rb").alias("corr"), (F.stddev_samp("ra") / F.stddev_samp("rb")).alias("vol_ratio"), F.count(F.lit(1)).alias("n"))
 
 
-def reconcile(pair: DataFrame, year: int = 252) -> DataFrame:
+def reconcile(pair: DataFrame, year: int = 252, by: tuple[str, ...] = ()) -> DataFrame:
     """Checks two curves (dt, ea, eb) that should agree: return correlation, terminal ratio, Sharpe difference, and the verdict."""
-    w = Window.orderBy("dt")
+    w = Window.partitionBy(*by).orderBy("dt")
     x = pair.withColumns({"_a": F.col("ea") / F.lag("ea").over(w) - 1, "_b": F.col("eb") / F.lag("eb").over(w) - 1})
     sharpe = lambda c: F.avg(c) / F.stddev_samp(c) * year**0.5
     ratio = (F.max_by("ea", "dt") / F.min_by("ea", "dt")) / (F.max_by("eb", "dt") / F.min_by("eb", "dt"))
-    out = x.agg(F.corr("_a", "_b").alias("corr"), ratio.alias("ratio"), F.abs(sharpe("_a") - sharpe("_b")).alias("d_sharpe"))
+    out = x.groupBy(*by).agg(F.corr("_a", "_b").alias("corr"), ratio.alias("ratio"), F.abs(sharpe("_a") - sharpe("_b")).alias("d_sharpe"))
     return out.withColumn("agree", (F.col("corr") >= 0.999) & (F.abs(F.col("ratio") - 1) <= 0.01) & (F.col("d_sharpe") <= 0.02))
 
 
+def bootstrap_drawdowns(returns: DataFrame, leverage: DataFrame, block: int, n_boot: int, seed: int = 0) -> DataFrame:
+    """scheme, p50, p5: quantiles of the deepest drawdown over resampled paths, at the mean leverage and at each row's own.
+
+    ``returns`` has (idx, ret), one stream; ``leverage`` (idx, leverage), drawn along with its row.  Paths are rows of one
+    job, reduced by windows of each path.
+    """
+    x = returns.join(leverage, "idx").where("ret is not null and leverage is not null")
+    x = x.select("ret", "leverage", (F.row_number().over(Window.orderBy("idx")) - 1).cast("long").alias("idx"))
+    size = x.agg(F.count(F.lit(1)).alias("n"), F.avg("leverage").alias("_mean"))
+    rows = bootstrap_rows(size, block, n_boot, seed).join(x, "idx")
+    each = rows.select("boot", "pos", F.explode(F.array(F.struct(F.lit("constant").alias("scheme"), (F.col("_mean") * F.col("ret")).alias("r")), F.struct(F.lit("dynamic").alias("scheme"), (F.col("leverage") * F.col("ret")).alias("r")))).alias("e")).select("boot", "pos", "e.*")
+    w = Window.partitionBy("scheme", "boot").orderBy("pos")
+    each = each.withColumn("_v", F.product(1 + F.greatest("r", F.lit(-1.0))).over(w))
+    each = each.withColumn("_dd", F.try_divide(F.col("_v"), F.greatest(F.max("_v").over(w), F.lit(1.0))) - 1)
+    worst = each.groupBy("scheme", "boot").agg(F.min("_dd").alias("d"))
+    return worst.groupBy("scheme").agg(F.percentile("d", F.lit(0.5)).alias("p50"), F.percentile("d", F.lit(0.05)).alias("p5"))
+
+
+def bootstrap_rows(size: DataFrame, block: int, n_boot: int, seed: int) -> DataFrame:
+    """bootstrap_starts() where the number of rows n stands in a table of one row, whose other columns come along."""
+    x = size.sparkSession.range(n_boot).select(F.col("id").alias("boot")).join(F.broadcast(size))
+    x = x.withColumn("blk", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / block).cast("int") - 1)))
+    start = F.pmod(F.col("boot") * F.lit(2654435761) + F.col("blk").cast("long") * F.lit(40503) + F.lit(seed * 97), F.lit(2147483647)) % (F.col("n") - block + 1)
+    x = x.withColumn("start", start).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(block - 1))))
+    x = x.withColumns({"pos": F.col("blk") * block + F.col("k"), "idx": F.col("start") + F.col("k")}).where("pos < n")
+    return x.drop("blk", "start", "k", "n")
+
+
+def decompose_drag(obs: DataFrame, fields: list[str], control: str, fwd: str = "fwd", least: int = 5) -> DataFrame:
+    """field, mean_ic, dates: rank correlation with the forward return of each percentile column, their mean and a control, on dates with ``least`` names.
+
+    Correlations are Pearson's of average ranks, one grouped aggregate over all dates and fields.
+    """
+    named = [*fields, control]
+    x = obs.where(F.col(fwd).isNotNull()).select("as_of", F.col(fwd).alias("_f"), *[F.col(c).cast("double").alias(c) for c in named])
+    long = x.unpivot(["as_of", "_f"], named, "field", "v").where("v is not null")
+    rank = lambda c: F.rank().over(Window.partitionBy("as_of", "field").orderBy(c)) + (F.count(F.lit(1)).over(Window.partitionBy("as_of", "field", c)) - 1) / 2.0
+    ic = long.withColumns({"_a": rank("v"), "_b": rank("_f")}).groupBy("field", "as_of").agg(F.corr("_a", "_b").alias("ic"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    return ic.groupBy("field").agg(F.avg("ic").alias("mean_ic"), F.count("ic").alias("dates"))
+
+
 def dominance_verdict(candidate: DataFrame, base: DataFrame) -> DataFrame:
     """Whether a candidate's distribution (median, least, median_dd) is above the base's in all three."""
     b = base.select(F.col("median").alias("_m"), F.col("least").alias("_l"), F.col("median_dd").alias("_d"))

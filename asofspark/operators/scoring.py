@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import heapq
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -80,28 +83,27 @@ def shadow_levered(scored: DataFrame, leverage: float, spread: float) -> DataFra
     return scored.withColumn("levered", F.product(growth).over(Window.partitionBy("book").orderBy("k")))
 
 
-def signal_curve(signals: DataFrame, cost_bps: float, cash: float = 0.0, initial: float = 10_000.0) -> DataFrame:
+def signal_curve(signals: DataFrame, cost_bps: float, cash: float = 0.0, initial: float = 10_000.0, rounds: int = 4) -> DataFrame:
     """run_id, idx, dt, equity of single-asset signals decided at a close and filled at the next open.
 
-    Rows of (run_id, idx, dt, open, close, signal).  Turnover depends on the drifted weight
-    after fees, one number carried from bar to bar, so each run is a fold over its own rows.
+    Rows of (run_id, idx, dt, open, close, signal).  What is traded at an open depends on the weight u that
+    the position has drifted to, and u on the fee of the trade before: u' = s g / (s g + (1 - s - f |s - u|) c)
+    with the target s, the fee f, the growth g of the price and c of cash.  A round
+    of this map shrinks an error of u by the factor f, so ``rounds`` window passes are exact to f ** rounds;
+    the equity is then a window product.
     """
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("idx")
-        o, c, sig = (pdf[k].to_numpy(dtype=float) for k in ("open", "close", "signal"))
-        fee, grow = cost_bps / 1e4, 1 + cash / 252
-        out, money, units = [], initial, 0.0
-        for i in range(len(pdf)):
-            money *= grow
-            if i:
-                want = (money + units * o[i]) * sig[i - 1] / o[i]
-                money -= (want - units) * o[i] + abs(want - units) * o[i] * fee
-                units = want
-            out.append(money + units * c[i])
-        return pdf[["run_id", "idx", "dt"]].assign(equity=out)
-
-    return signals.groupBy("run_id").applyInPandas(fold, "run_id string, idx long, dt date, equity double")
+    w = Window.partitionBy("run_id").orderBy("idx")
+    fee, grow = cost_bps / 1e4, 1 + cash / 252
+    x = signals.withColumns({"_s": F.coalesce(F.lag("signal").over(w), F.lit(0.0)), "_g": F.lead("open").over(w) / F.col("open")})
+    x = x.withColumn("_u", F.lit(0.0))
+    for _ in range(rounds):
+        stock = F.col("_s") * F.col("_g")
+        after = F.try_divide(stock, stock + (1 - F.col("_s") - fee * F.abs(F.col("_s") - F.col("_u"))) * grow)
+        x = x.withColumn("_after", after).withColumn("_u", F.coalesce(F.lag("_after").over(w), F.lit(0.0)))
+    rest = 1 - F.col("_s") - fee * F.abs(F.col("_s") - F.col("_u"))
+    x = x.withColumns({"_m": F.col("_s") * F.col("_g") + rest * grow, "_now": F.col("_s") * F.col("close") / F.col("open") + rest})
+    before = F.coalesce(F.product("_m").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(1.0))
+    return x.select("run_id", "idx", "dt", (initial * grow * before * F.col("_now")).alias("equity"))
 
 
 def signal_curve_free(signals: DataFrame, initial: float = 10_000.0) -> DataFrame:
@@ -120,35 +122,42 @@ def stop_exits(held: DataFrame, closes: DataFrame, stop: float) -> DataFrame:
     return hit.groupBy("run_id", "symbol", "start").agg(F.min("dt").alias("exit_dt"))
 
 
-def schedule_curve(weights: DataFrame, prices: DataFrame, cost_bps: float, initial: float = 10_000.0) -> DataFrame:
+def schedule_curve(
+    weights: DataFrame, prices: DataFrame, cost_bps: float, initial: float = 10_000.0, rates: DataFrame | None = None, cash_rate: float = 0.0,
+    financing: float = 0.0, borrow_bps: float = 0.0, rows_a_year: float = 252.0,
+) -> DataFrame:
     """run_id, mark, equity, turnover at each rebalance of multi-asset schedules (run_id, mark, symbol, w), filled at px of the mark.
 
-    A rebalance trades to its weights from the drifted ones; fees come off the equity.  The
-    growth of every leg between rebalances comes from joins; only the fee recursion, one
-    number a rebalance, is a fold over each run's few rows.
+    A rebalance trades to its weights from those that the last ones have drifted to; fees come off the equity.
+    What is not invested earns ``cash_rate``, or the rate of each row of ``rates`` (idx, rf); negative cash pays that
+    plus ``financing``, shorts pay ``borrow_bps``, both a year and as simple interest within a segment.  A
+    name without a price at either end stands still.  Drifted weights don't depend on fees, so nothing is
+    recursive: growth comes from joins and the equity is a window product.
     """
-    marks = weights.select("run_id", "mark").distinct()
+    spans = weights.select("run_id", "mark").distinct()
     w = Window.partitionBy("run_id").orderBy("mark")
-    spans = marks.withColumn("next", F.lead("mark").over(w))
+    spans = spans.withColumn("next", F.lead("mark").over(w))
     at = prices.select("symbol", F.col("idx").alias("_i"), "px")
     legs = weights.join(spans, ["run_id", "mark"])
     legs = legs.join(at.withColumnsRenamed({"_i": "mark", "px": "p0"}), ["symbol", "mark"], "left").join(at.withColumnsRenamed({"_i": "next", "px": "p1"}), ["symbol", "next"], "left")
     legs = legs.withColumn("g", F.coalesce(F.try_divide(F.col("p1"), F.col("p0")), F.lit(1.0)))
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows, equity, held = [], initial, {}
-        for mark, part in pdf.sort_values(["mark", "symbol"]).groupby("mark", sort=True):
-            want = dict(zip(part["symbol"], part["w"], strict=True))
-            turn = sum(abs(want.get(s, 0.0) - held.get(s, 0.0)) for s in sorted(set(want) | set(held)))
-            equity *= 1 - turn * cost_bps / 1e4
-            rows.append((pdf["run_id"].iloc[0], mark, equity, turn))
-            growth = dict(zip(part["symbol"], part["g"], strict=True))
-            total = 1 + sum(v * (growth[s] - 1) for s, v in want.items())
-            held = {s: v * growth[s] / total for s, v in want.items()}
-            equity *= total
-        return pd.DataFrame(rows, columns=["run_id", "mark", "equity", "turnover"])
-
-    return legs.select("run_id", "mark", "symbol", "w", "g").groupBy("run_id").applyInPandas(fold, "run_id string, mark long, equity double, turnover double")
+    seg = legs.groupBy("run_id", "mark", "next").agg(F.sum(F.col("w") * F.col("g")).alias("_grown"), (1 - F.sum("w")).alias("_cash"), F.sum(F.greatest(-F.col("w"), F.lit(0.0))).alias("_short"))
+    years = (F.col("next") - F.col("mark")) / rows_a_year
+    if rates is None:
+        seg = seg.withColumn("_rf", years * cash_rate)
+    else:  # the sum of the rates from one mark to the next, as a difference of running sums
+        total = rates.select(F.col("idx").alias("_i"), F.sum("rf").over(Window.orderBy("idx")).alias("_c"))
+        seg = seg.join(total.withColumnsRenamed({"_i": "mark", "_c": "_c0"}), "mark", "left").join(total.withColumnsRenamed({"_i": "next", "_c": "_c1"}), "next", "left")
+        seg = seg.withColumn("_rf", (F.col("_c1") - F.col("_c0")) / rows_a_year)
+    interest = F.col("_rf") + F.when(F.col("_cash") < 0, years * financing).otherwise(0.0)
+    earned = F.col("_grown") + F.col("_cash") * (1 + F.coalesce(interest, F.lit(0.0))) - F.coalesce(F.col("_short") * years * (borrow_bps / 1e4), F.lit(0.0))
+    seg = seg.withColumn("_total", F.when(F.col("next").isNotNull(), earned).otherwise(1.0)).select("run_id", "mark", "_total")
+    drifted = legs.join(seg, ["run_id", "mark"]).where("next is not null").select("run_id", F.col("next").alias("mark"), "symbol", (F.col("w") * F.col("g") / F.col("_total")).alias("_d"))
+    moved = weights.select("run_id", "mark", "symbol", "w").join(drifted, ["run_id", "mark", "symbol"], "full_outer")
+    turn = moved.groupBy("run_id", "mark").agg(F.sum(F.abs(F.coalesce("w", F.lit(0.0)) - F.coalesce("_d", F.lit(0.0)))).alias("turnover"))
+    paid = F.product(1 - F.col("turnover") * (cost_bps / 1e4)).over(w)
+    grown = F.coalesce(F.product("_total").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(1.0))
+    return turn.join(seg, ["run_id", "mark"]).select("run_id", F.col("mark").cast("long").alias("mark"), (initial * paid * grown).alias("equity"), "turnover")
 
 
 def turnover_per_year(scored: DataFrame, rows_a_year: float) -> DataFrame:
@@ -157,30 +166,33 @@ def turnover_per_year(scored: DataFrame, rows_a_year: float) -> DataFrame:
     return scored.groupBy("run_id").agg(F.try_divide(F.sum("turnover"), years).alias("turnover_year"))
 
 
-def two_leg_mix(legs: DataFrame, w: float, bps: float) -> DataFrame:
-    """dt, equity of two return streams (dt, ra, rb) mixed w : 1 - w and set back at each month's start, with cost on both legs."""
+def two_leg_mix(legs: DataFrame, w: float, bps: float, by: tuple[str, ...] = ()) -> DataFrame:
+    """``by``, dt, equity of two return streams (dt, ra, rb) mixed w : 1 - w and set back at each month's start, with cost on both legs.
+
+    Many runs go through at once, told apart by the columns ``by``.
+    """
     month = F.trunc("dt", "month")
-    inside = Window.partitionBy("_mo").orderBy("dt")
+    inside = Window.partitionBy(*by, "_mo").orderBy("dt")
     x = legs.withColumn("_mo", month).withColumns({"_a": F.product(1 + F.col("ra")).over(inside), "_b": F.product(1 + F.col("rb")).over(inside)})
-    end = x.groupBy("_mo").agg(F.max_by("_a", "dt").alias("_ea"), F.max_by("_b", "dt").alias("_eb"))
-    wo = Window.orderBy("_mo")
+    end = x.groupBy(*by, "_mo").agg(F.max_by("_a", "dt").alias("_ea"), F.max_by("_b", "dt").alias("_eb"))
+    wo = Window.partitionBy(*by).orderBy("_mo")
     total = w * F.col("_ea") + (1 - w) * F.col("_eb")
     end = end.withColumns({"_drift": F.lag(w * F.col("_ea") / total).over(wo), "_total": total})
     end = end.withColumn("_turn", F.when(F.col("_drift").isNull(), 1.0).otherwise(2 * F.abs(w - F.col("_drift"))))
     end = end.withColumn("_start", F.coalesce(F.product(F.col("_total") * (1 - F.col("_turn") * bps / 1e4)).over(wo.rowsBetween(Window.unboundedPreceding, -1)), F.lit(1.0)))
-    out = x.join(end, "_mo")
-    return out.select("dt", (10_000.0 * F.col("_start") * (1 - F.col("_turn") * bps / 1e4) * (w * F.col("_a") + (1 - w) * F.col("_b"))).alias("equity"))
+    out = x.join(end, [*by, "_mo"])
+    return out.select(*by, "dt", (10_000.0 * F.col("_start") * (1 - F.col("_turn") * bps / 1e4) * (w * F.col("_a") + (1 - w) * F.col("_b"))).alias("equity"))
 
 
-def constant_mix(legs: DataFrame, w: float | None = None, initial: float = 10_000.0) -> DataFrame:
-    """dt, equity of daily w ra + (1 - w) rb; without w, by inverse volatility over the whole sample."""
+def constant_mix(legs: DataFrame, w: float | None = None, initial: float = 10_000.0, by: tuple[str, ...] = ()) -> DataFrame:
+    """``by``, dt, equity of daily w ra + (1 - w) rb; without w, by inverse volatility over the whole sample of each run."""
     if w is None:
-        iv = legs.agg((1 / F.stddev_samp("ra")).alias("_ia"), (1 / F.stddev_samp("rb")).alias("_ib"))
-        x = legs.join(F.broadcast(iv)).withColumn("_w", F.col("_ia") / (F.col("_ia") + F.col("_ib")))
+        iv = legs.groupBy(*by).agg((1 / F.stddev_samp("ra")).alias("_ia"), (1 / F.stddev_samp("rb")).alias("_ib"))
+        x = (legs.join(iv, list(by)) if by else legs.join(F.broadcast(iv))).withColumn("_w", F.col("_ia") / (F.col("_ia") + F.col("_ib")))
     else:
         x = legs.withColumn("_w", F.lit(w))
     r = F.col("_w") * F.col("ra") + (1 - F.col("_w")) * F.col("rb")
-    return x.select("dt", (initial * F.product(1 + r).over(Window.orderBy("dt"))).alias("equity"))
+    return x.select(*by, "dt", (initial * F.product(1 + r).over(Window.partitionBy(*by).orderBy("dt"))).alias("equity"))
 
 
 def lever_to_vol(legs: DataFrame, rf: float = 0.0, spread: float = 0.004, year: int = 252) -> DataFrame:
@@ -216,10 +228,15 @@ def holdings_report(holdings: DataFrame, prices: DataFrame, cash: float) -> Data
 
 
 def twin_value(flows: DataFrame, curve: DataFrame) -> DataFrame:
-    """twin: every flow grown from the first curve date on or after it to the end."""
-    end = curve.agg(F.max_by("equity", "dt").alias("_end"))
-    met = flows.withColumnRenamed("dt", "_f").join(curve, F.col("dt") >= F.col("_f")).groupBy("_f", "amount").agg(F.min_by("equity", "dt").alias("_anchor"))
-    return met.join(F.broadcast(end)).agg(F.sum(F.col("amount") * F.col("_end") / F.col("_anchor")).alias("twin"))
+    """twin: every flow grown from the first curve date on or after it to the end; a flow after the last date adds nothing.
+
+    The curve's dates and the flows' are one ordered stream in which each flow looks forward to the next curve row.
+    """
+    none = F.lit(None).cast("double")
+    both = curve.select("dt", F.lit(1).alias("_k"), "equity", none.alias("amount")).unionByName(flows.select("dt", F.lit(0).alias("_k"), none.alias("equity"), "amount"))
+    ahead = Window.orderBy("dt", "_k").rowsBetween(0, Window.unboundedFollowing)
+    x = both.withColumns({"_anchor": F.first("equity", ignorenulls=True).over(ahead), "_end": F.last("equity", ignorenulls=True).over(ahead)})
+    return x.where("_k = 0").agg(F.sum(F.col("amount") * F.col("_end") / F.col("_anchor")).alias("twin"))
 
 
 def gap_report(gaps: DataFrame) -> DataFrame:
@@ -230,44 +247,72 @@ def gap_report(gaps: DataFrame) -> DataFrame:
     return x.join(F.broadcast(drift))
 
 
+#: Shares below which a lot or a sale is done, and days from which a gain is long term (fixed values).
+LEAST_SHARES, YEAR_AND_DAY = 1e-9, 366
 LOT_SCHEMA = "account string, ticker string, kind string, bought date, sold date, shares double, basis double, gain double, term string"
 
 
 def lots_hifo(fills: DataFrame) -> DataFrame:
     """Open lots, realized sales and oversold errors of fills (account, date, side, ticker, shares, dollars, seq).
 
-    A sale takes the lots of the highest cost a share first; above a year is long term.
+    A sale takes the open lots of the highest cost a share, the oldest of equal ones; what was held a
+    year and a day is long term.  Fills stream by in order of (account, ticker, date); only the open lots of one account's
+    ticker are held, in a heap, so a fill costs the logarithm of their number.
     """
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        lots, rows = [], []
-        for f in pdf.sort_values(["date", "seq"]).itertuples():
-            if f.side == "BUY":
-                lots.append([f.date, f.shares, f.dollars / f.shares])
-                continue
-            left, each = f.shares, f.dollars / f.shares
-            for lot in sorted(lots, key=lambda x: -x[2]):
-                take = min(left, lot[1])
-                if take <= 0:
+    names = [c.split()[0] for c in LOT_SCHEMA.split(", ")]
+    kinds = pa.schema([(c, {"date": pa.date32(), "double": pa.float64(), "string": pa.string()}[k]) for c, k in (f.split() for f in LOT_SCHEMA.split(", "))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        owner, heap, rows = None, [], []  # heap of (-unit cost, order, day, [shares left])
+
+        def closed() -> None:
+            for unit, _, day, left in sorted(heap, key=lambda lot: lot[1]):
+                rows.append((*owner, "open", day, None, left[0], -unit * left[0], None, None))
+            heap.clear()
+
+        def sent() -> Iterator[pa.RecordBatch]:
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kinds.field(k).type) for k in range(len(names))], schema=kinds)
+            rows.clear()
+
+        for batch in batches:
+            for account, ticker, day, side, shares, dollars in zip(*(batch.column(c).to_pylist() for c in ("account", "ticker", "date", "side", "shares", "dollars")), strict=True):
+                if (account, ticker) != owner:
+                    closed()
+                    owner, order = (account, ticker), 0
+                each = dollars / shares
+                order += 1
+                if side == "BUY":
+                    heapq.heappush(heap, (-each, order, day, [shares]))
                     continue
-                term = "LT" if (f.date - lot[0]).days >= 366 else "ST"
-                rows.append(("realized", lot[0], f.date, take, take * lot[2], take * (each - lot[2]), term))
-                lot[1] -= take
-                left -= take
-            lots = [x for x in lots if x[1] > 1e-9]
-            if left > 1e-9:
-                rows.append(("oversold", None, f.date, left, None, None, None))
-        rows += [("open", d, None, n, n * c, None, None) for d, n, c in lots]
-        out = pd.DataFrame(rows, columns=["kind", "bought", "sold", "shares", "basis", "gain", "term"])
-        out.insert(0, "account", pdf["account"].iloc[0])
-        out.insert(1, "ticker", pdf["ticker"].iloc[0])
-        return out
-
-    return fills.groupBy("account", "ticker").applyInPandas(fold, LOT_SCHEMA)
+                while shares > LEAST_SHARES and heap:
+                    unit, _, bought, left = heap[0]
+                    n = min(left[0], shares)
+                    rows.append((*owner, "realized", bought, day, n, -unit * n, (each + unit) * n, "LT" if (day - bought).days >= YEAR_AND_DAY else "ST"))
+                    shares -= n
+                    left[0] -= n
+                    if left[0] <= LEAST_SHARES:
+                        heapq.heappop(heap)
+                if shares > LEAST_SHARES:
+                    rows.append((*owner, "oversold", None, day, shares, None, None, None))
+            yield from sent()
+        closed()
+        yield from sent()
+
+    ordered = fills.select("account", "ticker", "date", "side", F.col("shares").cast("double"), F.col("dollars").cast("double"), "seq")
+    return ordered.repartition("account", "ticker").sortWithinPartitions("account", "ticker", "date", "seq").mapInArrow(run, LOT_SCHEMA)
 
 
 def lots_report(lots: DataFrame, prices: DataFrame, asof: str) -> DataFrame:
-    """Unrealized gain of open lots, and when each goes long term."""
+    """Unrealized gain of open lots, when each goes long term, and whether it does so by the date and by that year's end."""
     day = F.lit(asof).cast("date")
     x = lots.where("kind = 'open'").join(prices, "ticker", "left")
-    return x.select("account", "ticker", "bought", "shares", (F.col("shares") * F.col("price") - F.col("basis")).alias("unrealized"), F.date_add("bought", 366).alias("long_term_on"), (F.date_add("bought", 366) <= day).alias("is_long_term"))
+    on = F.date_add("bought", YEAR_AND_DAY)
+    gain = F.col("shares") * F.col("price") - F.col("basis")
+    year_end = F.make_date(F.year(day), F.lit(12), F.lit(31))
+    return x.select("account", "ticker", "bought", "shares", gain.alias("unrealized"), on.alias("long_term_on"), (on <= day).alias("is_long_term"), ((on <= year_end) & (gain > 0)).alias("gain_long_by_year_end"))
+
+
+def realized_by_year(lots: DataFrame) -> DataFrame:
+    """Shares, basis and gain of realized sales, by account, year of sale and term."""
+    x = lots.where("kind = 'realized'").groupBy("account", F.year("sold").alias("year"), "term")
+    return x.agg(F.sum("shares").alias("shares"), F.sum("basis").alias("basis"), F.sum("gain").alias("gain"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -35,45 +35,75 @@ def top_k(signals: DataFrame, k: int, by: tuple[str, ...], order: str) -> DataFr
     return signals.withColumn("_p", place).where(F.col("_p") <= k).drop("_p")
 
 
-def hrp_group(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Hierarchical risk parity of one covariance matrix in long form (mark, a, b, cov)."""
-    names = sorted(set(pdf["a"]) | set(pdf["b"]))
-    at = {s: i for i, s in enumerate(names)}
-    n = len(names)
-    cov = np.zeros((n, n))
-    for a, b, v in zip(pdf["a"], pdf["b"], pdf["cov"], strict=True):
-        cov[at[a], at[b]] = cov[at[b], at[a]] = v
-    dev = np.sqrt(np.diag(cov))
-    dist = np.sqrt(np.clip(0.5 * (1 - cov / np.outer(dev, dev)), 0, None))
-    # Single linkage: the clusters whose nearest members are nearest are joined, and their orders appended.
-    clusters = [[i] for i in range(n)]
-    while len(clusters) > 1:
-        gaps = [(dist[np.ix_(x, y)].min(), i, j) for i, x in enumerate(clusters) for j, y in enumerate(clusters) if i < j]
-        _, i, j = min(gaps)
-        clusters = [c for k, c in enumerate(clusters) if k not in (i, j)] + [clusters[i] + clusters[j]]
-    w = np.ones(n)
-
-    def risk(items: list[int]) -> float:
-        inv = 1 / np.diag(cov)[items]
-        inv = inv / inv.sum()
-        return float(inv @ cov[np.ix_(items, items)] @ inv)
-
-    parts = clusters[:1] if n else []
-    while parts:
-        items = parts.pop()
-        if len(items) < 2:
+def spanning_order(dist: np.ndarray) -> np.ndarray:
+    """Leaf order of single linkage, from the edges of a minimum spanning tree in order of length.
+
+    Joining two trees appends the younger one's leaves (leaves count by index, joined trees by
+    the time of their making); edges of equal length are taken by their ends.
+    """
+    n = len(dist)
+    one, two = np.triu_indices(n, 1)
+    tree, born, leaves = np.arange(n), list(range(n)), {k: [k] for k in range(n)}
+    for e in np.lexsort((two, one, dist[one, two])):
+        x, y = sorted((int(tree[one[e]]), int(tree[two[e]])), key=born.__getitem__)
+        if x == y:
             continue
-        a, b = items[: len(items) // 2], items[len(items) // 2 :]
-        share = 1 - risk(a) / (risk(a) + risk(b))
-        w[a] *= share
-        w[b] *= 1 - share
-        parts += [a, b]
-    return pd.DataFrame({"mark": pdf["mark"].iloc[0], "symbol": names, "w": w})
+        leaves[x] += leaves.pop(y)
+        tree[leaves[x]] = x
+        born[x] = max(born) + 1
+        if len(leaves) == 1:
+            break
+    return np.array(next(iter(leaves.values())) if n else [], dtype=np.int64)
+
+
+def bisection_weights(cov: np.ndarray) -> np.ndarray:
+    """Weights of assets in their order: every level halves all spans at once.
+
+    A span's risk under inverse-variance weights is a block sum of one matrix over the square of a sum, so
+    both come from running totals.
+    """
+    n = len(cov)
+    inverse = 1 / np.diag(cov)
+    blocks = np.zeros((n + 1, n + 1))
+    blocks[1:, 1:] = (cov * np.outer(inverse, inverse)).cumsum(axis=0).cumsum(axis=1)
+    sums = np.concatenate([[0.0], np.cumsum(inverse)])
+    risk = lambda a, b: (blocks[b, b] - blocks[a, b] - blocks[b, a] + blocks[a, a]) / (sums[b] - sums[a]) ** 2
+    w, begin, end = np.ones(n), np.array([0]), np.array([n])
+    while (wide := end - begin > 1).any():
+        begin, end = begin[wide], end[wide]
+        middle = begin + (end - begin) // 2
+        left = risk(middle, end) / (risk(begin, middle) + risk(middle, end))
+        for a, m, b, share in zip(begin, middle, end, left, strict=True):
+            w[a:m] *= share
+            w[m:b] *= 1 - share
+        begin, end = np.concatenate([begin, middle]), np.concatenate([middle, end])
+    return w
 
 
 def hrp_weights(cov: DataFrame) -> DataFrame:
-    """Recursive bisection over a single-linkage order, for each mark's covariance matrix (one small group each)."""
-    return cov.groupBy("mark").applyInPandas(hrp_group, f"mark {cov.schema['mark'].dataType.simpleString()}, symbol string, w double")
+    """Hierarchical risk parity of each mark's covariance matrix (mark, a, b, cov): one matrix of assets a group, a few hundred at most."""
+
+    def solve(rows: pd.DataFrame) -> pd.DataFrame:
+        names = np.unique(np.concatenate([rows["a"], rows["b"]]))
+        i, j = np.searchsorted(names, rows["a"]), np.searchsorted(names, rows["b"])
+        matrix = np.zeros((len(names), len(names)))
+        matrix[i, j] = matrix[j, i] = rows["cov"]
+        scale = np.sqrt(np.diag(matrix))
+        order = spanning_order(np.sqrt(np.maximum(0.5 - 0.5 * matrix / scale / scale[:, None], 0)))
+        return pd.DataFrame({"mark": rows["mark"].iloc[0], "symbol": names[order], "w": bisection_weights(matrix[np.ix_(order, order)])})
+
+    return cov.groupBy("mark").applyInPandas(solve, f"mark {cov.schema['mark'].dataType.simpleString()}, symbol string, w double")
+
+
+def ext_vol_weights(signals: DataFrame, vols: DataFrame, by: tuple[str, ...] = ("run_id", "mark")) -> DataFrame:
+    """inverse_vol_weights() with volatilities of another panel (mark, symbol, vol).
+
+    A signal without a volatility there raises an error when the result is computed; the test rides on the join, as one more column.
+    """
+    known = vols.select("mark", "symbol", F.col("vol").alias("_v"), F.lit(True).alias("_known"))
+    x = signals.drop("vol").join(known, ["mark", "symbol"], "left")
+    checked = F.when(F.col("_known").isNull(), F.raise_error(F.concat(F.lit("no volatility of "), "symbol", F.lit(" at "), F.col("mark").cast("string"))).cast("double")).otherwise(F.col("_v"))
+    return inverse_vol_weights(x.withColumn("vol", checked), by).drop("_v", "_known")
 
 
 def risk_parity_split(returns: DataFrame) -> DataFrame:
@@ -148,24 +178,26 @@ def posture(weights: DataFrame, defensive: list[str], by: tuple[str, ...] = ("ma
 
 
 def candidate_pairs(members: DataFrame) -> DataFrame:
-    """Pairs a < b of symbols within a group; groups are industries, small by nature."""
+    """Pairs a < b of symbols within a group (an industry); the pairs are the result, so the join makes no row more."""
     one, two = members.select("grp", F.col("symbol").alias("a")), members.select("grp", F.col("symbol").alias("b"))
     return one.join(two, "grp").where("a < b")
 
 
 def pair_positions(spread: DataFrame, entry: float, leave: float, stop: float, by: tuple[str, ...] = ("pair",)) -> DataFrame:
-    """Adds position (-1, 0, 1): flat until the z-score passes ``entry``; left inside ``leave`` or beyond ``stop``.
+    """Adds position (-1, 0, 1): flat until the z-score passes ``entry``; left inside ``leave`` or beyond ``stop`` (leave <= entry <= stop).
 
-    A state machine over each pair's rows in order, as one fold over a sorted array.
+    No row needs the state before it: a score inside ``leave`` closes, one between ``entry`` and
+    ``stop`` makes sure that a position is open, and one beyond ``stop`` opens or closes in turn.  So whether a
+    position is open follows from the last of the first two kinds and the number of the
+    third since then; its side is that of the row where it was opened.
     """
-    z = F.sort_array(F.collect_list(F.struct("idx", "z")))
-    start = F.struct(F.lit(0).alias("p"), F.array().cast("array<struct<idx:bigint,z:double,position:int>>").alias("rows"))
-
-    def step(acc: Column, row: Column) -> Column:
-        p, v = acc["p"], row["z"]
-        opened = F.when(F.abs(v) > entry, F.when(v > 0, -1).otherwise(1)).otherwise(0)
-        closed = F.when((F.abs(v) < leave) | (F.abs(v) > stop), 0).otherwise(p)
-        now = F.when(v.isNull(), p).when(p == 0, opened).otherwise(closed)
-        return F.struct(now.alias("p"), F.concat(acc["rows"], F.array(F.struct(row["idx"].cast("bigint").alias("idx"), row["z"].alias("z"), now.alias("position")))).alias("rows"))
-
-    return spread.groupBy(*by).agg(F.aggregate(z, start, step, lambda a: a["rows"]).alias("_r")).select(*by, F.explode("_r").alias("_x")).select(*by, "_x.*")
+    w = Window.partitionBy(*by).orderBy("idx")
+    size = F.abs("z")
+    fixed = F.when(size < leave, False).when((size > entry) & (size <= stop), True)
+    x = spread.withColumns({"_fixed": fixed, "_turns": F.sum((F.coalesce(size, F.lit(0.0)) > stop).cast("int")).over(w)})
+    since = F.col("_turns") - F.coalesce(F.last(F.when(F.col("_fixed").isNotNull(), F.col("_turns")), ignorenulls=True).over(w), F.lit(0))
+    x = x.withColumn("_open", F.coalesce(F.last("_fixed", ignorenulls=True).over(w), F.lit(False)) != (since % 2 == 1))
+    opened = F.col("_open") & ~F.coalesce(F.lag("_open").over(w), F.lit(False))
+    x = x.withColumn("_side", F.when(opened, F.when(F.col("z") > 0, -1).otherwise(1)))
+    side = F.last("_side", ignorenulls=True).over(w)
+    return x.withColumn("position", F.when(F.col("_open"), side).otherwise(0)).drop("_fixed", "_turns", "_open", "_side")

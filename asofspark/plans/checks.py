@@ -173,10 +173,14 @@ def q_lots_report(spark, d):
     return rounded(sc.lots_report(sc.lots_hifo(fills(spark, d)), p, "2000-01-01"), 2)
 
 
+def q_realized(spark, d):
+    return rounded(sc.realized_by_year(sc.lots_hifo(fills(spark, d))), 2)
+
+
 def q_holdings(spark, d):
-    few = fills(spark, d).where("cast(account AS long) % 50 = 1")  # as its SQL does
-    h = few.where("side = 'BUY'").groupBy("ticker").agg(F.sum("shares").alias("shares"), F.sum("dollars").alias("cost"))
-    p = few.where("ticker <> 'PROMO'").groupBy("ticker").agg((F.max("dollars") / F.max("shares")).alias("price"))
+    every = fills(spark, d)
+    h = every.where("side = 'BUY'").groupBy("ticker").agg(F.sum("shares").alias("shares"), F.sum("dollars").alias("cost"))
+    p = every.where("ticker <> 'PROMO'").groupBy("ticker").agg((F.max("dollars") / F.max("shares")).alias("price"))
     return rounded(sc.holdings_report(h, p, 1000.0), 2)
 
 
@@ -184,11 +188,11 @@ QUERIES = {
     "A1_annual_facts": q_annual, "A3_extract_asof": q_extract, "A2_annual_revenue": q_revenue, "Q1_validate_bars": q_validate, "Q3_drop_dead": q_drop_dead, "Q6_trim_tail": q_trim,
     "Q7_missing_last_row": q_missing, "Q8_staleness": q_stale, "Q9_vendor_spot": q_spot, "Q10_vendor_history": q_history, "Q11_price_fallback": q_fallback, "Q12_quote_guard": q_guard,
     "Q13_rate_sanity": q_rates, "Q16_priceable_topn": q_priceable, "R6_top_fraction": q_top_frac, "A12_rebalance_dates": q_rebalance, "A13_asof_fill": q_asof_fill, "A14_bounded_fill": q_bounded_fill,
-    "A16_forward_return": q_forward, "S3_pivot": q_pivot, "S2_unpivot": q_unpivot, "P20_lots_hifo": q_lots, "P21_lots_report": q_lots_report, "P17_holdings": q_holdings,
+    "A16_forward_return": q_forward, "S3_pivot": q_pivot, "S2_unpivot": q_unpivot, "P20_lots_hifo": q_lots, "P21_lots_report": q_lots_report, "P21_realized_by_year": q_realized, "P17_holdings": q_holdings,
 }
 _B = f"WITH {dt.bars_sql()}"
 _FILLS = """fills AS (SELECT CAST(o_custkey AS VARCHAR) AS account, CASE WHEN l_linenumber >= 4 THEN 'SELL' ELSE 'BUY' END AS side, p_type AS ticker, l_quantity / CASE WHEN l_linenumber >= 4 THEN 2 ELSE 1 END AS shares, l_extendedprice / CASE WHEN l_linenumber >= 4 THEN 2 ELSE 1 END AS dollars
-  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey WHERE o_custkey % 50 = 1)"""
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey)"""
 SQL = {
     "A1_annual_facts": f"WITH {FACTS} SELECT cik, field, fy_end, round(val, 2) + 0.0 AS val, filed FROM an",
     "A3_extract_asof": f"""WITH {FACTS}, kn AS (SELECT * FROM an JOIN asofs ON filed <= as_of), yr AS (SELECT cik, as_of, fy_end, row_number() OVER (PARTITION BY cik, as_of ORDER BY fy_end DESC) AS age FROM kn WHERE field = 'net_income'),

@@ -10,7 +10,7 @@ from asofspark.operators import panel as pn
 from asofspark.operators import scoring as sc
 from asofspark.operators import timeseries as ts
 from asofspark.operators import weights as wt
-from asofspark.plans.common import rounded
+from asofspark.plans.common import rounded, significant_sql
 from asofspark.plans.timeseries import PANEL, mom, r6, roll, schedule
 from asofspark.sources import driver_tables as dt
 
@@ -38,16 +38,13 @@ def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def legs(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = panel(spark, sf_dir).where("ret is not null")
-    one = lambda s, n: x.where(F.col("symbol") == s).select("dt", F.greatest("ret", F.lit(-0.5)).alias(n))
+    one = lambda s, n: x.where(F.col("symbol") == s).select("dt", F.col("ret").alias(n))
     return one("Brand#1", "ra").join(one("Brand#2", "rb"), "dt")
 
 
-def trend(spark: SparkSession, sf_dir: str, whole: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Signals (run_id, mark, symbol, strength, vol) at cycle rows of two offsets, and the covariances there.
-
-    Of the ``whole`` panel, else of the seven symbols that the SQL takes.
-    """
-    p = panel(spark, sf_dir).where(F.lit(whole) | (F.col("symbol") <= "Brand#15"))
+def trend(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Signals (run_id, mark, symbol, strength, vol) at cycle rows of two offsets, and the covariances there."""
+    p = panel(spark, sf_dir)
     x = ts.trend_strength(p, LOOKS).withColumn("vol", ts.rolling_vol(26, 52))
     runs = spark.createDataFrame([("o0", 0), ("o7", 7)], "run_id string, offset int")
     at = x.join(F.broadcast(runs), (F.col("idx") % 26 == F.col("offset")) & (F.col("idx") >= 104))
@@ -79,9 +76,9 @@ sr AS (SELECT k, lock_date, until, sum(w * r) AS seg_ret FROM names GROUP BY 1,
 dr AS (SELECT n.k + 1 AS k, symbol, w * (1 + r) / (1 + seg_ret) AS d FROM names n JOIN sr USING (k)),
 tn AS (SELECT coalesce(n.k, d.k) AS k, sum(abs(coalesce(w, 0) - coalesce(d, 0))) AS turnover FROM names n FULL OUTER JOIN dr d ON n.k = d.k AND n.symbol = d.symbol GROUP BY 1),
 scored AS (SELECT sr.*, coalesce(turnover, 0) AS turnover, 10000 * exp(sum(ln((1 - 0.001 * coalesce(turnover, 0)) * (1 + seg_ret))) OVER (ORDER BY k)) AS value, 1 - exp(sum(ln(1 - 0.001 * coalesce(turnover, 0))) OVER (ORDER BY k)) AS cum_cost FROM sr LEFT JOIN tn USING (k))"""
-LEGS = f"{PANEL}, legs AS (SELECT a.dt, greatest(a.ret, -0.5) AS ra, greatest(b.ret, -0.5) AS rb FROM rets a JOIN rets b ON a.dt = b.dt AND a.symbol = 'Brand#1' AND b.symbol = 'Brand#2' WHERE a.ret IS NOT NULL AND b.ret IS NOT NULL)"
+LEGS = f"{PANEL}, legs AS (SELECT a.dt, a.ret AS ra, b.ret AS rb FROM rets a JOIN rets b ON a.dt = b.dt AND a.symbol = 'Brand#1' AND b.symbol = 'Brand#2' WHERE a.ret IS NOT NULL AND b.ret IS NOT NULL)"
 _STR = " + ".join(f"CASE WHEN {mom(0, n)} > 0 THEN 1.0 WHEN {mom(0, n)} IS NOT NULL THEN 0.0 END" for n in LOOKS)
-TREND = f"""{PANEL}, tr0 AS (SELECT symbol, idx, dt, ret, ({_STR}) / 3.0 AS strength, ({roll('stddev_samp', 'ret', 26)}) * sqrt(52) AS vol FROM rets WHERE symbol <= 'Brand#15'),
+TREND = f"""{PANEL}, tr0 AS (SELECT symbol, idx, dt, ret, ({_STR}) / 3.0 AS strength, ({roll('stddev_samp', 'ret', 26)}) * sqrt(52) AS vol FROM rets),
 runs(run_id, o) AS (VALUES ('o0', 0), ('o7', 7)), sig AS (SELECT run_id, idx AS mark, symbol, strength, vol FROM tr0 JOIN runs ON idx % 26 = o AND idx >= 104),
 iv0 AS (SELECT *, strength / vol AS w0 FROM sig WHERE strength / vol <> 0), iv AS (SELECT run_id, mark, symbol, w0 / sum(abs(w0)) OVER (PARTITION BY run_id, mark) AS w FROM iv0),
 cx AS (SELECT symbol, idx, ret, mark FROM tr0 JOIN (SELECT DISTINCT mark FROM sig) ON idx <= mark AND idx > mark - 26 WHERE ret IS NOT NULL),
@@ -90,11 +87,6 @@ pv AS (SELECT one.run_id, one.mark, sqrt(sum(one.w * two.w * cov * CASE WHEN a =
 vt AS (SELECT iv.run_id, iv.mark, symbol, w * CASE WHEN pvol > 0 THEN least(0.3 / pvol, 1.0) ELSE 1.0 END AS w FROM iv LEFT JOIN pv USING (run_id, mark))"""
 
 
-def _log(df: DataFrame, column: str) -> DataFrame:
-    """Growth over hundreds of synthetic rows is compared on a logarithmic scale."""
-    return df.withColumn(column, F.log10(column))
-
-
 def q_summary(spark, d):
     return rounded(_long(me.summary(curves(spark, d), 0.02), "max_dd_days").select("run_id", *_MCOLS, "max_dd_days"), 5)
 
@@ -127,11 +119,11 @@ def q_rebased(spark, d):
 
 
 def q_score_locks(spark, d):
-    return rounded(_log(_long(sc.score_locks(locks(spark, d), prices(spark, d), 10.0), "k"), "value").select("book", "lock_date", "until", "k", "seg_ret", "turnover", "value", "cum_cost"), 5)
+    return rounded(_long(sc.score_locks(locks(spark, d), prices(spark, d), 10.0), "k").select("book", "lock_date", "until", "k", "seg_ret", "turnover", "value", "cum_cost"), 5, ("value",))
 
 
 def q_daily_curve(spark, d):
-    return rounded(_log(sc.daily_curve(locks(spark, d), prices(spark, d)), "equity"), 5)
+    return rounded(sc.daily_curve(locks(spark, d), prices(spark, d)), 5, ("equity",))
 
 
 def q_mark(spark, d):
@@ -146,7 +138,7 @@ def q_sectors(spark, d):
 def q_shadow(spark, d):
     s = sc.score_locks(locks(spark, d), prices(spark, d), 10.0)
     r = dt.rates(spark, d).withColumnRenamed("dt", "lock_date")
-    return rounded(_log(_long(sc.shadow_levered(s.join(r, "lock_date", "left"), 1.5, 0.004), "k"), "levered").select("k", "lock_date", "levered"), 5)
+    return rounded(_long(sc.shadow_levered(s.join(r, "lock_date", "left"), 1.5, 0.004), "k").select("k", "lock_date", "levered"), 5, ("levered",))
 
 
 def signals(spark, d):
@@ -155,11 +147,11 @@ def signals(spark, d):
 
 
 def q_signal_free(spark, d):
-    return rounded(_log(sc.signal_curve_free(signals(spark, d)).select("run_id", "dt", "equity"), "equity"), 5)
+    return rounded(sc.signal_curve_free(signals(spark, d)).select("run_id", "dt", "equity"), 5, ("equity",))
 
 
 def q_signal_cost(spark, d):
-    return rounded(_log(sc.signal_curve(signals(spark, d), 5.0, 0.02).select("run_id", "dt", "equity"), "equity"), 5)
+    return rounded(sc.signal_curve(signals(spark, d), 5.0, 0.02).select("run_id", "dt", "equity"), 5, ("equity",))
 
 
 def q_stops(spark, d):
@@ -180,7 +172,7 @@ def q_dual_momentum(spark, d):
 
 
 def q_hrp(spark, d):
-    _, cov = trend(spark, d, whole=True)
+    _, cov = trend(spark, d)
     return rounded(_long(wt.hrp_weights(cov.select("mark", "a", "b", "cov")), "mark"))
 
 
@@ -234,11 +226,11 @@ def q_posture(spark, d):
 
 
 def q_two_leg(spark, d):
-    return rounded(_log(sc.two_leg_mix(legs(spark, d), 0.6, 10.0), "equity"), 5)
+    return rounded(sc.two_leg_mix(legs(spark, d), 0.6, 10.0), 5, ("equity",))
 
 
 def q_constant(spark, d):
-    return rounded(_log(sc.constant_mix(legs(spark, d)), "equity"), 5)
+    return rounded(sc.constant_mix(legs(spark, d)), 5, ("equity",))
 
 
 def q_lever(spark, d):
@@ -265,13 +257,13 @@ def q_gap(spark, d):
 
 
 def q_schedule(spark, d):
-    sig, cov = trend(spark, d, whole=True)
+    sig, cov = trend(spark, d)
     w = wt.vol_target(wt.inverse_vol_weights(sig), cov, 0.3).select("run_id", F.col("mark").cast("long").alias("mark"), "symbol", "w")
-    return sc.schedule_curve(w, panel(spark, d).select("symbol", F.col("idx").cast("long").alias("idx"), "px"), 10.0)
+    return sc.schedule_curve(w, panel(spark, d).select("symbol", F.col("idx").cast("long").alias("idx"), "px"), 10.0, cash_rate=0.02, financing=0.01, borrow_bps=50.0, rows_a_year=52.0)
 
 
 def q_schedule_curve(spark, d):
-    return rounded(q_schedule(spark, d), 4)
+    return rounded(q_schedule(spark, d), 6, ("equity",))
 
 
 def q_turnover(spark, d):
@@ -289,6 +281,19 @@ QUERIES = {
 }
 
 
+def schedule_sql(weights: str, interest: str = "") -> str:
+    """Tables sp, lg, sg, dr, tu and cv (run_id, mark, turnover, equity) of a table of weights; ``interest`` is added to a segment's growth."""
+    return f"""sp AS (SELECT run_id, mark, lead(mark) OVER (PARTITION BY run_id ORDER BY mark) AS nx FROM (SELECT DISTINCT run_id, mark FROM {weights})),
+lg AS (SELECT v.run_id, v.mark, nx, v.symbol, w, coalesce(b.px / nullif(a.px, 0), 1) AS g FROM {weights} v JOIN sp USING (run_id, mark) LEFT JOIN panel a ON a.symbol = v.symbol AND a.idx = v.mark LEFT JOIN panel b ON b.symbol = v.symbol AND b.idx = nx),
+sg AS (SELECT run_id, mark, CASE WHEN any_value(nx) IS NULL THEN 1.0 ELSE sum(w * g) + 1 - sum(w) {interest} END AS tot FROM lg GROUP BY 1, 2),
+dr AS (SELECT run_id, nx AS mark, symbol, w * g / tot AS d FROM lg JOIN sg USING (run_id, mark) WHERE nx IS NOT NULL),
+tu AS (SELECT coalesce(a.run_id, b.run_id) AS run_id, coalesce(a.mark, b.mark) AS mark, sum(abs(coalesce(w, 0) - coalesce(d, 0))) AS turnover FROM {weights} a FULL OUTER JOIN dr b ON a.run_id = b.run_id AND a.mark = b.mark AND a.symbol = b.symbol GROUP BY 1, 2),
+cv AS (SELECT run_id, mark, turnover, 10000 * exp(sum(ln(1 - turnover * 0.001)) OVER (PARTITION BY run_id ORDER BY mark)) * coalesce(exp(sum(ln(tot)) OVER (PARTITION BY run_id ORDER BY mark ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), 1) AS equity FROM tu JOIN sg USING (run_id, mark))"""
+
+
+_SCHEDULE = f"{TREND}, " + schedule_sql("vt", "+ (1 - sum(w)) * (any_value(nx) - mark) / 52.0 * (0.02 + CASE WHEN 1 - sum(w) < 0 THEN 0.01 ELSE 0 END) - sum(greatest(-w, 0)) * (any_value(nx) - mark) / 52.0 * 0.005")
+
+
 def _r(names: list[str], n: int = 6) -> str:
     return ", ".join(f"round({x}, {n}) + 0.0 AS {x}" for x in names)
 
@@ -304,15 +309,22 @@ m AS (SELECT run_id, name, {_M} FROM cu GROUP BY 1, 2) SELECT run_id, name, {_r(
     "M13_distribution": f"{CRET}, m AS (SELECT right(run_id, 1) AS grp, run_id, min(dd) AS v FROM cr GROUP BY 1, 2) SELECT grp, round(quantile_cont(v, 0.5), 5) + 0.0 AS median, round(min(v), 5) + 0.0 AS least, round(max(v), 5) + 0.0 AS most, round(max(v) - min(v), 5) + 0.0 AS spread FROM m GROUP BY 1",
     "T22_drawdown": f"{CRET} SELECT run_id, dt, round(dd, 6) + 0.0 AS drawdown FROM cr",
     "Q15_rebased": f"{CURVES} SELECT run_id, dt, round(equity / first_value(equity) OVER (PARTITION BY run_id ORDER BY dt) * 10000, 4) + 0.0 AS equity FROM curves WHERE dt BETWEEN DATE '1997-01-01' AND DATE '1998-12-31'",
-    "P1_score_locks": f"{LOCKS} SELECT 'mom' AS book, lock_date, until, k, {_r(['seg_ret', 'turnover', 'cum_cost'], 5)}, round(log10(value), 5) + 0.0 AS value FROM scored",
+    "P1_score_locks": f"{LOCKS} SELECT 'mom' AS book, lock_date, until, k, {_r(['seg_ret', 'turnover', 'cum_cost'], 5)}, {significant_sql('value')} AS value FROM scored",
     "P2_daily_curve": f"""{LOCKS}, ins AS (SELECT s.k, p.dt, sum(l.w * p.px / l.price) + 1 - any_value(sw) AS f FROM locks l JOIN segs s USING (lock_date) JOIN (SELECT lock_date, sum(w) AS sw FROM locks GROUP BY 1) USING (lock_date) JOIN prices p ON p.symbol = l.symbol AND p.dt > s.lock_date AND p.dt <= s.until GROUP BY 1, 2),
-e AS (SELECT k, arg_max(f, dt) AS g FROM ins GROUP BY 1), b AS (SELECT k, coalesce(exp(sum(ln(g)) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), 1) AS b FROM e) SELECT 'mom' AS book, dt, round(log10(10000 * b * f), 5) + 0.0 AS equity FROM ins JOIN b USING (k)""",
+e AS (SELECT k, arg_max(f, dt) AS g FROM ins GROUP BY 1), b AS (SELECT k, coalesce(exp(sum(ln(g)) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), 1) AS b FROM e) SELECT 'mom' AS book, dt, {significant_sql('10000 * b * f')} AS equity FROM ins JOIN b USING (k)""",
     "P3_mark_positions": f"{LOCKS}, n AS (SELECT symbol, arg_max(px, dt) AS now FROM prices GROUP BY 1) SELECT book, symbol, CAST(w AS DOUBLE) AS w, round(price, 4) + 0.0 AS entry, round(now, 4) + 0.0 AS now, round(100 * (now / price - 1), 4) + 0.0 AS ret_pct, round(w * 10000 * (now / price - 1), 4) + 0.0 AS pnl FROM locks LEFT JOIN n USING (symbol) WHERE lock_date = (SELECT max(lock_date) FROM locks)",
     "P4_sector_weights": f"{LOCKS}, x AS (SELECT book, CASE WHEN symbol = 'Brand#9' THEN 'Other' ELSE right(symbol, 1) END AS sector, sum(w) AS w FROM locks WHERE lock_date = (SELECT max(lock_date) FROM locks) GROUP BY 1, 2) SELECT book, sector, round(100 * w / sum(w) OVER (PARTITION BY book), 4) + 0.0 AS pct FROM x",
-    "P6_shadow_levered": f"{LOCKS}, {dt.RATES_SQL} SELECT k, lock_date, round(sum(log10(1 + 1.5 * seg_ret - 0.5 * (coalesce(rf, 0) + 0.004) * (until - lock_date) / 365.25)) OVER (ORDER BY k), 5) + 0.0 AS levered FROM scored LEFT JOIN rates ON rates.dt = lock_date",
+    "P6_shadow_levered": f"{LOCKS}, {dt.RATES_SQL} SELECT k, lock_date, {significant_sql('pow(10, sum(log10(1 + 1.5 * seg_ret - 0.5 * (coalesce(rf, 0) + 0.004) * (until - lock_date) / 365.25)) OVER (ORDER BY k))')} AS levered FROM scored LEFT JOIN rates ON rates.dt = lock_date",
     "P7_signal_curve_free": f"""{PANEL}, s AS (SELECT symbol AS run_id, idx, dt, open, close, CASE WHEN ({roll('avg', 'px', 5)}) > ({roll('avg', 'px', 20)}) THEN 1.0 ELSE 0.0 END AS signal FROM panel), t AS (SELECT * FROM s WHERE open IS NOT NULL),
 x AS (SELECT *, coalesce(lag(signal) OVER w, 0) AS wt, lead(open) OVER w AS o1 FROM t WINDOW w AS (PARTITION BY run_id ORDER BY idx)),
-y AS (SELECT *, coalesce(exp(sum(ln(1 + wt * (o1 / open - 1))) OVER (PARTITION BY run_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), 1) AS g FROM x) SELECT run_id, dt, round(log10(10000 * g * (1 + wt * (close / open - 1))), 5) + 0.0 AS equity FROM y""",
+y AS (SELECT *, coalesce(exp(sum(ln(1 + wt * (o1 / open - 1))) OVER (PARTITION BY run_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), 1) AS g FROM x) SELECT run_id, dt, {significant_sql('10000 * g * (1 + wt * (close / open - 1))')} AS equity FROM y""",
+    "P7_signal_curve": f"""{PANEL.replace("WITH", "WITH RECURSIVE", 1)}, s AS (SELECT symbol AS run_id, idx, dt, open, close, CASE WHEN ({roll('avg', 'px', 5)}) > ({roll('avg', 'px', 20)}) THEN 1.0 ELSE 0.0 END AS signal FROM panel),
+t AS (SELECT *, row_number() OVER w AS k, coalesce(lag(signal) OVER w, 0.0) AS s, lead(open) OVER w / open AS g FROM s WHERE open IS NOT NULL WINDOW w AS (PARTITION BY run_id ORDER BY idx)),
+r AS (SELECT run_id, k, dt, 10000.0 * (1 + 0.02 / 252) AS e, 0.0::DOUBLE AS u, s, g, open, close FROM t WHERE k = 1 UNION ALL
+  SELECT t.run_id, t.k, t.dt, r.e * (r.s * r.g + (1 - r.s - 0.0005 * abs(r.s - r.u)) * (1 + 0.02 / 252)), r.s * r.g / (r.s * r.g + (1 - r.s - 0.0005 * abs(r.s - r.u)) * (1 + 0.02 / 252)), t.s, t.g, t.open, t.close FROM r JOIN t ON t.run_id = r.run_id AND t.k = r.k + 1)
+SELECT run_id, dt, {significant_sql('e * (s * close / open + 1 - s - 0.0005 * abs(s - u))')} AS equity FROM r""",
+    "P8_schedule_curve": f"{_SCHEDULE} SELECT run_id, mark, {significant_sql('equity')} AS equity, {r6('turnover')} AS turnover FROM cv",
+    "P22_turnover": f"{_SCHEDULE} SELECT run_id, round(sum(turnover) / ((max(mark) - min(mark)) / 52.0), 6) + 0.0 AS turnover_year FROM cv GROUP BY 1",
     "P9_stop_exits": f"{LOCKS}, n AS (SELECT lock_date, lead(lock_date) OVER (ORDER BY lock_date) AS until FROM (SELECT DISTINCT lock_date FROM locks)) SELECT book AS run_id, l.symbol, l.lock_date AS start, min(p.dt) AS exit_dt FROM locks l JOIN n USING (lock_date) JOIN prices p ON p.symbol = l.symbol AND p.dt >= l.lock_date AND p.dt < n.until WHERE p.px <= l.price * 0.8 GROUP BY 1, 2, 3",
     "W4_trend_weights": f"{TREND} SELECT run_id, mark, symbol, {r6('w')} AS w FROM vt",
     "W6_dual_momentum": f"{TREND}, t AS (SELECT *, row_number() OVER (PARTITION BY run_id, mark ORDER BY strength DESC, symbol) AS p FROM sig WHERE strength > 0), u AS (SELECT *, strength / vol AS w0 FROM t WHERE p <= 3) SELECT run_id, mark, symbol, round(w0 / sum(abs(w0)) OVER (PARTITION BY run_id, mark), 6) + 0.0 AS w FROM u",
@@ -331,8 +343,8 @@ SELECT symbol, {_r(['target', 'shares', 'cost'], 2)} FROM (SELECT * FROM o UNION
     "P10_two_leg_mix": f"""{LEGS}, x AS (SELECT *, date_trunc('month', dt) AS mo, exp(sum(ln(1 + ra)) OVER (PARTITION BY date_trunc('month', dt) ORDER BY dt)) AS a, exp(sum(ln(1 + rb)) OVER (PARTITION BY date_trunc('month', dt) ORDER BY dt)) AS b FROM legs),
 e AS (SELECT mo, arg_max(a, dt) AS ea, arg_max(b, dt) AS eb FROM x GROUP BY 1), f AS (SELECT *, 0.6 * ea + 0.4 * eb AS tot, lag(0.6 * ea / (0.6 * ea + 0.4 * eb)) OVER (ORDER BY mo) AS drift FROM e),
 g AS (SELECT *, CASE WHEN drift IS NULL THEN 1.0 ELSE 2 * abs(0.6 - drift) END AS turn FROM f), h AS (SELECT *, coalesce(exp(sum(ln(tot * (1 - turn * 0.001))) OVER (ORDER BY mo ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), 1) AS st FROM g)
-SELECT dt, round(log10(10000 * st * (1 - turn * 0.001) * (0.6 * a + 0.4 * b)), 5) + 0.0 AS equity FROM x JOIN h USING (mo)""",
-    "P12_constant_mix": f"{LEGS}, v AS (SELECT (1 / stddev_samp(ra)) / (1 / stddev_samp(ra) + 1 / stddev_samp(rb)) AS w FROM legs) SELECT dt, round(4 + sum(log10(1 + w * ra + (1 - w) * rb)) OVER (ORDER BY dt), 5) + 0.0 AS equity FROM legs, v",
+SELECT dt, {significant_sql('10000 * st * (1 - turn * 0.001) * (0.6 * a + 0.4 * b)')} AS equity FROM x JOIN h USING (mo)""",
+    "P12_constant_mix": f"{LEGS}, v AS (SELECT (1 / stddev_samp(ra)) / (1 / stddev_samp(ra) + 1 / stddev_samp(rb)) AS w FROM legs) SELECT dt, {significant_sql('pow(10, 4 + sum(log10(1 + w * ra + (1 - w) * rb)) OVER (ORDER BY dt))')} AS equity FROM legs, v",
     "P13_lever_to_vol": f"{LEGS}, v AS (SELECT stddev_samp(ra) / stddev_samp(rb) AS l, avg(rb) AS m FROM legs) SELECT {r6('l')} AS leverage, round(l * m - (l - 1) * 0.024 / 252, 6) + 0.0 AS mean_levered FROM v",
     "P14_tranche": f"{CURVES} SELECT dt, round(avg(equity), 3) + 0.0 AS equity FROM curves GROUP BY 1 HAVING count(*) = (SELECT count(DISTINCT run_id) FROM curves)",
     "P15_equal_capital": f"{CURVES} SELECT dt, round(10000 * avg(e), 3) + 0.0 AS equity FROM (SELECT dt, equity / first_value(equity) OVER (PARTITION BY run_id ORDER BY dt) AS e FROM curves) GROUP BY 1",

@@ -13,6 +13,7 @@ from asofspark.operators import weights as wt
 from asofspark.plans.common import rounded
 from asofspark.plans.portfolio import CURVES, LEGS, _r, curves, legs
 from asofspark.plans.timeseries import BY, PAIRS, PANEL, mom, roll
+from asofspark.plans.timeseries import SQL as TS_SQL
 from asofspark.sources import driver_tables as dt
 
 FACTORS = {"mom52": True, "mom13": True, "vol26": False, "amount": True}
@@ -156,7 +157,7 @@ def q_grid_rank(spark, d):
 
 
 def q_overfit(spark, d):
-    return rounded(rs.overfit_curve(grid_results(spark, d), [1, 5, 20, 50], 100).withColumn("k", F.col("k").cast("long")), 4)
+    return rounded(rs.overfit_curve(grid_results(spark, d), [1, 5, 20, 50]).withColumn("k", F.col("k").cast("long")), 4)
 
 
 def q_proxy(spark, d):
@@ -187,6 +188,29 @@ QUERIES = {
     "W20_pair_positions": q_positions, "X15_moments": q_moments, "X15_psr": q_psr, "X16_deflated_sharpe": q_dsr, "X17_bootstrap_diff": q_bootstrap, "X18_bootstrap_rows": q_starts,
     "X20_R10_grid_rank": q_grid_rank, "X23_overfit_curve": q_overfit, "X26_proxy_validation": q_proxy, "X27_reconcile": q_reconcile, "X32_compare_books": q_compare, "X30_variance_compare": q_variance,
 }
+def cdf_sql(x: str) -> str:
+    """Normal distribution function in SQL: the same published approximation of the tail."""
+    horner = lambda c: "(" * (len(c) - 1) + repr(c[-1]) + "".join(f" * y + {t!r})" for t in c[-2::-1])
+    top = [220.206867912376, 221.213596169931, 112.079291497871, 33.912866078383, 6.37396220353165, 0.700383064443688, 3.52624965998911e-2]
+    low = [440.413735824752, 793.826512519948, 637.333633378831, 296.564248779674, 86.7807322029461, 16.064177579207, 1.75566716318264, 8.83883476483184e-2]
+    tail = f"CASE WHEN y < 7.07106781186547 THEN exp(-y * y / 2) * {horner(top)} / {horner(low)} ELSE exp(-y * y / 2) / ((y + 1 / (y + 2 / (y + 3 / (y + 4 / (y + 0.65))))) * 2.506628274631) END"
+    return f"(SELECT CASE WHEN z > 0 THEN 1 - t WHEN z <= 0 THEN t END FROM (SELECT z, {tail} AS t FROM (SELECT {x} AS z, least(abs({x}), 37.0) AS y)))"
+
+
+def quantile_sql(p: str) -> str:
+    """Normal quantile of p between 0.02425 and 0.97575 or above, in SQL."""
+    horner = lambda c, v: "(" * (len(c) - 1) + repr(c[0]) + "".join(f" * {v} + {t!r})" for t in c[1:])
+    a = [-39.69683028665376, 220.9460984245205, -275.9285104469687, 138.357751867269, -30.66479806614716, 2.506628277459239]
+    b = [-54.47609879822406, 161.5858368580409, -155.6989798598866, 66.80131188771972, -13.28068155288572, 1.0]
+    c = [-0.007784894002430293, -0.3223964580411365, -2.400758277161838, -2.549732539343734, 4.374664141464968, 2.938163982698783]
+    e = [0.007784695709041462, 0.3224671290700398, 2.445134137142996, 3.754408661907416, 1.0]
+    q, r = f"sqrt(-2 * ln(1 - {p}))", f"(({p} - 0.5) * ({p} - 0.5))"
+    return f"CASE WHEN {p} > 0.97575 THEN -({horner(c, q)} / {horner(e, q)}) ELSE ({p} - 0.5) * {horner(a, r)} / {horner(b, r)} END"
+
+
+MOMENTS = f"""{CURVES}, r1 AS (SELECT run_id, equity / lag(equity) OVER (PARTITION BY run_id ORDER BY dt) - 1 AS x FROM curves), r2 AS (SELECT run_id, greatest(x, -0.9) AS ret FROM r1 WHERE x IS NOT NULL), s AS (SELECT run_id, count(*) AS n, avg(ret) AS m, stddev_samp(ret) AS sd FROM r2 GROUP BY 1),
+mo AS (SELECT run_id, any_value(n) AS n, any_value(m / sd) AS sharpe, avg(pow((ret - m) / sd, 3)) AS skew, avg(pow((ret - m) / sd, 4)) AS kurtosis FROM r2 JOIN s USING (run_id) GROUP BY 1)"""
+_ROOT = "sqrt(greatest(1 - skew * sharpe + (kurtosis - 1) / 4 * sharpe * sharpe, 1e-12))"
 _BOOT = "((b.boot * 2654435761 + k.blk * 40503 + {seed} * 97) % 2147483647) % ({n} - {block} + 1)"
 SQL = {
     "R5_rank_signals": f"{OBS} SELECT date, name, factor, {_r(['pct', 'fwd_pct'])} FROM rk",
@@ -199,6 +223,12 @@ sc AS (SELECT scheme, date, name, fwd, round(sum(pct * weight) / sum(weight), 9)
 pl AS (SELECT *, row_number() OVER (PARTITION BY scheme, date ORDER BY score DESC, name) AS p, avg(fwd) OVER (PARTITION BY scheme, date) AS u FROM sc), dd AS (SELECT scheme, date, avg(fwd) AS r, avg(fwd) - any_value(u) AS x FROM pl WHERE p <= 5 GROUP BY 1, 2)
 SELECT scheme, round(avg(r), 5) + 0.0 AS mean, round(avg(x), 5) + 0.0 AS excess, round(avg(x) / stddev_samp(x) * 2, 5) + 0.0 AS sharpe, round(avg(CASE WHEN x > 0 THEN 1.0 ELSE 0.0 END), 5) + 0.0 AS beat FROM dd GROUP BY 1""",
     "W19_candidate_pairs": f"{PAIR} SELECT x.grp, x.symbol AS a, y.symbol AS b FROM mem x JOIN mem y USING (grp) WHERE x.symbol < y.symbol",
+    "W20_pair_positions": f"""WITH RECURSIVE t AS ({TS_SQL["T21_spread_z"]}), s AS (SELECT idx, z, row_number() OVER (ORDER BY idx) AS k FROM t),
+p AS (SELECT CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS pos UNION ALL SELECT s.k, CAST(CASE WHEN z IS NULL THEN pos WHEN pos = 0 THEN CASE WHEN abs(z) > 1.5 THEN CASE WHEN z > 0 THEN -1 ELSE 1 END ELSE 0 END WHEN abs(z) < 0.3 OR abs(z) > 4.0 THEN 0 ELSE pos END AS BIGINT) FROM p JOIN s ON s.k = p.k + 1)
+SELECT idx, pos AS position FROM p JOIN s USING (k)""",
+    "X15_psr": f"{MOMENTS}, q AS (SELECT *, sharpe * sqrt(n - 1) / {_ROOT} AS zz FROM mo) SELECT run_id, n, {_r(['sharpe', 'skew', 'kurtosis'], 5)}, round({cdf_sql('zz')}, 5) + 0.0 AS psr FROM q",
+    "X16_deflated_sharpe": f"""{MOMENTS}, tr AS (SELECT var_samp(sharpe * sqrt(252)) AS v, count(*) AS k FROM mo), h AS (SELECT sqrt(v) * ((1 - 0.5772156649015329) * {quantile_sql('(1 - 1.0 / k)')} + 0.5772156649015329 * {quantile_sql('(1 - 1.0 / (k * 2.718281828459045))')}) / sqrt(252) AS hurdle FROM tr),
+q AS (SELECT mo.*, hurdle, (sharpe - hurdle) * sqrt(n - 1) / {_ROOT} AS zz FROM mo, h) SELECT run_id, n, {_r(['sharpe', 'skew', 'kurtosis', 'hurdle'], 5)}, round({cdf_sql('zz')}, 5) + 0.0 AS dsr FROM q""",
     "X11_hedge_ratio": f"{PAIR} SELECT pair, {_r(['beta', 'alpha'])}, n FROM ft",
     "X12_adf_tstat": f"{PAIR} SELECT pair, n, round(adf_t, 4) + 0.0 AS adf_t FROM ad",
     "X14_half_life": f"{PAIR} SELECT pair, round(CASE WHEN theta < 0 THEN half_life ELSE CAST('inf' AS DOUBLE) END, 5) + 0.0 AS half_life FROM hl",
@@ -211,7 +241,7 @@ SELECT (SELECT round((avg(ra) / stddev_samp(ra) - avg(rb) / stddev_samp(rb)) * s
     "X18_bootstrap_rows": f"""{LEGS}, nn AS (SELECT count(*) AS n FROM legs), st AS (SELECT b.boot, k.blk, {_BOOT.format(seed=3, n='nn.n', block=26)} AS start FROM (SELECT range AS boot FROM range(50)) b, nn, LATERAL (SELECT range AS blk FROM range(CAST(ceil(nn.n / 26.0) AS BIGINT))) k)
 SELECT boot, blk * 26 + j.range AS pos, start + j.range AS idx FROM st, range(26) j, nn WHERE blk * 26 + j.range < nn.n""",
     "X20_R10_grid_rank": f"{GRID}, p AS (SELECT *, split_part(run_id, '|', 1) AS symbol, row_number() OVER (PARTITION BY split_part(run_id, '|', 1) ORDER BY in_sample DESC NULLS LAST, run_id) AS p FROM res) SELECT symbol, run_id, {_r(['in_sample', 'out_sample'], 5)} FROM p WHERE p = 1",
-    "X23_overfit_curve": f"""{GRID}, n AS (SELECT *, row_number() OVER (ORDER BY run_id) AS n FROM res), e AS (SELECT *, row_number() OVER (PARTITION BY trial ORDER BY (trial * 2654435761 + n * 40503 * n) % 1000003, n) AS p FROM n, (SELECT range AS trial FROM range(100))),
+    "X23_overfit_curve": f"""{GRID}, n AS (SELECT *, row_number() OVER (ORDER BY run_id) AS n FROM res), e AS (SELECT *, row_number() OVER (PARTITION BY trial ORDER BY (trial * 2654435761 + n * 40503 * n) % 1000003, n) AS p FROM n, (SELECT range AS trial FROM range(400))),
 b AS (SELECT k, trial, max(in_sample) AS b, arg_max(out_sample, in_sample) AS o FROM e JOIN (SELECT unnest([1, 5, 20, 50]) AS k) ON p <= k GROUP BY 1, 2) SELECT CAST(k AS BIGINT) AS k, round(avg(b), 4) + 0.0 AS best_in, round(avg(o), 4) + 0.0 AS then_out FROM b GROUP BY 1""",
     "X26_proxy_validation": f"{LEGS} SELECT round(corr(ra, rb), 6) + 0.0 AS corr, round(stddev_samp(ra) / stddev_samp(rb), 6) + 0.0 AS vol_ratio, count(*) AS n FROM legs",
     "X27_reconcile": f"""{CURVES}, x AS (SELECT a.dt, a.equity AS ea, b.equity AS eb FROM curves a JOIN curves b ON a.dt = b.dt AND a.run_id = 'Brand#1' AND b.run_id = 'Brand#3'), y AS (SELECT *, ea / lag(ea) OVER (ORDER BY dt) - 1 AS a, eb / lag(eb) OVER (ORDER BY dt) - 1 AS b FROM x),

@@ -69,7 +69,7 @@ def q_wf_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_rolling_cov(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = panel(spark, sf_dir).where(F.col("symbol") <= "Brand#13")
+    x = panel(spark, sf_dir)
     marks = pn.calendar(dt.bars(spark, sf_dir)).where(ts.cycle_bar(52, 0, 104))
     return rounded(ts.rolling_cov(x, marks, 52, 52).select(F.col("mark").cast("long").alias("mark"), "a", "b", "cov"))
 
@@ -139,7 +139,7 @@ SELECT p.symbol, p.dt, CAST(coalesce(signal, 0) AS DOUBLE) AS signal FROM panel
     "T10_rolling_vol": f"{PANEL} SELECT symbol, dt, round(({roll('stddev_samp', 'ret', 26)}) * sqrt(52), 6) + 0.0 AS vol FROM rets",
     "T11_yang_zhang": f"""{PANEL}, y AS (SELECT symbol, idx, dt, ln(open / lag(close) OVER ({BY})) AS o, ln(close / open) AS c, ln(high / close) * ln(high / open) + ln(low / close) * ln(low / open) AS rs FROM panel)
 SELECT symbol, dt, round(sqrt(CASE WHEN v IS NULL THEN NULL ELSE greatest(v, 0) * 52 END), 6) + 0.0 AS yz_vol FROM (SELECT *, ({roll('var_samp', 'o', 26)}) + {_K!r} * ({roll('var_samp', 'c', 26)}) + (1 - {_K!r}) * ({roll('avg', 'rs', 26)}) AS v FROM y)""",
-    "T12_rolling_cov": f"""{PANEL}, marks AS (SELECT idx AS mark FROM cal WHERE idx % 52 = 0 AND idx >= 104), x AS (SELECT symbol, idx, ret, mark FROM rets JOIN marks ON idx <= mark AND idx > mark - 52 WHERE ret IS NOT NULL AND symbol <= 'Brand#13')
+    "T12_rolling_cov": f"""{PANEL}, marks AS (SELECT idx AS mark FROM cal WHERE idx % 52 = 0 AND idx >= 104), x AS (SELECT symbol, idx, ret, mark FROM rets JOIN marks ON idx <= mark AND idx > mark - 52 WHERE ret IS NOT NULL)
 SELECT x.mark, x.symbol AS a, y.symbol AS b, round(covar_samp(x.ret, y.ret) * 52, 6) + 0.0 AS cov FROM x JOIN x y ON x.mark = y.mark AND x.idx = y.idx AND x.symbol <= y.symbol GROUP BY 1, 2, 3 HAVING count(*) = 52""",
     "T13_ttm_yield": f"""{PANEL}, {dt.DIVIDENDS_SQL}, d AS (SELECT symbol, dt, lag(dt) OVER (PARTITION BY symbol ORDER BY dt) AS before FROM bars),
 posted AS (SELECT d.symbol, d.dt, sum(amount) AS amount FROM d JOIN dividends v ON d.symbol = v.symbol AND ex_dt <= dt AND coalesce(ex_dt > before, true) GROUP BY 1, 2),

@@ -74,7 +74,7 @@ def test_weights_of_every_symbol(spark, prices, monkeypatch):
     assert all(abs(sum(r["w"] for r in rows if r["mark"] == m) - 1) < 1e-4 for m in marks)
     taken = []
     curve = scoring.schedule_curve
-    monkeypatch.setattr(scoring, "schedule_curve", lambda w, *rest: taken.append(w) or curve(w, *rest))
+    monkeypatch.setattr(scoring, "schedule_curve", lambda w, *rest, **more: taken.append(w) or curve(w, *rest, **more))
     for query in (portfolio.q_schedule_curve, portfolio.q_turnover, books.q_offsets):
         assert query(spark, prices).count() > 0
         assert {r["symbol"] for r in taken[-1].collect()} == set(SYMBOLS)
