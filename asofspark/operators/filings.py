@@ -14,7 +14,7 @@ def annual_facts(facts: DataFrame, field_tags: DataFrame, least_days: int = 300)
     ``field_tags`` (field, tag, prio) is a short list.
     """
     x = facts.where("form in ('10-K', '10-K/A') and fp = 'FY' and end is not null and filed is not null and val is not null")
-    x = x.where(F.col("start").isNull() | (F.datediff("end", "start") >= least_days)).join(F.broadcast(field_tags), "tag")
+    x = x.where(F.col("start").isNull() | (F.datediff("end", "start") >= least_days)).join(field_tags, "tag")
     best = F.min_by(F.struct("val", "filed"), F.struct("filed", "prio", "unit_pos", "arr_pos"))
     return x.groupBy("cik", "field", F.col("end").alias("fy_end")).agg(best.alias("b")).select("cik", "field", "fy_end", "b.val", "b.filed")
 
@@ -30,7 +30,7 @@ def annual_revenue(annual: DataFrame) -> DataFrame:
 
 def extract_asof(annual: DataFrame, asofs: DataFrame, fields: list[str]) -> DataFrame:
     """cik, as_of, fy_end, each field and its _prior: what was filed by the date for the two newest years of net income."""
-    known = annual.join(F.broadcast(asofs), F.col("filed") <= F.col("as_of"))
+    known = annual.join(asofs, F.col("filed") <= F.col("as_of"))
     age = F.row_number().over(Window.partitionBy("cik", "as_of").orderBy(F.desc("fy_end")))
     years = known.where("field = 'net_income'").select("cik", "as_of", "fy_end").withColumn("age", age).where("age <= 2")
     both = years.groupBy("cik", "as_of").agg(F.count(F.lit(1)).alias("n"), F.max("fy_end").alias("newest")).where("n = 2").drop("n")
@@ -39,11 +39,11 @@ def extract_asof(annual: DataFrame, asofs: DataFrame, fields: list[str]) -> Data
     return x.groupBy("cik", "as_of", F.col("newest").alias("fy_end")).agg(*[at(f, 1).alias(f) for f in fields], *[at(f, 2).alias(f"{f}_prior") for f in fields])
 
 
-def read_facts(spark, path: str) -> DataFrame:
-    """Filing JSON ({cik, facts: {us-gaap: {tag: {units: {unit: [rows]}}}}}) as fact rows."""
+def read_facts(spark, path: str, lines: bool = False) -> DataFrame:
+    """Filing JSON, one company a file or one a line ({cik, facts: {us-gaap: {tag: {units: {unit: [rows]}}}}}) as fact rows."""
     row = "array<struct<start:string,end:string,filed:string,val:double,form:string,fp:string>>"
     schema = f"cik string, facts struct<`us-gaap`:map<string,struct<units:map<string,{row}>>>>"
-    x = spark.read.schema(schema).json(path, multiLine=True)
+    x = spark.read.schema(schema).json(path, multiLine=not lines)
     tags = x.select("cik", F.explode(F.col("facts.us-gaap")).alias("tag", "body"))
     units = tags.select("cik", "tag", F.posexplode(F.map_entries("body.units")).alias("unit_pos", "u"))
     rows = units.select("cik", "tag", "unit_pos", F.col("u.key").alias("unit"), F.posexplode("u.value").alias("arr_pos", "r"))

@@ -18,6 +18,14 @@ def validate_bars(bars: DataFrame) -> DataFrame:
     return broken.unionByName(twice).select("rule", "symbol", "dt")
 
 
+def validate_panel(panel: DataFrame, px: str = "px") -> DataFrame:
+    """rule, symbol, n of a price panel: dates that repeat, symbols without any price, prices of 0 or less."""
+    x = panel.groupBy("symbol").agg(F.count(F.lit(1)).alias("_n"), F.count_distinct("dt").alias("_d"), F.count(px).alias("_p"), F.count(F.when(F.col(px) <= 0, 1)).alias("_low"))
+    rules = [("repeated date", F.col("_n") - F.col("_d")), ("no price", F.when(F.col("_p") == 0, 1).otherwise(0).cast("long")), ("not positive", F.col("_low"))]
+    each = F.explode(F.array(*[F.struct(F.lit(name).alias("rule"), n.cast("long").alias("n")) for name, n in rules])).alias("e")
+    return x.select("symbol", each).select("e.rule", "symbol", "e.n").where("n > 0")
+
+
 def raise_if_any(violations: DataFrame) -> DataFrame:
     """Fails with the number of violations; returns the (empty) table otherwise."""
     n = violations.count()

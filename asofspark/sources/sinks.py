@@ -47,29 +47,47 @@ def read_constituents(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(name.alias("symbol")).where("symbol <> ''")
 
 
-def read_ticker_map(spark: SparkSession, path: str) -> DataFrame:
-    """{key: {ticker, cik_str}} as ticker (upper case) and cik (10 digits)."""
+def read_ticker_map(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """{key: {ticker, cik_str}} as ticker (upper case) and cik (10 digits); one map a file, or one a line."""
     kind = "map<string,struct<ticker:string,cik_str:bigint>>"
-    rows = spark.read.text(path, wholetext=True).select(F.explode(F.map_values(F.from_json("value", kind))).alias("r"))
+    rows = spark.read.text(path, wholetext=not lines).select(F.explode(F.map_values(F.from_json("value", kind))).alias("r"))
     return rows.select(F.upper("r.ticker").alias("ticker"), F.lpad(F.col("r.cik_str").cast("string"), 10, "0").alias("cik"))
 
 
-def read_sic_map(spark: SparkSession, path: str) -> DataFrame:
-    """{cik: code} as cik and a four-digit sic, empty if unknown."""
-    rows = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string,string>")).alias("cik", "sic"))
+def read_sic_map(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """{cik: code} as cik and a four-digit sic, empty if unknown; one map a file, or one a line."""
+    rows = spark.read.text(path, wholetext=not lines).select(F.explode(F.from_json("value", "map<string,string>")).alias("cik", "sic"))
     return rows.select(F.lpad("cik", 10, "0").alias("cik"), F.when(F.coalesce("sic", F.lit("")) == "", "").otherwise(F.lpad("sic", 4, "0")).alias("sic"))
 
 
+def read_rates(spark: SparkSession, path: str, missing: str = ".") -> DataFrame:
+    """dt, rf from a file of (dt, rate in percent): missing rates go, percent become shares."""
+    x = read_csv_na(spark, path, "dt date, rate double", missing)
+    return x.select("dt", (F.col("rate") / 100).alias("rf"))
+
+
+def read_statements(spark: SparkSession, path: str, names: dict[str, str]) -> DataFrame:
+    """Semicolon-separated statements: the columns of ``names`` under their new names, dates and numbers typed by name."""
+    x = spark.read.csv(path, header=True, sep=";")
+    kind = lambda c: "date" if c.endswith("_date") else "string" if c in ("ticker", "sector") else "double"
+    return x.select(*[F.col(f"`{old}`").try_cast(kind(new)).alias(new) for old, new in names.items()]).where("ticker is not null and report_date is not null")
+
+
+def read_dividends(spark: SparkSession, path: str) -> DataFrame:
+    """symbol, ex_dt, amount of a CSV file; rows without an amount, or with none paid, go."""
+    return spark.read.schema("symbol string, ex_dt date, amount double").csv(path, header=True).where("amount is not null and amount <> 0")
+
+
 def read_labelled(statement: DataFrame, labels: dict[str, list[str]]) -> DataFrame:
     """First present value among a field's labels, by period: rows of (ticker, label, period, val) to (ticker, period, field, val)."""
     spark = statement.sparkSession
     table = spark.createDataFrame([(f, name, k) for f, names in labels.items() for k, name in enumerate(names)], "field string, label string, prio int")
-    return statement.where("val is not null").join(F.broadcast(table), "label").groupBy("ticker", "period", "field").agg(F.min_by("val", "prio").alias("val"))
+    return statement.where("val is not null").join(table, "label").groupBy("ticker", "period", "field").agg(F.min_by("val", "prio").alias("val"))
 
 
-def read_locks(spark: SparkSession, path: str) -> DataFrame:
-    """Dated JSON locks as one row a pick: book, lock_date, symbol, w, price."""
-    x = spark.read.schema(LOCK_SCHEMA).json(path, multiLine=True)
+def read_locks(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Dated JSON locks, one a file or one a line, as one row a pick: book, lock_date, symbol, w, price."""
+    x = spark.read.schema(LOCK_SCHEMA).json(path, multiLine=not lines)
     picks = x.select(F.col("strategy").alias("book"), "lock_date", "lock_prices", F.explode("picks").alias("symbol", "w"))
     return picks.select("book", "lock_date", "symbol", "w", F.element_at("lock_prices", F.col("symbol")).alias("price"))
 
@@ -95,7 +113,8 @@ def append_fills(fills: DataFrame, path: str) -> None:
 
 
 def read_fills(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(FILL_SCHEMA).json(path).orderBy("date")
+    """The journal's rows, in no order (each reader sorts within its own keys)."""
+    return spark.read.schema(FILL_SCHEMA).json(path)
 
 
 def append_gap_row(row: DataFrame, path: str) -> None:
