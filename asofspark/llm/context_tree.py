@@ -35,8 +35,8 @@ BLOCK_BYTES = 16 << 20
 BLOCK_ROWS = 4096
 #: Grams that are weighted at once (groups are kept whole), and blocks in a row of a gram's list.
 CHUNK, LIST = 20_000, 4096
-#: Keys that a task gathers before it merges equal ones.
-MERGE_KEYS = 1_000_000
+#: Keys that a task gathers before it merges equal ones, and distinct keys at which it sends them.
+MERGE_KEYS, SEND_KEYS = 1_000_000, 4_000_000
 SMOOTH = 0.1
 _END_WORD = np.uint64(2**64 - 1)
 _WORD_BIT = np.uint64(1 << 63)
@@ -141,8 +141,9 @@ def _asked(rows: DataFrame) -> DataFrame:
                     held += len(parts[block][-1][0])
             if held > MERGE_KEYS:
                 parts = {block: [merged(block)] for block in parts}
-                held = sum(len(p[0][0]) for p in parts.values())
-                if held > MERGE_KEYS:  # a block may be sent in pieces: they are summed with all others
+                distinct = sum(len(p[0][0]) for p in parts.values())
+                held = distinct // 2
+                if distinct > SEND_KEYS:  # a block may be sent in pieces: they are summed with all others
                     yield from sent()
                     held = 0
         yield from sent()
