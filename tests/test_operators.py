@@ -33,12 +33,25 @@ def value(df, column):
     return df.select(column.alias("v")).first()["v"]
 
 
-def test_metrics_known_answers(spark):
-    one = metrics.summary(spark.createDataFrame([("r", dtm.date(2020, 1, 1), 100.0), ("r", dtm.date(2024, 1, 1), 1600.0)], "run_id string, dt date, equity double")).first()
-    assert one["cagr"] == pytest.approx(1.0, abs=1e-9)
-    assert metrics.summary(curve(spark, [100, 120, 60, 90])).first()["max_drawdown"] == -0.5
-    assert metrics.underwater_days(curve(spark, [100, 95, 90, 92, 94, 96, 98, 99, 99, 99, 101, 102])).first()["max_dd_days"] == 10
-    assert metrics.underwater_days(curve(spark, [100, 90, 80, 70])).first()["max_dd_days"] == 3
+def underwater(values):
+    """Longest stretch from a peak to the first row that reaches it again, or to the end."""
+    best, peak, since = 0, values[0], 0
+    for k, v in enumerate(values):
+        if v >= peak:
+            best, peak, since = max(best, k - since if k - since > 1 else 0), v, k
+        else:
+            best = max(best, k - since)
+    return best
+
+
+def test_metrics_against_plain_versions(spark):
+    days = (dtm.date(2023, 3, 1) - dtm.date(2020, 1, 1)).days
+    one = metrics.summary(spark.createDataFrame([("r", dtm.date(2020, 1, 1), 80.0), ("r", dtm.date(2023, 3, 1), 170.0)], "run_id string, dt date, equity double")).first()
+    assert one["cagr"] == pytest.approx((170 / 80) ** (365.25 / days) - 1, abs=1e-9)
+    for values in ([50, 70, 35, 42, 80, 60], [9, 8, 7.5, 8.2, 9.5, 9.1, 9.4, 9.6], [5, 4, 3]):
+        worst = min(v / max(values[: k + 1]) - 1 for k, v in enumerate(values))
+        assert metrics.summary(curve(spark, values)).first()["max_drawdown"] == pytest.approx(worst)
+        assert metrics.underwater_days(curve(spark, values)).first()["max_dd_days"] == underwater(values)
     flat = metrics.summary(curve(spark, [100, 100, 100])).first()
     assert flat["sharpe"] is None and flat["sortino"] is None
     r = np.array([0.01, -0.02, 0.01, 0.01])
@@ -46,17 +59,17 @@ def test_metrics_known_answers(spark):
     assert got["sortino"] == pytest.approx(r.mean() / math.sqrt((np.minimum(r, 0) ** 2).mean()) * math.sqrt(252))
 
 
-def test_factor_known_answers(spark):
-    assert value(names(spark, enterprise_value=1000.0, ebit=100.0), fx.ev_ebit()) == 10
-    assert value(names(spark, enterprise_value=1000.0, ebit=0.0), fx.ev_ebit()) is None
-    assert value(names(spark, market_cap=1000.0, free_cash_flow=-50.0), fx.price_fcf()) is None
-    assert value(names(spark, ebit=100.0, tax_rate=0.25, total_debt=200.0, equity=500.0, cash=100.0), fx.roic()) == 0.125
-    assert value(names(spark, total_debt=300.0, cash=100.0, ebitda=200.0), fx.net_debt_ebitda()) == 1
+def test_factors_against_plain_versions(spark):
+    assert value(names(spark, enterprise_value=630.0, ebit=90.0), fx.ev_ebit()) == 630 / 90
+    assert value(names(spark, enterprise_value=630.0, ebit=0.0), fx.ev_ebit()) is None
+    assert value(names(spark, market_cap=700.0, free_cash_flow=-20.0), fx.price_fcf()) is None
+    assert value(names(spark, ebit=80.0, tax_rate=0.2, total_debt=150.0, equity=350.0, cash=60.0), fx.roic()) == pytest.approx(80 * 0.8 / (150 + 350 - 60))
+    assert value(names(spark, total_debt=310.0, cash=70.0, ebitda=160.0), fx.net_debt_ebitda()) == 240 / 160
     gm = names(spark, revenue_history=[1000.0, 1000.0], gross_profit_history=[400.0, 300.0])
     assert value(gm, fx.gm_stability()) == pytest.approx(np.std([0.4, 0.3], ddof=1))
     assert value(names(spark, revenue_history=[1000.0], gross_profit_history=[400.0]), fx.gm_stability()) is None
-    z = names(spark, total_assets=1000.0, total_liabilities=400.0, current_assets=500.0, current_liabilities=200.0, retained_earnings=300.0, ebit=150.0, market_cap=2000.0, revenue=1200.0)
-    assert value(z, fx.altman_z()) == pytest.approx(5.475)
+    z = names(spark, total_assets=900.0, total_liabilities=310.0, current_assets=420.0, current_liabilities=170.0, retained_earnings=260.0, ebit=120.0, market_cap=1700.0, revenue=1100.0)
+    assert value(z, fx.altman_z()) == pytest.approx(1.2 * 250 / 900 + 1.4 * 260 / 900 + 3.3 * 120 / 900 + 0.6 * 1700 / 310 + 1100 / 900)
 
 
 def test_percent_rank_ties_and_missing(spark):
@@ -184,12 +197,13 @@ def test_adf_and_fama_macbeth_equal_least_squares(spark):
 def test_luck(spark):
     stats = spark.createDataFrame([("r", 500, 0.05, 0.0, 3.0)], "run_id string, n long, sharpe double, skew double, kurtosis double")
     assert research.psr(stats, 0.05).first()["psr"] == pytest.approx(0.5)
-    assert research.expected_max_sharpe(0.01, 1) == 0 and research.expected_max_sharpe(0.01, 10) < research.expected_max_sharpe(0.01, 100)
+    luck = [r["x"] for r in spark.createDataFrame([(1, 1), (2, 10), (3, 100)], "k int, n long").select("k", research.expected_max_sharpe(F.lit(0.01), F.col("n")).alias("x")).orderBy("k").collect()]
+    assert luck[0] is None and luck[1] < luck[2]
     rng = np.random.default_rng(1)
     pair = spark.createDataFrame([(k, float(a), float(b)) for k, (a, b) in enumerate(rng.normal(0, 0.01, (300, 2)) + [[0.004, 0.0]])], "idx long, ra double, rb double")
     assert research.block_bootstrap_diff(pair, 21, 200).first()["p"] < 0.05
-    with pytest.raises(ValueError):
-        research.block_bootstrap_diff(pair.limit(50), 21, 10)
+    with pytest.raises(Exception, match="fewer than five blocks"):
+        research.block_bootstrap_diff(pair.limit(50), 21, 10).collect()
     starts = research.bootstrap_starts(spark, 100, 7, 20, 1)
     assert starts.count() == 2000 and starts.agg(F.min("idx"), F.max("idx")).first()[0] >= 0 and starts.agg(F.max("idx")).first()[0] < 100
 
