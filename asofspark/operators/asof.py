@@ -8,6 +8,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def few(rows: DataFrame, most: int = 100_000) -> DataFrame:
+    """A broadcast hint for a table of ``most`` rows at most, which is counted; a larger one is left to the planner."""
+    return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows
+
+
 def statements_asof(statements: DataFrame, asofs: DataFrame, keep: int = 2) -> DataFrame:
     """The ``keep`` latest statements of each ticker published by each date; ``age`` 1 is the latest.
 
@@ -17,7 +22,7 @@ def statements_asof(statements: DataFrame, asofs: DataFrame, keep: int = 2) -> D
     newer = Window.partitionBy("ticker").orderBy("report_date").rowsBetween(1, Window.unboundedFollowing)
     left = F.get(F.array_sort(F.collect_list("publish_date").over(newer)), F.lit(keep - 1))
     spans = statements.where("publish_date is not null").withColumn("_left", left)
-    known = spans.join(asofs, (F.col("publish_date") <= F.col("as_of")) & (F.col("_left").isNull() | (F.col("as_of") < F.col("_left")))).drop("_left")
+    known = spans.join(few(asofs), (F.col("publish_date") <= F.col("as_of")) & (F.col("_left").isNull() | (F.col("as_of") < F.col("_left")))).drop("_left")
     age = F.row_number().over(Window.partitionBy("ticker", "as_of").orderBy(F.desc("report_date")))
     return known.withColumn("age", age).where(F.col("age") <= keep)
 

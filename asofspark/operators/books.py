@@ -109,7 +109,8 @@ def walk_forward(grid: DataFrame, train: int, test: int, start: int) -> DataFram
     """
     span = grid.agg(F.max("idx").alias("_end"))
     folds = span.select(F.explode(F.sequence(F.lit(start), F.col("_end"), F.lit(test))).alias("fold"))
-    x = grid.join(F.broadcast(folds), (F.col("idx") >= F.col("fold") - train) & (F.col("idx") < F.col("fold") + test))
+    each = folds.select("fold", F.explode(F.sequence(F.col("fold") - train, F.col("fold") + test - 1)).alias("idx"))
+    x = grid.join(each, "idx")  # by the row itself, so that no range is searched
     before = F.col("idx") < F.col("fold")
     res = x.groupBy("symbol", "fold", "run_id").agg(F.sum(F.when(before, F.col("x"))).alias("trained"), F.sum(F.when(~before, F.col("x"))).alias("earned"))
     return res.withColumn("_p", F.row_number().over(Window.partitionBy("symbol", "fold").orderBy(F.desc_nulls_last("trained"), "run_id"))).where("_p = 1").drop("_p")

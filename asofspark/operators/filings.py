@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from asofspark.operators.asof import statements_asof
+
 
 def annual_facts(facts: DataFrame, field_tags: DataFrame, least_days: int = 300) -> DataFrame:
     """cik, field, fy_end, val, filed: of each fiscal year the value that was filed first.
@@ -30,11 +32,10 @@ def annual_revenue(annual: DataFrame) -> DataFrame:
 
 def extract_asof(annual: DataFrame, asofs: DataFrame, fields: list[str]) -> DataFrame:
     """cik, as_of, fy_end, each field and its _prior: what was filed by the date for the two newest years of net income."""
-    known = annual.join(asofs, F.col("filed") <= F.col("as_of"))
-    age = F.row_number().over(Window.partitionBy("cik", "as_of").orderBy(F.desc("fy_end")))
-    years = known.where("field = 'net_income'").select("cik", "as_of", "fy_end").withColumn("age", age).where("age <= 2")
+    income = annual.where("field = 'net_income'").select(F.col("cik").alias("ticker"), F.col("fy_end").alias("report_date"), F.col("filed").alias("publish_date"))
+    years = statements_asof(income, asofs, 2).select(F.col("ticker").alias("cik"), "as_of", F.col("report_date").alias("fy_end"), "age")
     both = years.groupBy("cik", "as_of").agg(F.count(F.lit(1)).alias("n"), F.max("fy_end").alias("newest")).where("n = 2").drop("n")
-    x = known.join(years, ["cik", "as_of", "fy_end"]).join(both, ["cik", "as_of"])
+    x = annual.join(years, ["cik", "fy_end"]).where(F.col("filed") <= F.col("as_of")).join(both, ["cik", "as_of"])
     at = lambda f, k: F.max(F.when((F.col("field") == f) & (F.col("age") == k), F.col("val")))
     return x.groupBy("cik", "as_of", F.col("newest").alias("fy_end")).agg(*[at(f, 1).alias(f) for f in fields], *[at(f, 2).alias(f"{f}_prior") for f in fields])
 

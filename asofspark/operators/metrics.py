@@ -59,7 +59,7 @@ def excess_sharpe(curves: DataFrame, rates: DataFrame) -> DataFrame:
 
 def window_stats(curves: DataFrame, windows: DataFrame, rf: float = 0.0) -> DataFrame:
     """Metrics inside named date windows (name, start, end), both ends included."""
-    inside = curves.join(F.broadcast(windows), F.col("dt").between(F.col("start"), F.col("end")))
+    inside = curves.join(windows.withColumn("dt", F.explode(F.expr("sequence(start, end)"))), "dt")  # by the day, so that no range is searched
     keyed = inside.withColumn("run_id", F.struct("run_id", "name"))
     return summary(keyed, rf).select("run_id.run_id", "run_id.name", *_measures(rf), "max_dd_days")
 

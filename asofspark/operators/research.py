@@ -34,7 +34,8 @@ def ic_table(ranks: DataFrame) -> DataFrame:
 def subperiod_ic(ranks: DataFrame, periods: DataFrame) -> DataFrame:
     """Mean rank correlation of each factor within named periods (period, start, end)."""
     daily = ranks.groupBy("date", "factor").agg(F.corr("pct", "fwd_pct").alias("ic")).where("ic is not null and not isnan(ic)")
-    return daily.join(F.broadcast(periods), F.col("date").between(F.col("start"), F.col("end"))).groupBy("period", "factor").agg(F.avg("ic").alias("mean_ic"))
+    days = periods.select("period", F.explode(F.expr("sequence(start, end)")).alias("date"))
+    return daily.join(days, "date").groupBy("period", "factor").agg(F.avg("ic").alias("mean_ic"))
 
 
 def factor_corr(ranks: DataFrame) -> DataFrame:

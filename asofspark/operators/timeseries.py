@@ -44,7 +44,8 @@ def sma_grid(panel: DataFrame, params: Sequence[tuple[int, int]]) -> DataFrame:
 def wf_signal(grid: DataFrame, schedule: DataFrame) -> DataFrame:
     """Within each test window (start, end, fast, slow) the signal of its pair; flat outside."""
     s = schedule.select("start", "end", F.col("fast").alias("_f"), F.col("slow").alias("_s"))
-    met = grid.join(F.broadcast(s), (F.col("fast") == F.col("_f")) & (F.col("slow") == F.col("_s")) & F.col("dt").between(F.col("start"), F.col("end")))
+    days = s.withColumn("dt", F.explode(F.expr("sequence(start, end)"))).withColumnsRenamed({"_f": "fast", "_s": "slow"})
+    met = grid.join(days, ["fast", "slow", "dt"])
     days = grid.select("symbol", "idx", "dt").distinct()
     return days.join(met.select("symbol", "idx", "signal"), ["symbol", "idx"], "left").withColumn("signal", F.coalesce("signal", F.lit(0.0)))
 
@@ -107,7 +108,8 @@ def rolling_cov(returns: DataFrame, rebalances: DataFrame, n: int = 63, year: in
     """
     spans = rebalances.select(F.col("idx").alias("mark"))
     rows = returns.where("ret is not null").select("symbol", "idx", "ret")
-    inside = rows.join(F.broadcast(spans), (F.col("idx") <= F.col("mark")) & (F.col("idx") > F.col("mark") - n))
+    each = spans.distinct().select("mark", F.explode(F.sequence(F.col("mark") - (n - 1), F.col("mark"))).alias("idx"))
+    inside = rows.join(each, "idx")
     left = inside.select("mark", "idx", F.col("symbol").alias("a"), F.col("ret").alias("ra"))
     right = inside.select("mark", "idx", F.col("symbol").alias("b"), F.col("ret").alias("rb"))
     pairs = left.join(right, ["mark", "idx"]).where("a <= b").groupBy("mark", "a", "b").agg(F.covar_samp("ra", "rb").alias("cov"), F.count(F.lit(1)).alias("n"))
@@ -189,9 +191,15 @@ def unsmoothed(panel: DataFrame) -> DataFrame:
 
 def spread_z(panel: DataFrame, a: str, b: str, beta: float, n: int = 60) -> DataFrame:
     """idx, spread (a - beta b) and its z-score over the last n rows."""
-    one = lambda s, name: panel.where(F.col("symbol") == s).select("idx", F.col("px").alias(name))
-    w = Window.orderBy("idx")
-    x = one(a, "_a").join(one(b, "_b"), "idx").select("idx", (F.col("_a") - beta * F.col("_b")).alias("spread"))
+    one = panel.sparkSession.createDataFrame([(f"{a}|{b}", a, b, float(beta))], "pair string, a string, b string, beta double")
+    return pair_spreads(panel, one, n).select("idx", "spread", "z")
+
+
+def pair_spreads(panel: DataFrame, pairs: DataFrame, n: int = 60) -> DataFrame:
+    """pair, idx, spread and z of many pairs (pair, a, b, beta) at once, each a partition of its own."""
+    one, two = (panel.select(F.col("symbol").alias(s), "idx", F.col("px").alias(f"_{s}")) for s in "ab")
+    x = pairs.join(one, "a").join(two, ["b", "idx"]).select("pair", "idx", (F.col("_a") - F.col("beta") * F.col("_b")).alias("spread"))
+    w = Window.partitionBy("pair").orderBy("idx")
     return x.withColumn("z", F.try_divide(F.col("spread") - rolling(F.avg, "spread", n, w), rolling(F.stddev_samp, "spread", n, w)))
 
 

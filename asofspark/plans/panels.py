@@ -21,7 +21,7 @@ from asofspark.plans.books import _G, grid
 from asofspark.plans.common import rounded, significant_sql
 from asofspark.plans.fundamentals import _FSCORE, CANONICAL_SQL, EXCLUDED, HIGH, LOW, _ranks_sql, canonical
 from asofspark.plans.parts import _LABEL_ROWS, LABELS, SECTORS, labelled, sics
-from asofspark.plans.research import _BOOT, OBS, ranks
+from asofspark.plans.research import _BOOT, OBS, pairs, ranks
 from asofspark.plans.timeseries import PANEL, r6, roll
 from asofspark.plans.timeseries import SQL as TS_SQL
 from asofspark.sources import driver_tables as dt
@@ -242,7 +242,17 @@ def q_stitched(spark, d):
     return rounded(ob.stitched_walk(rows, bk.walk_forward(g, 104, 26, 144), 26, best, "5-20"), 5)
 
 
+def q_pair_spreads(spark, d):
+    """Spread and z-score of every candidate pair, and the positions that follow from them."""
+    p = pn.panel(dt.bars(spark, d))
+    x = ts.pair_spreads(p, pairs(spark, d).select(F.concat_ws("|", "a", "b").alias("pair"), "a", "b", F.lit(0.9).alias("beta")), 30)
+    z = x.select("pair", F.col("idx").cast("long").alias("idx"), F.round("z", 6).alias("z"))
+    held = wt.pair_positions(z, 1.5, 0.3, 4.0)
+    return rounded(held.groupBy("pair").agg(F.count("z").alias("rows"), F.sum(F.abs("position")).cast("long").alias("held"), F.sum("position").cast("long").alias("net"), F.avg("z").alias("mean_z")), 5)
+
+
 QUERIES = {
+    "T21_pair_spreads": q_pair_spreads,
     "A4_fundamentals_flat": q_flat, "A5_canonical_filings": q_filings, "A9_canonical_labels": q_labels, "A18_route_source": q_route, "X6_collect_obs": q_collect, "S20_cache_obs": q_cache,
     "X8_research_panel": q_research, "X7_decompose_drag": q_drag, "Q2_validate_panel": q_validate_panel, "Q13_tickers_priced": q_priced, "S4_dual_view": q_dual, "W3_ext_vol_weights": q_ext_vol,
     "X19_bootstrap_drawdowns": q_drawdowns, "X28_verify_lock": q_verify, "X29_regime_posture": q_regime, "X31_variants": q_variants, "X31_dated_financing": q_dated, "X5_breadth_shares": q_shares, "X22_stitched": q_stitched,
@@ -251,6 +261,11 @@ _OBS_SQL = f"""WITH {MOVED}, {SIGNALS}, elig AS (SELECT f.*, mom, fwd FROM funne
 _OBS_OUT = f"{_OBS_SQL} SELECT ticker, as_of, " + ", ".join(f"round({c}, 5) + 0.0 AS {c}" for c in _OBS_COLS) + f", CASE WHEN total_assets_prior IS NULL THEN NULL ELSE CAST({_FSCORE} AS BIGINT) END AS fscore FROM elig"
 _DRAG = ["ev_ebit_pct", "price_fcf_pct", "roic_pct", "gm_stability_pct", "net_debt_ebitda_pct", "composite", "mom"]
 SQL = {
+    "T21_pair_spreads": f"""{PANEL.replace("WITH", "WITH RECURSIVE", 1)}, mem AS (SELECT DISTINCT symbol, right(symbol, 1) AS grp FROM panel), prs AS (SELECT x.symbol AS a, y.symbol AS b, x.symbol || '|' || y.symbol AS pair FROM mem x JOIN mem y USING (grp) WHERE x.symbol < y.symbol),
+sp AS (SELECT pair, x.idx, x.px - 0.9 * y.px AS s FROM prs JOIN panel x ON x.symbol = a JOIN panel y ON y.symbol = b AND y.idx = x.idx),
+zs AS (SELECT pair, idx, row_number() OVER (PARTITION BY pair ORDER BY idx) AS k, round((s - ({roll('avg', 's', 30, 'PARTITION BY pair ORDER BY idx')})) / ({roll('stddev_samp', 's', 30, 'PARTITION BY pair ORDER BY idx')}), 6) AS z FROM sp),
+p AS (SELECT DISTINCT pair, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS pos FROM prs UNION ALL SELECT p.pair, zs.k, CAST(CASE WHEN z IS NULL THEN pos WHEN pos = 0 THEN CASE WHEN abs(z) > 1.5 THEN CASE WHEN z > 0 THEN -1 ELSE 1 END ELSE 0 END WHEN abs(z) < 0.3 OR abs(z) > 4.0 THEN 0 ELSE pos END AS BIGINT) FROM p JOIN zs ON zs.pair = p.pair AND zs.k = p.k + 1)
+SELECT pair, count(z) AS rows, CAST(sum(abs(pos)) AS BIGINT) AS held, CAST(sum(pos) AS BIGINT) AS net, round(avg(z), 5) + 0.0 AS mean_z FROM p JOIN zs USING (pair, k) GROUP BY 1""",
     "A4_fundamentals_flat": f"WITH {FLAT} " + " UNION ALL ".join(f"SELECT cik, as_of, fy_end, '{f}' AS field, {significant_sql(f)} AS val, {significant_sql(f + '_prior')} AS prior FROM fx" for f in TAGS),
     "A5_canonical_filings": f"WITH {_FILINGS} SELECT cik, as_of, sector, {', '.join(f'round({c}, 2) + 0.0 AS {c}' for c in FILED)}, 'filings' AS source FROM ca",
     "A9_canonical_labels": f"""WITH {dt.statements_sql()}, {_LABEL_ROWS}, i AS (SELECT ticker, arg_max(cash, report_date) AS cash, arg_max(long_term_debt, report_date) AS total_debt, arg_max(shares, report_date) AS shares FROM statements GROUP BY 1),
