@@ -22,7 +22,7 @@ from asofspark.plans.common import rounded, significant_sql
 from asofspark.plans.fundamentals import _FSCORE, CANONICAL_SQL, EXCLUDED, HIGH, LOW, _ranks_sql, canonical
 from asofspark.plans.parts import _LABEL_ROWS, LABELS, SECTORS, labelled, sics
 from asofspark.plans.research import _BOOT, OBS, pairs, ranks
-from asofspark.plans.timeseries import PANEL, r6, roll
+from asofspark.plans.timeseries import BY, PANEL, mom, r6, roll
 from asofspark.plans.timeseries import SQL as TS_SQL
 from asofspark.sources import driver_tables as dt
 from asofspark.sources import sinks
@@ -251,7 +251,17 @@ def q_pair_spreads(spark, d):
     return rounded(held.groupBy("pair").agg(F.count("z").alias("rows"), F.sum(F.abs("position")).cast("long").alias("held"), F.sum("position").cast("long").alias("net"), F.avg("z").alias("mean_z")), 5)
 
 
+def q_part_momentum(spark, d):
+    """Momentum, volatility and their ranks over weekly bars of every part: the number of symbols grows with the table."""
+    p = pn.panel(dt.bars(spark, d, "p_partkey"))
+    x = p.withColumns({"mom": ts.momentum(4, 52), "vol": ts.rolling_vol(26, 52), "fwd": F.lead("px", 4).over(ts.by_symbol()) / F.col("px") - 1}).where("mom is not null")
+    x = x.withColumn("pct", rk.pct_rank("mom", True, ("idx",)))
+    best, worst = F.avg(F.when(F.col("pct") > 90, F.col("fwd"))), F.avg(F.when(F.col("pct") <= 10, F.col("fwd")))
+    return rounded(x.groupBy(F.col("idx").cast("long").alias("idx")).agg(F.count(F.lit(1)).alias("n"), F.avg("mom").alias("mom"), F.avg("vol").alias("vol"), (best - worst).alias("spread")), 4)
+
+
 QUERIES = {
+    "T7_part_momentum": q_part_momentum,
     "T21_pair_spreads": q_pair_spreads,
     "A4_fundamentals_flat": q_flat, "A5_canonical_filings": q_filings, "A9_canonical_labels": q_labels, "A18_route_source": q_route, "X6_collect_obs": q_collect, "S20_cache_obs": q_cache,
     "X8_research_panel": q_research, "X7_decompose_drag": q_drag, "Q2_validate_panel": q_validate_panel, "Q13_tickers_priced": q_priced, "S4_dual_view": q_dual, "W3_ext_vol_weights": q_ext_vol,
@@ -261,6 +271,9 @@ _OBS_SQL = f"""WITH {MOVED}, {SIGNALS}, elig AS (SELECT f.*, mom, fwd FROM funne
 _OBS_OUT = f"{_OBS_SQL} SELECT ticker, as_of, " + ", ".join(f"round({c}, 5) + 0.0 AS {c}" for c in _OBS_COLS) + f", CASE WHEN total_assets_prior IS NULL THEN NULL ELSE CAST({_FSCORE} AS BIGINT) END AS fscore FROM elig"
 _DRAG = ["ev_ebit_pct", "price_fcf_pct", "roic_pct", "gm_stability_pct", "net_debt_ebitda_pct", "composite", "mom"]
 SQL = {
+    "T7_part_momentum": f"""WITH {dt.bars_sql("p_partkey")}, {dt.PANEL_SQL}, x AS (SELECT idx, {mom(4, 52)} AS mom, ({roll('stddev_samp', 'ret', 26)}) * sqrt(52) AS vol, lead(px, 4) OVER ({BY}) / px - 1 AS fwd FROM rets),
+y AS (SELECT *, 100.0 * (rank() OVER (PARTITION BY idx ORDER BY mom) + (count(*) OVER (PARTITION BY idx, mom) - 1) / 2.0) / count(*) OVER (PARTITION BY idx) AS pct FROM x WHERE mom IS NOT NULL)
+SELECT idx, count(*) AS n, round(avg(mom), 4) + 0.0 AS mom, round(avg(vol), 4) + 0.0 AS vol, round(avg(fwd) FILTER (WHERE pct > 90) - avg(fwd) FILTER (WHERE pct <= 10), 4) + 0.0 AS spread FROM y GROUP BY 1""",
     "T21_pair_spreads": f"""{PANEL.replace("WITH", "WITH RECURSIVE", 1)}, mem AS (SELECT DISTINCT symbol, right(symbol, 1) AS grp FROM panel), prs AS (SELECT x.symbol AS a, y.symbol AS b, x.symbol || '|' || y.symbol AS pair FROM mem x JOIN mem y USING (grp) WHERE x.symbol < y.symbol),
 sp AS (SELECT pair, x.idx, x.px - 0.9 * y.px AS s FROM prs JOIN panel x ON x.symbol = a JOIN panel y ON y.symbol = b AND y.idx = x.idx),
 zs AS (SELECT pair, idx, row_number() OVER (PARTITION BY pair ORDER BY idx) AS k, round((s - ({roll('avg', 's', 30, 'PARTITION BY pair ORDER BY idx')})) / ({roll('stddev_samp', 's', 30, 'PARTITION BY pair ORDER BY idx')}), 6) AS z FROM sp),

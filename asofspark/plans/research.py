@@ -147,8 +147,10 @@ def q_bootstrap(spark, d):
 
 
 def q_starts(spark, d):
-    n = legs(spark, d).count()
-    return rs.bootstrap_starts(spark, n, 26, 50, 3).select("boot", F.col("pos").cast("long").alias("pos"), "idx")
+    """Mean returns of both legs on every resampled path, from the rows that its blocks draw."""
+    x = legs(spark, d).withColumn("idx", F.row_number().over(Window.orderBy("dt")) - 1).select(F.col("idx").cast("long").alias("idx"), "ra", "rb")
+    rows = rs.bootstrap_rows(x.agg(F.count(F.lit(1)).alias("n")), 26, 50, 3).join(x, "idx")
+    return rounded(rows.groupBy("boot").agg(F.count(F.lit(1)).alias("n"), F.sum("pos").cast("long").alias("places"), F.avg("ra").alias("ra"), F.avg("rb").alias("rb")))
 
 
 def q_grid_rank(spark, d):
@@ -239,7 +241,7 @@ st AS (SELECT b.boot, k.blk, {_BOOT.format(seed=7, n='nn.n', block=13)} AS start
 rw AS (SELECT boot, blk * 13 + j.range AS pos, start + j.range AS idx FROM st, range(13) j), bs AS (SELECT boot, (avg(ra) / stddev_samp(ra) - avg(rb) / stddev_samp(rb)) * sqrt(252) AS d FROM rw JOIN ix USING (idx), nn WHERE pos < nn.n GROUP BY 1)
 SELECT (SELECT round((avg(ra) / stddev_samp(ra) - avg(rb) / stddev_samp(rb)) * sqrt(252), 5) + 0.0 FROM ix) AS observed, round(quantile_cont(d, 0.025), 5) + 0.0 AS low, round(quantile_cont(d, 0.975), 5) + 0.0 AS high, round(avg(CASE WHEN d <= 0 THEN 1.0 ELSE 0.0 END), 5) + 0.0 AS p FROM bs""",
     "X18_bootstrap_rows": f"""{LEGS}, nn AS (SELECT count(*) AS n FROM legs), st AS (SELECT b.boot, k.blk, {_BOOT.format(seed=3, n='nn.n', block=26)} AS start FROM (SELECT range AS boot FROM range(50)) b, nn, LATERAL (SELECT range AS blk FROM range(CAST(ceil(nn.n / 26.0) AS BIGINT))) k)
-SELECT boot, blk * 26 + j.range AS pos, start + j.range AS idx FROM st, range(26) j, nn WHERE blk * 26 + j.range < nn.n""",
+SELECT boot, count(*) AS n, CAST(sum(blk * 26 + j.range) AS BIGINT) AS places, round(avg(ra), 6) + 0.0 AS ra, round(avg(rb), 6) + 0.0 AS rb FROM st, range(26) j, nn, (SELECT row_number() OVER (ORDER BY dt) - 1 AS idx, ra, rb FROM legs) x WHERE blk * 26 + j.range < nn.n AND x.idx = start + j.range GROUP BY 1""",
     "X20_R10_grid_rank": f"{GRID}, p AS (SELECT *, split_part(run_id, '|', 1) AS symbol, row_number() OVER (PARTITION BY split_part(run_id, '|', 1) ORDER BY in_sample DESC NULLS LAST, run_id) AS p FROM res) SELECT symbol, run_id, {_r(['in_sample', 'out_sample'], 5)} FROM p WHERE p = 1",
     "X23_overfit_curve": f"""{GRID}, n AS (SELECT *, row_number() OVER (ORDER BY run_id) AS n FROM res), e AS (SELECT *, row_number() OVER (PARTITION BY trial ORDER BY (trial * 2654435761 + n * 40503 * n) % 1000003, n) AS p FROM n, (SELECT range AS trial FROM range(400))),
 b AS (SELECT k, trial, max(in_sample) AS b, arg_max(out_sample, in_sample) AS o FROM e JOIN (SELECT unnest([1, 5, 20, 50]) AS k) ON p <= k GROUP BY 1, 2) SELECT CAST(k AS BIGINT) AS k, round(avg(b), 4) + 0.0 AS best_in, round(avg(o), 4) + 0.0 AS then_out FROM b GROUP BY 1""",
