@@ -15,9 +15,12 @@ from asofspark.llm.pii import pii_spans
 from asofspark.llm.quality_classifier import quality_scores
 from asofspark.llm.quality_rules import quality_rules
 from asofspark.llm.simhash import simhash_groups
+from asofspark.llm.storage import stored
 from asofspark.llm.token_counts import token_counts
+from asofspark.llm.toxicity import toxicity_scores
 from asofspark.llm.url_rules import ORACLE_SQL as URL_RULES_SQL
 from asofspark.llm.url_rules import judge_urls, rule_table
+from asofspark.llm.vector_clusters import vector_clusters, with_inertia
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,6 +73,15 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
 
 
+def op11_vector_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    assigned, centroids = vector_clusters(_table(spark, sf_dir, "embeddings"))
+    return with_inertia(stored(assigned), centroids)
+
+
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1_quality_rules,
@@ -82,6 +94,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_decontamination": op8_decontamination,
         "op9_language_id": op9_language_id,
         "op10_pii": op10_pii,
+        "op11_vector_clusters": op11_vector_clusters,
+        "op12_toxicity": op12_toxicity,
     }
 
 
