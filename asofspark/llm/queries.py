@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from asofspark.llm.context_tree import context_tree_scores
+from asofspark.llm.conversation_trie import conversation_trie
 from asofspark.llm.decontaminate import contaminated
 from asofspark.llm.language_id import language_id
 from asofspark.llm.mixing import mixed
@@ -82,6 +83,10 @@ def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie(_table(spark, sf_dir, "conversations")).drop("node", "parent")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1_quality_rules,
@@ -96,6 +101,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_pii": op10_pii,
         "op11_vector_clusters": op11_vector_clusters,
         "op12_toxicity": op12_toxicity,
+        "op13_conversation_trie": op13_conversation_trie,
     }
 
 

@@ -1,12 +1,13 @@
 """Operator 11: exact k-means over a vector-approximation file.
 
 Vectors become integers, and their approximations a few bits a component: the cell of a
-component between fixed edges.  A table a round, looked up by component, centroid and cell,
-bounds the squared distance to every centroid from below and above.  Where one centroid's
-upper bound lies under all other lower bounds, the approximation decides; whole vectors are
-fetched only where intervals overlap or where the decision differs from the round before, and
-only their differences enter the sums.  So a round reads the approximations (48 bytes for
-64 components) and joins the few vectors that it needs from a table bucketed by row.
+component between fixed edges.  Tables looked up by component, cell and centroid give an
+interval of the squared distance to every centroid (less that to the centroids' mean, which
+is the same for all).  Where one centroid's upper bound lies under all other lower bounds,
+the approximation decides; whole vectors are fetched only where intervals overlap or where the
+decision differs from the round before, and only their differences enter the sums.  So a round
+reads the approximations (56 bytes for 64 components) and joins the vectors that it needs from
+a table bucketed by row, which isn't shuffled.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import types as T
 from asofspark.llm.storage import shared_dir
 
 #: Bits of a cell's number.
-BITS = 6
+BITS = 7
 #: Vectors whose quantiles give the edges of cells (at most; the edges steer effort only, results are exact).
 EDGE_SAMPLE = 20_000
 #: Vectors of a bucket of the table, about, and its buckets at least and at most.
@@ -85,10 +86,15 @@ class Cells:
         return np.stack([np.searchsorted(cut, q[:, d], "left") for d, cut in enumerate(self.cuts)], 1).astype(np.uint8)
 
     def tables(self, centroids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(components, cells, centroids) least and largest squared difference of a cell's integers to a centroid's component."""
-        c = centroids.T[:, None, :]
-        below, above = self.lows[:, :, None] - c, c - self.highs[:, :, None]
-        return np.maximum(np.maximum(below, above), 0) ** 2, np.maximum(np.abs(below), np.abs(above)) ** 2
+        """(components, cells, centroids) least and largest value of (x - c)^2 - (x - m)^2 over a cell's integers x.
+
+        m is the centroids' rounded mean.  Its distance is the same for all centroids, so that the intervals of the
+        differences overlap only where those of distances do, but they are as narrow as c is near to m, not to x.
+        The difference is linear in x: its extremes are at a cell's ends.
+        """
+        c, m = centroids.T[:, None, :], np.round(centroids.mean(axis=0)).astype(np.int64)[:, None, None]
+        ends = [(x[:, :, None] - c) ** 2 - (x[:, :, None] - m) ** 2 for x in (self.lows, self.highs)]
+        return np.minimum(*ends), np.maximum(*ends)
 
     def decided(self, cells: np.ndarray, tables: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
         """The centroid that is nearest whatever the vectors' exact components are, or -1."""
