@@ -6,7 +6,7 @@ all.  After training the tree is fixed, so a byte's probability depends on its D
 bytes only, and the model of a corpus is a table of such grams.
 
 The work is dealt so that nothing holds the corpus or its model whole.  Texts stay in
-blocks of bounded size (parts of the file splits that they are read in).  A block sends
+blocks of neighbouring rows of a file, whatever splits these are read in.  A block sends
 its distinct grams and words with their training counts; these are summed over all
 blocks.  The two deepest levels of the tree are weighted in groups of grams with the same last
 four bytes of context (65,536 grams at most), streamed in sorted order; the log weights
@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,10 +30,8 @@ from asofspark.llm.storage import stored
 DEPTH = 5
 #: Depth from which levels are tables of nodes; the levels below it are weighted in groups of grams.
 UPPER = 3
-#: Bytes of a file in a block.
-BLOCK_BYTES = 16 << 20
-#: Rows of a block where they come from no file; there a row's block is a hash of it.
-BLOCK_ROWS = 4096
+#: Bytes of a file in a block, on average.
+BLOCK_BYTES = 8 << 20
 #: Grams that are weighted at once (groups are kept whole), and blocks in a row of a gram's list.
 CHUNK, LIST = 20_000, 4096
 #: Keys that a task gathers before it merges equal ones, and distinct keys at which it sends them.
@@ -51,15 +50,21 @@ def held_out(doc_id: Column) -> Column:
 def _blocked(docs: DataFrame, text: str) -> DataFrame:
     """doc_id, held_out, _text and the block of each row.
 
-    A block is a share of the file split that the row is read in, about BLOCK_BYTES of it, by a hash
-    of the row; or such a hash alone where there is no file.  Either is a function of the row.
+    A block is a run of rows of a Parquet file, so many that it has about BLOCK_BYTES.  Both the file's name and the
+    row's place in it are the same in every scan, however the file is split and whatever executors are there.  Rows of
+    other origin are stored first.
     """
-    row = F.xxhash64("doc_id", F.col(text))
-    loose = F.pmod(row, F.lit(docs.count() // BLOCK_ROWS + 1))
-    share = F.pmod(row, F.ceil(F.input_file_block_length() / F.lit(BLOCK_BYTES)))
-    split = F.pmod(F.xxhash64(F.input_file_name(), F.input_file_block_start(), share), F.lit(2**31 - 1))
-    block = F.when(F.input_file_name() == "", loose).otherwise(split)
-    return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col(text).alias("_text"), block.cast("int").alias("block"))
+    chosen = docs.select("doc_id", F.col(text).alias("_text"))
+    place = [F.col(f"_metadata.{c}").alias(f"_{c}") for c in ("file_path", "row_index", "file_size")]
+    try:
+        rows = docs.select("doc_id", F.col(text).alias("_text"), *place)
+    except AnalysisException:
+        rows = stored(chosen).select("*", *place)
+    files = rows.groupBy("_file_path").agg(F.first("_file_size").alias("size"), F.count(F.lit(1)).alias("n"))
+    size, n = files.agg(F.sum("size"), F.sum("n")).first()  # reads no column
+    run = F.floor(F.col("_row_index") / max(1, round(BLOCK_BYTES * (n or 0) / (size or 1))))
+    block = F.pmod(F.xxhash64("_file_path", run), F.lit(2**31 - 1))
+    return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "_text", block.cast("int").alias("block"))
 
 
 def gram_keys(t: grid.Texts) -> tuple[np.ndarray, np.ndarray]:

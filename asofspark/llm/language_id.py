@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from asofspark.llm import grid
+from asofspark.llm.storage import share_of
 
 #: Language families by code (fixed values); a code that isn't here is a family of its own.
 FAMILIES = {
@@ -188,7 +189,7 @@ def fit_languages(docs: DataFrame, text: str = "text", lang: str = "lang") -> La
     most = min(PER_LANGUAGE, IN_ALL // max(1, len(found)))
     chosen = F.lit(False)
     for r in found:
-        chosen = chosen | ((F.col("_lang") == r["_lang"]) & (F.pmod("_h", F.lit(1_000_000)) < int(min(1.0, most / max(1, r["n"])) * 1_000_000)))
+        chosen = chosen | ((F.col("_lang") == r["_lang"]) & share_of(F.col("_h"), most / max(1, r["n"])))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in grid.slices(batches, "_text"):

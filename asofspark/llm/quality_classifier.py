@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from asofspark.llm.stats import text_counts
+from asofspark.llm.storage import share_of
 
 #: Labelled rows that a model is fitted on at most (about; chosen by a hash of doc_id).
 MAX_LABELLED = 20_000
@@ -178,9 +179,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, text: str = "text", label: s
     """
     usable = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     known = usable.groupBy("doc_id").agg((F.avg(label) >= 0.5).cast("double").alias("_y"))
-    share = min(1.0, MAX_LABELLED / max(1, known.count()))
-    bucket = F.pmod(F.xxhash64(F.lit("fit"), "doc_id"), F.lit(1_000_000))
-    chosen = known.where(bucket < int(share * 1_000_000))
+    chosen = known.where(share_of(F.xxhash64(F.lit("fit"), "doc_id"), MAX_LABELLED / max(1, known.count())))
     sample = featured(docs.select("doc_id", docs[text].alias("text")).join(F.broadcast(chosen), "doc_id"), "text", ("doc_id", "_y"))
     one = sample.groupBy("doc_id").agg(F.min(F.struct("_y", *FEATURES)).alias("_row"))  # so many rows as ids, however often one stands
     rows = one.select("doc_id", "_row.*").toPandas().sort_values("doc_id")

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,6 +28,19 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str, buckets: int) -> DataFrame:
+    """As stored(), in buckets of ``key`` (an external table): joins on the key don't shuffle it."""
+    spark, name = df.sparkSession, f"table_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/table-{name}"
+    df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).option("path", path).format("parquet").saveAsTable(name)
+    return spark.table(name)
+
+
+def share_of(hashed: Column, share: float) -> Column:
+    """Whether a 64-bit hash lies in the lowest ``share`` of all; the smallest shares are met, too."""
+    return F.lit(True) if share >= 1 else hashed < F.lit(int(share * 2**64) - 2**63)
+
+
 def discard(df: DataFrame) -> None:
     """Deletes the files of a table made by stored()."""
     spark = df.sparkSession

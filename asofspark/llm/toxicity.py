@@ -29,7 +29,7 @@ PREFIXES, SUFFIX = (4, 5, 6, 7, 8, 9), 4
 MAX_PARTS = 60_000
 HIDDEN, ATTENTION, BYTE_DIMENSIONS = 8, 8, 4
 STATISTICS = 5
-EPOCHS, BATCH, RATE, REFRESH = 10, 256, 0.01, 5
+EPOCHS, BATCH, RATE, REFRESH = 12, 128, 0.01, 3
 #: Windows that are scored at once.
 WINDOWS_AT_ONCE = 8192
 FLAGGED = 0.7
@@ -263,7 +263,7 @@ class ToxicityModel:
                 for k, d in g.items():
                     first[k] += 0.1 * (d - first[k])
                     second[k] += 0.001 * (d * d - second[k])
-                    p[k] = (p[k] - RATE * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
+                    p[k] = (p[k] - RATE * (1 - epoch / EPOCHS) * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
         return p
 
     def scores(self, column: pa.Array) -> np.ndarray:

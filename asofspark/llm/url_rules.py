@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from asofspark.llm.storage import share_of
+
 #: Rules of the registered query: host, path, verdict (fixed values).
 RULES = [
     ("com", "/en/", "block"),
@@ -57,10 +59,11 @@ def _limits(keys: DataFrame, rows: int, tasks: int) -> tuple[list[str], list[int
     n = min(MAX_RANGES, tasks)
     if n < 2:
         return [], [1]
-    share = min(1.0, SAMPLE / rows)
-    picked = keys.where(F.pmod(F.xxhash64("page_id", "key"), F.lit(1_000_000)) < int(share * 1_000_000)).select("key").limit(2 * SAMPLE).collect()
+    picked = keys.where(share_of(F.xxhash64("page_id", "key"), SAMPLE / max(1, rows))).select("key").limit(2 * SAMPLE).collect()
     some = sorted(r["key"] for r in picked)
-    limits = sorted({some[len(some) * k // n] for k in range(1, n)}) if some else []
+    if not some:  # one range, dealt by hash over all tasks
+        return [], [tasks]
+    limits = sorted({some[len(some) * k // n] for k in range(1, n)})
     held = [0] * (len(limits) + 1)
     for key in some:
         held[bisect_right(limits, key)] += 1

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from asofspark.llm.storage import shared_dir
+from asofspark.llm.storage import bucketed, shared_dir
 
 #: Bits of a cell's number.
 BITS = 7
@@ -130,7 +130,7 @@ class VectorFile:
         self.count, low, high = self._range(plain)
         self.buckets = int(min(MAX_BUCKETS, max(MIN_BUCKETS, self.count // BUCKET_ROWS)))
         self.cells = self._edges(plain, low, high) if self.count else None
-        self.full = self._bucketed(plain, f"{root}/full")
+        self.full = bucketed(plain, "rid", self.buckets)  # joins on rid don't shuffle it
         self.plain = plain
         if self.cells is not None:
             self._write_cells(plain, f"{root}/cells")
@@ -166,12 +166,6 @@ class VectorFile:
         sample = plain.select("q", F.xxhash64("rid").alias("h")).orderBy("h").limit(EDGE_SAMPLE).collect()
         return Cells(np.array([r["q"] for r in sample], np.int64), low, high, self.bits)
 
-    def _bucketed(self, plain: DataFrame, path: str) -> DataFrame:
-        """The vectors in buckets of rid, an external table in the shared folder: joins on rid don't shuffle it."""
-        name = f"vectors_{uuid.uuid4().hex}"
-        plain.repartition(self.buckets, "rid").write.bucketBy(self.buckets, "rid").sortBy("rid").option("path", path).format("parquet").saveAsTable(name)
-        return self.spark.table(name)
-
     def _write_cells(self, plain: DataFrame, path: str) -> None:
         cells, size, bits = self.cells, self.size, self.bits
 
