@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from asofspark.plans import books, checks, fundamentals, panels, parts, portfolio, research, timeseries
+from asofspark.plans import books, checks, fundamentals, panels, parts, portfolio, research, schedules, timeseries
 
-_MODULES = [fundamentals, timeseries, portfolio, research, checks, books, parts, panels]
+_MODULES = [fundamentals, timeseries, portfolio, research, checks, books, parts, panels, schedules]
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 SQL = {name: sql for m in _MODULES for name, sql in m.SQL.items()}
