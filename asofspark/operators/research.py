@@ -199,52 +199,11 @@ def deflated_sharpe(stats: DataFrame, trials: DataFrame, year: int = 252) -> Dat
     return psr(known, F.col("hurdle")).withColumnRenamed("psr", "dsr")
 
 
-def bootstrap_starts(spark, n: int, block: int, n_boot: int, seed: int) -> DataFrame:
-    """boot, pos, idx: rows of moving-block resamples of n rows; starts come from an integer hash, so any engine makes the same."""
-    blocks = -(-n // block)
-    x = spark.range(n_boot).select(F.col("id").alias("boot"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("blk"))
-    start = F.pmod(F.col("boot") * F.lit(2654435761) + F.col("blk").cast("long") * F.lit(40503) + F.lit(seed * 97), F.lit(2147483647)) % F.lit(n - block + 1)
-    x = x.withColumn("start", start).select("boot", "blk", "start", F.explode(F.sequence(F.lit(0), F.lit(block - 1))).alias("k"))
-    return x.select("boot", (F.col("blk") * block + F.col("k")).alias("pos"), (F.col("start") + F.col("k")).alias("idx")).where(F.col("pos") < n)
-
-
-def block_bootstrap_diff(pair: DataFrame, block: int, n_boot: int, seed: int = 0, year: int = 252) -> DataFrame:
-    """observed, low, high, p: difference of annual Sharpes of two aligned streams (idx, ra, rb) over paired resamples.
-
-    The streams have one row a period, so they are small; resamples are n_boot times as many
-    rows, joined on idx and reduced by partial sums.
-    """
-    size = pair.agg(F.when(F.count(F.lit(1)) < 5 * block, F.raise_error(F.lit("fewer than five blocks of rows")).cast("long")).otherwise(F.count(F.lit(1))).alias("n"))
-    sharpe = lambda c: F.avg(c) / F.stddev_samp(c) * year**0.5
-    rows = bootstrap_rows(size, block, n_boot, seed).join(pair, "idx")
-    boots = rows.groupBy("boot").agg((sharpe("ra") - sharpe("rb")).alias("d"))
-    observed = pair.agg((sharpe("ra") - sharpe("rb")).alias("observed"))
-    stats = boots.agg(F.percentile("d", F.lit(0.025)).alias("low"), F.percentile("d", F.lit(0.975)).alias("high"), F.avg((F.col("d") <= 0).cast("double")).alias("p"))
-    return observed.join(F.broadcast(stats))
-
-
 def grid_rank(results: DataFrame, by: list[str], metric: str) -> DataFrame:
     """Best run of each group by a metric; ties by run_id."""
     return results.withColumn("_p", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc_nulls_last(metric), "run_id"))).where("_p = 1").drop("_p")
 
 
-def overfit_curve(results: DataFrame, sizes: list[int], trials: int = 400, seed: int = 0) -> DataFrame:
-    """k, best_in, then_out: mean over random subsets of k runs of the best in-sample metric and that run's out-of-sample one.
-
-    Subsets take the k first runs in the order of an integer hash of (trial, run number).
-    """
-    x = results.withColumn("_n", F.row_number().over(Window.orderBy("run_id")).cast("long"))
-    t = results.sparkSession.range(trials).select(F.col("id").alias("trial"))
-    h = F.pmod(F.col("trial") * F.lit(2654435761) + F.col("_n") * F.lit(40503) * F.col("_n") + F.lit(seed * 97), F.lit(1000003))
-    each = x.join(F.broadcast(t)).withColumn("_p", F.row_number().over(Window.partitionBy("trial").orderBy(h, "_n")))
-    out = None
-    for k in sizes:
-        best = each.where(F.col("_p") <= k).groupBy("trial").agg(F.max("in_sample").alias("b"), F.max_by("out_sample", F.struct("in_sample", -F.col("_n"))).alias("o"))
-        row = best.agg(F.lit(k).alias("k"), F.avg("b").alias("best_in"), F.avg("o").alias("then_out"))
-        out = row if out is None else out.unionByName(row)
-    return out
-
-
 def proxy_validation(pair: DataFrame) -> DataFrame:
     """corr, vol_ratio, n of two return streams (ra, rb) where both exist."""
     x = pair.where("ra is not null and rb is not null")
@@ -261,34 +220,6 @@ def reconcile(pair: DataFrame, year: int = 252, by: tuple[str, ...] = ()) -> Dat
     return out.withColumn("agree", (F.col("corr") >= 0.999) & (F.abs(F.col("ratio") - 1) <= 0.01) & (F.col("d_sharpe") <= 0.02))
 
 
-def bootstrap_drawdowns(returns: DataFrame, leverage: DataFrame, block: int, n_boot: int, seed: int = 0) -> DataFrame:
-    """scheme, p50, p5: quantiles of the deepest drawdown over resampled paths, at the mean leverage and at each row's own.
-
-    ``returns`` has (idx, ret), one stream; ``leverage`` (idx, leverage), drawn along with its row.  Paths are rows of one
-    job, reduced by windows of each path.
-    """
-    x = returns.join(leverage, "idx").where("ret is not null and leverage is not null")
-    x = x.select("ret", "leverage", (F.row_number().over(Window.orderBy("idx")) - 1).cast("long").alias("idx"))
-    size = x.agg(F.count(F.lit(1)).alias("n"), F.avg("leverage").alias("_mean"))
-    rows = bootstrap_rows(size, block, n_boot, seed).join(x, "idx")
-    each = rows.select("boot", "pos", F.explode(F.array(F.struct(F.lit("constant").alias("scheme"), (F.col("_mean") * F.col("ret")).alias("r")), F.struct(F.lit("dynamic").alias("scheme"), (F.col("leverage") * F.col("ret")).alias("r")))).alias("e")).select("boot", "pos", "e.*")
-    w = Window.partitionBy("scheme", "boot").orderBy("pos")
-    each = each.withColumn("_v", F.product(1 + F.greatest("r", F.lit(-1.0))).over(w))
-    each = each.withColumn("_dd", F.try_divide(F.col("_v"), F.greatest(F.max("_v").over(w), F.lit(1.0))) - 1)
-    worst = each.groupBy("scheme", "boot").agg(F.min("_dd").alias("d"))
-    return worst.groupBy("scheme").agg(F.percentile("d", F.lit(0.5)).alias("p50"), F.percentile("d", F.lit(0.05)).alias("p5"))
-
-
-def bootstrap_rows(size: DataFrame, block: int, n_boot: int, seed: int) -> DataFrame:
-    """bootstrap_starts() where the number of rows n stands in a table of one row, whose other columns come along."""
-    x = size.sparkSession.range(n_boot).select(F.col("id").alias("boot")).join(F.broadcast(size))
-    x = x.withColumn("blk", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / block).cast("int") - 1)))
-    start = F.pmod(F.col("boot") * F.lit(2654435761) + F.col("blk").cast("long") * F.lit(40503) + F.lit(seed * 97), F.lit(2147483647)) % (F.col("n") - block + 1)
-    x = x.withColumn("start", start).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(block - 1))))
-    x = x.withColumns({"pos": F.col("blk") * block + F.col("k"), "idx": F.col("start") + F.col("k")}).where("pos < n")
-    return x.drop("blk", "start", "k", "n")
-
-
 def decompose_drag(obs: DataFrame, fields: list[str], control: str, fwd: str = "fwd", least: int = 5) -> DataFrame:
     """field, mean_ic, dates: rank correlation with the forward return of each percentile column, their mean and a control, on dates with ``least`` names.
 

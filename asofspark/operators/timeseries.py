@@ -5,8 +5,10 @@ Windows are by symbol and calendar row; a rolling value is NULL until its window
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import heapq
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -173,13 +175,43 @@ def rsrs_gate(panel: DataFrame, n: int = 18, look: int = 600, every: int = 21, e
     return x.withColumn("gate", F.last(set_at, ignorenulls=True).over(by_symbol()))
 
 
+def running_median(panel: DataFrame, value: str, out: str) -> DataFrame:
+    """Adds ``out``: the median of all values of the symbol up to the row (missing ones don't count; null before the first).
+
+    Symbols stream by in the order of their rows.  The lower and the upper half of what was seen are two heaps, so a row
+    costs the logarithm of their size, where a window over all rows so far would sort them anew.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        owner, low, high = None, [], []  # low: negated, its largest value first
+        for batch in batches:
+            medians = []
+            for symbol, v in zip(batch.column("symbol").to_pylist(), batch.column(value).to_pylist(), strict=True):
+                if symbol != owner:
+                    owner, low, high = symbol, [], []
+                if v is not None:
+                    if low and v <= -low[0]:
+                        heapq.heappush(low, -v)
+                    else:
+                        heapq.heappush(high, v)
+                    if len(low) > len(high):
+                        heapq.heappush(high, -heapq.heappop(low))
+                    elif len(high) > len(low) + 1:
+                        heapq.heappush(low, -heapq.heappop(high))
+                medians.append(None if not high else high[0] if len(high) > len(low) else (high[0] - low[0]) / 2)
+            yield batch.append_column(out, pa.array(medians, pa.float64()))
+
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in panel.schema.fields), f"`{out}` double"])
+    return panel.repartition("symbol").sortWithinPartitions("symbol", "idx").mapInArrow(run, schema)
+
+
 def dynamic_leverage(panel: DataFrame, n: int = 63, warm: int = 252, every: int = 21, most: float = 2.3) -> DataFrame:
     """Adds leverage: most x (median volatility so far / volatility), within [1, most], set at cycle rows and held."""
-    x = panel.withColumn("_vol", rolling_vol(n))
-    median = F.when(F.count("_vol").over(by_symbol()) >= warm, F.percentile("_vol", F.lit(0.5)).over(by_symbol()))
+    x = running_median(panel.withColumn("_vol", rolling_vol(n)), "_vol", "_median")
+    median = F.when(F.count("_vol").over(by_symbol()) >= warm, F.col("_median"))
     level = F.greatest(F.lit(1.0), F.least(F.lit(most), most * F.try_divide(median, F.col("_vol"))))
     set_at = F.when((F.col("idx") % every == 0) & median.isNotNull(), level)
-    return x.withColumn("_set", set_at).withColumn("leverage", F.last("_set", ignorenulls=True).over(by_symbol())).drop("_vol", "_set")
+    return x.withColumn("_set", set_at).withColumn("leverage", F.last("_set", ignorenulls=True).over(by_symbol())).drop("_vol", "_median", "_set")
 
 
 def unsmoothed(panel: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ from asofspark.plans.books import _G, grid
 from asofspark.plans.common import rounded, significant_sql
 from asofspark.plans.fundamentals import _FSCORE, CANONICAL_SQL, EXCLUDED, HIGH, LOW, _ranks_sql, canonical
 from asofspark.plans.parts import _LABEL_ROWS, LABELS, SECTORS, labelled, sics
-from asofspark.plans.research import _BOOT, OBS, pairs, ranks
+from asofspark.plans.research import OBS, pairs, ranks
 from asofspark.plans.timeseries import BY, PANEL, mom, r6, roll
 from asofspark.plans.timeseries import SQL as TS_SQL
 from asofspark.sources import driver_tables as dt
@@ -180,12 +180,6 @@ def q_ext_vol(spark, d):
     return rounded(pf._long(wt.ext_vol_weights(sig, vols).select("run_id", "mark", "symbol", "w"), "mark"))
 
 
-def q_drawdowns(spark, d):
-    p = pn.panel(dt.bars(spark, d))
-    lev = ts.dynamic_leverage(p, 13, 52, 4).where("symbol = 'Brand#1'").select("idx", F.round("leverage", 6).alias("leverage"))
-    return rounded(rs.bootstrap_drawdowns(p.where("symbol = 'Brand#1'").select("idx", F.round("ret", 9).alias("ret")), lev, 13, 200, 5), 5)
-
-
 def snapshots(spark, d):
     """Locks of the trend book with the closes that their weights came from."""
     p = pn.panel(dt.bars(spark, d))
@@ -265,7 +259,7 @@ QUERIES = {
     "T21_pair_spreads": q_pair_spreads,
     "A4_fundamentals_flat": q_flat, "A5_canonical_filings": q_filings, "A9_canonical_labels": q_labels, "A18_route_source": q_route, "X6_collect_obs": q_collect, "S20_cache_obs": q_cache,
     "X8_research_panel": q_research, "X7_decompose_drag": q_drag, "Q2_validate_panel": q_validate_panel, "Q13_tickers_priced": q_priced, "S4_dual_view": q_dual, "W3_ext_vol_weights": q_ext_vol,
-    "X19_bootstrap_drawdowns": q_drawdowns, "X28_verify_lock": q_verify, "X29_regime_posture": q_regime, "X31_variants": q_variants, "X31_dated_financing": q_dated, "X5_breadth_shares": q_shares, "X22_stitched": q_stitched,
+    "X28_verify_lock": q_verify, "X29_regime_posture": q_regime, "X31_variants": q_variants, "X31_dated_financing": q_dated, "X5_breadth_shares": q_shares, "X22_stitched": q_stitched,
 }
 _OBS_SQL = f"""WITH {MOVED}, {SIGNALS}, elig AS (SELECT f.*, mom, fwd FROM funnel f LEFT JOIN pm USING (ticker, as_of) WHERE drop_reason IS NULL OR drop_reason IN ('altman_z', 'beneish_m'))"""
 _OBS_OUT = f"{_OBS_SQL} SELECT ticker, as_of, " + ", ".join(f"round({c}, 5) + 0.0 AS {c}" for c in _OBS_COLS) + f", CASE WHEN total_assets_prior IS NULL THEN NULL ELSE CAST({_FSCORE} AS BIGINT) END AS fscore FROM elig"
@@ -300,12 +294,6 @@ SELECT 'repeated date' AS rule, symbol, CAST(twice AS BIGINT) AS n FROM c WHERE
 SELECT 'tickers' AS "check", CASE WHEN m = 0 THEN 'PASS' WHEN m * 10 <= n THEN 'WARN' ELSE 'FAIL' END AS status, m || ' of ' || n || ' without a price' AS message FROM c""",
     "S4_dual_view": f"{PANEL}, x AS (SELECT symbol, dt, close, px FROM panel WHERE close IS NOT NULL) SELECT symbol, dt, round(px / first_value(px) OVER (PARTITION BY symbol ORDER BY dt), 6) + 0.0 AS adjusted, round(close, 6) + 0.0 AS raw FROM x",
     "W3_ext_vol_weights": f"{pf.TREND}, xv AS (SELECT symbol, idx, ({roll('stddev_samp', 'ret', 13)}) * sqrt(52) AS v FROM rets), a AS (SELECT run_id, mark, symbol, strength / nullif(v, 0) AS w0 FROM sig JOIN xv USING (symbol) WHERE idx = mark AND strength / nullif(v, 0) <> 0) SELECT run_id, mark, symbol, round(w0 / sum(abs(w0)) OVER (PARTITION BY run_id, mark), 6) + 0.0 AS w FROM a",
-    "X19_bootstrap_drawdowns": f"""WITH lv AS ({TS_SQL["T19_dynamic_leverage"]}), rt AS ({PANEL} SELECT symbol, dt, idx, round(ret, 9) AS ret FROM rets WHERE symbol = 'Brand#1'),
-ix AS (SELECT row_number() OVER (ORDER BY idx) - 1 AS idx, ret, leverage FROM rt JOIN lv USING (symbol, dt) WHERE ret IS NOT NULL AND leverage IS NOT NULL), nn AS (SELECT count(*) AS n, avg(leverage) AS m FROM ix),
-st AS (SELECT b.boot, k.blk, {_BOOT.format(seed=5, n='nn.n', block=13)} AS start FROM (SELECT range AS boot FROM range(200)) b, nn, LATERAL (SELECT range AS blk FROM range(CAST(ceil(nn.n / 13.0) AS BIGINT))) k),
-rw AS (SELECT boot, blk * 13 + j.range AS pos, start + j.range AS idx FROM st, range(13) j), e AS (SELECT boot, pos, 'constant' AS scheme, m * ret AS r FROM rw JOIN ix USING (idx), nn WHERE pos < nn.n UNION ALL SELECT boot, pos, 'dynamic', leverage * ret FROM rw JOIN ix USING (idx), nn WHERE pos < nn.n),
-v AS (SELECT scheme, boot, pos, product(1 + greatest(r, -1.0)) OVER (PARTITION BY scheme, boot ORDER BY pos) AS v FROM e), w AS (SELECT scheme, boot, v / greatest(max(v) OVER (PARTITION BY scheme, boot ORDER BY pos), 1.0) - 1 AS dd FROM v), d AS (SELECT scheme, boot, min(dd) AS d FROM w GROUP BY 1, 2)
-SELECT scheme, round(quantile_cont(d, 0.5), 5) + 0.0 AS p50, round(quantile_cont(d, 0.05), 5) + 0.0 AS p5 FROM d GROUP BY 1""",
     "X28_verify_lock": f"{pf.TREND}, c AS (SELECT mark, count(*) AS names FROM iv WHERE run_id = 'o0' GROUP BY 1) SELECT 'trend' AS book, dt AS lock_date, names, 0.0::DOUBLE AS deviation, true AS ok FROM c JOIN cal ON idx = mark",
     "X29_regime_posture": f"""{pf.TREND}, bt AS (SELECT symbol, dt, beta FROM ({TS_SQL["T24_rolling_beta"]}) WHERE beta IS NOT NULL), b AS (SELECT run_id, mark, sum(w * beta) AS beta FROM iv JOIN cal ON idx = mark JOIN bt USING (symbol, dt) GROUP BY 1, 2),
 x AS (SELECT run_id, mark, sum(abs(w)) AS deployed, sum(CASE WHEN symbol IN ('Brand#10', 'Brand#11') THEN abs(w) ELSE 0 END) AS s FROM iv GROUP BY 1, 2)

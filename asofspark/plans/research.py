@@ -125,7 +125,7 @@ def q_positions(spark, d):
 
 
 def _returns(spark, d):
-    return me.with_returns(curves(spark, d)).where("ret is not null").withColumn("ret", F.greatest("ret", F.lit(-0.9)))
+    return me.with_returns(curves(spark, d)).where("ret is not null")
 
 
 def q_moments(spark, d):
@@ -141,27 +141,11 @@ def q_dsr(spark, d):
     return rounded(rs.deflated_sharpe(m, m.select((F.col("sharpe") * 252**0.5).alias("sharpe_annual"))), 5)
 
 
-def q_bootstrap(spark, d):
-    x = legs(spark, d).withColumn("idx", F.row_number().over(Window.orderBy("dt")) - 1)
-    return rounded(rs.block_bootstrap_diff(x.select(F.col("idx").cast("long").alias("idx"), "ra", "rb"), 13, 200, 7), 5)
-
-
-def q_starts(spark, d):
-    """Mean returns of both legs on every resampled path, from the rows that its blocks draw."""
-    x = legs(spark, d).withColumn("idx", F.row_number().over(Window.orderBy("dt")) - 1).select(F.col("idx").cast("long").alias("idx"), "ra", "rb")
-    rows = rs.bootstrap_rows(x.agg(F.count(F.lit(1)).alias("n")), 26, 50, 3).join(x, "idx")
-    return rounded(rows.groupBy("boot").agg(F.count(F.lit(1)).alias("n"), F.sum("pos").cast("long").alias("places"), F.avg("ra").alias("ra"), F.avg("rb").alias("rb")))
-
-
 def q_grid_rank(spark, d):
     g = grid_results(spark, d).withColumn("symbol", F.split("run_id", r"\|")[0])
     return rounded(rs.grid_rank(g, ["symbol"], "in_sample").select("symbol", "run_id", "in_sample", "out_sample"), 5)
 
 
-def q_overfit(spark, d):
-    return rounded(rs.overfit_curve(grid_results(spark, d), [1, 5, 20, 50]).withColumn("k", F.col("k").cast("long")), 4)
-
-
 def q_proxy(spark, d):
     return rounded(rs.proxy_validation(legs(spark, d)))
 
@@ -187,8 +171,8 @@ def q_variance(spark, d):
 QUERIES = {
     "R5_rank_signals": q_ranks, "X1_ic_table": q_ic, "X10_subperiod_ic": q_subperiod, "X2_factor_corr": q_factor_corr, "X3_quintile_spread": q_quintile, "X4_bakeoff": q_bakeoff,
     "X9_fama_macbeth": q_fama, "W19_candidate_pairs": q_candidates, "X11_hedge_ratio": q_hedge, "X12_adf_tstat": q_adf, "X14_half_life": q_half_life, "X13_find_pairs": q_find_pairs,
-    "W20_pair_positions": q_positions, "X15_moments": q_moments, "X15_psr": q_psr, "X16_deflated_sharpe": q_dsr, "X17_bootstrap_diff": q_bootstrap, "X18_bootstrap_rows": q_starts,
-    "X20_R10_grid_rank": q_grid_rank, "X23_overfit_curve": q_overfit, "X26_proxy_validation": q_proxy, "X27_reconcile": q_reconcile, "X32_compare_books": q_compare, "X30_variance_compare": q_variance,
+    "W20_pair_positions": q_positions, "X15_moments": q_moments, "X15_psr": q_psr, "X16_deflated_sharpe": q_dsr,
+    "X20_R10_grid_rank": q_grid_rank, "X26_proxy_validation": q_proxy, "X27_reconcile": q_reconcile, "X32_compare_books": q_compare, "X30_variance_compare": q_variance,
 }
 def cdf_sql(x: str) -> str:
     """Normal distribution function in SQL: the same published approximation of the tail."""
@@ -210,10 +194,9 @@ def quantile_sql(p: str) -> str:
     return f"CASE WHEN {p} > 0.97575 THEN -({horner(c, q)} / {horner(e, q)}) ELSE ({p} - 0.5) * {horner(a, r)} / {horner(b, r)} END"
 
 
-MOMENTS = f"""{CURVES}, r1 AS (SELECT run_id, equity / lag(equity) OVER (PARTITION BY run_id ORDER BY dt) - 1 AS x FROM curves), r2 AS (SELECT run_id, greatest(x, -0.9) AS ret FROM r1 WHERE x IS NOT NULL), s AS (SELECT run_id, count(*) AS n, avg(ret) AS m, stddev_samp(ret) AS sd FROM r2 GROUP BY 1),
+MOMENTS = f"""{CURVES}, r1 AS (SELECT run_id, equity / lag(equity) OVER (PARTITION BY run_id ORDER BY dt) - 1 AS x FROM curves), r2 AS (SELECT run_id, x AS ret FROM r1 WHERE x IS NOT NULL), s AS (SELECT run_id, count(*) AS n, avg(ret) AS m, stddev_samp(ret) AS sd FROM r2 GROUP BY 1),
 mo AS (SELECT run_id, any_value(n) AS n, any_value(m / sd) AS sharpe, avg(pow((ret - m) / sd, 3)) AS skew, avg(pow((ret - m) / sd, 4)) AS kurtosis FROM r2 JOIN s USING (run_id) GROUP BY 1)"""
 _ROOT = "sqrt(greatest(1 - skew * sharpe + (kurtosis - 1) / 4 * sharpe * sharpe, 1e-12))"
-_BOOT = "((b.boot * 2654435761 + k.blk * 40503 + {seed} * 97) % 2147483647) % ({n} - {block} + 1)"
 SQL = {
     "R5_rank_signals": f"{OBS} SELECT date, name, factor, {_r(['pct', 'fwd_pct'])} FROM rk",
     "X1_ic_table": f"{OBS} SELECT factor, round(avg(ic), 6) + 0.0 AS mean_ic, round(stddev_samp(ic), 6) + 0.0 AS std_ic, round(avg(ic) / stddev_samp(ic), 6) + 0.0 AS ir, round(avg(ic) / stddev_samp(ic) * sqrt(count(ic)), 6) + 0.0 AS t, round(avg(CASE WHEN ic > 0 THEN 1.0 ELSE 0.0 END), 6) + 0.0 AS hit, count(ic) AS periods FROM ic WHERE ic IS NOT NULL GROUP BY 1",
@@ -235,16 +218,8 @@ q AS (SELECT mo.*, hurdle, (sharpe - hurdle) * sqrt(n - 1) / {_ROOT} AS zz FROM
     "X12_adf_tstat": f"{PAIR} SELECT pair, n, round(adf_t, 4) + 0.0 AS adf_t FROM ad",
     "X14_half_life": f"{PAIR} SELECT pair, round(CASE WHEN theta < 0 THEN half_life ELSE CAST('inf' AS DOUBLE) END, 5) + 0.0 AS half_life FROM hl",
     "X13_find_pairs": f"{PAIR} SELECT pair, {_r(['beta', 'adf_t', 'half_life'], 4)} FROM ft JOIN ad USING (pair) JOIN hl USING (pair) WHERE adf_t < -3.34 AND beta > 0 AND theta < 0 AND half_life BETWEEN 0.1 AND 252",
-    "X15_moments": f"{CURVES}, r AS (SELECT run_id, greatest(equity / lag(equity) OVER (PARTITION BY run_id ORDER BY dt) - 1, -0.9) AS ret, equity / lag(equity) OVER (PARTITION BY run_id ORDER BY dt) AS g FROM curves), s AS (SELECT run_id, count(g) AS n, avg(ret) AS m, stddev_samp(ret) AS sd FROM r WHERE g IS NOT NULL GROUP BY 1) SELECT run_id, any_value(n) AS n, round(any_value(m / sd), 5) + 0.0 AS sharpe, round(avg(pow((ret - m) / sd, 3)), 5) + 0.0 AS skew, round(avg(pow((ret - m) / sd, 4)), 5) + 0.0 AS kurtosis FROM r JOIN s USING (run_id) WHERE g IS NOT NULL GROUP BY 1",
-    "X17_bootstrap_diff": f"""{LEGS}, ix AS (SELECT row_number() OVER (ORDER BY dt) - 1 AS idx, ra, rb FROM legs), nn AS (SELECT count(*) AS n FROM ix),
-st AS (SELECT b.boot, k.blk, {_BOOT.format(seed=7, n='nn.n', block=13)} AS start FROM (SELECT range AS boot FROM range(200)) b, nn, LATERAL (SELECT range AS blk FROM range(CAST(ceil(nn.n / 13.0) AS BIGINT))) k),
-rw AS (SELECT boot, blk * 13 + j.range AS pos, start + j.range AS idx FROM st, range(13) j), bs AS (SELECT boot, (avg(ra) / stddev_samp(ra) - avg(rb) / stddev_samp(rb)) * sqrt(252) AS d FROM rw JOIN ix USING (idx), nn WHERE pos < nn.n GROUP BY 1)
-SELECT (SELECT round((avg(ra) / stddev_samp(ra) - avg(rb) / stddev_samp(rb)) * sqrt(252), 5) + 0.0 FROM ix) AS observed, round(quantile_cont(d, 0.025), 5) + 0.0 AS low, round(quantile_cont(d, 0.975), 5) + 0.0 AS high, round(avg(CASE WHEN d <= 0 THEN 1.0 ELSE 0.0 END), 5) + 0.0 AS p FROM bs""",
-    "X18_bootstrap_rows": f"""{LEGS}, nn AS (SELECT count(*) AS n FROM legs), st AS (SELECT b.boot, k.blk, {_BOOT.format(seed=3, n='nn.n', block=26)} AS start FROM (SELECT range AS boot FROM range(50)) b, nn, LATERAL (SELECT range AS blk FROM range(CAST(ceil(nn.n / 26.0) AS BIGINT))) k)
-SELECT boot, count(*) AS n, CAST(sum(blk * 26 + j.range) AS BIGINT) AS places, round(avg(ra), 6) + 0.0 AS ra, round(avg(rb), 6) + 0.0 AS rb FROM st, range(26) j, nn, (SELECT row_number() OVER (ORDER BY dt) - 1 AS idx, ra, rb FROM legs) x WHERE blk * 26 + j.range < nn.n AND x.idx = start + j.range GROUP BY 1""",
+    "X15_moments": f"{CURVES}, r AS (SELECT run_id, equity / lag(equity) OVER (PARTITION BY run_id ORDER BY dt) - 1 AS ret, equity / lag(equity) OVER (PARTITION BY run_id ORDER BY dt) AS g FROM curves), s AS (SELECT run_id, count(g) AS n, avg(ret) AS m, stddev_samp(ret) AS sd FROM r WHERE g IS NOT NULL GROUP BY 1) SELECT run_id, any_value(n) AS n, round(any_value(m / sd), 5) + 0.0 AS sharpe, round(avg(pow((ret - m) / sd, 3)), 5) + 0.0 AS skew, round(avg(pow((ret - m) / sd, 4)), 5) + 0.0 AS kurtosis FROM r JOIN s USING (run_id) WHERE g IS NOT NULL GROUP BY 1",
     "X20_R10_grid_rank": f"{GRID}, p AS (SELECT *, split_part(run_id, '|', 1) AS symbol, row_number() OVER (PARTITION BY split_part(run_id, '|', 1) ORDER BY in_sample DESC NULLS LAST, run_id) AS p FROM res) SELECT symbol, run_id, {_r(['in_sample', 'out_sample'], 5)} FROM p WHERE p = 1",
-    "X23_overfit_curve": f"""{GRID}, n AS (SELECT *, row_number() OVER (ORDER BY run_id) AS n FROM res), e AS (SELECT *, row_number() OVER (PARTITION BY trial ORDER BY (trial * 2654435761 + n * 40503 * n) % 1000003, n) AS p FROM n, (SELECT range AS trial FROM range(400))),
-b AS (SELECT k, trial, max(in_sample) AS b, arg_max(out_sample, in_sample) AS o FROM e JOIN (SELECT unnest([1, 5, 20, 50]) AS k) ON p <= k GROUP BY 1, 2) SELECT CAST(k AS BIGINT) AS k, round(avg(b), 4) + 0.0 AS best_in, round(avg(o), 4) + 0.0 AS then_out FROM b GROUP BY 1""",
     "X26_proxy_validation": f"{LEGS} SELECT round(corr(ra, rb), 6) + 0.0 AS corr, round(stddev_samp(ra) / stddev_samp(rb), 6) + 0.0 AS vol_ratio, count(*) AS n FROM legs",
     "X27_reconcile": f"""{CURVES}, x AS (SELECT a.dt, a.equity AS ea, b.equity AS eb FROM curves a JOIN curves b ON a.dt = b.dt AND a.run_id = 'Brand#1' AND b.run_id = 'Brand#3'), y AS (SELECT *, ea / lag(ea) OVER (ORDER BY dt) - 1 AS a, eb / lag(eb) OVER (ORDER BY dt) - 1 AS b FROM x),
 z AS (SELECT corr(a, b) AS corr, (arg_max(ea, dt) / arg_min(ea, dt)) / (arg_max(eb, dt) / arg_min(eb, dt)) AS ratio, abs(avg(a) / stddev_samp(a) - avg(b) / stddev_samp(b)) * sqrt(252) AS d_sharpe FROM y) SELECT {_r(['corr', 'ratio', 'd_sharpe'], 5)}, corr >= 0.999 AND abs(ratio - 1) <= 0.01 AND d_sharpe <= 0.02 AS agree FROM z""",

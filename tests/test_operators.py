@@ -199,13 +199,6 @@ def test_luck(spark):
     assert research.psr(stats, 0.05).first()["psr"] == pytest.approx(0.5)
     luck = [r["x"] for r in spark.createDataFrame([(1, 1), (2, 10), (3, 100)], "k int, n long").select("k", research.expected_max_sharpe(F.lit(0.01), F.col("n")).alias("x")).orderBy("k").collect()]
     assert luck[0] is None and luck[1] < luck[2]
-    rng = np.random.default_rng(1)
-    pair = spark.createDataFrame([(k, float(a), float(b)) for k, (a, b) in enumerate(rng.normal(0, 0.01, (300, 2)) + [[0.004, 0.0]])], "idx long, ra double, rb double")
-    assert research.block_bootstrap_diff(pair, 21, 200).first()["p"] < 0.05
-    with pytest.raises(Exception, match="fewer than five blocks"):
-        research.block_bootstrap_diff(pair.limit(50), 21, 10).collect()
-    starts = research.bootstrap_starts(spark, 100, 7, 20, 1)
-    assert starts.count() == 2000 and starts.agg(F.min("idx"), F.max("idx")).first()[0] >= 0 and starts.agg(F.max("idx")).first()[0] < 100
 
 
 def test_filings_earliest_wins(spark):
