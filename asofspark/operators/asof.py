@@ -77,12 +77,24 @@ def rebalance_dates(calendar: DataFrame, every: str = "3 months") -> DataFrame:
     return calendar.join(F.broadcast(targets), F.col("dt") >= F.col("target")).groupBy("target").agg(F.min("dt").alias("dt"))
 
 
+def last_within(prices: DataFrame, spans: DataFrame, start: str, end: str, price: str = "px") -> DataFrame:
+    """Adds _last to ``spans`` (symbol, ``start``, ``end``, ...): the symbol's last price in (start, end], null without one.
+
+    Prices and spans of a symbol are one stream in the order of dates; each span looks back from its end to the last price.
+    """
+    own = [c for c in spans.columns if c != "symbol"]
+    known = prices.where(F.col(price).isNotNull()).select("symbol", F.col("dt").alias("_at"), F.lit(0).alias("_k"), F.struct(F.col("dt").alias("d"), F.col(price).alias("p")).alias("_p"))
+    asked = spans.select("symbol", F.col(end).alias("_at"), F.lit(1).alias("_k"), F.struct(*own).alias("_s"))
+    seen = F.last("_p", ignorenulls=True).over(Window.partitionBy("symbol").orderBy("_at", "_k"))
+    x = known.unionByName(asked, allowMissingColumns=True).withColumn("_seen", seen).where("_k = 1")
+    return x.select("symbol", "_s.*", F.when(F.col("_seen.d") > F.col(f"_s.{start}"), F.col("_seen.p")).alias("_last"))
+
+
 def forward_return(bars: DataFrame, pairs: DataFrame, price: str = "close") -> DataFrame:
     """Return of each symbol from d to d1; a symbol without a price at d1 counts at its last trade in (d, d1]."""
     prices = bars.select("symbol", "dt", F.col(price).alias("p"))
     start = pairs.join(prices, pairs["d"] == prices["dt"]).select("d", "d1", "symbol", F.col("p").alias("p0"))
-    later = start.join(prices.withColumnRenamed("symbol", "_s"), (F.col("symbol") == F.col("_s")) & (F.col("dt") > F.col("d")) & (F.col("dt") <= F.col("d1")))
-    ended = later.groupBy("d", "d1", "symbol", "p0").agg(F.max_by("p", "dt").alias("p1"))
+    ended = last_within(prices, start, "d", "d1", "p").withColumnRenamed("_last", "p1")
     return ended.where("p0 > 0 and p1 > 0").select("d", "d1", "symbol", (F.col("p1") / F.col("p0") - 1).alias("fwd"))
 
 

@@ -52,15 +52,16 @@ def carry_weights(yields: DataFrame, by: str = "mark") -> DataFrame:
     return raw.select(by, "symbol", (F.col("w") / F.sum("w").over(Window.partitionBy(by))).alias("w"))
 
 
-def momentum_schedule(panel: DataFrame, market: str, skip: int, look: int, ma: int, n: int, every: int, least: int = 10) -> DataFrame:
-    """mark, symbol, w: the n best momentum names at equal weight on cycle rows; one row with a NULL symbol if the market is below its mean.
+def momentum_schedule(panel: DataFrame, market: str, skip: int, look: int, ma: int, n: int, every: int | None = None, least: int = 10) -> DataFrame:
+    """mark, symbol, w: the n best momentum names at equal weight; one row with a NULL symbol if the market is below its mean.
 
-    Only names with a close on the row itself can be bought; a row with fewer than ``least`` such names has no basket.
+    Rebalances are on the first row of every month, or on rows whose number ``every`` divides.  Only names with a close on the row itself can be bought; a row with fewer than ``least`` such names has no basket.
     """
     regime = ts.market_regime(panel.where(F.col("symbol") == market), ma).select(F.col("idx").alias("mark"), "risk_on")
-    x = panel.withColumn("mom", ts.momentum(skip, look)).where((F.col("idx") % every == 0) & (F.col("idx") >= skip + look) & F.col("mom").isNotNull() & F.col("close").isNotNull())
+    first = F.trunc("dt", "month") != F.trunc(F.lag("dt").over(ts.by_symbol()), "month") if every is None else F.col("idx") % every == 0
+    x = panel.withColumns({"mom": ts.momentum(skip, look), "_first": first}).where(F.col("_first") & (F.col("idx") >= skip + look) & F.col("mom").isNotNull() & F.col("close").isNotNull())
     w = Window.partitionBy("mark")
-    x = x.withColumnRenamed("idx", "mark").withColumn("_n", F.count(F.lit(1)).over(w)).where(F.col("_n") >= least)
+    x = x.drop("_first").withColumnRenamed("idx", "mark").withColumn("_n", F.count(F.lit(1)).over(w)).where(F.col("_n") >= least)
     x = x.withColumn("_p", F.row_number().over(w.orderBy(F.desc("mom"), "symbol"))).where(F.col("_p") <= n).join(regime, "mark")
     on = x.where("risk_on").select("mark", "symbol", (1.0 / F.count(F.lit(1)).over(w)).alias("w"))
     off = x.where("not risk_on").select("mark").distinct().select("mark", F.lit(None).cast("string").alias("symbol"), F.lit(0.0).alias("w"))

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from asofspark.operators.asof import last_within
+
 
 def segments(locks: DataFrame, end: Column | None = None) -> DataFrame:
     """lock_date, until, k of each lock of a book: it holds until the next one (the last until ``end``)."""
@@ -27,8 +29,7 @@ def score_locks(locks: DataFrame, prices: DataFrame, cost_bps: float, initial: f
     segs = segments(locks)
     days = segs.join(F.broadcast(last)).withColumn("until", F.coalesce("until", "_end")).drop("_end")
     held = locks.join(days, ["book", "lock_date"])
-    path = held.join(prices.withColumnRenamed("symbol", "_s"), (F.col("symbol") == F.col("_s")) & (F.col("dt") > F.col("lock_date")) & (F.col("dt") <= F.col("until")), "left")
-    name = path.groupBy("book", "lock_date", "k", "symbol", "w", "price").agg(F.max_by("px", "dt").alias("p1"))
+    name = last_within(prices, held.select("book", "lock_date", "until", "k", "symbol", "w", "price"), "lock_date", "until").withColumnRenamed("_last", "p1")
     name = name.withColumn("r", F.coalesce(F.try_divide(F.col("p1"), F.col("price")) - 1, F.lit(0.0)))
     seg = name.groupBy("book", "lock_date", "k").agg(F.sum(F.col("w") * F.col("r")).alias("seg_ret"))
     seg = days.join(seg, ["book", "lock_date", "k"], "left").withColumn("seg_ret", F.coalesce("seg_ret", F.lit(0.0)))
@@ -227,16 +228,17 @@ def holdings_report(holdings: DataFrame, prices: DataFrame, cash: float) -> Data
     return x.select("ticker", "value", "gain").unionByName(total)
 
 
-def twin_value(flows: DataFrame, curve: DataFrame) -> DataFrame:
-    """twin: every flow grown from the first curve date on or after it to the end; a flow after the last date adds nothing.
+def twin_value(flows: DataFrame, curve: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """``by``, twin: every flow grown from the first curve date on or after it to the end; a flow after the last date adds nothing.
 
-    The curve's dates and the flows' are one ordered stream in which each flow looks forward to the next curve row.
+    The curve's dates and the flows' are one ordered stream in which each flow looks forward to the next curve row; accounts
+    or runs, told apart by the columns ``by`` of both tables, are streams of their own.
     """
     none = F.lit(None).cast("double")
-    both = curve.select("dt", F.lit(1).alias("_k"), "equity", none.alias("amount")).unionByName(flows.select("dt", F.lit(0).alias("_k"), none.alias("equity"), "amount"))
-    ahead = Window.orderBy("dt", "_k").rowsBetween(0, Window.unboundedFollowing)
+    both = curve.select(*by, "dt", F.lit(1).alias("_k"), "equity", none.alias("amount")).unionByName(flows.select(*by, "dt", F.lit(0).alias("_k"), none.alias("equity"), "amount"))
+    ahead = Window.partitionBy(*by).orderBy("dt", "_k").rowsBetween(0, Window.unboundedFollowing)
     x = both.withColumns({"_anchor": F.first("equity", ignorenulls=True).over(ahead), "_end": F.last("equity", ignorenulls=True).over(ahead)})
-    return x.where("_k = 0").agg(F.sum(F.col("amount") * F.col("_end") / F.col("_anchor")).alias("twin"))
+    return x.where("_k = 0").groupBy(*by).agg(F.sum(F.col("amount") * F.col("_end") / F.col("_anchor")).alias("twin"))
 
 
 def gap_report(gaps: DataFrame) -> DataFrame:

@@ -55,7 +55,7 @@ def q_carry(spark, d):
 
 
 def q_momentum_schedule(spark, d):
-    return rounded(_long(bk.momentum_schedule(panel(spark, d), "Brand#1", 4, 52, 40, 5, 13), "mark"))
+    return rounded(_long(bk.momentum_schedule(panel(spark, d), "Brand#1", 4, 52, 40, 20), "mark"))
 
 
 def q_since(spark, d):
@@ -153,9 +153,9 @@ SELECT a.grp, {_r(["a.median", "a.least", "a.median_dd"], 5).replace("AS a.", "A
     "W5_carry_weights": f"""{PANEL}, {dt.DIVIDENDS_SQL}, d AS (SELECT symbol, dt, lag(dt) OVER (PARTITION BY symbol ORDER BY dt) AS before FROM bars),
 posted AS (SELECT d.symbol, d.dt, sum(amount) AS amount FROM d JOIN dividends v ON d.symbol = v.symbol AND ex_dt <= dt AND coalesce(ex_dt > before, true) GROUP BY 1, 2), x AS (SELECT p.*, coalesce(amount, 0) AS amount FROM rets p LEFT JOIN posted USING (symbol, dt)),
 y AS (SELECT idx AS mark, symbol, ({roll('sum', 'amount', 52)}) / px AS y, ({roll('stddev_samp', 'ret', 26)}) * sqrt(252) AS v FROM x), z AS (SELECT mark, symbol, y / v AS w FROM y WHERE mark % 52 = 0 AND y > 0 AND v IS NOT NULL) SELECT mark, symbol, round(w / sum(w) OVER (PARTITION BY mark), 6) + 0.0 AS w FROM z""",
-    "W12_momentum_schedule": f"""{PANEL}, m AS (SELECT symbol, idx, close, {mom(4, 52)} AS mom FROM panel), g AS (SELECT idx, coalesce(px > ({roll('avg', 'px', 40)}), true) AS o FROM panel WHERE symbol = 'Brand#1'),
-t0 AS (SELECT m.idx AS mark, symbol, o, row_number() OVER (PARTITION BY m.idx ORDER BY mom DESC, symbol) AS p, count(*) OVER (PARTITION BY m.idx) AS c FROM m JOIN g ON g.idx = m.idx WHERE m.idx % 13 = 0 AND m.idx >= 56 AND mom IS NOT NULL AND close IS NOT NULL), t AS (SELECT * FROM t0 WHERE c >= 10)
-SELECT mark, symbol, round(1.0 / count(*) OVER (PARTITION BY mark), 6) + 0.0 AS w FROM t WHERE p <= 5 AND o UNION ALL SELECT DISTINCT mark, NULL, CAST(0.0 AS DOUBLE) FROM t WHERE NOT o""",
+    "W12_momentum_schedule": f"""{PANEL}, m AS (SELECT symbol, idx, close, {mom(4, 52)} AS mom, date_trunc('month', dt) <> date_trunc('month', lag(dt) OVER (PARTITION BY symbol ORDER BY idx)) AS first FROM panel), g AS (SELECT idx, coalesce(px > ({roll('avg', 'px', 40)}), true) AS o FROM panel WHERE symbol = 'Brand#1'),
+t0 AS (SELECT m.idx AS mark, symbol, o, row_number() OVER (PARTITION BY m.idx ORDER BY mom DESC, symbol) AS p, count(*) OVER (PARTITION BY m.idx) AS c FROM m JOIN g ON g.idx = m.idx WHERE first AND m.idx >= 56 AND mom IS NOT NULL AND close IS NOT NULL), t AS (SELECT * FROM t0 WHERE c >= 10)
+SELECT mark, symbol, round(1.0 / count(*) OVER (PARTITION BY mark), 6) + 0.0 AS w FROM t WHERE p <= 20 AND o UNION ALL SELECT DISTINCT mark, NULL, CAST(0.0 AS DOUBLE) FROM t WHERE NOT o""",
     "P5_since_lock": f"{LOCKS}, n AS (SELECT symbol, arg_max(px, dt) AS now FROM prices GROUP BY 1) SELECT book, lock_date, round(sum(w * (now / price - 1)), 5) + 0.0 AS since_lock FROM locks JOIN n USING (symbol) GROUP BY 1, 2",
     "W14_rebalance_orders": f"""{TREND}, x AS (SELECT coalesce(c.symbol, t.symbol) AS symbol, coalesce(c.w, 0) AS cur, coalesce(t.w, 0) AS tgt FROM (SELECT * FROM iv WHERE run_id = 'o0' AND mark = 260) c FULL OUTER JOIN (SELECT CASE WHEN symbol = 'Brand#11' THEN 'FUND' ELSE symbol END AS symbol, w FROM iv WHERE run_id = 'o0' AND mark = 286) t ON c.symbol = t.symbol),
 y AS (SELECT symbol, (greatest(tgt - 0.1 * abs(tgt), least(tgt + 0.1 * abs(tgt), cur)) - cur) AS t FROM x), z AS (SELECT symbol, t * 1e6 AS v FROM y WHERE abs(t) > 0.005), u AS (SELECT * FROM z UNION ALL SELECT 'CASH', -sum(v) FROM z HAVING abs(sum(v)) > 1)

@@ -195,7 +195,11 @@ def snapshots(spark, d):
 
 
 def q_verify(spark, d):
-    return rounded(ob.verify_lock(snapshots(spark, d), tuple(map(str, pf.LOOKS)), year=52))
+    """Locks of which every fifth had its weights changed afterwards, and every seventh has lost its snapshot."""
+    x = snapshots(spark, d).withColumn("_i", F.row_number().over(Window.orderBy("lock_date")))  # one row a lock
+    x = x.withColumn("picks", F.transform_values("picks", lambda _, w: F.when(F.col("_i") % 5 == 0, w * 1.02).otherwise(w)))
+    x = x.withColumn("signal_snapshot", F.when(F.col("_i") % 7 != 3, F.col("signal_snapshot")))
+    return rounded(ob.verify_lock(x, tuple(map(str, pf.LOOKS)), year=52))
 
 
 def q_regime(spark, d):
@@ -294,7 +298,9 @@ SELECT 'repeated date' AS rule, symbol, CAST(twice AS BIGINT) AS n FROM c WHERE
 SELECT 'tickers' AS "check", CASE WHEN m = 0 THEN 'PASS' WHEN m * 10 <= n THEN 'WARN' ELSE 'FAIL' END AS status, m || ' of ' || n || ' without a price' AS message FROM c""",
     "S4_dual_view": f"{PANEL}, x AS (SELECT symbol, dt, close, px FROM panel WHERE close IS NOT NULL) SELECT symbol, dt, round(px / first_value(px) OVER (PARTITION BY symbol ORDER BY dt), 6) + 0.0 AS adjusted, round(close, 6) + 0.0 AS raw FROM x",
     "W3_ext_vol_weights": f"{pf.TREND}, xv AS (SELECT symbol, idx, ({roll('stddev_samp', 'ret', 13)}) * sqrt(52) AS v FROM rets), a AS (SELECT run_id, mark, symbol, strength / nullif(v, 0) AS w0 FROM sig JOIN xv USING (symbol) WHERE idx = mark AND strength / nullif(v, 0) <> 0) SELECT run_id, mark, symbol, round(w0 / sum(abs(w0)) OVER (PARTITION BY run_id, mark), 6) + 0.0 AS w FROM a",
-    "X28_verify_lock": f"{pf.TREND}, c AS (SELECT mark, count(*) AS names FROM iv WHERE run_id = 'o0' GROUP BY 1) SELECT 'trend' AS book, dt AS lock_date, names, 0.0::DOUBLE AS deviation, true AS ok FROM c JOIN cal ON idx = mark",
+    "X28_verify_lock": f"""{pf.TREND}, lk AS (SELECT mark, symbol, w, dense_rank() OVER (ORDER BY mark) AS i FROM iv WHERE run_id = 'o0'), pk AS (SELECT *, CASE WHEN i % 5 = 0 THEN w * 1.02 ELSE w END AS p FROM lk),
+c AS (SELECT mark, any_value(i) AS i, count(*) AS names, max(abs(p - w)) AS off, min(p) AS least, sum(p) AS total FROM pk GROUP BY 1)
+SELECT 'trend' AS book, dt AS lock_date, names, CASE WHEN i % 7 <> 3 THEN round(off, 6) + 0.0 END AS deviation, CASE WHEN i % 7 <> 3 THEN off <= 5e-6 ELSE least > 0 AND total <= 1 + 1e-9 END AS ok FROM c JOIN cal ON idx = mark""",
     "X29_regime_posture": f"""{pf.TREND}, bt AS (SELECT symbol, dt, beta FROM ({TS_SQL["T24_rolling_beta"]}) WHERE beta IS NOT NULL), b AS (SELECT run_id, mark, sum(w * beta) AS beta FROM iv JOIN cal ON idx = mark JOIN bt USING (symbol, dt) GROUP BY 1, 2),
 x AS (SELECT run_id, mark, sum(abs(w)) AS deployed, sum(CASE WHEN symbol IN ('Brand#10', 'Brand#11') THEN abs(w) ELSE 0 END) AS s FROM iv GROUP BY 1, 2)
 SELECT run_id, mark, round(deployed, 5) + 0.0 AS deployed, round(s / deployed, 5) + 0.0 AS defensive, round(1 - s / deployed, 5) + 0.0 AS risk, round(beta, 5) + 0.0 AS beta FROM x LEFT JOIN b USING (run_id, mark)""",

@@ -126,7 +126,7 @@ def q_constituents(spark, d):
 
 def q_facts(spark, d):
     path = scratch(spark, "facts")
-    s = dt.statements(spark, d).where("report_date <= date'1996-12-31'")
+    s = dt.statements(spark, d)
     row = F.struct(F.lit("2020-01-01").alias("start"), F.date_format("report_date", "yyyy-MM-dd").alias("end"), F.date_format("publish_date", "yyyy-MM-dd").alias("filed"), F.round("revenue", 2).alias("val"), F.lit("10-K").alias("form"), F.lit("FY").alias("fp"))
     x = s.groupBy(F.col("ticker").alias("cik")).agg(F.array_sort(F.collect_list(row)).alias("rows"))
     body = F.create_map(F.lit("Revenues"), F.struct(F.create_map(F.lit("USD"), F.col("rows")).alias("units")))
@@ -266,7 +266,7 @@ CAST(sum(len(list_filter(generate_series(CAST(o_orderdate AS DATE), CAST(o_order
     "A19_enterprise_value": f"WITH {CANONICAL_SQL} SELECT ticker, as_of, round(CASE WHEN CAST(substr(ticker, 2) AS INTEGER) % 3 = 0 AND market_cap IS NOT NULL THEN market_cap * 1.1 ELSE enterprise_value END, 2) + 0.0 AS enterprise_value FROM canonical",
     "S1_read_bars": f"{PANEL} SELECT symbol, dt, round(floor(open * 1e4) / 1e4, 6) + 0.0 AS open, CASE WHEN day(dt) = 13 THEN NULL ELSE round(floor(close * 1e4) / 1e4, 6) + 0.0 END AS close FROM bars WHERE dt BETWEEN DATE '1996-01-01' AND DATE '1999-12-31'",
     "S5_read_constituents": "SELECT 'S-' || s_suppkey AS symbol FROM supplier WHERE s_suppkey % 7 <> 0",
-    "S6_read_facts": f"WITH {dt.statements_sql()} SELECT ticker AS cik, 'Revenues' AS tag, 'USD' AS unit, row_number() OVER (PARTITION BY ticker ORDER BY report_date) - 1 AS arr_pos, report_date AS \"end\", publish_date AS filed, round(revenue, 2) + 0.0 AS val, '10-K' AS form FROM statements WHERE report_date <= DATE '1996-12-31'",
+    "S6_read_facts": f"WITH {dt.statements_sql()} SELECT ticker AS cik, 'Revenues' AS tag, 'USD' AS unit, row_number() OVER (PARTITION BY ticker ORDER BY report_date) - 1 AS arr_pos, report_date AS \"end\", publish_date AS filed, round(revenue, 2) + 0.0 AS val, '10-K' AS form FROM statements",
     "S7_read_ticker_map": "SELECT 'S' || s_suppkey AS ticker, lpad(CAST(s_suppkey AS VARCHAR), 10, '0') AS cik FROM supplier",
     "S8_read_sic_map": "SELECT lpad(CAST(s_suppkey AS VARCHAR), 10, '0') AS cik, CASE WHEN s_suppkey % 5 = 0 THEN '' ELSE lpad(CAST(100 + s_suppkey * 37 % 9000 AS VARCHAR), 4, '0') END AS sic FROM supplier",
     "S9_read_statements": f"WITH {dt.statements_sql()} SELECT ticker, report_date, publish_date, round(revenue, 2) + 0.0 AS revenue, round(net_income, 2) + 0.0 AS net_income FROM statements",

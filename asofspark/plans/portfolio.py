@@ -247,7 +247,8 @@ def q_equal(spark, d):
 
 def q_twin(spark, d):
     flows = spark.createDataFrame([("1996-01-03", 10000.0), ("1997-05-05", 5000.0), ("1999-02-28", -2000.0)], "dt string, amount double").withColumn("dt", F.col("dt").cast("date"))
-    return rounded(sc.twin_value(flows, curves(spark, d).where("run_id = 'Brand#1'")), 3)
+    every = curves(spark, d).select("run_id").distinct().join(F.broadcast(flows))  # three flows for each run
+    return rounded(sc.twin_value(every, curves(spark, d), ("run_id",)), 3)
 
 
 def q_gap(spark, d):
@@ -348,6 +349,6 @@ SELECT dt, {significant_sql('10000 * st * (1 - turn * 0.001) * (0.6 * a + 0.4 *
     "P13_lever_to_vol": f"{LEGS}, v AS (SELECT stddev_samp(ra) / stddev_samp(rb) AS l, avg(rb) AS m FROM legs) SELECT {r6('l')} AS leverage, round(l * m - (l - 1) * 0.024 / 252, 6) + 0.0 AS mean_levered FROM v",
     "P14_tranche": f"{CURVES} SELECT dt, round(avg(equity), 3) + 0.0 AS equity FROM curves GROUP BY 1 HAVING count(*) = (SELECT count(DISTINCT run_id) FROM curves)",
     "P15_equal_capital": f"{CURVES} SELECT dt, round(10000 * avg(e), 3) + 0.0 AS equity FROM (SELECT dt, equity / first_value(equity) OVER (PARTITION BY run_id ORDER BY dt) AS e FROM curves) GROUP BY 1",
-    "P18_twin_value": f"{CURVES}, f(d, amount) AS (VALUES (DATE '1996-01-03', 10000.0), (DATE '1997-05-05', 5000.0), (DATE '1999-02-28', -2000.0)), c AS (SELECT * FROM curves WHERE run_id = 'Brand#1'), a AS (SELECT d, amount, arg_min(equity, dt) AS anchor FROM f JOIN c ON dt >= d GROUP BY 1, 2) SELECT round(sum(amount * (SELECT arg_max(equity, dt) FROM c) / anchor), 3) + 0.0 AS twin FROM a",
+    "P18_twin_value": f"{CURVES}, f(d, amount) AS (VALUES (DATE '1996-01-03', 10000.0), (DATE '1997-05-05', 5000.0), (DATE '1999-02-28', -2000.0)), e AS (SELECT run_id, arg_max(equity, dt) AS e FROM curves GROUP BY 1), a AS (SELECT run_id, d, amount, arg_min(equity, dt) AS anchor FROM f JOIN curves ON dt >= d GROUP BY 1, 2, 3) SELECT run_id, round(sum(amount * e / anchor), 3) + 0.0 AS twin FROM a JOIN e USING (run_id) GROUP BY 1",
     "P19_gap_report": f"{CURVES}, g AS (SELECT a.dt, (a.equity / b.equity - 1) * 1e4 AS gap FROM curves a JOIN curves b ON a.dt = b.dt AND a.run_id = 'Brand#1' AND b.run_id = 'Brand#2'), z AS (SELECT (arg_max(gap, dt) - arg_min(gap, dt)) / ((max(dt) - min(dt)) / 365.25) AS y FROM g) SELECT dt, round(gap, 3) + 0.0 AS gap_bps, round(y, 3) + 0.0 AS drift_bps_year FROM g, z",
 }

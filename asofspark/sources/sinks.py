@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+from urllib.parse import quote
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -92,17 +95,70 @@ def read_locks(spark: SparkSession, path: str, lines: bool = False) -> DataFrame
     return picks.select("book", "lock_date", "symbol", "w", F.element_at("lock_prices", F.col("symbol")).alias("price"))
 
 
+class _Folder:
+    """Steps in a folder of any file system that Spark knows."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self._path = spark._jvm.org.apache.hadoop.fs.Path
+        self._root = self._path(path)
+        self._fs = self._root.getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def _at(self, name: str):
+        return self._path(self._root, name)
+
+    def exists(self, name: str) -> bool:
+        return self._fs.exists(self._at(name))
+
+    def names(self, name: str) -> list[str]:
+        return [s.getPath().getName() for s in self._fs.listStatus(self._at(name))]
+
+    def move(self, old: str, new: str) -> bool:
+        self._fs.mkdirs(self._at(new).getParent())
+        return self._fs.rename(self._at(old), self._at(new))
+
+    def delete(self, name: str) -> None:
+        self._fs.delete(self._at(name), True)
+
+    def claim(self, name: str, owner: str) -> bool:
+        """Whether this call made the folder ``name``; of many callers one gets True.
+
+        A folder that holds the owner's name is made beside it and renamed.  Where ``name`` is there already, a rename
+        fails or puts the folder inside, so only the first owner's name stands at its top.
+        """
+        self._fs.create(self._at(f"{name}-{owner}/{owner}"), True).close()
+        if not self.exists(name):
+            self.move(f"{name}-{owner}", name)
+        self.delete(f"{name}-{owner}")
+        return self.exists(f"{name}/{owner}")
+
+
 def write_lock(locks: DataFrame, path: str) -> None:
-    """Appends locks, one for a book and month; a month that is there already is refused."""
+    """Writes locks, one for a book and month; a month that is there already is refused, whoever else writes at the time.
+
+    Every month is claimed first; only then the rows are written beside the table and moved in, a month at a time, so a
+    reader sees whole months.  If a claim or the write fails, this call's claims are given back and nothing is moved.
+    """
     spark = locks.sparkSession
+    folder, owner = _Folder(spark, path), uuid.uuid4().hex
     new = locks.withColumn("month", F.date_format("lock_date", "yyyy-MM"))
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
-        old = spark.read.parquet(path).select("book", F.col("month").cast("string").alias("month")).distinct()
-        taken = new.join(old, ["book", "month"], "left_semi").select("book", "month").distinct().take(1)
-        if taken:
-            raise ValueError(f"{taken[0]['book']} is locked for {taken[0]['month']}")
-    new.write.mode("append").partitionBy("book", "month").parquet(path)
+    months = sorted(map(tuple, new.select("book", "month").distinct().collect()))  # one row a lock
+    claimed: list[str] = []
+    try:
+        for book, month in months:
+            name = f"_claims/{quote(book, safe='')}-{month}"
+            if not folder.claim(name, owner):
+                raise ValueError(f"{book} is locked for {month}")
+            claimed.append(name)
+        new.write.partitionBy("book", "month").parquet(f"{path.rstrip('/')}/_staged-{owner}")
+    except BaseException:
+        for name in claimed:
+            folder.delete(name)
+        folder.delete(f"_staged-{owner}")
+        raise
+    for book in (n for n in folder.names(f"_staged-{owner}") if n.startswith("book=")):
+        for month in folder.names(f"_staged-{owner}/{book}"):
+            folder.move(f"_staged-{owner}/{book}/{month}", f"{book}/{month}")
+    folder.delete(f"_staged-{owner}")
 
 
 def append_fills(fills: DataFrame, path: str) -> None:
