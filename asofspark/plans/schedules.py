@@ -10,6 +10,7 @@ from asofspark.operators import panel as pn
 from asofspark.operators import schedules as sd
 from asofspark.operators import timeseries as ts
 from asofspark.operators import weights as wt
+from asofspark.operators.observations import cache_obs, scratch
 from asofspark.plans.common import rounded, significant_sql
 from asofspark.plans.portfolio import TREND
 from asofspark.sources import driver_tables as dt
@@ -19,15 +20,16 @@ YEAR = 52
 
 
 def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pn.panel(dt.bars(spark, sf_dir)).withColumn("idx", F.col("idx").cast("long"))
+    """The weekly panel, stored: a curve reads it for fills, values and its calendar."""
+    return cache_obs(pn.panel(dt.bars(spark, sf_dir)).withColumn("idx", F.col("idx").cast("long")), scratch(spark, "panel"))
 
 
 def offsets(panel_rows: DataFrame) -> DataFrame:
-    """run_id, mark, symbol, w: inverse-volatility weights of the trend signal at each of 26 offsets."""
+    """run_id, mark, symbol, w: inverse-volatility weights of the trend signal at each of 26 offsets, stored."""
     x = ts.trend_strength(panel_rows, (13, 26, 52)).withColumn("vol", ts.rolling_vol(26, 52))
     runs = panel_rows.sparkSession.range(26).select(F.concat(F.lit("o"), F.col("id")).alias("run_id"), F.col("id").alias("offset"))
     s = x.join(F.broadcast(runs), (F.col("idx") % 26 == F.col("offset")) & (F.col("idx") >= 104)).select("run_id", F.col("idx").alias("mark"), "symbol", "strength", "vol")
-    return wt.inverse_vol_weights(s).select("run_id", "mark", "symbol", "w")
+    return cache_obs(wt.inverse_vol_weights(s).select("run_id", "mark", "symbol", "w"), scratch(panel_rows.sparkSession, "weights"))
 
 
 def _short(w: DataFrame) -> DataFrame:
@@ -60,7 +62,7 @@ def q_stopped(spark, d):
 
 def banded(spark, d):
     p = panel(spark, d)
-    return p, sd.banded_weights(offsets(p), p, BANDS)
+    return p, cache_obs(sd.banded_weights(offsets(p), p, BANDS), scratch(spark, "banded"))
 
 
 def q_banded(spark, d):
