@@ -204,10 +204,10 @@ def grid_rank(results: DataFrame, by: list[str], metric: str) -> DataFrame:
     return results.withColumn("_p", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc_nulls_last(metric), "run_id"))).where("_p = 1").drop("_p")
 
 
-def proxy_validation(pair: DataFrame) -> DataFrame:
-    """corr, vol_ratio, n of two return streams (ra, rb) where both exist."""
+def proxy_validation(pair: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """``by``, corr, vol_ratio, n of two return streams (ra, rb) where both exist."""
     x = pair.where("ra is not null and rb is not null")
-    return x.agg(F.corr("ra", "rb").alias("corr"), (F.stddev_samp("ra") / F.stddev_samp("rb")).alias("vol_ratio"), F.count(F.lit(1)).alias("n"))
+    return x.groupBy(*by).agg(F.corr("ra", "rb").alias("corr"), (F.stddev_samp("ra") / F.stddev_samp("rb")).alias("vol_ratio"), F.count(F.lit(1)).alias("n"))
 
 
 def reconcile(pair: DataFrame, year: int = 252, by: tuple[str, ...] = ()) -> DataFrame:

@@ -196,10 +196,10 @@ def constant_mix(legs: DataFrame, w: float | None = None, initial: float = 10_00
     return x.select(*by, "dt", (initial * F.product(1 + r).over(Window.partitionBy(*by).orderBy("dt"))).alias("equity"))
 
 
-def lever_to_vol(legs: DataFrame, rf: float = 0.0, spread: float = 0.004, year: int = 252) -> DataFrame:
-    """leverage and mean levered return of a stream ``rb`` brought to the volatility of ``ra``."""
+def lever_to_vol(legs: DataFrame, rf: float = 0.0, spread: float = 0.004, year: int = 252, by: tuple[str, ...] = ()) -> DataFrame:
+    """``by``, leverage and mean levered return of a stream ``rb`` brought to the volatility of ``ra``."""
     lev = F.stddev_samp("ra") / F.stddev_samp("rb")
-    return legs.agg(lev.alias("leverage"), (lev * F.avg("rb") - (lev - 1) * (rf + spread) / year).alias("mean_levered"))
+    return legs.groupBy(*by).agg(lev.alias("leverage"), (lev * F.avg("rb") - (lev - 1) * (rf + spread) / year).alias("mean_levered"))
 
 
 def tranche(curves: DataFrame) -> DataFrame:

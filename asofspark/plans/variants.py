@@ -5,22 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from asofspark.operators import asof as pit
 from asofspark.operators import books as bk
 from asofspark.operators import metrics as me
 from asofspark.operators import observations as ob
 from asofspark.operators import panel as pn
+from asofspark.operators import quality as qu
 from asofspark.operators import research as rs
 from asofspark.operators import schedules as sd
 from asofspark.operators import scoring as sc
 from asofspark.operators import strategies as st
 from asofspark.operators import timeseries as ts
 from asofspark.operators import weights as wt
+from asofspark.plans import panels as pl
 from asofspark.plans import schedules as ps
 from asofspark.plans.books import _G, grid
 from asofspark.plans.common import rounded, significant_sql
-from asofspark.plans.fundamentals import EXCLUDED, HIGH, LOW, canonical
+from asofspark.plans.fundamentals import CANONICAL_SQL, EXCLUDED, HIGH, LOW, canonical
 from asofspark.plans.fundamentals import SQL as SCREEN_SQL
 from asofspark.plans.portfolio import _M, LOOKS, TREND, _long, _r
+from asofspark.plans.research import PAIR, pairs
 from asofspark.plans.timeseries import CANARIES, PAIRS, PANEL, mom, roll
 from asofspark.plans.timeseries import SQL as TS_SQL
 from asofspark.sources import driver_tables as dt
@@ -128,7 +132,63 @@ def q_canary(spark, d):
     return out.withColumn("passes", (F.col("gated_median") > F.col("base_median")) & (F.col("gated_least") >= F.col("base_least")))
 
 
+def all_legs(spark, d) -> DataFrame:
+    """pair, dt, ra, rb of every candidate pair."""
+    x = ps.panel(spark, d).where("ret is not null").select("symbol", "dt", "ret")
+    one = lambda s, r: x.select(F.col("symbol").alias(s), "dt", F.col("ret").alias(r))
+    return pairs(spark, d).select("a", "b", F.concat_ws("|", "a", "b").alias("pair")).join(one("a", "ra"), "a").join(one("b", "rb"), ["b", "dt"]).select("pair", "dt", "ra", "rb")
+
+
+def q_two_leg_pairs(spark, d):
+    return rounded(sc.two_leg_mix(all_legs(spark, d), 0.6, 10.0, ("pair",)), 5, ("equity",))
+
+
+def q_constant_pairs(spark, d):
+    return rounded(sc.constant_mix(all_legs(spark, d), by=("pair",)), 5, ("equity",))
+
+
+def q_lever_pairs(spark, d):
+    return rounded(sc.lever_to_vol(all_legs(spark, d), 0.02, by=("pair",)))
+
+
+def q_proxy_pairs(spark, d):
+    return rounded(rs.proxy_validation(all_legs(spark, d), ("pair",)))
+
+
+def q_pit_violations(spark, d):
+    """What the gate finds where every ninth company's reports are published a day late for their date, and every eleventh's go back by two years at later dates."""
+    x = pit.statements_asof(dt.statements(spark, d), dt.asofs(spark), keep=1)
+    k = F.substring("ticker", 2, 9).cast("long")
+    later = F.col("as_of") > F.min("as_of").over(Window.partitionBy("ticker"))
+    x = x.withColumns({
+        "publish_date": F.when(k % 9 == 0, F.date_add("as_of", 1)).otherwise(F.col("publish_date")), "report_date": F.when((k % 11 == 0) & later, F.add_months("report_date", -24)).otherwise(F.col("report_date")),
+    })
+    return pit.pit_violations(x).select("ticker", "as_of", "report_date", "publish_date")
+
+
+def q_spot_off(spark, d):
+    """The vendor check where the vendor is off by up to 3 % for some symbols, and a day behind for others."""
+    w = Window.partitionBy("symbol").orderBy("idx")
+    x = ps.panel(spark, d).withColumns({"prev": F.lag("px").over(w), "last": F.max("idx").over(Window.partitionBy("symbol"))}).where("idx = last")
+    k = F.substring("symbol", 7, 3).cast("int")
+    theirs = x.select("symbol", (F.when(k % 3 == 0, F.col("prev")).otherwise(F.col("px")) * (1 + (k % 7 - 3) / 100.0)).alias("cur"), "prev")
+    return rounded(qu.vendor_spot_check(x.select("symbol", F.col("px").alias("price")), theirs))
+
+
+def q_route_rows(spark, d):
+    """Every row of each source as a run on it sees it: its key, date and cash."""
+    tables = {"filings": lambda: pl.from_filings(spark, d), "statements": lambda: canonical(spark, d), "labels": lambda: pl.from_labels(spark, d)}
+    out = None
+    for name in pit.SOURCES:
+        x = pit.route_source(name, **tables)
+        key, day = ("cik", "as_of") if "cik" in x.columns else ("ticker", "as_of" if "as_of" in x.columns else "period")
+        x = x.select("source", F.col(key).alias("name"), F.col(day).alias("day"), "cash")
+        out = x if out is None else out.unionByName(x)
+    return rounded(out, 2)
+
+
 QUERIES = {
+    "P10_all_pairs": q_two_leg_pairs, "P12_all_pairs": q_constant_pairs, "P13_all_pairs": q_lever_pairs, "X26_all_pairs": q_proxy_pairs, "A20_pit_violations": q_pit_violations, "Q9_vendor_off": q_spot_off, "A18_route_rows": q_route_rows,
     "SQL_screen_view": q_screen_view, "SQL_backtest_view": q_backtest_view, "P0_look_ahead": q_look_ahead, "X22_stitched_curve": q_stitched_curve, "X29_reference_posture": q_reference_posture,
     "X31_leverage_ladder": q_ladder, "X31_cores": q_cores, "X31_canary_eras": q_canary,
 }
@@ -151,7 +211,24 @@ _SLEEVE = f"""{ps._BASE}, o0 AS (SELECT * FROM iv WHERE run_id = 'o0'), {ps.curv
 sl AS (SELECT t AS idx, equity / lag(equity) OVER (ORDER BY t) - 1 AS rs FROM cu WHERE t >= 0), mx AS (SELECT r.symbol AS core, r.dt, r.ret AS rc, rs, coalesce(rf, 0) AS rf FROM rets r JOIN sl ON sl.idx = r.idx AND sl.idx > 130 LEFT JOIN rates ON rates.dt = r.dt WHERE r.ret IS NOT NULL)"""
 _PICKED = "lw AS (SELECT run_id, mark, symbol, 1.2 * w AS w FROM iv)"
 _BOOKS = {"hold": "rc", "blend": "0.5 * rc + 0.5 * rs", "stack": "rc + 0.6 * rs - 0.6 * (rf + 0.004) / 52"}
+_LEGS = f"{PAIR}, legs AS (SELECT a || '|' || b AS pair, x.dt, x.ret AS ra, y.ret AS rb FROM prs JOIN rets x ON x.symbol = a JOIN rets y ON y.symbol = b AND y.dt = x.dt WHERE x.ret IS NOT NULL AND y.ret IS NOT NULL)"
+_MONTH = "PARTITION BY pair, date_trunc('month', dt) ORDER BY dt"
 SQL = {
+    "P10_all_pairs": f"""{_LEGS}, x AS (SELECT *, date_trunc('month', dt) AS mo, product(1 + ra) OVER ({_MONTH}) AS a, product(1 + rb) OVER ({_MONTH}) AS b FROM legs),
+e AS (SELECT pair, mo, arg_max(a, dt) AS ea, arg_max(b, dt) AS eb FROM x GROUP BY 1, 2), f AS (SELECT *, 0.6 * ea + 0.4 * eb AS tot, lag(0.6 * ea / (0.6 * ea + 0.4 * eb)) OVER (PARTITION BY pair ORDER BY mo) AS drift FROM e),
+g AS (SELECT *, CASE WHEN drift IS NULL THEN 1.0 ELSE 2 * abs(0.6 - drift) END AS turn FROM f), h AS (SELECT *, coalesce(product(tot * (1 - turn * 0.001)) OVER (PARTITION BY pair ORDER BY mo ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1) AS st FROM g)
+SELECT pair, dt, {significant_sql('10000 * st * (1 - turn * 0.001) * (0.6 * a + 0.4 * b)')} AS equity FROM x JOIN h USING (pair, mo)""",
+    "P12_all_pairs": f"{_LEGS}, v AS (SELECT pair, (1 / stddev_samp(ra)) / (1 / stddev_samp(ra) + 1 / stddev_samp(rb)) AS w FROM legs GROUP BY 1) SELECT pair, dt, {significant_sql('10000 * product(1 + w * ra + (1 - w) * rb) OVER (PARTITION BY pair ORDER BY dt)')} AS equity FROM legs JOIN v USING (pair)",
+    "P13_all_pairs": f"{_LEGS}, v AS (SELECT pair, stddev_samp(ra) / stddev_samp(rb) AS l, avg(rb) AS m FROM legs GROUP BY 1) SELECT pair, round(l, 6) + 0.0 AS leverage, round(l * m - (l - 1) * 0.024 / 252, 6) + 0.0 AS mean_levered FROM v",
+    "X26_all_pairs": f"{_LEGS} SELECT pair, round(corr(ra, rb), 6) + 0.0 AS corr, round(stddev_samp(ra) / stddev_samp(rb), 6) + 0.0 AS vol_ratio, count(*) AS n FROM legs GROUP BY 1",
+    "A20_pit_violations": f"""WITH {CANONICAL_SQL}, t AS (SELECT ticker, as_of, CAST(substr(ticker, 2) AS BIGINT) AS k, report_date, publish_date, min(as_of) OVER (PARTITION BY ticker) AS first FROM ranked WHERE age = 1),
+u AS (SELECT ticker, as_of, CASE WHEN k % 9 = 0 THEN as_of + 1 ELSE publish_date END AS publish_date, CASE WHEN k % 11 = 0 AND as_of > first THEN CAST(report_date - INTERVAL 24 MONTH AS DATE) ELSE report_date END AS report_date FROM t),
+v AS (SELECT *, lag(report_date) OVER (PARTITION BY ticker ORDER BY as_of) AS before FROM u) SELECT ticker, as_of, report_date, publish_date FROM v WHERE publish_date > as_of OR report_date < before""",
+    "Q9_vendor_off": f"""{PANEL}, x AS (SELECT symbol, CAST(substr(symbol, 7) AS INT) AS k, idx, px, lag(px) OVER (PARTITION BY symbol ORDER BY idx) AS prev, max(idx) OVER (PARTITION BY symbol) AS m FROM panel),
+y AS (SELECT symbol, px, prev, CASE WHEN k % 3 = 0 THEN prev ELSE px END * (1 + (k % 7 - 3) / 100.0) AS cur FROM x WHERE idx = m), z AS (SELECT symbol, least(abs(px / cur - 1), abs(px / prev - 1)) AS d FROM y) SELECT symbol, round(d, 6) + 0.0 AS deviation, d <= 0.01 AS passes FROM z""",
+    "A18_route_rows": f"""WITH {CANONICAL_SQL}, {pl._LABEL_ROWS}, i AS (SELECT ticker, arg_max(cash, report_date) AS c FROM statements GROUP BY 1), l AS (SELECT ticker, period, max(CASE WHEN field = 'cash' THEN val END) AS cash FROM lb WHERE val IS NOT NULL GROUP BY 1, 2)
+SELECT 'statements' AS source, ticker AS name, as_of AS day, round(cash, 2) + 0.0 AS cash FROM canonical UNION ALL SELECT 'filings', ticker, as_of, round(max(CASE WHEN age = 1 THEN cash END), 2) + 0.0 FROM ranked WHERE age <= 2 GROUP BY ticker, as_of HAVING count(*) = 2
+UNION ALL SELECT 'labels', ticker, period, round(coalesce(cash, c), 2) + 0.0 FROM l JOIN i USING (ticker)""",
     "SQL_screen_view": f"""WITH x AS ({SCREEN_SQL["R3_long_screen"]}) SELECT as_of, sector, count(*) AS n, round(avg(composite), 4) + 0.0 AS composite, arg_min(ticker, place) AS best FROM x WHERE composite IS NOT NULL GROUP BY 1, 2""",
     "SQL_backtest_view": f"""{ps._BASE}, {_PICKED}, {ps.curve_sql('lw', 'least(x, 900) * 8e-4 + greatest(x - 900, 0) * 25e-4', ps._fixed(0.02, 0.03)).replace("CAST(0 AS DOUBLE) AS traded FROM", "CAST(0 AS DOUBLE) AS traded, CAST(0 AS DOUBLE) AS fees FROM").replace("+ held, tr FROM (", "+ held, tr, fees FROM (", 1).replace("AS tr FROM (", "AS tr, fee + coalesce(list_sum(list_transform(sold, lambda x: least(x, 900) * 8e-4 + greatest(x - 900, 0) * 25e-4)), 0) AS fees FROM (", 1).replace("AS c2 FROM (", "AS c2, coalesce(list_sum(list_transform(list_transform(moves, lambda x: abs(x)), lambda x: least(x, 900) * 8e-4 + greatest(x - 900, 0) * 25e-4)), 0) AS fee FROM (", 1)}
 SELECT run_id, {significant_sql('arg_max(equity, t)')} AS equity, {significant_sql('sum(traded)')} AS traded, {significant_sql('sum(fees)')} AS fees FROM cu WHERE t >= 0 GROUP BY 1""",
