@@ -170,7 +170,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item
     item of fewer words is one shingle, found where its words stand in a row.  Null texts
     count as empty; items without a word are in no result, nor are documents that contain
     nothing.  Texts of any length are read whole.  Repeated rows of either table give
-    repeated results; a null id stays null; extra columns are ignored.
+    repeated results, equal items of different ids each their own row; a null id stays null; an empty table on
+    either side gives an empty result; extra columns are ignored.
     """
     items = stored(_sketched(benchmark.select(F.monotonically_increasing_id().alias("ik"), "item_id", F.col(item_text).alias("_item"))))
     sketches = items.select("ik", "need", F.size("sketch").alias("kept"), F.explode("sketch").alias("h"))

@@ -143,8 +143,9 @@ def pii_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     """One row per document: doc_id, spans (array of kind, start, end, base).
 
     Offsets are code points, ends exclusive; spans are ordered by kind (email, ip, card,
-    phone), then start.  A null text counts as empty and has no span; repeated rows give
-    repeated results; extra columns are ignored.
+    phone), then start.  A null text counts as empty and has no span; texts of any length
+    are read whole; repeated rows give repeated results; a null doc_id stays null; an empty table gives an empty result;
+    extra columns are ignored.
     """
     model = train()
 
@@ -162,7 +163,8 @@ def scrubbed(docs: DataFrame, text: str = "text", columns: tuple[str, ...] = ())
     """``columns`` and the text, with every span replaced by its kind in angle brackets.
 
     Where spans of two kinds overlap, the part that they cover together becomes one mark
-    of the kind that starts first.  A null text stays null.
+    of the kind that starts first.  A null text stays null, an empty one empty; repeated rows give repeated results;
+    an empty table gives an empty result; columns that aren't named are left out.
     """
     model = train()
 

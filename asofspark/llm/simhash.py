@@ -86,7 +86,8 @@ def simhash_groups(docs: DataFrame, text: str = "text") -> DataFrame:
 
     component_id is the smallest doc_id that is reachable over links of at most RADIUS
     differing bits.  A null or blank text has fingerprint zero and is linked like any
-    other; a null doc_id never is a component_id unless the component has no other.
+    other; a null doc_id never is a component_id unless the component has no other.  Texts of any length are
+    read whole; repeated rows give repeated results; an empty table gives an empty result; extra columns are ignored.
     """
     rows = stored(with_fingerprints(docs, text))
     prints = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))

@@ -102,8 +102,9 @@ def token_counts(docs: DataFrame, text: str = "text", vocabulary: str = VOCABULA
     """One row per document: doc_id, n_bytes, n_tokens, over_limit.
 
     Counts are those of the tokenizers library with special strings as it treats them by
-    default and no token added.  A null text counts as empty (0 bytes, 0 tokens); repeated
-    rows give repeated results; extra columns are ignored.
+    default and no token added.  A null text counts as empty (0 bytes, 0 tokens); texts
+    of any length are read whole; repeated rows give repeated results; a null doc_id stays null; an empty table
+    gives an empty result; extra columns are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
