@@ -10,6 +10,7 @@ from asofspark.operators import panel as pn
 from asofspark.operators import scoring as sc
 from asofspark.operators import timeseries as ts
 from asofspark.operators import weights as wt
+from asofspark.operators.observations import cache_obs, scratch
 from asofspark.plans.common import rounded, significant_sql
 from asofspark.plans.timeseries import PANEL, mom, r6, roll, schedule
 from asofspark.sources import driver_tables as dt
@@ -119,7 +120,8 @@ def q_rebased(spark, d):
 
 
 def q_score_locks(spark, d):
-    return rounded(_long(sc.score_locks(locks(spark, d), prices(spark, d), 10.0), "k").select("book", "lock_date", "until", "k", "seg_ret", "turnover", "value", "cum_cost"), 5, ("value",))
+    held = cache_obs(locks(spark, d), scratch(spark, "locks"))  # read several times
+    return rounded(_long(sc.score_locks(held, prices(spark, d), 10.0), "k").select("book", "lock_date", "until", "k", "seg_ret", "turnover", "value", "cum_cost"), 5, ("value",))
 
 
 def q_daily_curve(spark, d):
@@ -260,6 +262,7 @@ def q_gap(spark, d):
 def q_schedule(spark, d):
     sig, cov = trend(spark, d)
     w = wt.vol_target(wt.inverse_vol_weights(sig), cov, 0.3).select("run_id", F.col("mark").cast("long").alias("mark"), "symbol", "w")
+    w = cache_obs(w, scratch(spark, "weights"))  # read four times
     return sc.schedule_curve(w, panel(spark, d).select("symbol", F.col("idx").cast("long").alias("idx"), "px"), 10.0, cash_rate=0.02, financing=0.01, borrow_bps=50.0, rows_a_year=52.0)
 
 
