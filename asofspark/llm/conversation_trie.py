@@ -66,20 +66,20 @@ def numbered(rows: DataFrame, key: str, *order: str) -> DataFrame:
 
 
 def turns(conversations: DataFrame) -> DataFrame:
-    """(conv_id, turn, role, tid, chars) of every row with a conv_id; a null role or text becomes empty."""
+    """(conv_id, turn, tid, chars) of every row with a conv_id; a null role or text becomes empty.  Texts go no further than this."""
     role, text = F.coalesce(F.col("role"), F.lit("")), F.coalesce(F.col("text"), F.lit(""))
     tid = F.unhex(F.substring(F.sha2(F.concat(F.length(role).cast("string"), F.lit(":"), role, text), 256), 1, 2 * ID_BYTES))
     chosen = conversations.where("conv_id is not null")
-    return chosen.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").alias("turn"), tid.alias("tid"), F.length(text).cast("long").alias("chars"), role.alias("role"), text.alias("text"))
+    return chosen.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").alias("turn"), tid.alias("tid"), F.length(text).cast("long").alias("chars"))
 
 
 def rebuilt(conversations: DataFrame, block: int = 100, shared: int = 6) -> tuple[DataFrame, DataFrame]:
     """(conv_id, depth, tid, chars) of all rebuilt turns, depth from 1 on; and (conv_id, own) of all conversations.
 
     Conversation c begins with the first h turns of conversation c - c % block, h = crc32(c) % shared, and goes on with
-    its own turns after the first h.  Equal turn numbers are ordered by role and text, repeated rows are turns of their own.
+    its own turns after the first h.  Equal turn numbers are ordered by the turns' ids, repeated rows are turns of their own.
     """
-    placed = stored(numbered(turns(conversations), "conv_id", "turn", "role", "text").select("conv_id", "at", "tid", "chars"))
+    placed = stored(numbered(turns(conversations), "conv_id", "turn", "tid").select("conv_id", "at", "tid", "chars"))
     skip: Column = F.crc32(F.col("conv_id").cast("string")) % shared
     base: Column = F.col("conv_id") - F.col("conv_id") % block
     known = placed.groupBy("conv_id").agg(F.count(F.lit(1)).alias("own"))
@@ -233,8 +233,8 @@ def conversation_trie(conversations: DataFrame, block: int = 100, shared: int =
 
     node and parent (digests), conv_id (its smallest member), depth, parent_conv_id (root: null), n_convs, n_children,
     n_leaves, saved_tokens, ends_sha256.  A null role or text counts as empty, a null turn comes first; a row without
-    conv_id belongs to no conversation and is left out.  Ties in turn go by role and text, repeated rows are turns of
-    their own; texts of any length enter as a hash; without conversations there is no node, not even the root; extra
+    conv_id belongs to no conversation and is left out.  Ties in turn go by the turns' ids (a hash of role and text), repeated rows are
+    turns of their own; texts of any length enter as a hash; without conversations there is no node, not even the root; extra
     columns are ignored.
     """
     rows, known = rebuilt(conversations, block, shared)

@@ -91,8 +91,9 @@ def plain_trie(rows):
     own = defaultdict(list)
     for c, t, r, x, *_ in rows:
         if c is not None:
-            own[c].append(((t is not None, t or 0), r or "", x or ""))
-    own = {c: [(r, x) for _, r, x in sorted(v)] for c, v in own.items()}
+            tid = hashlib.sha256(f"{len(r or '')}:{r or ''}{x or ''}".encode()).digest()[:16]
+            own[c].append(((t is not None, t or 0), tid, r or "", x or ""))
+    own = {c: [(r, x) for _, _, r, x in sorted(v)] for c, v in own.items()}
     whole = {}
     for c in own:
         h = zlib.crc32(str(c).encode()) % 6
