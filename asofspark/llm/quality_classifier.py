@@ -166,7 +166,8 @@ def held_out(doc_id: Column) -> Column:
 def featured(docs: DataFrame, text: str, keep: tuple[str, ...]) -> DataFrame:
     """``keep`` columns and FEATURES of every row; kept columns may have names of statistics."""
     own = [f"_kept{i}" for i in range(len(keep))]
-    counted = text_counts(docs.select(*[F.col(c).alias(k) for c, k in zip(keep, own, strict=True)], F.col(text).alias("_whole")), "_whole", tuple(own))
+    named = docs.select(*[F.col(c).alias(k) for c, k in zip(keep, own, strict=True)], *([] if text in keep else [F.col(text).alias("_whole")]))
+    counted = text_counts(named, own[keep.index(text)] if text in keep else "_whole", tuple(own))
     return counted.select(*[F.col(k).alias(c) for c, k in zip(keep, own, strict=True)], *[v.alias(k) for k, v in features().items()])
 
 

@@ -103,13 +103,15 @@ def count_texts(column: pa.Array) -> dict[str, np.ndarray]:
 
 
 def text_counts(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns and COUNTS (long) of every row; a null text counts as empty, no row is lost."""
-    rows = docs.select(*keep, F.col(text).alias("_text"))
+    """``keep`` columns and COUNTS (long) of every row; a null text counts as empty, no row is lost.  A text that is kept is sent to Python once."""
+    rows = docs.select(*keep) if text in keep else docs.select(*keep, F.col(text).alias("_text"))
+    read = text if text in keep else "_text"
+    at = rows.columns.index(read)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in grid.slices(batches, "_text"):
-            counts = count_texts(piece.column(len(keep)))
-            yield pa.RecordBatch.from_arrays([*piece.columns[:-1], *(pa.array(v) for v in counts.values())], names=[*keep, *COUNTS])
+        for piece in grid.slices(batches, read):
+            counts = count_texts(piece.column(at))
+            yield pa.RecordBatch.from_arrays([*piece.columns[: len(keep)], *(pa.array(v) for v in counts.values())], names=[*keep, *COUNTS])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]), *(f"{c} long" for c in COUNTS)])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[: len(keep)]), *(f"{c} long" for c in COUNTS)])
     return rows.mapInArrow(run, schema)
