@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from asofspark.operators import asof as pit
+from asofspark.operators import blocks as bl
 from asofspark.operators import books as bk
 from asofspark.operators import filings as fl
 from asofspark.operators import observations as ob
@@ -251,11 +252,7 @@ def q_pair_spreads(spark, d):
 
 def q_part_momentum(spark, d):
     """Momentum, volatility and their ranks over weekly bars of every part: the number of symbols grows with the table."""
-    p = pn.panel(dt.bars(spark, d, "p_partkey"))
-    x = p.withColumns({"mom": ts.momentum(4, 52), "vol": ts.rolling_vol(26, 52), "fwd": F.lead("px", 4).over(ts.by_symbol()) / F.col("px") - 1}).where("mom is not null")
-    x = x.withColumn("pct", rk.pct_rank("mom", True, ("idx",)))
-    best, worst = F.avg(F.when(F.col("pct") > 90, F.col("fwd"))), F.avg(F.when(F.col("pct") <= 10, F.col("fwd")))
-    return rounded(x.groupBy(F.col("idx").cast("long").alias("idx")).agg(F.count(F.lit(1)).alias("n"), F.avg("mom").alias("mom"), F.avg("vol").alias("vol"), (best - worst).alias("spread")), 4)
+    return rounded(bl.momentum_table(dt.bars(spark, d, "p_partkey"), dt.weeks(spark, d), dt.tasks(spark, d)), 4)
 
 
 QUERIES = {
