@@ -68,3 +68,24 @@ def test_running_median(spark):
         for r in sorted((r for r in got if r["symbol"] == s), key=lambda r: r["idx"]):
             seen += [r["v"]] if r["v"] is not None else []
             assert r["m"] == (pytest.approx(statistics.median(seen)) if seen else None)
+
+
+def test_classes_lose_no_pair(spark):
+    """Statistics of classes, in each order that their members have, are those of every pair of members."""
+    rng, rows = random.Random(8), []
+    names = {"a1": 1, "c2": 1, "b1": 2, "d9": 2, "b5": 3, "e0": 4, "a0": 4}
+    series = {k: [rng.gauss(50, 5) for _ in range(90)] for k in set(names.values())}
+    for name, k in names.items():
+        rows += [(name, DAY + dtm.timedelta(days=t), v, v, v, v, 1.0) for t, v in enumerate(series[k])]
+    bars = spark.createDataFrame(rows, sinks.BAR_SCHEMA)
+    groups = spark.createDataFrame([(n, "g") for n in names], "symbol string, grp string")
+    cls = {r["symbol"]: r["first"] for r in gram.copies(bars, groups).collect()}
+    assert cls == {"a1": "a1", "c2": "a1", "b1": "b1", "d9": "b1", "b5": "b5", "e0": "a0", "a0": "a0"}
+    one = gram.copies(bars, groups).where("symbol = first").select("symbol", "grp", "last")
+    for block in (64, 2):
+        got = {(r["a"], r["b"]): r for r in gram.pair_statistics(pn.panel(bars.join(one, "symbol", "left_semi")), one, block=block).collect()}
+        every = [r for r in gram.pair_statistics(pn.panel(bars), groups, block=block).collect() if cls[r["a"]] != cls[r["b"]]]
+        assert {(cls[r["a"]], cls[r["b"]]) for r in every} == got.keys() and len(every) == 18
+        for r in every:
+            mine = got[cls[r["a"]], cls[r["b"]]]
+            assert (mine["n"], mine["beta"], mine["adf_t"]) == (r["n"], pytest.approx(r["beta"], rel=1e-9), pytest.approx(r["adf_t"], rel=1e-9))
