@@ -38,9 +38,20 @@ def screen_funnel(names: DataFrame, low: float, high: float, excluded: Sequence[
     return x.withColumn("drop_reason", reason)
 
 
-def composite(names: DataFrame, weights: dict[str, float], by: Sequence[str] = ("as_of", "sector"), least: int = 4) -> DataFrame:
-    """Percentiles in the good direction (factor_pct) and their weighted mean over the factors present, ``least`` at least."""
-    x = names.withColumns({f"{f}_pct": pct_rank(f, not fx.LOWER_BETTER[f], by) for f in weights})
+def ranked(names: DataFrame, places: dict[str, tuple[str, bool]], by: Sequence[str], digits: int | None = None) -> DataFrame:
+    """Adds the pct_rank() of each (value, ascending), at ``digits`` decimals of the value."""
+    if digits is None:
+        return names.withColumns({out: pct_rank(v, up, by) for out, (v, up) in places.items()})
+    x = names.withColumns({f"_{out}": F.round(v, digits) + F.lit(0.0) for out, (v, _) in places.items()})
+    return x.withColumns({out: pct_rank(f"_{out}", up, by) for out, (_, up) in places.items()}).drop(*[f"_{out}" for out in places])
+
+
+def composite(names: DataFrame, weights: dict[str, float], by: Sequence[str] = ("as_of", "sector"), least: int = 4, digits: int | None = None) -> DataFrame:
+    """Percentiles in the good direction (factor_pct) and their weighted mean over the factors present, ``least`` at least.
+
+    Values are ranked at ``digits`` decimals: sums of money differ beyond them by the order of their rows, and equal companies tie.
+    """
+    x = ranked(names, {f"{f}_pct": (f, not fx.LOWER_BETTER[f]) for f in weights}, by, digits)
     total, share, n = F.lit(0.0), F.lit(0.0), F.lit(0)
     for f, w in weights.items():
         there = F.col(f"{f}_pct").isNotNull()
@@ -52,20 +63,20 @@ def composite(names: DataFrame, weights: dict[str, float], by: Sequence[str] = (
 WEIGHTS = {"ev_ebit": 0.2, "price_fcf": 0.2, "roic": 0.2, "gm_stability": 0.2, "net_debt_ebitda": 0.2}
 
 
-def long_screen(names: DataFrame, low: float, high: float, excluded: Sequence[str] = (), by: Sequence[str] = ("as_of", "sector")) -> DataFrame:
+def long_screen(names: DataFrame, low: float, high: float, excluded: Sequence[str] = (), by: Sequence[str] = ("as_of", "sector"), digits: int | None = None) -> DataFrame:
     """Names that pass the funnel with factors, percentiles, composite and place within their date."""
     passed = screen_funnel(names, low, high, excluded).where("drop_reason is null")
-    scored = composite(with_factors(passed), WEIGHTS, by)
-    place = F.row_number().over(Window.partitionBy("as_of").orderBy(F.desc_nulls_last("composite"), "ticker"))
+    scored = composite(with_factors(passed), WEIGHTS, by, digits=digits)
+    order = F.col("composite") if digits is None else F.round("composite", digits)
+    place = F.row_number().over(Window.partitionBy("as_of").orderBy(order.desc_nulls_last(), "ticker"))
     return scored.withColumn("place", place)
 
 
-def short_screen(names: DataFrame, low: float, high: float, excluded: Sequence[str] = ()) -> DataFrame:
+def short_screen(names: DataFrame, low: float, high: float, excluded: Sequence[str] = (), digits: int | None = None) -> DataFrame:
     """Three legs without scrubs: 100 - composite, low Z, high M (whole universe); score is the mean of those present."""
     x = screen_funnel(names, low, high, excluded).where("drop_reason is null or drop_reason in ('altman_z', 'beneish_m')")
-    x = composite(with_factors(x), WEIGHTS).withColumns(
-        {"leg_value": 100.0 - F.col("composite"), "leg_z": pct_rank("altman_z", False, ("as_of",)), "leg_m": pct_rank("beneish_m", True, ("as_of",))}
-    )
+    x = composite(with_factors(x), WEIGHTS, digits=digits).withColumn("leg_value", 100.0 - F.col("composite"))
+    x = ranked(x, {"leg_z": ("altman_z", False), "leg_m": ("beneish_m", True)}, ("as_of",), digits)
     legs = ["leg_value", "leg_z", "leg_m"]
     n = sum((F.col(c).isNotNull().cast("int") for c in legs), F.lit(0))
     return x.withColumns({"legs": n, "score": F.try_divide(sum((F.coalesce(c, F.lit(0.0)) for c in legs), F.lit(0.0)), n)})

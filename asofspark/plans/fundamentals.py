@@ -66,14 +66,15 @@ funnel AS (
   FROM factored)"""
 
 
-def _ranks_sql(table: str, by: str) -> str:
-    """Average-tie percentiles of the five factors within ``by``."""
+def _ranks_sql(table: str, by: str, digits: int | None = None) -> str:
+    """Average-tie percentiles of the five factors within ``by``, at ``digits`` decimals."""
     parts = []
     for f, low in fx.LOWER_BETTER.items():
-        order = f"{f} {'DESC' if low else 'ASC'}"
+        v = f if digits is None else f"round({f}, {digits}) + 0.0"
+        order = f"{v} {'DESC' if low else 'ASC'}"
         parts.append(
             f"CASE WHEN {f} IS NOT NULL AND sector IS NOT NULL THEN 100.0 * (rank() OVER (PARTITION BY {by}, {f} IS NULL ORDER BY {order})"
-            f" + (count(*) OVER (PARTITION BY {by}, {f}) - 1) / 2.0) / count({f}) OVER (PARTITION BY {by}) END AS {f}_pct"
+            f" + (count(*) OVER (PARTITION BY {by}, {v}) - 1) / 2.0) / count({f}) OVER (PARTITION BY {by}) END AS {f}_pct"
         )
     names = list(fx.LOWER_BETTER)
     have = " + ".join(f"(CASE WHEN {f}_pct IS NULL THEN 0 ELSE 1 END)" for f in names)
@@ -82,15 +83,25 @@ def _ranks_sql(table: str, by: str) -> str:
 {table}_c AS (SELECT *, {have} AS n_factors, CASE WHEN {have} >= 4 THEN ({total}) / (0.2 * ({have})) END AS composite FROM {table}_r)"""
 
 
-LONG_SQL = f"""{CANONICAL_SQL}, passed AS (SELECT * FROM funnel WHERE drop_reason IS NULL), {_ranks_sql("passed", "as_of, sector")},
-longs AS (SELECT *, row_number() OVER (PARTITION BY as_of ORDER BY composite DESC NULLS LAST, ticker) AS place FROM passed_c)"""
-SHORT_SQL = f"""{LONG_SQL}, pool AS (SELECT * FROM funnel WHERE drop_reason IS NULL OR drop_reason IN ('altman_z', 'beneish_m')), {_ranks_sql("pool", "as_of, sector")},
+def screens_sql(digits: int | None = None) -> tuple[str, str]:
+    """The long and the short screen; with ``digits`` ranks are of values at so many decimals."""
+    at = lambda v: v if digits is None else f"round({v}, {digits}) + 0.0"
+    long = f"""{CANONICAL_SQL}, passed AS (SELECT * FROM funnel WHERE drop_reason IS NULL), {_ranks_sql("passed", "as_of, sector", digits)},
+longs AS (SELECT *, row_number() OVER (PARTITION BY as_of ORDER BY {at('composite')} DESC NULLS LAST, ticker) AS place FROM passed_c)"""
+    short = f"""{long}, pool AS (SELECT * FROM funnel WHERE drop_reason IS NULL OR drop_reason IN ('altman_z', 'beneish_m')), {_ranks_sql("pool", "as_of, sector", digits)},
 legs0 AS (SELECT *, 100.0 - composite AS leg_value,
-  CASE WHEN altman_z IS NOT NULL THEN 100.0 * (rank() OVER (PARTITION BY as_of, altman_z IS NULL ORDER BY altman_z DESC) + (count(*) OVER (PARTITION BY as_of, altman_z) - 1) / 2.0) / count(altman_z) OVER (PARTITION BY as_of) END AS leg_z,
-  CASE WHEN beneish_m IS NOT NULL THEN 100.0 * (rank() OVER (PARTITION BY as_of, beneish_m IS NULL ORDER BY beneish_m) + (count(*) OVER (PARTITION BY as_of, beneish_m) - 1) / 2.0) / count(beneish_m) OVER (PARTITION BY as_of) END AS leg_m
+  CASE WHEN altman_z IS NOT NULL THEN 100.0 * (rank() OVER (PARTITION BY as_of, altman_z IS NULL ORDER BY {at('altman_z')} DESC) + (count(*) OVER (PARTITION BY as_of, {at('altman_z')}) - 1) / 2.0) / count(altman_z) OVER (PARTITION BY as_of) END AS leg_z,
+  CASE WHEN beneish_m IS NOT NULL THEN 100.0 * (rank() OVER (PARTITION BY as_of, beneish_m IS NULL ORDER BY {at('beneish_m')}) + (count(*) OVER (PARTITION BY as_of, {at('beneish_m')}) - 1) / 2.0) / count(beneish_m) OVER (PARTITION BY as_of) END AS leg_m
   FROM pool_c),
 shorts AS (SELECT *, (leg_value IS NOT NULL)::INT + (leg_z IS NOT NULL)::INT + (leg_m IS NOT NULL)::INT AS legs,
   (coalesce(leg_value, 0) + coalesce(leg_z, 0) + coalesce(leg_m, 0)) / nullif((leg_value IS NOT NULL)::INT + (leg_z IS NOT NULL)::INT + (leg_m IS NOT NULL)::INT, 0) AS score FROM legs0)"""
+    return long, short
+
+
+LONG_SQL, SHORT_SQL = screens_sql()
+#: Decimals at which the screens compare values.  Sums of money differ beyond them by the order of their rows, so that companies of equal rows would be ranked by chance.
+DIGITS = 7
+LONG_TIED_SQL, SHORT_TIED_SQL = screens_sql(DIGITS)
 
 
 def q_statements_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -174,6 +185,7 @@ QUERIES = {
     "R9_screen_schedule": q_screen_schedule, "R7_basket_diff": q_basket_diff, "A20_pit_gate": q_pit_gate, "S19_screen_report": q_screen_report,
 }
 _PCTS = " ".join(f"{f}_pct" for f in fx.ALL)
+_LONG_OUT = f"SELECT as_of, ticker, sector, place, {rounded_sql('composite ' + _PCTS, 4)} FROM longs"
 SQL = {
     "A6_statements_asof": f"WITH {CANONICAL_SQL} SELECT ticker, as_of, age, report_date, publish_date, {rounded_sql('revenue total_assets', 2)} FROM ranked WHERE age <= 2",
     "A7_statements_latest": f"WITH {CANONICAL_SQL} SELECT ticker, age, report_date, {rounded_sql('revenue', 2)} FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY report_date DESC) AS age FROM statements) WHERE age <= 2",

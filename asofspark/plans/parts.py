@@ -17,7 +17,7 @@ from asofspark.operators import weights as wt
 from asofspark.operators.observations import scratch
 from asofspark.plans import portfolio as pf
 from asofspark.plans.common import rounded
-from asofspark.plans.fundamentals import CANONICAL_SQL, _ranks_sql, canonical
+from asofspark.plans.fundamentals import CANONICAL_SQL, DIGITS, _ranks_sql, canonical
 from asofspark.plans.timeseries import PANEL, r6
 from asofspark.sources import driver_tables as dt
 from asofspark.sources import sinks
@@ -69,7 +69,7 @@ def q_pct_rank(spark, d):
 
 
 def q_composite(spark, d):
-    x = rk.composite(rk.with_factors(canonical(spark, d)), {f: 0.2 for f in fx.LOWER_BETTER}, ("as_of", "sector"))
+    x = rk.composite(rk.with_factors(canonical(spark, d)), {f: 0.2 for f in fx.LOWER_BETTER}, ("as_of", "sector"), digits=DIGITS)
     return rounded(x.select("ticker", "as_of", F.col("n_factors").cast("long").alias("n_factors"), "composite"))
 
 
@@ -257,7 +257,7 @@ CAST(sum(len(list_filter(generate_series(CAST(o_orderdate AS DATE), CAST(o_order
     "F13_math": f"{PANEL} SELECT symbol, dt, round(ln(1 + ret), 6) + 0.0 AS log_return, round(sqrt(abs(ret)), 6) + 0.0 AS root, CAST(sign(ret) AS DOUBLE) + 0.0 AS sign, round(least(greatest(ret, -0.1), 0.1), 6) + 0.0 AS clipped, {_CAP.format('pow(1 + ret, 52)')} AS annual FROM rets WHERE ret IS NOT NULL",
     "F15_levered_stacked": f"{PANEL}, {dt.RATES_SQL} SELECT symbol, dt, round(2.0 * ret - (rf + 0.005) / 252, 6) + 0.0 AS levered, round(ret + 0.5 * (0.3 * ret) - 0.5 * (rf + 0.005) / 252, 6) + 0.0 AS stacked FROM rets JOIN rates USING (dt) WHERE ret IS NOT NULL",
     "R1_pct_rank": f"WITH {CANONICAL_SQL}, {_ranks_sql('factored', 'as_of, sector')} SELECT ticker, as_of, {r6('ev_ebit_pct')} AS ev_ebit_pct FROM factored_r",
-    "R2_composite": f"WITH {CANONICAL_SQL}, {_ranks_sql('factored', 'as_of, sector')} SELECT ticker, as_of, CAST(n_factors AS BIGINT) AS n_factors, {r6('composite')} AS composite FROM factored_c",
+    "R2_composite": f"WITH {CANONICAL_SQL}, {_ranks_sql('factored', 'as_of, sector', DIGITS)} SELECT ticker, as_of, CAST(n_factors AS BIGINT) AS n_factors, {r6('composite')} AS composite FROM factored_c",
     "W1_inverse_vol": f"{pf.TREND} SELECT run_id, mark, symbol, {r6('w')} AS w FROM iv",
     "W2_vol_target": f"{pf.TREND} SELECT run_id, mark, {r6('sum(w)')} AS gross FROM vt GROUP BY 1, 2",
     "P16_buy_and_hold": f"{pf.CURVES} SELECT run_id, dt, round(equity, 4) + 0.0 AS equity FROM curves",
