@@ -21,8 +21,7 @@ from asofspark.plans import panels as pl
 from asofspark.plans import schedules as ps
 from asofspark.plans.books import _G, grid
 from asofspark.plans.common import rounded, significant_sql
-from asofspark.plans.fundamentals import CANONICAL_SQL, EXCLUDED, HIGH, LOW, canonical
-from asofspark.plans.fundamentals import SQL as SCREEN_SQL
+from asofspark.plans.fundamentals import _LONG_OUT, CANONICAL_SQL, EXCLUDED, HIGH, LONG_SQL, LOW, canonical
 from asofspark.plans.portfolio import _M, LOOKS, TREND, _long, _r
 from asofspark.plans.research import PAIR, pairs
 from asofspark.plans.timeseries import CANARIES, PAIRS, PANEL, mom, roll
@@ -229,7 +228,7 @@ y AS (SELECT symbol, px, prev, CASE WHEN k % 3 = 0 THEN prev ELSE px END * (1 +
     "A18_route_rows": f"""WITH {CANONICAL_SQL}, {pl._LABEL_ROWS}, i AS (SELECT ticker, arg_max(cash, report_date) AS c FROM statements GROUP BY 1), l AS (SELECT ticker, period, max(CASE WHEN field = 'cash' THEN val END) AS cash FROM lb WHERE val IS NOT NULL GROUP BY 1, 2)
 SELECT 'statements' AS source, ticker AS name, as_of AS day, round(cash, 2) + 0.0 AS cash FROM canonical UNION ALL SELECT 'filings', ticker, as_of, round(max(CASE WHEN age = 1 THEN cash END), 2) + 0.0 FROM ranked WHERE age <= 2 GROUP BY ticker, as_of HAVING count(*) = 2
 UNION ALL SELECT 'labels', ticker, period, round(coalesce(cash, c), 2) + 0.0 FROM l JOIN i USING (ticker)""",
-    "SQL_screen_view": f"""WITH x AS ({SCREEN_SQL["R3_long_screen"]}) SELECT as_of, sector, count(*) AS n, round(avg(composite), 4) + 0.0 AS composite, arg_min(ticker, place) AS best FROM x WHERE composite IS NOT NULL GROUP BY 1, 2""",
+    "SQL_screen_view": f"""WITH x AS (WITH {LONG_SQL} {_LONG_OUT}) SELECT as_of, sector, count(*) AS n, round(avg(composite), 4) + 0.0 AS composite, arg_min(ticker, place) AS best FROM x WHERE composite IS NOT NULL GROUP BY 1, 2""",
     "SQL_backtest_view": f"""{ps._BASE}, {_PICKED}, {ps.curve_sql('lw', 'least(x, 900) * 8e-4 + greatest(x - 900, 0) * 25e-4', ps._fixed(0.02, 0.03)).replace("CAST(0 AS DOUBLE) AS traded FROM", "CAST(0 AS DOUBLE) AS traded, CAST(0 AS DOUBLE) AS fees FROM").replace("+ held, tr FROM (", "+ held, tr, fees FROM (", 1).replace("AS tr FROM (", "AS tr, fee + coalesce(list_sum(list_transform(sold, lambda x: least(x, 900) * 8e-4 + greatest(x - 900, 0) * 25e-4)), 0) AS fees FROM (", 1).replace("AS c2 FROM (", "AS c2, coalesce(list_sum(list_transform(list_transform(moves, lambda x: abs(x)), lambda x: least(x, 900) * 8e-4 + greatest(x - 900, 0) * 25e-4)), 0) AS fee FROM (", 1)}
 SELECT run_id, {significant_sql('arg_max(equity, t)')} AS equity, {significant_sql('sum(traded)')} AS traded, {significant_sql('sum(fees)')} AS fees FROM cu WHERE t >= 0 GROUP BY 1""",
     "P0_look_ahead": f"""{PANEL}, c AS (SELECT count(*) FILTER (WHERE close IS NOT NULL AND idx % 13 IN (0, 5) AND idx = 247) AS n FROM panel) SELECT unnest(['trend', 'top_momentum', 'equal_weight', 'ahead']) AS strategy, CAST(0 AS BIGINT) AS early, unnest([0, 0, 0, n]) AS changed FROM c""",
