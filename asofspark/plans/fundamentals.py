@@ -143,7 +143,7 @@ def q_long_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_short_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = ranking.short_screen(canonical(spark, sf_dir), LOW, HIGH, EXCLUDED)
+    x = ranking.short_screen(canonical(spark, sf_dir), LOW, HIGH, EXCLUDED, digits=DIGITS)
     return rounded(x.select("as_of", "ticker", "leg_value", "leg_z", "leg_m", "legs", "score"), 4)
 
 
@@ -197,7 +197,7 @@ SQL = {
 SELECT ticker, as_of, CASE WHEN total_assets_prior IS NULL THEN NULL ELSE CAST({_FSCORE} AS BIGINT) END AS fscore FROM y""",
     "Q14_funnel": f"WITH {CANONICAL_SQL} SELECT as_of, coalesce(drop_reason, 'kept') AS reason, count(*) AS n FROM funnel GROUP BY 1, 2",
     "R3_long_screen": f"WITH {LONG_TIED_SQL} SELECT as_of, ticker, sector, place, {rounded_sql('composite ' + _PCTS, 4)} FROM longs",
-    "R4_short_screen": f"WITH {SHORT_SQL} SELECT as_of, ticker, {rounded_sql('leg_value leg_z leg_m', 4)}, legs, {rounded_sql('score', 4)} FROM shorts",
+    "R4_short_screen": f"WITH {SHORT_TIED_SQL} SELECT as_of, ticker, {rounded_sql('leg_value leg_z leg_m', 4)}, legs, {rounded_sql('score', 4)} FROM shorts",
     "R8_long_short_book": f"""WITH {SHORT_SQL}, a AS (SELECT as_of, ticker, 0.05 AS w FROM longs WHERE place <= 10 AND composite IS NOT NULL),
 b AS (SELECT as_of, ticker, row_number() OVER (PARTITION BY as_of ORDER BY score DESC, ticker) AS p FROM shorts s WHERE legs >= 2 AND NOT EXISTS (SELECT 1 FROM a WHERE a.as_of = s.as_of AND a.ticker = s.ticker))
 SELECT as_of, ticker, CAST(w AS DOUBLE) AS w FROM a UNION ALL SELECT as_of, ticker, CAST(-0.05 AS DOUBLE) FROM b WHERE p <= 10""",
