@@ -174,8 +174,8 @@ def q_pit_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_screen_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ranked table with a colour bucket by composite."""
-    x = ranking.long_screen(canonical(spark, sf_dir), LOW, HIGH, EXCLUDED).where("composite is not null")
-    bucket = F.when(F.col("composite") >= 65, "high").when(F.col("composite") >= 40, "middle").otherwise("low")
+    x = ranking.long_screen(canonical(spark, sf_dir), LOW, HIGH, EXCLUDED, digits=DIGITS).where("composite is not null")
+    bucket = F.when(F.round("composite", DIGITS) >= 65, "high").when(F.round("composite", DIGITS) >= 40, "middle").otherwise("low")
     return rounded(x.select("as_of", "ticker", bucket.alias("bucket"), F.round("composite", 1).alias("composite"), *[F.round(f, 2).alias(f) for f in fx.ALL]), 2)
 
 
@@ -207,5 +207,5 @@ SELECT as_of, ticker, 'top' AS book, round(1.0 / least(n, 10), 6) + 0.0 AS w FRO
 a AS (SELECT ticker FROM x WHERE as_of = DATE '1998-06-30'), b AS (SELECT ticker FROM x WHERE as_of = DATE '1997-06-30')
 SELECT coalesce(a.ticker, b.ticker) AS ticker, CASE WHEN b.ticker IS NULL THEN 'added' WHEN a.ticker IS NULL THEN 'dropped' ELSE 'held' END AS status FROM a FULL OUTER JOIN b ON a.ticker = b.ticker""",
     "A20_pit_gate": f"WITH {CANONICAL_SQL}, s AS (SELECT *, lag(report_date) OVER (PARTITION BY ticker ORDER BY as_of) AS before FROM ranked WHERE age = 1) SELECT count(*) AS violations FROM s WHERE publish_date > as_of OR report_date < before",
-    "S19_screen_report": f"WITH {LONG_SQL} SELECT as_of, ticker, CASE WHEN composite >= 65 THEN 'high' WHEN composite >= 40 THEN 'middle' ELSE 'low' END AS bucket, round(round(composite, 1), 2) + 0.0 AS composite, {rounded_sql(' '.join(fx.ALL), 2)} FROM longs WHERE composite IS NOT NULL",
+    "S19_screen_report": f"WITH {LONG_TIED_SQL} SELECT as_of, ticker, CASE WHEN round(composite, {DIGITS}) >= 65 THEN 'high' WHEN round(composite, {DIGITS}) >= 40 THEN 'middle' ELSE 'low' END AS bucket, round(round(composite, 1), 2) + 0.0 AS composite, {rounded_sql(' '.join(fx.ALL), 2)} FROM longs WHERE composite IS NOT NULL",
 }
