@@ -94,7 +94,7 @@ def _probes(sketches: DataFrame) -> DataFrame:
     return sketches.join(shared, "h").withColumn("_r", rank).where("_r <= kept - need + 1").select("ik", "h")
 
 
-def _bit_table(sketches: DataFrame) -> np.ndarray:
+def bit_table(sketches: DataFrame) -> np.ndarray:
     """Bloom filter of the sketches, two bits for each hash; its size follows their number."""
     size = min(max((BITS_A_HASH * sketches.count()).bit_length(), FILTER_BITS[0]), FILTER_BITS[1])
     mask = (1 << size) - 1
@@ -177,7 +177,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item
     sketches = items.select("ik", "need", F.size("sketch").alias("kept"), F.explode("sketch").alias("h"))
     widths = sorted(r["width"] for r in items.select("width").distinct().collect())  # WIDTH numbers at most
     probes = stored(_probes(sketches))
-    found = stored(_hits(docs.select("doc_id", docs[text].alias("_text")), _bit_table(probes), widths).withColumn("rid", F.monotonically_increasing_id()))
+    found = stored(_hits(docs.select("doc_id", docs[text].alias("_text")), bit_table(probes), widths).withColumn("rid", F.monotonically_increasing_id()))
     met = found.select("rid", F.explode("hits").alias("h")).join(probes, "h").select("rid", "ik").distinct()
     pairs = met.join(items.select("ik", "item_id", "_item", "width", F.col("n").alias("_n")), "ik").join(found.select("rid", "doc_id", "_text", "n"), "rid")
     pairs = pairs.where((F.col("width") < WIDTH) | (SHARE[1] * F.col("n") >= SHARE[0] * F.col("_n")))

@@ -1,44 +1,63 @@
-"""Near copies: documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
-
-Texts with the same words are grouped first.  Of the others, MinHash signatures give the
-candidates: BANDS bands of ROWS hashes, so that a pair at 0.8 is missed with a probability
-of (1 - 0.8^ROWS)^BANDS (3e-6) and any closer one with less.  Each candidate pair is verified
-by the exact similarity of its shingle sets.
-
-A large group of near copies meets in every band, and all its pairs would be a square.  So
-neighbours in the groups of the first bands are tried and their components taken; in the other
-bands, neighbours of different components only, so that the pairs to verify stay in proportion to
-the documents.  Where a group then still holds several components, its texts are compared all with
+"""Near copies: documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, found by SimHash.
+
+Texts with the same words are grouped first.  Each other text gets a SimHash of its distinct shingles: a print of
+PRINT bits and blocks of code bits, more and longer ones for more documents.  A shingle votes on every bit with a hashed byte
+(not with a sign, so that sets of four shingles behave like large ones), and the margin of a bit is how far its votes are from a tie.
+
+At a similarity of 0.8 some 15 % of the bits differ, so balls of one or two bits don't reach such pairs.  They differ in bits
+of small margin, though: a block's ball holds the FLIPS codes that flip some of its WEAK bits of least margin.  Two texts
+meet in the middle, where their balls of a block have a code in common; all blocks miss a pair at 0.8 with
+a probability of 2e-6 at most, and any closer one with less.  Codes travel, not balls: a code goes to
+the ranges of codes that its ball touches, and balls are built there.  Texts that meet are candidates if their prints
+differ in no more than RADIUS bits (missed at 0.8: below 1e-6) and the sizes of their sets allow the similarity.  Each candidate
+pair is verified by the exact similarity of its shingle sets; only texts of candidates are read for that.
+
+A large group of near copies meets in many codes, and all its pairs would be a square.  So of
+a code's group above SMALL neighbours are tried first and their components taken; then
+only texts of different components, so that the pairs to verify stay in proportion to
+the documents.  Where a group above MIDDLE then still holds several components, its texts are compared all with
 all over an inverted index, in pairs of blocks of bounded size, and only links that connect come back.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from asofspark.llm import grid
 from asofspark.llm.components import connected_components
+from asofspark.llm.decontaminate import bit_table
 from asofspark.llm.simhash import spaced
-from asofspark.llm.storage import bucketed, discard, stored
+from asofspark.llm.storage import discard, stored
 
 WIDTH = 5
 #: Jaccard similarity as a fraction, for exact comparison.
 SHARE = (4, 5)
-BANDS, ROWS, SEED = 32, 5, 42
-#: Bands whose neighbours are tried before components are known.
-FIRST = 4
-#: Texts and their bytes of a band's group in one block, on average at most; two blocks are compared in one task.
+#: Bits of the print; two texts at SHARE differ in more than RADIUS of them with a probability below 1e-6.
+PRINT, RADIUS, SEED = 128, 42, 42
+#: Blocks by the bits of their codes: a pair at SHARE meets in none with a probability of 2e-6 at most.
+BLOCKS = dict(zip(range(20, 33), (7, 7, 8, 9, 10, 11, 12, 13, 15, 16, 18, 19, 21), strict=True))
+#: Bits of a code beyond those that number the documents: a ball then meets few others by chance.
+SPARE = 8
+#: Bits of least margin that a ball flips, and its codes.
+WEAK, FLIPS = 8, 64
+#: Documents to a range of codes, about; a power of two of ranges, from 4 to 64.
+RANGE_DOCS = 1 << 17
+#: Codes sorted at once.
+CODES = 1 << 22
+#: Texts of a code whose pairs are all tried, and those of different components among which they are.
+SMALL, MIDDLE = 8, 32
+#: Texts and their bytes of a code's group in one block, on average at most; two blocks are compared in one task.
 BLOCK, BLOCK_BYTES = 400, 8 << 20
-#: Rows of a bucket of the texts' table, about, and its buckets at least and at most.
-BUCKET_ROWS, MIN_BUCKETS, MAX_BUCKETS = 8_000, 8, 32_768
-#: Compression of the texts: most of the stage's disk holds them, and the highest common level makes them 6 % smaller than level 3.
+#: Compression of the texts of candidates; the highest common level makes them 6 % smaller than level 3.
 LEVEL = 19
 #: Entries of the inverted index read at once.
 READ = 1 << 20
@@ -51,15 +70,66 @@ def shingle_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray, grid.Texts
     return *grid.windows(t.hash_spans(starts, ends), off, WIDTH), t
 
 
-def band_hashes(hashes: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """(texts, BANDS) hashes of the bands of each text's MinHash signature; off must hold no empty text."""
-    rng = np.random.default_rng(SEED)
-    flips, odds = rng.integers(0, 1 << 64, (2, BANDS * ROWS), dtype=np.uint64)
-    out = np.zeros((len(off) - 1, BANDS), dtype=np.uint64)
-    for k in range(BANDS):
-        for j in range(k * ROWS, (k + 1) * ROWS):
-            least = np.minimum.reduceat((hashes ^ flips[j]) * (odds[j] | np.uint64(1)), off[:-1])
-            out[:, k] = grid.mixed(out[:, k] + least + np.uint64(j + 1))
+def distinct(hashes: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each text's distinct hashes in order, and their offsets."""
+    owner = grid.owners(off)
+    order = np.lexsort((hashes, owner))
+    hashes, owner = hashes[order], owner[order]
+    new = np.ones(len(hashes), dtype=bool)
+    new[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
+    return hashes[new], np.concatenate([[0], np.cumsum(np.bincount(owner[new], minlength=len(off) - 1))])
+
+
+def votes(hashes: np.ndarray, off: np.ndarray, bits: int) -> np.ndarray:
+    """(texts, bits) sums of the shingles' votes, each from -255 to 255; off must hold no empty text.
+
+    Four bytes are summed at once in the 16-bit lanes of a word, over 256 shingles at most.
+    """
+    words = -(-bits // 8)
+    flips, odds = np.random.default_rng(SEED).integers(0, 1 << 64, (2, 128), dtype=np.uint64)
+    n = np.diff(off)
+    parts = -(-n // 256)
+    part_off = np.concatenate([[0], np.cumsum(parts)])
+    starts = np.repeat(off[:-1] - 256 * part_off[:-1], parts) + 256 * np.arange(part_off[-1])
+    lanes, out = np.uint64(0x00FF00FF00FF00FF), np.empty((len(n), words * 8), dtype=np.int64)
+    for w in range(words):
+        drawn = grid.mixed((hashes ^ flips[w]) * (odds[w] | np.uint64(1)))
+        for k, half in enumerate((drawn & lanes, (drawn >> np.uint64(8)) & lanes)):
+            sums = np.add.reduceat(half, starts).view(np.uint16).reshape(-1, 4)
+            out[:, 8 * w + 4 * k : 8 * w + 4 * k + 4] = np.add.reduceat(sums, part_off[:-1], axis=0, dtype=np.int64)
+    return (2 * out - 255 * n[:, None])[:, :bits]
+
+
+def entry_type(blocks: int) -> np.dtype:
+    return np.dtype([("print", "<u8", PRINT // 64), ("code", "<u4", blocks), ("weak", "u1", (blocks, WEAK))])
+
+
+def simhashes(hashes: np.ndarray, off: np.ndarray, bits: int) -> np.ndarray:
+    """Print, codes of ``bits`` bits and their WEAK bits of least margin, the least first; hashes are distinct, off holds no empty text."""
+    blocks = BLOCKS[bits]
+    sums = votes(hashes, off, PRINT + blocks * bits)
+    out = np.zeros(len(off) - 1, dtype=entry_type(blocks))
+    out["print"] = np.packbits(sums[:, :PRINT] > 0, axis=1).view("<u8")
+    sums = sums[:, PRINT:].reshape(-1, blocks, bits)
+    out["code"] = ((sums > 0) * (1 << np.arange(bits))).sum(axis=2)
+    out["weak"] = np.argsort(np.abs(sums), axis=2, kind="stable")[:, :, :WEAK]
+    return out
+
+
+@lru_cache(maxsize=1)
+def flipped() -> tuple[tuple[int, ...], ...]:
+    """The FLIPS sets of ranks among the WEAK bits with the least sums, the empty set first."""
+    every = (c for n in range(WEAK + 1) for c in itertools.combinations(range(WEAK), n))
+    return tuple(sorted(every, key=lambda c: (sum(c) + len(c), len(c), c))[:FLIPS])
+
+
+def ball(code: np.ndarray, weak: np.ndarray) -> np.ndarray:
+    """(codes, FLIPS) codes of each one's ball."""
+    bit = np.uint32(1) << weak.astype(np.uint32)
+    out = np.repeat(code[:, None], FLIPS, axis=1)
+    for k, ranks in enumerate(flipped()):
+        for r in ranks:
+            out[:, k] ^= bit[:, r]
     return out
 
 
@@ -84,22 +154,150 @@ def unpacked(column: pa.Array) -> pa.Array:
     return pa.array([unpack(data).decode() for data in column.to_pylist()], pa.large_string())
 
 
-def _sketched(docs: DataFrame) -> DataFrame:
-    """rid, doc_id, packed (the text), size (its bytes), key (of the words) and bands (none if there is no shingle) of every row."""
+def _numbered(keys: list[bytes]) -> np.ndarray:
+    """The first 64 bits of each digest."""
+    return np.frombuffer(b"".join(keys), dtype="<i8")[::2]
+
+
+def _sketched(docs: DataFrame, bits: int) -> DataFrame:
+    """doc_id, key (of the words), h (its first bits), size (the text's bytes), n (distinct shingles) and sketch (none if there is no shingle) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in grid.slices(batches, "_text"):
-            hashes, off, t = shingle_hashes(piece.column(2))
+            hashes, off, t = shingle_hashes(piece.column(1))
+            hashes, off = distinct(hashes, off)
             full = np.flatnonzero(np.diff(off))
-            at = np.zeros(t.n + 1, dtype=np.int32)
-            at[full + 1] = BANDS
-            flat = band_hashes(hashes, off[np.append(full, t.n)]) if len(full) else np.zeros(0, np.uint64)
-            bands = pa.ListArray.from_arrays(pa.array(np.cumsum(at, dtype=np.int32)), pa.array(flat.reshape(-1).view(np.int64)))
-            mine = [piece.column(0), piece.column(1), packed(piece.column(2)), pa.array(np.diff(t.off)), pa.array(word_keys(t), pa.binary()), bands]
-            yield pa.RecordBatch.from_arrays(mine, names=["rid", "doc_id", "packed", "size", "key", "bands"])
+            sketch: list[bytes | None] = [None] * t.n
+            if len(full):
+                for k, entry in zip(full, simhashes(hashes, off[np.append(full, t.n)], bits), strict=True):
+                    sketch[k] = entry.tobytes()
+            keys = word_keys(t)
+            cols = [pa.array(keys, pa.binary()), pa.array(_numbered(keys)), pa.array(np.diff(t.off)), pa.array(np.diff(off)), pa.array(sketch, pa.binary())]
+            yield pa.RecordBatch.from_arrays([piece.column(0), *cols], names=["doc_id", "key", "h", "size", "n", "sketch"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"rid long, doc_id {kind}, packed binary, size long, key binary, bands array<long>")
+    return docs.mapInArrow(run, f"doc_id {kind}, key binary, h long, size long, n long, sketch binary")
+
+
+def candidates(found: np.ndarray, block_bits: int, range_bits: int, part: int, last: bool, small: int, middle: int) -> tuple[list[np.ndarray], list[tuple[int, np.ndarray]], bool]:
+    """Pairs of rows of ``found`` that meet in a code of range ``part``, groups (h, rows) that stay, and whether a group had but neighbours tried.
+
+    Of rows with one root no pair is taken; ``small`` and ``middle`` are SMALL and MIDDLE.  Only the ``last`` time groups stay.
+    """
+    node, root, size, prints = found["node"], found["root"], found["n"], found["print"]
+    pairs, groups, partly = [], [], False
+
+    def near(a: np.ndarray, b: np.ndarray) -> None:
+        ok = root[a] != root[b]
+        a, b = a[ok], b[ok]
+        ok = SHARE[1] * np.minimum(size[a], size[b]) >= SHARE[0] * np.maximum(size[a], size[b])
+        a, b = a[ok], b[ok]
+        ok = np.bitwise_count(prints[a] ^ prints[b]).sum(axis=1, dtype=np.int64) <= RADIUS
+        pairs.append(np.unique(np.minimum(a, b)[ok] * len(found) + np.maximum(a, b)[ok]))
+
+    turns = 1 + len(found) * FLIPS // CODES
+    step = max(1, CODES // FLIPS)
+    for turn in range(turns):
+        some = []
+        for at in range(0, len(found), step):
+            codes = ball(found["code"][at : at + step], found["weak"][at : at + step])
+            mine = (codes >> np.uint32(block_bits - range_bits)) == part
+            if turns > 1:
+                mine &= (codes * np.uint32(0x9E3779B1) >> np.uint32(8)) % np.uint32(turns) == turn
+            row, column = np.nonzero(mine)
+            some.append((codes[row, column], row + at))
+        codes, rows = (np.concatenate(x) for x in zip(*some, strict=True))
+        order = np.argsort(codes, kind="stable")
+        codes, rows = codes[order], rows[order]
+        start = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]])) if len(codes) else np.zeros(0, np.int64)
+        length = np.diff(np.append(start, len(codes)))
+        for d in range(1, small):
+            for k in range(small - d):
+                at = start[(length <= small) & (length > k + d)] + k
+                near(rows[at], rows[at + d])
+        for at, n in zip(start[length > small], length[length > small], strict=True):
+            group = rows[at : at + n]
+            group = group[np.lexsort((node[group], root[group]))]
+            if root[group[0]] == root[group[-1]]:
+                continue
+            if last and n <= middle:
+                near(*(group[x] for x in np.triu_indices(n, 1)))
+                continue
+            near(group[:-1], group[1:])
+            partly = True
+            if last:
+                same = node[group].astype(np.uint64)
+                groups.append((int(grid.mixed(same + np.uint64(1)).sum().view(np.int64)), group))
+    return pairs, groups, partly
+
+
+def _met(prints: DataFrame, bits: int, count: int, last: bool) -> DataFrame:
+    """Candidates (a, b) among prints (node, root, n, sketch), h null; the last time also rows of groups that may need more: a (node), b (root), h.
+
+    Before the last time a row without a and b says that there is a group whose neighbours only were tried.
+    """
+    blocks = BLOCKS[bits]
+    range_bits = min(6, max(2, (count // RANGE_DOCS).bit_length()))
+    limits = SMALL, MIDDLE
+    entry = np.dtype([("node", "<i8"), ("root", "<i8"), ("n", "<i4"), ("print", "<u8", PRINT // 64), ("code", "<u4"), ("weak", "u1", WEAK)])
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            known = np.frombuffer(b"".join(batch.column(3).to_pylist()), dtype=entry_type(blocks))
+            out, slots, held_by = np.zeros(len(known), dtype=entry), [], []
+            for k, name in enumerate(("node", "root", "n")):
+                out[name] = batch.column(k).to_numpy()
+            out["print"] = known["print"]
+            for t in range(blocks):
+                out["code"], out["weak"] = known["code"][:, t], known["weak"][:, t]
+                parts = ball(out["code"], out["weak"]) >> np.uint32(bits - range_bits)
+                touched = np.bitwise_or.reduce(np.uint64(1) << parts.astype(np.uint64), axis=1)
+                for part in range(1 << range_bits):
+                    mine = out[(touched >> np.uint64(part)) & np.uint64(1) > 0]
+                    if len(mine):
+                        slots.append((t << range_bits) + part)
+                        held_by.append(mine.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(slots, pa.int32()), pa.array(held_by, pa.binary())], names=["slot", "held"])
+
+    def meet(table: pa.Table) -> pa.Table:
+        slot = table.column("slot")[0].as_py()
+        found = np.frombuffer(b"".join(table.column("held").to_pylist()), dtype=entry)
+        pairs, groups, partly = candidates(found, bits, range_bits, slot & ((1 << range_bits) - 1), last, *limits)
+        codes = np.unique(np.concatenate([np.zeros(0, np.int64), *pairs]))
+        node, root = found["node"], found["root"]
+        a, b = [node[codes // max(1, len(found))]], [node[codes % max(1, len(found))]]
+        h, none = [np.zeros(len(codes), np.int64)], [np.ones(len(codes), bool)]
+        for name, rows in groups:
+            a.append(node[rows]), b.append(root[rows]), h.append(np.full(len(rows), name)), none.append(np.zeros(len(rows), bool))
+        out = [pa.array(np.concatenate(a)), pa.array(np.concatenate(b)), pa.array(np.concatenate(h), mask=np.concatenate(none))]
+        if partly and not last:
+            out = [pa.concat_arrays([x, pa.nulls(1, x.type)]) for x in out]
+        return pa.table(dict(zip("abh", out, strict=True)))
+
+    dealt = prints.where("sketch is not null").select("node", "root", "n", "sketch").mapInArrow(deal, "slot int, held binary")
+    return dealt.groupBy("slot").applyInArrow(meet, "a long, b long, h long").distinct()
+
+
+def _texts(docs: DataFrame, need: DataFrame) -> DataFrame:
+    """node and packed (a text of its words) for the rows node, key, h of ``need``; other texts are left after their words are known."""
+    table = bit_table(need)
+    bits = np.uint64(len(table).bit_length() + 2)
+    mask = (np.uint64(1) << bits) - np.uint64(1)
+
+    def held(places: np.ndarray) -> np.ndarray:
+        return (table[places >> np.uint64(3)] >> (places & np.uint64(7)).astype(np.uint8)) & 1 > 0
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
+        for piece in grid.slices(batches, "_text"):
+            keys = word_keys(grid.Texts(piece.column(1), fold=True))
+            h = _numbered(keys).view(np.uint64)
+            at = [k for k in np.flatnonzero(held(h & mask) & held((h >> bits) & mask)) if not (keys[k] in seen or seen.add(keys[k]))]
+            yield pa.RecordBatch.from_arrays([pa.array([keys[k] for k in at], pa.binary()), packed(piece.column(1).take(pa.array(at, pa.int64())))], names=["key", "packed"])
+
+    return docs.mapInArrow(run, "key binary, packed binary").join(need.select("node", "key"), "key").groupBy("node").agg(F.any_value("packed").alias("packed"))
 
 
 def shingle_sets(column: pa.Array) -> list[np.ndarray]:
@@ -124,9 +322,8 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             out = pa.RecordBatch.from_arrays([piece.column(0), piece.column(1)], names=["a", "b"])
             yield out.filter(pa.array(similar(shared, sizes)))
 
-    one, two = (texts.select(F.col("rid").alias(n), F.col("packed").alias(f"_{n}")) for n in "ab")
-    # Texts lie in buckets of rid and stay there: only the pairs, with the text of a from the second join on, are shuffled.
-    return pairs.hint("merge").join(one, "a").hint("merge").join(two, "b").select("a", "b", "_a", "_b").mapInArrow(run, "a long, b long")
+    one, two = (texts.select(F.col("node").alias(n), F.col("packed").alias(f"_{n}")) for n in "ab")
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "_a", "_b").mapInArrow(run, "a long, b long")
 
 
 def connecting(nodes: np.ndarray, roots: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
@@ -163,7 +360,7 @@ def _linked(groups: DataFrame, texts: DataFrame) -> DataFrame:
         links = connecting(table.column("node").to_numpy(), table.column("root").to_numpy(), sets)
         return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
 
-    known = groups.join(texts.select(F.col("rid").alias("node"), "packed"), "node").select("h", "i", "j", "node", "root", "packed")
+    known = groups.join(texts, "node").select("h", "i", "j", "node", "root", "packed")
     return known.groupBy("h", "i", "j").applyInArrow(run, "a long, b long").distinct()
 
 
@@ -209,22 +406,30 @@ def near_copy_groups(docs: DataFrame, text: str = "text") -> DataFrame:
         made.append(stored(df))
         return made[-1]
 
-    numbered = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", docs[text].alias("_text"))
-    rows = bucketed(_sketched(numbered), "rid", min(MAX_BUCKETS, max(MIN_BUCKETS, docs.count() // BUCKET_ROWS)))
-    made.append(rows)
-    prints = keep(rows.groupBy("key").agg(F.min("doc_id").alias("least"), F.min("rid").alias("node")))
-    heads = rows.select("rid", "bands", "size").join(prints.select(F.col("node").alias("rid")), "rid", "left_semi")
-    met = heads.select(F.posexplode("bands").alias("band", "h"), F.col("rid").alias("node"), "size")
-    met = keep(met.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("h"))).where("_n > 1").drop("_n"))
-    texts = rows.select("rid", "packed")
-    early = met.where(F.col("band") < FIRST).select(F.lag("node").over(Window.partitionBy("h").orderBy("node")).alias("a"), F.col("node").alias("b"))
-    roots = keep(connected_components(_verified(early.where("a is not null").distinct(), texts)))
-    order = Window.partitionBy("h").orderBy("root", "node")
-    late = _rooted(met.where(F.col("band") >= FIRST), roots).select(F.lag("node").over(order).alias("a"), F.col("node").alias("b"), F.lag("root").over(order).alias("_x"), "root")
-    roots = keep(_merged(roots, _verified(late.where("_x <> root").select("a", "b").distinct(), texts)))
-    more = keep(_linked(_apart(_rooted(met, roots).drop("band")), texts))
-    if not more.isEmpty():
-        roots = keep(_merged(roots, more))
+    count = docs.count()
+    bits = min(max(BLOCKS), max(min(BLOCKS), max(1, count - 1).bit_length() + SPARE))
+    plain = docs.select("doc_id", docs[text].alias("_text"))
+    rows = keep(_sketched(plain, bits))
+    first = F.min_by(F.struct("h", "size", "n", "sketch"), "size")
+    prints = rows.groupBy("key").agg(F.min("doc_id").alias("least"), first.alias("_first")).select("key", "least", "_first.*")
+    prints = keep(prints.withColumn("node", F.monotonically_increasing_id()))
+
+    def texts(nodes: DataFrame) -> DataFrame:
+        return keep(_texts(plain, keep(prints.join(nodes.distinct(), "node", "left_semi").select("node", "key", "h"))))
+
+    ends = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("node"))
+    met = keep(_met(prints.withColumn("root", F.col("node")), bits, count, last=False))
+    pairs = met.where("a is not null")
+    roots = keep(connected_components(_verified(pairs.select("a", "b"), texts(ends(pairs)))))
+    if not met.where("a is null").isEmpty():
+        met = keep(_met(_rooted(prints, roots), bits, count, last=True))
+        pairs = met.where("h is null").select("a", "b")
+        groups = met.where("h is not null").select("h", F.col("a").alias("node"))
+        known = texts(ends(pairs).unionByName(groups.select("node")))
+        roots = keep(_merged(roots, keep(_verified(pairs, known))))
+        more = keep(_linked(_apart(_rooted(groups.join(prints.select("node", "size"), "node"), roots)), known))
+        if not more.isEmpty():
+            roots = keep(_merged(roots, more))
     rooted = prints.join(roots, "node", "left").select("key", "least", F.coalesce("root", "node").alias("root"))
     component = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = keep(rooted.join(component, "root").select("key", "component_id"))

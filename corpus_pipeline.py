@@ -55,7 +55,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 6's stage, on five-word shingles at a Jaccard similarity of 0.8: the document with the smallest doc_id of each group stays.
 
-    Fingerprints within 2 bits don't reach such pairs, so candidates come from MinHash bands (see llm/near_copies.py).
+    Fingerprints within 2 bits don't reach such pairs, so candidates are texts whose balls of SimHash codes meet in one
+    of several blocks; a ball flips the bits of least margin (see llm/near_copies.py).
     Null and empty texts are copies of each other; of a group whose doc_ids are equal or null, one row stays.
     Of rows with one doc_id, the first in the order of their columns stays; they are
     reduced by a grouped minimum, apart from the others.

@@ -94,3 +94,70 @@ def test_texts_lie_at_the_highest_common_level():
     assert near_copies.unpacked(made).to_pylist() == [*texts, "", ""]
     usual = zstandard.ZstdCompressor(level=3).compress
     assert sum(len(x) for x in made.to_pylist()[:-2]) < 0.99 * sum(len(usual(t.encode())) for t in texts)
+
+
+def hash_sets(families, rng):
+    """Hashes and offsets of sets; those of a family share their first 36 of 40 hashes, so that their similarity is 0.82."""
+    np, out = near_copies.np, []
+    for n in families:
+        base = rng.integers(0, 1 << 64, 36, dtype=np.uint64)
+        out += [np.concatenate([base, rng.integers(0, 1 << 64, 4, dtype=np.uint64)]) for _ in range(n)]
+    return np.concatenate(out), np.arange(len(out) + 1) * 40
+
+
+def test_balls_meet_at_the_least_similarity():
+    """SimHash blocks find pairs at 0.8, of large and of the smallest sets, and few others; single bits' balls don't."""
+    np = near_copies.np
+    rng = np.random.default_rng(2)
+    for same, one, two in ((40, 5, 5), (4, 1, 0), (80, 20, 0)):
+        pool = [rng.integers(0, 1 << 64, same + one + two, dtype=np.uint64) for _ in range(300)]
+        sides = [[x[: same + one] for x in pool], [np.concatenate([x[:same], x[same + one :]]) for x in pool]]
+        a, b = (near_copies.simhashes(np.concatenate(s), np.concatenate([[0], np.cumsum([len(x) for x in s])]), 24) for s in sides)
+        met, chance = np.zeros(300, bool), np.zeros(300, bool)
+        for t in range(near_copies.BLOCKS[24]):
+            x, y = (near_copies.ball(e["code"][:, t], e["weak"][:, t]) for e in (a, b))
+            for k in range(near_copies.FLIPS):
+                met |= (x == y[:, k : k + 1]).any(axis=1)
+                chance |= (x == np.roll(y, 1, axis=0)[:, k : k + 1]).any(axis=1)
+        assert met.all() and chance.sum() < 10
+        assert np.bitwise_count(a["print"] ^ b["print"]).sum(axis=1).max() <= near_copies.RADIUS
+        assert (np.bitwise_count(a["code"] ^ b["code"]) > simhash.RADIUS).mean() > 0.5
+
+
+def test_candidates_meet_in_every_range(monkeypatch):
+    """Over all ranges, and in turns, the candidates are the pairs whose balls meet; larger groups with several roots stay the last time."""
+    np, limits = near_copies.np, (near_copies.SMALL, near_copies.MIDDLE)
+    hashes, off = hash_sets([3, 2, 5, 2, 4, 1, 1], np.random.default_rng(4))
+    made = near_copies.simhashes(hashes, off, 20)
+    entry = np.dtype([("node", "<i8"), ("root", "<i8"), ("n", "<i4"), ("print", "<u8", 2), ("code", "<u4"), ("weak", "u1", near_copies.WEAK)])
+    found = np.zeros(len(made), dtype=entry)
+    found["node"] = found["root"] = np.arange(len(made)) + 100
+    found["n"], found["print"], found["code"], found["weak"] = 40, made["print"], made["code"][:, 0], made["weak"][:, 0]
+    balls = [set(x.tolist()) for x in near_copies.ball(found["code"], found["weak"])]
+    near = np.bitwise_count(found["print"][:, None] ^ found["print"]).sum(axis=2) <= near_copies.RADIUS
+    want = {(a, b) for a in range(len(balls)) for b in range(a + 1, len(balls)) if balls[a] & balls[b] and near[a, b]}
+    assert len(want) > 15
+    for codes in (1 << 22, 300):
+        monkeypatch.setattr(near_copies, "CODES", codes)
+        got = [near_copies.candidates(found, 20, 2, part, False, *limits) for part in range(4)]
+        assert {(int(c) // len(found), int(c) % len(found)) for pairs, _, _ in got for p in pairs for c in p} == want
+        assert not any(groups or partly for _, groups, partly in got)
+    many = np.repeat(found[:1], near_copies.MIDDLE + 8)
+    many["node"] = many["root"] = np.arange(len(many))
+    for last in (False, True):
+        got = [near_copies.candidates(many, 20, 2, part, last, *limits) for part in range(4)]
+        assert any(partly for _, _, partly in got) and len({h for _, groups, _ in got for h, _ in groups}) == last
+        assert {int(c) // len(many) + 1 - int(c) % len(many) for pairs, _, _ in got for p in pairs for c in p} == {0}
+    many["root"] = 0
+    assert not any(len(p) for part in range(4) for p in near_copies.candidates(many, 20, 2, part, True, *limits)[0])
+
+
+def test_large_groups(spark, monkeypatch):
+    """Groups whose neighbours only are tried first give the same components as all pairs."""
+    docs = rows()
+    want = plain(docs)
+    monkeypatch.setattr(near_copies, "SMALL", 2)
+    for middle in (2, 6):
+        monkeypatch.setattr(near_copies, "MIDDLE", middle)
+        got = near_copies.near_copy_groups(spark.createDataFrame(docs, "doc_id long, text string"))
+        assert sorted(map(tuple, got.collect()), key=str) == want
