@@ -8,15 +8,14 @@ At a similarity of 0.8 some 15 % of the bits differ, so balls of one or two bits
 of small margin, though: a block's ball holds the FLIPS codes that flip some of its WEAK bits of least margin.  Two texts
 meet in the middle, where their balls of a block have a code in common; all blocks miss a pair at 0.8 with
 a probability of 2e-6 at most, and any closer one with less.  Codes travel, not balls: a code goes to
-the ranges of codes that its ball touches, and balls are built there.  Texts that meet are candidates if their prints
-differ in no more than RADIUS bits (missed at 0.8: below 1e-6) and the sizes of their sets allow the similarity.  Each candidate
-pair is verified by the exact similarity of its shingle sets; only texts of candidates are read for that.
-
-A large group of near copies meets in many codes, and all its pairs would be a square.  So of
-a code's group above SMALL neighbours are tried first and their components taken; then
-only texts of different components, so that the pairs to verify stay in proportion to
-the documents.  Where a group above MIDDLE then still holds several components, its texts are compared all with
-all over an inverted index, in pairs of blocks of bounded size, and only links that connect come back.
+the ranges of codes that its ball touches, and balls are built there.  Texts that meet are linked if their prints
+differ in no more than RADIUS bits (missed at 0.8: below 1e-6) and the sizes of their sets allow the similarity.
+
+A family of near copies meets in many codes, and all its pairs would be a square for each.  So a range of codes gives
+only a tree of what it links: one row for each text that isn't the first of its tree.  All trees together make classes, in which
+every two texts that were linked in any code lie.  Each class is compared once, all with all, by the exact similarity of
+its texts' shingle sets over an inverted index, in pairs of blocks of bounded size, and only links that connect come back.
+Only texts of classes are read for that, and a text goes to as many tasks as its class has other blocks.
 """
 
 from __future__ import annotations
@@ -53,13 +52,13 @@ WEAK, FLIPS = 8, 64
 RANGE_DOCS = 1 << 17
 #: Codes sorted at once.
 CODES = 1 << 22
-#: Texts of a code whose pairs are all tried, and those of different components among which they are.
+#: Texts of a code whose pairs are all tried at once, and those of different components among which they are; of more, a tree is sought step by step.
 SMALL, MIDDLE = 8, 32
-#: Texts and their bytes of a code's group in one block, on average at most; two blocks are compared in one task.
+#: Texts and their bytes of a class in one block, on average at most; two blocks are compared in one task.
 BLOCK, BLOCK_BYTES = 400, 8 << 20
 #: Compression of the texts of candidates; the highest common level makes them 6 % smaller than level 3.
 LEVEL = 19
-#: Entries of the inverted index read at once.
+#: Entries of the inverted index read, or prints compared, at once.
 READ = 1 << 20
 
 
@@ -231,23 +230,59 @@ def candidates(found: np.ndarray, block_bits: int, range_bits: int, part: int, l
     return pairs, groups, partly
 
 
-def _met(prints: DataFrame, bits: int, count: int, last: bool) -> DataFrame:
-    """Candidates (a, b) among prints (node, root, n, sketch), h null; the last time also rows of groups that may need more: a (node), b (root), h.
+def tree(found: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links (rows of ``found``) that join all of ``rows`` which chains of close prints and fitting sizes join.
 
-    Before the last time a row without a and b says that there is a group whose neighbours only were tried.
+    A row is compared with those that weren't reached before it, so that the work on a family is in proportion to it.
     """
+    size, prints = found["n"], found["print"]
+    left, ends = rows, ([np.zeros(0, rows.dtype)], [np.zeros(0, rows.dtype)])
+    while len(left) > 1:
+        front, left = left[:1], left[1:]
+        while len(front) and len(left):
+            after = []
+            at = 0
+            while at < len(front) and len(left):
+                some = front[at : at + max(1, READ // len(left))]
+                at += len(some)
+                close = np.bitwise_count(prints[some][:, None] ^ prints[left]).sum(axis=2, dtype=np.int64) <= RADIUS
+                close &= SHARE[1] * np.minimum(size[some][:, None], size[left]) >= SHARE[0] * np.maximum(size[some][:, None], size[left])
+                hit = close.any(axis=0)
+                ends[0].append(some[close.argmax(axis=0)[hit]])
+                ends[1].append(left[hit])
+                after.append(left[hit])
+                left = left[~hit]
+            front = np.concatenate(after)
+    return np.concatenate(ends[0]), np.concatenate(ends[1])
+
+
+def firsts(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """The smallest of 0 to n - 1 that links (a, b) join each of them to."""
+    first = np.arange(n)
+    while (first[a] != first[b]).any():
+        least = np.minimum(first[a], first[b])
+        np.minimum.at(first, first[a], least)
+        np.minimum.at(first, first[b], least)
+        while (first[first] != first).any():
+            first = first[first]
+    return first
+
+
+def _met(prints: DataFrame, bits: int, count: int) -> DataFrame:
+    """Links (a, b) among prints (node, n, sketch): for each block and range of codes trees of the nodes that meet there."""
     blocks = BLOCKS[bits]
     range_bits = min(6, max(2, (count // RANGE_DOCS).bit_length()))
     limits = SMALL, MIDDLE
-    entry = np.dtype([("node", "<i8"), ("root", "<i8"), ("n", "<i4"), ("print", "<u8", PRINT // 64), ("code", "<u4"), ("weak", "u1", WEAK)])
+    fields = [("node", "<i8"), ("n", "<i4"), ("print", "<u8", PRINT // 64), ("code", "<u4"), ("weak", "u1", WEAK)]
+    entry, rooted = np.dtype(fields), np.dtype([*fields, ("root", "<i8")])
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            known = np.frombuffer(b"".join(batch.column(3).to_pylist()), dtype=entry_type(blocks))
+            known = np.frombuffer(b"".join(batch.column(2).to_pylist()), dtype=entry_type(blocks))
             out, slots, held_by = np.zeros(len(known), dtype=entry), [], []
-            for k, name in enumerate(("node", "root", "n")):
+            for k, name in enumerate(("node", "n")):
                 out[name] = batch.column(k).to_numpy()
             out["print"] = known["print"]
             for t in range(blocks):
@@ -263,21 +298,21 @@ def _met(prints: DataFrame, bits: int, count: int, last: bool) -> DataFrame:
 
     def meet(table: pa.Table) -> pa.Table:
         slot = table.column("slot")[0].as_py()
-        found = np.frombuffer(b"".join(table.column("held").to_pylist()), dtype=entry)
-        pairs, groups, partly = candidates(found, bits, range_bits, slot & ((1 << range_bits) - 1), last, *limits)
+        dealt = np.frombuffer(b"".join(table.column("held").to_pylist()), dtype=entry)
+        found = np.zeros(len(dealt), dtype=rooted)
+        for name in entry.names:
+            found[name] = dealt[name]
+        found["root"] = found["node"]
+        found.sort(order="node")
+        pairs, groups, _ = candidates(found, bits, range_bits, slot & ((1 << range_bits) - 1), True, *limits)
         codes = np.unique(np.concatenate([np.zeros(0, np.int64), *pairs]))
-        node, root = found["node"], found["root"]
-        a, b = [node[codes // max(1, len(found))]], [node[codes % max(1, len(found))]]
-        h, none = [np.zeros(len(codes), np.int64)], [np.ones(len(codes), bool)]
-        for name, rows in groups:
-            a.append(node[rows]), b.append(root[rows]), h.append(np.full(len(rows), name)), none.append(np.zeros(len(rows), bool))
-        out = [pa.array(np.concatenate(a)), pa.array(np.concatenate(b)), pa.array(np.concatenate(h), mask=np.concatenate(none))]
-        if partly and not last:
-            out = [pa.concat_arrays([x, pa.nulls(1, x.type)]) for x in out]
-        return pa.table(dict(zip("abh", out, strict=True)))
+        links = [(codes // len(found), codes % len(found)), *(tree(found, rows) for _, rows in groups)]
+        first = firsts(*(np.concatenate(x) for x in zip(*links, strict=True)), len(found))
+        more = np.flatnonzero(first != np.arange(len(found)))
+        return pa.table({"a": found["node"][first[more]], "b": found["node"][more]})
 
-    dealt = prints.where("sketch is not null").select("node", "root", "n", "sketch").mapInArrow(deal, "slot int, held binary")
-    return dealt.groupBy("slot").applyInArrow(meet, "a long, b long, h long").distinct()
+    dealt = prints.where("sketch is not null").select("node", "n", "sketch").mapInArrow(deal, "slot int, held binary")
+    return dealt.groupBy("slot").applyInArrow(meet, "a long, b long").distinct()
 
 
 def _texts(docs: DataFrame, need: DataFrame) -> DataFrame:
@@ -311,21 +346,6 @@ def similar(shared: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return (shared > 0) & (SHARE[1] * shared >= SHARE[0] * (sizes - shared))
 
 
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose shingle sets are similar enough."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in grid.slices(batches, "_a"):
-            sets = list(zip(shingle_sets(unpacked(piece.column(2))), shingle_sets(unpacked(piece.column(3))), strict=True))
-            shared = np.array([len(np.intersect1d(x, y, assume_unique=True)) for x, y in sets], dtype=np.int64)
-            sizes = np.array([len(x) + len(y) for x, y in sets], dtype=np.int64)
-            out = pa.RecordBatch.from_arrays([piece.column(0), piece.column(1)], names=["a", "b"])
-            yield out.filter(pa.array(similar(shared, sizes)))
-
-    one, two = (texts.select(F.col("node").alias(n), F.col("packed").alias(f"_{n}")) for n in "ab")
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "_a", "_b").mapInArrow(run, "a long, b long")
-
-
 def connecting(nodes: np.ndarray, roots: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
     """Links (a, b) between similar sets that join all components which any similar pair joins."""
     size = np.array([len(x) for x in sets], dtype=np.int64)
@@ -365,32 +385,16 @@ def _linked(groups: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _apart(met: DataFrame) -> DataFrame:
-    """h, i, j, node, root: groups of three nodes or more with several roots, dealt over pairs of blocks.
+    """h, i, j, node, root: groups with several roots, dealt over pairs of blocks.
 
-    Of two nodes, both orders are neighbours and were tried.  Every pair of a group meets in
-    a pair of blocks, and a pair of equal blocks is needed only where there is no other.
+    Every pair of a group meets in a pair of blocks, and a pair of equal blocks is needed only where there is no other.
     """
-    sizes = met.groupBy("h").agg(F.count("node").alias("n"), F.sum("size").alias("bytes"), F.min("root").alias("x"), F.max("root").alias("y")).where("x < y and n > 2")
+    sizes = met.groupBy("h").agg(F.count("node").alias("n"), F.sum("size").alias("bytes"), F.min("root").alias("x"), F.max("root").alias("y")).where("x < y")
     met = met.join(sizes.select("h", F.ceil(F.greatest(F.col("n") / BLOCK, F.least(F.col("bytes") / BLOCK_BYTES, F.col("n")))).cast("int").alias("blocks")), "h").withColumn("k", F.pmod(F.xxhash64("node"), "blocks"))
     other = F.explode(F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.array_remove(F.sequence(F.lit(0), F.col("blocks") - 1), F.col("k").cast("int"))))
     return met.withColumn("o", other).select("h", F.least("k", "o").alias("i"), F.greatest("k", "o").alias("j"), "node", "root")
 
 
-def _rooted(nodes: DataFrame, roots: DataFrame) -> DataFrame:
-    """Adds root: that of the node's component, or the node itself."""
-    return nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-
-
-def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
-    """(node, root) after links (a, b) between nodes of different components; only the roots are joined anew."""
-    end = lambda side: _rooted(links.select("a", "b", F.col(side).alias("node")), roots).withColumnRenamed("root", f"_{side}").drop("node")
-    pairs = end("a").join(end("b"), ["a", "b"]).select(F.col("_a").alias("a"), F.col("_b").alias("b"))
-    joined = stored(connected_components(pairs)).withColumnsRenamed({"node": "_old", "root": "_new"})
-    old = roots.join(joined, roots["root"] == joined["_old"], "left").select("node", F.coalesce("_new", "root").alias("root"))
-    alone = joined.join(roots, joined["_old"] == roots["node"], "left_anti").select(F.col("_old").alias("node"), F.col("_new").alias("root"))
-    return old.unionByName(alone)
-
-
 def near_copy_groups(docs: DataFrame, text: str = "text") -> DataFrame:
     """One row per document: doc_id, component_id.
 
@@ -414,22 +418,11 @@ def near_copy_groups(docs: DataFrame, text: str = "text") -> DataFrame:
     prints = rows.groupBy("key").agg(F.min("doc_id").alias("least"), first.alias("_first")).select("key", "least", "_first.*")
     prints = keep(prints.withColumn("node", F.monotonically_increasing_id()))
 
-    def texts(nodes: DataFrame) -> DataFrame:
-        return keep(_texts(plain, keep(prints.join(nodes.distinct(), "node", "left_semi").select("node", "key", "h"))))
-
-    ends = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("node"))
-    met = keep(_met(prints.withColumn("root", F.col("node")), bits, count, last=False))
-    pairs = met.where("a is not null")
-    roots = keep(connected_components(_verified(pairs.select("a", "b"), texts(ends(pairs)))))
-    if not met.where("a is null").isEmpty():
-        met = keep(_met(_rooted(prints, roots), bits, count, last=True))
-        pairs = met.where("h is null").select("a", "b")
-        groups = met.where("h is not null").select("h", F.col("a").alias("node"))
-        known = texts(ends(pairs).unionByName(groups.select("node")))
-        roots = keep(_merged(roots, keep(_verified(pairs, known))))
-        more = keep(_linked(_apart(_rooted(groups.join(prints.select("node", "size"), "node"), roots)), known))
-        if not more.isEmpty():
-            roots = keep(_merged(roots, more))
+    classes = connected_components(_met(prints, bits, count)).withColumnRenamed("root", "_class")
+    classes = keep(prints.join(classes, "node").select("node", "key", "h", "size", "_class"))
+    texts = keep(_texts(plain, classes))
+    groups = classes.select(F.col("_class").alias("h"), "node", "size", F.col("node").alias("root"))
+    roots = keep(connected_components(_linked(_apart(groups), texts)))
     rooted = prints.join(roots, "node", "left").select("key", "least", F.coalesce("root", "node").alias("root"))
     component = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = keep(rooted.join(component, "root").select("key", "component_id"))

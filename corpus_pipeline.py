@@ -65,7 +65,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     groups = stored(near_copy_groups(docs))
     gone = groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id")
     repeated = stored(groups.groupBy("doc_id").count().where("count > 1").select("doc_id"))
-    kept = _without(docs, gone.unionByName(repeated))
+    # Stored, so that Spark knows how few they are before it decides whether to shuffle the texts.
+    kept = _without(docs, stored(gone.unionByName(repeated)))
     if repeated.isEmpty():
         return kept
     known = _without(repeated, gone).withColumnRenamed("doc_id", "_id")

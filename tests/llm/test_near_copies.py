@@ -161,3 +161,54 @@ def test_large_groups(spark, monkeypatch):
         monkeypatch.setattr(near_copies, "MIDDLE", middle)
         got = near_copies.near_copy_groups(spark.createDataFrame(docs, "doc_id long, text string"))
         assert sorted(map(tuple, got.collect()), key=str) == want
+
+
+def test_each_text_is_compared_in_one_class(spark, monkeypatch):
+    """A family that meets in hundreds of codes is dealt over pairs of blocks once, not once for each code."""
+    docs = rows()
+    linked, seen = near_copies._linked, []
+
+    def counted(groups, texts):
+        seen.append([groups.groupBy("node").count().agg({"count": "max"}).first()[0], groups.select("h", "node").distinct().count(), groups.select("node").distinct().count()])
+        return linked(groups, texts)
+
+    monkeypatch.setattr(near_copies, "_linked", counted)
+    monkeypatch.setattr(near_copies, "SMALL", 2)
+    monkeypatch.setattr(near_copies, "MIDDLE", 4)
+    got = near_copies.near_copy_groups(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert sorted(map(tuple, got.collect()), key=str) == plain(docs)
+    assert [most for most, _, _ in seen] == [1] and all(a == b for _, a, b in seen)
+
+
+def test_trees(monkeypatch):
+    """The links join what all pairs would join, for families, strays between them and rows of other sizes; firsts() names the trees."""
+    np = near_copies.np
+    hashes, off = hash_sets([30, 20, 1, 1], np.random.default_rng(6))
+    made = near_copies.simhashes(hashes, off, 20)
+    found = np.zeros(len(made), dtype=[("n", "<i4"), ("print", "<u8", 2)])
+    found["n"], found["print"] = 40, made["print"]
+    found["n"][25:30] = 60
+    rows_ = np.random.default_rng(7).permutation(len(found))
+    near = np.bitwise_count(found["print"][:, None] ^ found["print"]).sum(axis=2) <= near_copies.RADIUS
+    near &= 5 * np.minimum.outer(found["n"], found["n"]) >= 4 * np.maximum.outer(found["n"], found["n"])
+    want = near_copies.firsts(*np.nonzero(near), len(found))
+    assert len(np.unique(want)) == 5 and (want[:25] == 0).all() and (want[25:30] == 25).all()
+    for read in (1 << 20, 7):
+        monkeypatch.setattr(near_copies, "READ", read)
+        a, b = near_copies.tree(found, rows_)
+        assert len(a) == len(found) - 5 and near[a, b].all()
+        assert (near_copies.firsts(a, b, len(found)) == want).all()
+
+
+def test_texts_that_stay_are_not_shuffled(spark):
+    """The ids that go are stored, so that they are broadcast although the table of all groups is beyond the threshold."""
+    text = lambda k: " ".join(str(x) for x in range(9 * k, 9 * k + 9))
+    docs = spark.createDataFrame([(k, text(max(k, 1)), "en", "a", 9) for k in range(3000)], SCHEMA)
+    usual = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "9000")
+    try:
+        kept = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+        assert kept.count() == 2999
+        assert "Join" in (made := kept._jdf.queryExecution().sparkPlan().toString()) and "SortMergeJoin" not in made
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", usual)
